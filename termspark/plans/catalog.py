@@ -198,3 +198,99 @@ b_freq AS (SELECT gram, count(*) AS freq FROM b_occ GROUP BY gram HAVING count(*
 SELECT gram, freq, {r('entropy')} AS entropy, {r('pmi')} AS pmi FROM v_pmi WHERE pmi > 1""")
 def q_pmi_variant(spark, sf):
     return r6(J.scored(spark, sf, "B", single_const=K.PMI_SINGLE_CONST_MISSING_ZERO, missing=0))
+
+
+# ---------------------------------------------------------------------------
+# X6 corpus diff
+# ---------------------------------------------------------------------------
+
+DIFF_CTES = O.diff_ctes(SCORED_CTES.lstrip())
+SCORE_COLS = ", ".join(f"{r(c)} AS {c}" for c in ["entropy", "pmi"])
+
+
+@register("new_terms", f"""
+WITH {DIFF_CTES}
+SELECT gram, freq, {SCORE_COLS}, {r('sqrt(freq) * entropy * pmi * (1.0 / exp(abs(length(gram) - 4.5) * 0.3))')} AS score FROM nw""")
+def q_new_terms(spark, sf):
+    return r6(J.diff(spark, sf)["new"])
+
+
+A_COLS = f"a_freq, {r('a_entropy')} AS a_entropy, {r('a_pmi')} AS a_pmi"
+
+
+@register("risen_terms", f"""
+WITH {DIFF_CTES}
+SELECT gram, freq, {SCORE_COLS}, {A_COLS} FROM rk""")
+def q_risen_terms(spark, sf):
+    return r6(J.diff(spark, sf)["risen"])
+
+
+@register("head_word_exclusions", f"""
+WITH {DIFF_CTES}
+SELECT gram, freq, {SCORE_COLS}, {A_COLS} FROM bt""")
+def q_bg_top(spark, sf):
+    return r6(J.diff(spark, sf)["bg_top"])
+
+
+@register("diff_candidates", f"""
+WITH {DIFF_CTES}
+SELECT term, {r('score')} AS score FROM sc""")
+def q_diff_candidates(spark, sf):
+    return r6(J.diff(spark, sf)["candidates"])
+
+
+@register("diff_features", f"""
+WITH {DIFF_CTES}
+SELECT term, freq, {SCORE_COLS} FROM sc""")
+def q_diff_features(spark, sf):
+    return r6(J.diff(spark, sf)["features"])
+
+
+# ---------------------------------------------------------------------------
+# X7 features
+# ---------------------------------------------------------------------------
+
+FEATURE_COLS = ", ".join(["term"] + [r(c) + " AS " + c for c in
+                                      ["length", "char_idf_sum", "char_idf_avg", "char_idf_min",
+                                       "char_idf_max", "word_idf_sum", "word_idf_avg", "word_idf_min",
+                                       "word_idf_max", "hot_char_sum", "hot_char_avg", "hot_word_sum",
+                                       "hot_word_avg"]])
+
+
+@register("candidate_features", f"""
+WITH {DIFF_CTES}{O.features_ctes('sc')}
+SELECT {FEATURE_COLS} FROM feat""")
+def q_candidate_features(spark, sf):
+    return r6(J.features(spark, sf, J.diff(spark, sf)["candidates"]))
+
+
+@register("training_features", f"""
+WITH posl AS (SELECT DISTINCT w AS word FROM (SELECT unnest(regexp_extract_all(lower(text), {O.q(C.TOKEN_PATTERN)})) AS w FROM benchmark)
+              WHERE regexp_full_match(w, {O.q('[' + C.SCRIPT_CLASS + ']{3,}')})),
+negl AS (SELECT DISTINCT w AS word FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) WHERE trim(w) <> ''),
+lab AS (SELECT word AS term, 1.0 AS label FROM posl UNION ALL SELECT word AS term, 0.0 AS label FROM negl)
+{O.features_ctes('lab')}
+SELECT {FEATURE_COLS}, lab.label FROM lab JOIN feat USING (term)""")
+def q_training_features(spark, sf):
+    from termspark.operators import features as fe
+    pos, neg = J.positives(spark, sf), J.negatives(spark, sf)
+    terms = pos.select(F.col("word").alias("term")).unionByName(neg.select(F.col("word").alias("term")))
+    feats = J.features(spark, sf, terms)
+    rows = fe.training_rows(pos, neg, feats)
+    return r6(rows.select("term", *[c for c in rows.columns if c not in ("term", "label")], "label"))
+
+
+@register("hot_words", f"""
+WITH posw AS (SELECT DISTINCT w AS word FROM (SELECT unnest(regexp_extract_all(lower(text), {O.q(C.TOKEN_PATTERN)})) AS w FROM benchmark)
+              WHERE regexp_full_match(w, {O.q('[' + C.SCRIPT_CLASS + ']{3,}')}))
+SELECT t AS term, count(*) AS hot FROM (SELECT unnest(regexp_extract_all(lower(word), {O.q(C.TOKEN_PATTERN)})) AS t FROM posw) GROUP BY t""")
+def q_hot_words(spark, sf):
+    return J.hot_tables(spark, sf)[1]
+
+
+@register("hot_chars", f"""
+WITH posw AS (SELECT DISTINCT w AS word FROM (SELECT unnest(regexp_extract_all(lower(text), {O.q(C.TOKEN_PATTERN)})) AS w FROM benchmark)
+              WHERE regexp_full_match(w, {O.q('[' + C.SCRIPT_CLASS + ']{3,}')}))
+SELECT c AS term, count(*) AS hot FROM (SELECT unnest(string_split(word, '')) AS c FROM posw) WHERE c <> '' GROUP BY c""")
+def q_hot_chars(spark, sf):
+    return J.hot_tables(spark, sf)[0]

@@ -64,3 +64,56 @@ def scored(spark: SparkSession, sf: str, corpus: str = "B", **pmi_kw) -> DataFra
     freq_b = gram_freq(spark, sf, "B")
     total = coh.gram_total(freq_b)
     return pm.pmi(cohesion(spark, sf, corpus), freq_b, total, **pmi_kw)
+
+
+# -- X6 corpus diff ----------------------------------------------------------------
+
+SURFACE_JOINER = " "  # Latin test text: a gram's surface form keeps a space
+
+
+def diff(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    from termspark.operators import compare as cmp
+    from termspark.session import materialize
+    b = materialize(scored(spark, sf, "B"))
+    a = materialize(scored(spark, sf, "A"))
+    return cmp.diff_candidates(b, a, surface_joiner=SURFACE_JOINER)
+
+
+# -- word lists for the test tables (S3 semantics: non-blank, distinct) ------------
+
+
+def positives(spark: SparkSession, sf: str) -> DataFrame:
+    """Positive list: distinct script words (3+ letters) of ``benchmark``."""
+    t = C.table(spark, sf, "benchmark").select(F.explode(
+        C.tk.tokenize(F.lower("text"), "regex", C.TOKEN_PATTERN)).alias("word"))
+    return t.where(F.col("word").rlike(f"^[{C.SCRIPT_CLASS}]{{3,}}$")).distinct()
+
+
+def negatives(spark: SparkSession, sf: str) -> DataFrame:
+    """Negative list: distinct words of ``part.p_name``."""
+    t = C.table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("word"))
+    return t.where(F.trim("word") != "").distinct()
+
+
+def word_units(c):
+    return C.tk.tokenize(F.lower(c), "regex", C.TOKEN_PATTERN)
+
+
+def hot_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    pos = positives(spark, sf)
+    hw = st.hot_words(pos.select(word_units(F.col("word")).alias("tokens")), "tokens")
+    hc = st.hot_chars(pos, "word")
+    return hc, hw
+
+
+def features(spark: SparkSession, sf: str, terms: DataFrame, mode: str = "filter") -> DataFrame:
+    from termspark.operators import features as fe
+    hc, hw = hot_tables(spark, sf)
+    return fe.term_features(terms, char_idf(spark, sf), word_idf(spark, sf), hc, hw, word_units, mode)
+
+
+def stand_in_predictions(feats: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Deterministic stand-in for classifier output (term, score, pred) so the
+    final-list operators have an exact SQL oracle: a fixed logistic rule."""
+    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("word_idf_avg") - F.lit(4.0))))
+    return candidates.join(feats.select("term", p.alias("pred")), "term", "inner").select("term", "score", "pred")

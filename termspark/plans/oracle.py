@@ -138,3 +138,57 @@ def pmi_ctes(scored: str, freqt: str, out: str, single: str = "0.8 * length(s.gr
         UNION ALL
         SELECT s.gram, s.freq, s.entropy, CAST({single} AS DOUBLE) AS pmi
         FROM {scored} s WHERE NOT contains(s.gram, ','))"""
+
+
+def diff_ctes(scored_ctes: str) -> str:
+    """X6 on top of ``b_scored`` / ``a_scored``: ``nw`` (new), ``rs`` (risen),
+    ``rk`` (risen kept), ``bt`` (excluded head words), ``sc`` (candidates)."""
+    return scored_ctes + f""",
+bf AS (SELECT * FROM b_scored WHERE freq >= 5 AND entropy >= 2 AND pmi >= 1.5),
+nw AS (SELECT * FROM bf WHERE gram NOT IN (SELECT gram FROM a_scored)),
+rs AS (SELECT bf.*, a.freq AS a_freq, a.entropy AS a_entropy, a.pmi AS a_pmi
+       FROM bf JOIN a_scored a USING (gram)
+       WHERE a.freq * 10 < bf.freq AND (a.entropy < bf.entropy OR a.pmi < bf.pmi)),
+tp AS (SELECT gram FROM (SELECT gram, row_number() OVER (ORDER BY freq DESC, gram) AS rn FROM a_scored)
+       WHERE rn <= (SELECT count(*) FROM bf) // 50),
+rk AS (SELECT * FROM rs WHERE NOT (gram IN (SELECT gram FROM tp) AND NOT contains(gram, {q(K.PROTECTED_SUBSTRING)}))),
+bt AS (SELECT * FROM rs WHERE gram IN (SELECT gram FROM tp) AND NOT contains(gram, {q(K.PROTECTED_SUBSTRING)})),
+al AS (SELECT gram, freq, entropy, pmi FROM nw UNION ALL SELECT gram, freq, entropy, pmi FROM rk),
+sc AS (SELECT replace(gram, ',', ' ') AS term, freq, entropy, pmi,
+       sqrt(freq) * entropy * pmi * (1.0 / exp(abs(length(gram) - 4.5) * 0.3)) AS score
+       FROM al WHERE NOT (length(replace(gram, ',', '')) > 1
+                          AND len(list_distinct(string_split(replace(gram, ',', ''), ''))) = 1))"""
+
+
+def features_ctes(terms: str, out: str = "feat") -> str:
+    """13 filter features per distinct term of ``terms(term)`` -> ``out``."""
+    pat = q(C.TOKEN_PATTERN)
+    return f""",
+f_tl AS (SELECT doc_id, line_no, {tokens('line')} AS toks FROM {lines('B')}),
+f_n AS (SELECT count(*) AS n FROM f_tl),
+widf AS (SELECT term, ln((SELECT n FROM f_n) / count(*)) AS idf
+         FROM (SELECT DISTINCT doc_id, line_no, unnest(toks) AS term FROM f_tl) GROUP BY term),
+cidf AS (SELECT term, ln((SELECT n FROM f_n) / count(*)) AS idf
+         FROM (SELECT DISTINCT doc_id, line_no, unnest(string_split(t, '')) AS term
+               FROM (SELECT doc_id, line_no, unnest(toks) AS t FROM f_tl)) WHERE term <> '' GROUP BY term),
+posw AS (SELECT DISTINCT w AS word FROM (SELECT unnest(regexp_extract_all(lower(text), {pat})) AS w FROM benchmark)
+         WHERE regexp_full_match(w, {q('[' + C.SCRIPT_CLASS + ']{3,}')})),
+hw AS (SELECT t AS term, count(*) AS hot FROM (SELECT unnest(regexp_extract_all(lower(word), {pat})) AS t FROM posw) GROUP BY t),
+hc AS (SELECT c AS term, count(*) AS hot FROM (SELECT unnest(string_split(word, '')) AS c FROM posw) WHERE c <> '' GROUP BY c),
+ft AS (SELECT DISTINCT term FROM {terms}),
+fcu AS (SELECT term, unnest(string_split(term, '')) AS u FROM ft),
+fwu AS (SELECT term, unnest(regexp_extract_all(lower(term), {pat})) AS u FROM ft),
+s1 AS (SELECT x.term, sum(t.idf) AS s, count(t.idf) AS n, min(t.idf) AS mn, max(t.idf) AS mx
+       FROM fcu x JOIN cidf t ON t.term = x.u GROUP BY x.term),
+s2 AS (SELECT x.term, sum(t.idf) AS s, count(t.idf) AS n, min(t.idf) AS mn, max(t.idf) AS mx
+       FROM fwu x JOIN widf t ON t.term = x.u GROUP BY x.term),
+s3 AS (SELECT x.term, sum(t.hot) AS s, count(t.hot) AS n FROM fcu x JOIN hc t ON t.term = x.u GROUP BY x.term),
+s4 AS (SELECT x.term, sum(t.hot) AS s, count(t.hot) AS n FROM fwu x JOIN hw t ON t.term = x.u GROUP BY x.term),
+{out} AS (SELECT ft.term, CAST(length(ft.term) AS DOUBLE) AS length,
+       coalesce(s1.s, 0.0) AS char_idf_sum, coalesce(s1.s, 0.0) / (coalesce(s1.n, 0) + 1e-8) AS char_idf_avg,
+       coalesce(s1.mn, 0.0) AS char_idf_min, coalesce(s1.mx, 0.0) AS char_idf_max,
+       coalesce(s2.s, 0.0) AS word_idf_sum, coalesce(s2.s, 0.0) / (coalesce(s2.n, 0) + 1e-8) AS word_idf_avg,
+       coalesce(s2.mn, 0.0) AS word_idf_min, coalesce(s2.mx, 0.0) AS word_idf_max,
+       CAST(coalesce(s3.s, 0) AS DOUBLE) AS hot_char_sum, coalesce(s3.s, 0) / (coalesce(s3.n, 0) + 1e-8) AS hot_char_avg,
+       CAST(coalesce(s4.s, 0) AS DOUBLE) AS hot_word_sum, coalesce(s4.s, 0) / (coalesce(s4.n, 0) + 1e-8) AS hot_word_avg
+       FROM ft LEFT JOIN s1 USING (term) LEFT JOIN s2 USING (term) LEFT JOIN s3 USING (term) LEFT JOIN s4 USING (term))"""
