@@ -294,3 +294,78 @@ WITH posw AS (SELECT DISTINCT w AS word FROM (SELECT unnest(regexp_extract_all(l
 SELECT c AS term, count(*) AS hot FROM (SELECT unnest(string_split(word, '')) AS c FROM posw) WHERE c <> '' GROUP BY c""")
 def q_hot_chars(spark, sf):
     return J.hot_tables(spark, sf)[0]
+
+
+# ---------------------------------------------------------------------------
+# X9 final list (J7, O2, F2-F5, A20, U3) / X10 threshold report
+# ---------------------------------------------------------------------------
+
+FINAL_CTES = DIFF_CTES + O.features_ctes("sc") + O.final_ctes()
+POSNEG_CTES = f""",
+posl AS (SELECT DISTINCT w AS word FROM (SELECT unnest(regexp_extract_all(lower(text), {O.q(C.TOKEN_PATTERN)})) AS w FROM benchmark)
+         WHERE regexp_full_match(w, {O.q('[' + C.SCRIPT_CLASS + ']{3,}')})),
+negl AS (SELECT DISTINCT w AS word FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) WHERE trim(w) <> '')"""
+
+
+@register("final_terms", f"""
+WITH {FINAL_CTES}
+SELECT term, freq, {SCORE_COLS}, {r('pred')} AS pred, {r('final_score')} AS final_score FROM fin""")
+def q_final_terms(spark, sf):
+    return r6(J.final_terms(spark, sf))
+
+
+@register("hit_counts", f"""
+WITH {FINAL_CTES}{POSNEG_CTES},
+top AS (SELECT term FROM fin ORDER BY final_score DESC, term LIMIT {K.EVAL_TOP_N})
+SELECT (SELECT count(*) FROM (SELECT term FROM top INTERSECT ALL SELECT word FROM posl)) AS pos_hits,
+       (SELECT count(*) FROM (SELECT term FROM top INTERSECT ALL SELECT word FROM negl)) AS neg_hits""")
+def q_hit_counts(spark, sf):
+    from termspark.operators import rank as rk
+    top = rk.top_n(J.final_terms(spark, sf), [F.desc("final_score"), F.asc("term")], K.EVAL_TOP_N)
+    return rk.hit_counts(top, J.positives(spark, sf), J.negatives(spark, sf))
+
+
+PRED_CTES = DIFF_CTES + O.features_ctes("sc") + f""",
+pd AS (SELECT s.term, s.score, 1.0 / (1.0 + exp(-(f.word_idf_avg - 4.0))) AS pred FROM sc s JOIN feat f USING (term))"""
+PRED_COLS = f"term, {r('score')} AS score, {r('pred')} AS pred"
+
+
+@register("threshold_kept", f"""
+WITH {PRED_CTES}
+SELECT {PRED_COLS} FROM pd WHERE pred > {K.REPORT_THRESHOLD} AND length(term) > 1""")
+def q_threshold_kept(spark, sf):
+    from termspark.operators import rank as rk
+    return r6(rk.threshold_split(J.predictions(spark, sf))[0])
+
+
+@register("threshold_dropped", f"""
+WITH {PRED_CTES}
+SELECT {PRED_COLS} FROM pd WHERE pred <= {K.REPORT_THRESHOLD}""")
+def q_threshold_dropped(spark, sf):
+    from termspark.operators import rank as rk
+    return r6(rk.threshold_split(J.predictions(spark, sf))[1].orderBy("pred", "term"))
+
+
+@register("threshold_diff", f"""
+WITH {PRED_CTES},
+ta AS (SELECT * FROM pd ORDER BY score DESC, term LIMIT {K.REPORT_TOP_N}),
+tb AS (SELECT * FROM (SELECT * FROM pd WHERE pred > {K.REPORT_THRESHOLD} AND length(term) > 1)
+       ORDER BY score DESC, term LIMIT {K.REPORT_TOP_N})
+SELECT {PRED_COLS}, 'removed' AS side FROM ta WHERE term NOT IN (SELECT term FROM tb)
+UNION ALL
+SELECT {PRED_COLS}, 'added' AS side FROM tb WHERE term NOT IN (SELECT term FROM ta)""")
+def q_threshold_diff(spark, sf):
+    from termspark.operators import rank as rk
+    p = J.predictions(spark, sf)
+    kept = rk.threshold_split(p)[0]
+    return r6(rk.top_n_diff(p, kept, [F.desc("score"), F.asc("term")], K.REPORT_TOP_N))
+
+
+@register("rank_boost", f"""
+WITH {PRED_CTES}{POSNEG_CTES},
+rb AS (SELECT *, row_number() OVER (ORDER BY score DESC, term, pred) - 1 AS idx FROM pd)
+SELECT {PRED_COLS}, CASE WHEN term IN (SELECT word FROM posl) THEN idx * {K.RANK_BOOST} ELSE CAST(idx AS DOUBLE) END AS new_index FROM rb""")
+def q_rank_boost(spark, sf):
+    from termspark.operators import rank as rk
+    p = J.predictions(spark, sf)
+    return r6(rk.rank_boost(p, J.positives(spark, sf), [F.desc("score"), F.asc("term"), F.asc("pred")]))

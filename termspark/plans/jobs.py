@@ -117,3 +117,35 @@ def stand_in_predictions(feats: DataFrame, candidates: DataFrame) -> DataFrame:
     final-list operators have an exact SQL oracle: a fixed logistic rule."""
     p = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("word_idf_avg") - F.lit(4.0))))
     return candidates.join(feats.select("term", p.alias("pred")), "term", "inner").select("term", "score", "pred")
+
+
+# -- X9 final list / X10 threshold report -------------------------------------------
+
+# affix rules for the test tables (parameters of F3; invented)
+NO_BEGIN = ["re"]
+NO_END = ["ment"]
+NO_IN = ["tion"]
+
+
+def predictions(spark: SparkSession, sf: str) -> DataFrame:
+    cands = diff(spark, sf)["candidates"]
+    return stand_in_predictions(features(spark, sf, cands), cands)
+
+
+def term_pos(df: DataFrame, term_col: str = "term") -> DataFrame:
+    t = df.withColumn("_toks", word_units(F.col(term_col)))
+    return t.withColumn("pos", C.tk.pos_tags("_toks", C.POS_LEXICON, C.DEFAULT_POS, C.NONSCRIPT_POS,
+                                             C.SCRIPT_CLASS)).drop("_toks")
+
+
+def final_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """J7 -> O2 -> F2 -> F4 -> F3 -> F5, best first."""
+    from termspark.operators import rank as rk
+    d = diff(spark, sf)
+    preds = stand_in_predictions(features(spark, sf, d["candidates"]), d["candidates"])
+    x = rk.final_score(rk.attach_predictions(d["features"], preds))
+    x = term_pos(rk.final_floor(x))
+    x = rk.single_token_filter(x)
+    x = rk.affix_filter(x, "term", NO_BEGIN, NO_END, NO_IN)
+    x = rk.pos_pattern_filter(x)
+    return x.drop("pos").orderBy(F.desc("final_score"), "term")

@@ -192,3 +192,29 @@ s4 AS (SELECT x.term, sum(t.hot) AS s, count(t.hot) AS n FROM fwu x JOIN hw t ON
        CAST(coalesce(s3.s, 0) AS DOUBLE) AS hot_char_sum, coalesce(s3.s, 0) / (coalesce(s3.n, 0) + 1e-8) AS hot_char_avg,
        CAST(coalesce(s4.s, 0) AS DOUBLE) AS hot_word_sum, coalesce(s4.s, 0) / (coalesce(s4.n, 0) + 1e-8) AS hot_word_avg
        FROM ft LEFT JOIN s1 USING (term) LEFT JOIN s2 USING (term) LEFT JOIN s3 USING (term) LEFT JOIN s4 USING (term))"""
+
+
+def final_ctes() -> str:
+    """X9 on top of ``sc`` and ``feat``: ``fin(term, freq, entropy, pmi, pred, final_score)``."""
+    from termspark.plans import jobs as J
+    pat = q(C.TOKEN_PATTERN)
+    any_bad = " OR ".join(f"starts_with(x, {q(p)})" for p in K.ANY_POS_DROP)
+    f4 = " OR ".join(f"starts_with(tags[1], {q(p)})" for p in K.SINGLE_TOKEN_DROP_POS)
+    f5a = " OR ".join(f"starts_with(tags[1], {q(p)})" for p in K.FIRST_POS_DROP)
+    f5b = " OR ".join(f"starts_with(tags[len(tags)], {q(p)})" for p in K.LAST_POS_DROP)
+    f3 = " OR ".join([f"starts_with(term, {q(w)})" for w in J.NO_BEGIN]
+                     + [f"ends_with(term, {q(w)})" for w in J.NO_END]
+                     + [f"contains(term, {q(w)})" for w in J.NO_IN])
+    return f""",
+pr AS (SELECT DISTINCT term, 1.0 / (1.0 + exp(-(word_idf_avg - 4.0))) AS pred FROM feat WHERE term IN (SELECT term FROM sc)),
+fl AS (SELECT s.term, s.freq, s.entropy, s.pmi, p.pred,
+       sqrt(s.freq) * sqrt(s.freq) * s.entropy * s.pmi * (1.0 / exp(abs(length(s.term) - 4.5) * 0.3)) * exp(p.pred) AS final_score
+       FROM sc s JOIN pr p USING (term) WHERE p.pred >= 0.3 AND s.pmi >= 2 AND s.freq >= 20),
+ftk AS (SELECT term, unnest(toks) AS tok, generate_subscripts(toks, 1) AS i
+        FROM (SELECT DISTINCT term, regexp_extract_all(lower(term), {pat}) AS toks FROM fl)),
+ftg AS (SELECT ftk.term, list({tag_expr('ftk.tok', 'lx.tag')} ORDER BY ftk.i) AS tags
+        FROM ftk LEFT JOIN {lexicon_values()} lx ON ftk.tok = lx.word GROUP BY ftk.term),
+fin AS (SELECT fl.* FROM fl JOIN ftg USING (term)
+        WHERE NOT (len(tags) = 1 AND ({f4}))
+          AND NOT ({f3})
+          AND NOT ({f5a} OR {f5b} OR len(list_filter(tags, lambda x: {any_bad})) > 0))"""
