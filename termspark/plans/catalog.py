@@ -369,3 +369,134 @@ def q_rank_boost(spark, sf):
     from termspark.operators import rank as rk
     p = J.predictions(spark, sf)
     return r6(rk.rank_boost(p, J.positives(spark, sf), [F.desc("score"), F.asc("term"), F.asc("pred")]))
+
+
+# ---------------------------------------------------------------------------
+# X11 keywords (P20, A16, O6, J9), X12 labels
+# ---------------------------------------------------------------------------
+
+def _kw_sql() -> str:
+    k = J.KW
+    canon = k["labels"][0]
+    norm = "line"
+    for lab in k["labels"][1:]:
+        norm = f"replace({norm}, {O.q(lab)}, {O.q(canon)})"
+    has = " OR ".join(f"contains(line, {O.q(lab)})" for lab in k["labels"])
+
+    def first(expr, marks):
+        xs = ", ".join(f"instr({expr}, {O.q(m)}) - 1" for m in marks)
+        return f"coalesce(list_min(list_filter([{xs}], lambda i: i >= 0)), -1)"
+
+    def drop_last(expr, sfx):
+        cond = " OR ".join(f"ends_with({expr}, {O.q(s)})" for s in sfx)
+        return f"CASE WHEN {cond} THEN substring({expr}, 1, length({expr}) - 1) ELSE {expr} END"
+
+    sep = "[" + "".join(k["split_chars"]) + "]"
+    excl = " OR ".join(f"contains(kw, {O.q(e)})" for e in k["exclude"])
+    return f"""kl AS (SELECT unnest(string_split(text, chr(10))) AS line FROM conversations),
+k1 AS (SELECT {norm} AS n FROM kl WHERE {has}),
+k2 AS (SELECT substring(n, instr(n, {O.q(canon)}) + {len(canon)}) AS kw FROM k1),
+k3 AS (SELECT CASE WHEN {first('kw', k['end_markers'])} >= 0 THEN substring(kw, 1, {first('kw', k['end_markers'])}) ELSE kw END AS kw FROM k2),
+k4 AS (SELECT {drop_last('kw', k['trailing_drop'])} AS kw FROM k3),
+k5 AS (SELECT kw FROM (SELECT unnest(regexp_split_to_array(kw, {O.q(sep)})) AS kw FROM k4) WHERE kw <> ''),
+k6 AS (SELECT {drop_last('kw', k['tail_drop'])} AS kw FROM k5),
+k7 AS (SELECT replace(CASE WHEN {first('kw', k['paren'])} >= 0 THEN substring(kw, 1, {first('kw', k['paren'])}) ELSE kw END,
+                      {O.q(k['remove'])}, '') AS kw FROM k6),
+kws AS (SELECT kw AS keyword FROM k7 WHERE NOT ({excl}) AND length(kw) <= {k['max_len']} AND kw <> '')"""
+
+
+KW_CTE = _kw_sql()
+LIST_CTES = f"""p1 AS (SELECT DISTINCT w AS word FROM (SELECT unnest(regexp_extract_all(lower(text), {O.q(C.TOKEN_PATTERN)})) AS w FROM benchmark)
+         WHERE regexp_full_match(w, {O.q('[' + C.SCRIPT_CLASS + ']{3,}')})),
+p2 AS (SELECT DISTINCT w AS word FROM (SELECT unnest(string_split(lower(p_type), ' ')) AS w FROM part) WHERE trim(w) <> ''),
+n1 AS (SELECT DISTINCT w AS word FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) WHERE trim(w) <> ''),
+n2 AS (SELECT DISTINCT w AS word FROM (SELECT unnest(regexp_extract_all(lower(text), {O.q(C.TOKEN_PATTERN)})) AS w FROM conversations)
+         WHERE regexp_full_match(w, {O.q('[' + C.SCRIPT_CLASS + ']{3,}')})),
+tpos AS (SELECT word FROM p1 WHERE length(word) % 2 = 0)"""
+
+
+@register("keywords", f"WITH {KW_CTE} SELECT keyword FROM kws")
+def q_keywords(spark, sf):
+    return J.keywords(spark, sf)
+
+
+@register("keyword_freq", f"WITH {KW_CTE} SELECT keyword, count(*) AS freq FROM kws GROUP BY keyword")
+def q_keyword_freq(spark, sf):
+    from termspark.operators import keywords as kw
+    return kw.keyword_freq(J.keywords(spark, sf))
+
+
+@register("keywords_by_length", f"WITH {KW_CTE} SELECT DISTINCT keyword FROM kws")
+def q_keywords_by_length(spark, sf):
+    from termspark.operators import keywords as kw
+    return kw.keywords_by_length(J.keywords(spark, sf))
+
+
+@register("keyword_hits", f"""WITH {KW_CTE}, {LIST_CTES},
+kd AS (SELECT DISTINCT keyword FROM kws)
+SELECT 'pos' AS list, keyword FROM kd WHERE keyword IN (SELECT word FROM p1)
+UNION ALL SELECT 'pos_trusted' AS list, keyword FROM kd WHERE keyword IN (SELECT word FROM p1) AND keyword IN (SELECT word FROM tpos)
+UNION ALL SELECT 'neg' AS list, keyword FROM kd WHERE keyword IN (SELECT word FROM n2)""")
+def q_keyword_hits(spark, sf):
+    from termspark.operators import keywords as kw
+    k = J.keywords(spark, sf)
+    pos, neg, tp = J.label_lists(spark, sf)
+    return (kw.list_hits(k, pos["pos1"]).select(F.lit("pos").alias("list"), "keyword")
+            .unionByName(kw.list_hits(k, pos["pos1"], tp).select(F.lit("pos_trusted").alias("list"), "keyword"))
+            .unionByName(kw.list_hits(k, neg["neg2"]).select(F.lit("neg").alias("list"), "keyword")))
+
+
+@register("label_union", f"""WITH {LIST_CTES}
+SELECT 'pos' AS list, word FROM (SELECT word FROM p1 UNION SELECT word FROM p2)
+UNION ALL SELECT 'neg' AS list, word FROM (SELECT word FROM n1 UNION SELECT word FROM n2)
+UNION ALL SELECT 'bag' AS list, word FROM (SELECT word FROM p1 UNION ALL SELECT word FROM n1)""")
+def q_label_union(spark, sf):
+    from termspark.operators import labels as lb
+    pos, neg, _ = J.label_lists(spark, sf)
+    return (lb.consolidate(list(pos.values())).select(F.lit("pos").alias("list"), "word")
+            .unionByName(lb.consolidate(list(neg.values())).select(F.lit("neg").alias("list"), "word"))
+            .unionByName(lb.bag_union(pos["pos1"], neg["neg1"]).select(F.lit("bag").alias("list"), "word")))
+
+
+@register("label_conflicts", f"""WITH {LIST_CTES},
+pos AS (SELECT word FROM p1 UNION SELECT word FROM p2),
+neg AS (SELECT word FROM n1 UNION SELECT word FROM n2),
+inter AS (SELECT word FROM pos WHERE word IN (SELECT word FROM neg)),
+tn AS (SELECT word FROM inter WHERE word NOT IN (SELECT word FROM tpos))
+SELECT 'neg1' AS list, word FROM n1 WHERE word NOT IN (SELECT word FROM tpos)
+UNION ALL SELECT 'neg2' AS list, word FROM n2 WHERE word NOT IN (SELECT word FROM tpos)
+UNION ALL SELECT 'pos1' AS list, word FROM p1 WHERE word NOT IN (SELECT word FROM tn)
+UNION ALL SELECT 'pos2' AS list, word FROM p2 WHERE word NOT IN (SELECT word FROM tn)""")
+def q_label_conflicts(spark, sf):
+    from termspark.operators import labels as lb
+    pos, neg, tp = J.label_lists(spark, sf)
+    return lb.resolve_conflicts(pos, neg, tp)
+
+
+@register("bag_intersection", f"""WITH {LIST_CTES}
+SELECT word FROM (SELECT word FROM n2 UNION ALL SELECT word FROM p1)
+INTERSECT ALL SELECT word FROM (SELECT word FROM p1 UNION ALL SELECT word FROM p1)""")
+def q_bag_intersection(spark, sf):
+    from termspark.operators import labels as lb
+    pos, neg, _ = J.label_lists(spark, sf)
+    return lb.bag_intersect(lb.bag_union(neg["neg2"], pos["pos1"]), lb.bag_union(pos["pos1"], pos["pos1"]))
+
+
+@register("todo_minus_positives", f"""WITH {DIFF_CTES}, {LIST_CTES}
+SELECT term, {r('score')} AS score FROM sc WHERE term NOT IN (SELECT word FROM p1)""")
+def q_todo_minus_positives(spark, sf):
+    from termspark.operators import labels as lb
+    return r6(lb.list_difference(J.diff(spark, sf)["candidates"], J.positives(spark, sf), "term"))
+
+
+@register("rescue_nouns", f"""WITH {PRED_CTES}, {LIST_CTES},
+nt AS (SELECT n2.word AS word, {O.tag_expr('n2.word', 'lx.tag')} AS tag FROM n2 LEFT JOIN {O.lexicon_values()} lx ON lx.word = n2.word)
+SELECT pd.term, {r('pd.score')} AS score, {r('pd.pred')} AS pred FROM pd
+WHERE pd.term IN (SELECT word FROM nt WHERE starts_with(tag, 'n') OR tag = 'vn') AND pd.score > -10000""")
+def q_rescue_nouns(spark, sf):
+    from termspark.operators import labels as lb
+    _, neg, _ = J.label_lists(spark, sf)
+    tagged = neg["neg2"].withColumn("_t", F.array("word"))
+    tagged = tagged.withColumn("pos", C.tk.pos_tags("_t", C.POS_LEXICON, C.DEFAULT_POS, C.NONSCRIPT_POS,
+                                                    C.SCRIPT_CLASS)).drop("_t")
+    return r6(lb.rescue_nouns(tagged, J.predictions(spark, sf)))

@@ -149,3 +149,39 @@ def final_terms(spark: SparkSession, sf: str) -> DataFrame:
     x = rk.affix_filter(x, "term", NO_BEGIN, NO_END, NO_IN)
     x = rk.pos_pattern_filter(x)
     return x.drop("pos").orderBy(F.desc("final_score"), "term")
+
+
+# -- X11 keywords / X12 label hygiene / X14 audit ---------------------------------------
+
+# keyword-field parameters for the test tables (invented)
+KW = dict(labels=["of ", "Of "], end_markers=[".", "?", "!"], trailing_drop=[";"],
+          split_chars=[",", " "], tail_drop=["s"], paren=["("], remove="KeyWords",
+          exclude=["\uF0B1", "\uF020"], max_len=12)
+KWIC_KEY = "tion"
+KWIC_EXCLUDE = "tions"
+TEST_STOP_CHARS = "qxz"
+MARKERS = ["ment", "tion", "eau"]
+
+
+def conversation_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return C.table(spark, sf, "conversations").select(F.explode(F.split("text", "\n")).alias("line"))
+
+
+def keywords(spark: SparkSession, sf: str) -> DataFrame:
+    from termspark.operators import keywords as kw
+    return kw.parse_keyword_fields(conversation_lines(spark, sf), "line", **KW)
+
+
+def script_words(df: DataFrame, text_col: str) -> DataFrame:
+    t = df.select(F.explode(word_units(F.col(text_col))).alias("word"))
+    return t.where(F.col("word").rlike(f"^[{C.SCRIPT_CLASS}]{{3,}}$")).distinct()
+
+
+def label_lists(spark: SparkSession, sf: str) -> tuple[dict, dict, DataFrame]:
+    pos = {"pos1": positives(spark, sf),
+           "pos2": C.table(spark, sf, "part").select(F.explode(F.split(F.lower("p_type"), " ")).alias("word"))
+           .where(F.trim("word") != "").distinct()}
+    neg = {"neg1": negatives(spark, sf),
+           "neg2": script_words(C.table(spark, sf, "conversations"), "text")}
+    true_pos = pos["pos1"].where(F.length("word") % 2 == 0)
+    return pos, neg, true_pos
