@@ -99,12 +99,12 @@ def kwic_pieces(lines: DataFrame, line_col: str, key: str, script_class: str,
 
 
 def grep_tokens(lines: DataFrame, line_col: str, key: str, tokenize_fn,
-                stop_chars: str = K.STOP_CHARS, sep: str = ",") -> DataFrame:
+                stop_chars: str = K.STOP_CHARS, sep: str = ",", alnum: bool = True) -> DataFrame:
     """Lines containing ``key`` -> stop chars and regex classes -> sep ->
     split -> pieces containing ``key`` -> tokens (space-joined)."""
     from termspark.functions.text import clean_classes, half_width, mask_chars
     x = lines.where(F.col(line_col).contains(key))
-    cleaned = clean_classes(mask_chars(half_width(col(line_col)), stop_chars, sep), sep, alnum=True)
+    cleaned = clean_classes(mask_chars(half_width(col(line_col)), stop_chars, sep), sep, alnum=alnum)
     p = x.select(F.explode(F.split(cleaned, "[" + regex_escape_class(sep) + "]")).alias("piece"))
     p = p.where(F.col("piece").contains(key))
     return p.select(F.array_join(tokenize_fn(F.col("piece")), " ").alias("tokens"))

@@ -500,3 +500,216 @@ def q_rescue_nouns(spark, sf):
     tagged = tagged.withColumn("pos", C.tk.pos_tags("_t", C.POS_LEXICON, C.DEFAULT_POS, C.NONSCRIPT_POS,
                                                     C.SCRIPT_CLASS)).drop("_t")
     return r6(lb.rescue_nouns(tagged, J.predictions(spark, sf)))
+
+
+# ---------------------------------------------------------------------------
+# X14 audit (P1, A11-A14, P21, P22, F8) and scalar text functions
+# ---------------------------------------------------------------------------
+
+from termspark.functions import text as TX  # noqa: E402
+from termspark.operators import keywords as KWO  # noqa: E402
+from termspark.operators import stats as ST  # noqa: E402
+
+FULL = "".join(chr(cp) for cp in range(0xFF01, 0xFF5F)) + "　"
+HALF = "".join(chr(cp) for cp in range(0x21, 0x7F)) + " "
+CLEAN_ALNUM = ("[" + TX.ASCII_PUNCT + TX.ASCII_ALNUM + TX.UNICODE_PUNCT + "　" + TX.SPACE + TX.CNTRL + "]")
+CLEAN_NOALNUM = ("[" + TX.ASCII_PUNCT + TX.UNICODE_PUNCT + "　" + TX.SPACE + TX.CNTRL + "]")
+SC = C.SCRIPT_CLASS
+
+
+def _p_lines(spark, sf):
+    pages = C.table(spark, sf, "pages")
+    return pages.select(F.explode(F.split(F.replace("html", F.lit("<p>"), F.lit("\n<p>")), "\n")).alias("line"))
+
+
+@register("tagged_extract", """
+SELECT replace(replace(line, '<p>', ''), '</p>', '') AS line
+FROM (SELECT unnest(string_split(replace(html, '<p>', chr(10) || '<p>'), chr(10))) AS line FROM pages)
+WHERE starts_with(line, '<p>')""")
+def q_tagged_extract(spark, sf):
+    return KWO.extract_tagged(_p_lines(spark, sf), "line", "<p>", "</p>")
+
+
+@register("nonscript_chars", f"""
+SELECT DISTINCT ch FROM (SELECT unnest(string_split(trim(line), '')) AS ch FROM {LINES_B})
+WHERE ch <> '' AND NOT regexp_full_match(ch, {O.q('[' + SC + ']')})""")
+def q_nonscript_chars(spark, sf):
+    return ST.nonscript_chars(C.corpus_lines(spark, sf, "B"), "line", SC)
+
+
+@register("nonscript_char_rank", f"""
+WITH {TOK_CTE}
+SELECT term, count(*) AS freq FROM (SELECT unnest(toks) AS term FROM tl)
+WHERE length(term) = 1 AND NOT regexp_full_match(term, {O.q('[' + SC + ']')}) GROUP BY term""")
+def q_nonscript_char_rank(spark, sf):
+    return ST.nonscript_char_rank(J.term_freq(spark, sf), SC, "term", "freq")
+
+
+@register("all_script_lines", f"""
+SELECT DISTINCT trim(lower(line)) AS line FROM {LINES_B}
+WHERE regexp_full_match(trim(lower(line)), {O.q('[' + SC + ' ]*')})""")
+def q_all_script_lines(spark, sf):
+    lines = C.corpus_lines(spark, sf, "B").select(F.lower("line").alias("line"))
+    return ST.all_script_lines(lines, "line", SC + " ")
+
+
+@register("duplicate_audit", f"""
+SELECT count(*) AS total_lines, count(DISTINCT trim(line)) AS distinct_lines FROM {LINES_B}""")
+def q_duplicate_audit(spark, sf):
+    return ST.duplicate_audit(C.corpus_lines(spark, sf, "B"), "line")
+
+
+@register("kwic_pieces", f"""
+WITH x AS (SELECT DISTINCT line FROM {LINES_B} WHERE contains(line, {O.q(J.KWIC_KEY)})),
+c AS (SELECT regexp_replace(regexp_replace(translate(translate(line, {O.q(FULL)}, {O.q(HALF)}),
+            {O.q(J.TEST_STOP_CHARS)}, {O.q(',' * len(J.TEST_STOP_CHARS))}),
+            {O.q('[' + K.EMOJI_CLASS + ']')}, ',', 'g'), {O.q('[^' + SC + ']')}, ',', 'g') AS l FROM x)
+SELECT piece FROM (SELECT unnest(string_split(l, ',')) AS piece FROM c)
+WHERE contains(piece, {O.q(J.KWIC_KEY)}) AND NOT contains(piece, {O.q(J.KWIC_EXCLUDE)})""")
+def q_kwic(spark, sf):
+    return KWO.kwic_pieces(C.corpus_lines(spark, sf, "B"), "line", J.KWIC_KEY, SC, J.TEST_STOP_CHARS, ",",
+                           J.KWIC_EXCLUDE)
+
+
+@register("grep_tokens", f"""
+WITH x AS (SELECT line FROM {LINES_B} WHERE contains(line, {O.q(J.KWIC_KEY)})),
+c AS (SELECT regexp_replace(translate(translate(line, {O.q(FULL)}, {O.q(HALF)}),
+            {O.q(J.TEST_STOP_CHARS)}, {O.q(',' * len(J.TEST_STOP_CHARS))}), {O.q(CLEAN_NOALNUM)}, ',', 'g') AS l FROM x)
+SELECT array_to_string({O.tokens('piece')}, ' ') AS tokens
+FROM (SELECT unnest(string_split(l, ',')) AS piece FROM c) WHERE contains(piece, {O.q(J.KWIC_KEY)})""")
+def q_grep_tokens(spark, sf):
+    # Latin test text: the letters ARE the script, so the Alnum class is off
+    return KWO.grep_tokens(C.corpus_lines(spark, sf, "B"), "line", J.KWIC_KEY, J.word_units,
+                           J.TEST_STOP_CHARS, ",", alnum=False)
+
+
+@register("stop_edge_filter", f"""
+WITH {DIFF_CTES}
+SELECT term, {r('score')} AS score FROM sc
+WHERE NOT ({' OR '.join(f"starts_with(term, {O.q(w)}) OR ends_with(term, {O.q(w)})" for w in C.STOP_WORDS)})""")
+def q_stop_edge_filter(spark, sf):
+    return r6(KWO.stop_edge_filter(J.diff(spark, sf)["candidates"], C.STOP_WORDS))
+
+
+def _markers_sql(expr):
+    xs = ", ".join(f"instr({expr}, {O.q(m)}) - 1" for m in J.MARKERS)
+    return f"coalesce(list_min(list_filter([{xs}], lambda i: i >= 0)), -1)"
+
+
+@register("text_functions", f"""
+WITH x AS (SELECT DISTINCT line FROM {LINES_B}), y AS (SELECT line, string_split(line, ' ')[1] AS w FROM x)
+SELECT line,
+  regexp_full_match(lower(line), {O.q('[' + SC + ' ]*')}) AS all_script,
+  regexp_replace(line, {O.q('[^' + SC + ']')}, '*', 'g') AS non_script_masked,
+  regexp_replace(line, {O.q('[' + K.EMOJI_CLASS + ']')}, '*', 'g') AS emoji_masked,
+  translate(line, {O.q(FULL)}, {O.q(HALF)}) AS half_width,
+  translate(line, {O.q(J.TEST_STOP_CHARS)}, {O.q('#' * len(J.TEST_STOP_CHARS))}) AS stop_masked,
+  regexp_replace(line, {O.q(CLEAN_ALNUM)}, ',', 'g') AS class_cleaned,
+  (length(w) > 1 AND len(list_distinct(string_split(w, ''))) = 1) AS is_reduplication,
+  regexp_replace(string_split(line, chr(9))[1], {O.q(K.SPECIAL_KEY_CHARS)}, '', 'g') AS special_stripped,
+  array_to_string(string_split(line, ',')[{K.TAIL_FIELD_START}:], '') AS tail_concat,
+  reverse(line) AS reversed,
+  regexp_full_match(lower(w), '[a-z0-9]*') AS alnum_only,
+  {r('1.0 / exp(abs(length(w) - 4.5) * 0.3)')} AS length_factor,
+  CAST({_markers_sql('line')} AS BIGINT) AS first_marker
+FROM y""")
+def q_text_functions(spark, sf):
+    x = C.distinct_lines(spark, sf, "B").withColumn("w", F.split("line", " ").getItem(0))
+    return r6(x.select(
+        "line",
+        TX.all_script(F.lower("line"), SC + " ").alias("all_script"),
+        TX.replace_non_script("line", "*", SC).alias("non_script_masked"),
+        TX.replace_emoji("line", "*").alias("emoji_masked"),
+        TX.half_width("line").alias("half_width"),
+        TX.mask_chars("line", J.TEST_STOP_CHARS, "#").alias("stop_masked"),
+        TX.clean_classes("line", ",", alnum=True).alias("class_cleaned"),
+        TX.is_reduplication("w").alias("is_reduplication"),
+        TX.strip_special("line").alias("special_stripped"),
+        TX.tail_concat("line").alias("tail_concat"),
+        TX.reverse_str("line").alias("reversed"),
+        TX.is_alnum_only("w").alias("alnum_only"),
+        TX.length_factor("w").alias("length_factor"),
+        TX.first_marker_index("line", J.MARKERS).cast("bigint").alias("first_marker"),
+    ))
+
+
+# ---------------------------------------------------------------------------
+# X13 char-mode miner
+# ---------------------------------------------------------------------------
+
+CHAR_CTES = f"""cl AS (SELECT lower(line) AS line FROM {LINES_B}),
+cpc AS (SELECT p FROM (SELECT unnest(string_split(regexp_replace(translate(line, {O.q(J.TEST_STOP_CHARS)},
+            {O.q(' ' * len(J.TEST_STOP_CHARS))}), {O.q(CLEAN_NOALNUM)}, ' ', 'g'), ' ')) AS p FROM cl)
+        WHERE trim(p) <> '' AND regexp_full_match(p, {O.q('[' + SC + ']+')})),
+ci AS (SELECT p, unnest(generate_series(1, length(p))) AS i FROM cpc),
+ck AS (SELECT p, i, unnest(generate_series(1, least({J.CHAR_MAX_LEN - 1}, length(p) - i + 1))) AS k FROM ci),
+cocc AS (SELECT substring(p, i, k) AS gram,
+         CASE WHEN i = 1 THEN '$' ELSE substring(p, i - 1, 1) END AS prev,
+         CASE WHEN i + k > length(p) THEN '$' ELSE substring(p, i + k, 1) END AS next FROM ck),
+crc AS (SELECT gram, next AS ctx, count(*) AS c FROM cocc GROUP BY ALL),
+clc AS (SELECT gram, prev AS ctx, count(*) AS c FROM cocc GROUP BY ALL),
+cre AS (SELECT gram, freq, -sum(c / freq * log2(c / freq)) AS entropy
+        FROM (SELECT gram, c, sum(c) OVER (PARTITION BY gram) AS freq FROM crc) GROUP BY gram, freq),
+cle AS (SELECT gram, freq, -sum(c / freq * log2(c / freq)) AS entropy
+        FROM (SELECT gram, c, sum(c) OVER (PARTITION BY gram) AS freq FROM clc) GROUP BY gram, freq),
+cm AS (SELECT r.gram, r.freq, least(l.entropy, r.entropy) AS entropy FROM cre r JOIN cle l USING (gram)),
+ctot AS (SELECT count(*) AS n FROM cre),
+csp AS (SELECT gram, freq, entropy, unnest(generate_series(1, length(gram) - 1)) AS j FROM cm
+        WHERE length(gram) > 1 AND NOT regexp_full_match(lower(gram), '[a-z0-9]*')),
+cpp AS (SELECT x.gram, x.freq, x.entropy, max(a.freq * b.freq) AS ff FROM csp x
+        JOIN cre a ON a.gram = substring(x.gram, 1, x.j) JOIN cre b ON b.gram = substring(x.gram, x.j + 1)
+        GROUP BY x.gram, x.freq, x.entropy),
+cpmi AS (SELECT gram, freq, entropy, log2(floor(freq * (SELECT n FROM ctot) / ff)) AS pmi FROM cpp),
+ptk AS (SELECT t FROM (SELECT unnest({O.tokens('line')}) AS t FROM {LINES_B}) WHERE regexp_full_match(t, {O.q('[' + SC + ']+')})),
+pcs AS (SELECT substring(t, i, 1) AS ch, CASE WHEN i = 1 THEN 'b' WHEN i = length(t) THEN 'e' ELSE 'm' END AS slot
+        FROM (SELECT t, unnest(generate_series(1, length(t))) AS i FROM ptk)),
+ppr AS (SELECT ch, count(*) FILTER (WHERE slot = 'b') / count(*) AS p1, count(*) FILTER (WHERE slot = 'e') / count(*) AS p3
+        FROM pcs GROUP BY ch),
+cpp2 AS (SELECT m.*, CASE WHEN f.p1 IS NOT NULL AND l.p3 IS NOT NULL THEN least(f.p1, l.p3) ELSE -1.0 END AS pos_prob
+         FROM cpmi m LEFT JOIN ppr f ON f.ch = substring(m.gram, 1, 1) LEFT JOIN ppr l ON l.ch = substring(m.gram, -1, 1))"""
+
+
+@register("char_right_entropy", f"WITH {CHAR_CTES} SELECT gram, freq, {r('entropy')} AS entropy FROM cre")
+def q_char_right(spark, sf):
+    return r6(J.char_tables(spark, sf)["right"])
+
+
+@register("char_left_entropy", f"WITH {CHAR_CTES} SELECT gram, freq, {r('entropy')} AS entropy FROM cle")
+def q_char_left(spark, sf):
+    return r6(J.char_tables(spark, sf)["left"])
+
+
+@register("char_entropy_merge", f"WITH {CHAR_CTES} SELECT gram, freq, {r('entropy')} AS entropy FROM cm")
+def q_char_merge(spark, sf):
+    return r6(J.char_tables(spark, sf)["merged"])
+
+
+@register("char_pmi", f"""WITH {CHAR_CTES}
+SELECT gram, freq, {r('entropy')} AS entropy, {r('pmi')} AS pmi, {r('pos_prob')} AS pos_prob FROM cpp2
+WHERE isfinite(pmi)""")
+def q_char_pmi(spark, sf):
+    return r6(J.char_tables(spark, sf)["scored"].where(F.col("pmi").isNotNull()))
+
+
+@register("char_terms", f"""WITH {CHAR_CTES}
+SELECT gram, freq, {r('entropy')} AS entropy, {r('pmi')} AS pmi, {r('pos_prob')} AS pos_prob FROM cpp2
+WHERE pmi >= 1 AND entropy >= 1.5 AND pos_prob >= 0.04""")
+def q_char_terms(spark, sf):
+    return r6(J.char_tables(spark, sf)["terms"])
+
+
+# ---------------------------------------------------------------------------
+# M4 classifier (MLlib; rows-only check: no SQL oracle for a fitted model)
+# ---------------------------------------------------------------------------
+
+@register("classify")
+def q_classify(spark, sf):
+    from termspark.operators import features as fe
+    from termspark.operators import model as md
+    pos, neg = J.positives(spark, sf), J.negatives(spark, sf)
+    cands = J.diff(spark, sf)["candidates"]
+    terms = (pos.select(F.col("word").alias("term")).unionByName(neg.select(F.col("word").alias("term")))
+             .unionByName(cands.select("term")))
+    feats = J.features(spark, sf, terms)
+    m = md.train(fe.training_rows(pos, neg, feats), fe.FILTER_FEATURES)
+    return r6(md.predict(m, fe.prediction_rows(cands, feats)))

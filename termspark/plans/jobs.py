@@ -185,3 +185,40 @@ def label_lists(spark: SparkSession, sf: str) -> tuple[dict, dict, DataFrame]:
            "neg2": script_words(C.table(spark, sf, "conversations"), "text")}
     true_pos = pos["pos1"].where(F.length("word") % 2 == 0)
     return pos, neg, true_pos
+
+
+# -- X13 char-mode miner --------------------------------------------------------------
+
+CHAR_MAX_LEN = 4
+
+
+def char_occurrences(spark: SparkSession, sf: str) -> DataFrame:
+    lines = C.corpus_lines(spark, sf, "B").select(F.lower("line").alias("line"))
+    pieces = lines.select(F.explode(ng.char_pieces("line", C.SCRIPT_CLASS, TEST_STOP_CHARS, " ")).alias("piece"))
+    return ng.char_ngrams_with_next(pieces, "piece", CHAR_MAX_LEN)
+
+
+def positional_prop(spark: SparkSession, sf: str) -> DataFrame:
+    """Positional char table (ch, p1, p2, p3): share of a character's
+    occurrences at the start / middle / end of the corpus's script words."""
+    t = C.segmented_lines(spark, sf, "B").select(F.explode("tokens").alias("t"))
+    t = t.where(F.col("t").rlike(f"^[{C.SCRIPT_CLASS}]+$"))
+    c = t.select("t", F.posexplode(F.filter(F.split("t", ""), lambda x: x != "")).alias("i", "ch"))
+    slot = (F.when(F.col("i") == 0, "b").when(F.col("i") == F.length("t") - 1, "e").otherwise("m"))
+    g = c.groupBy("ch").agg(F.count(F.lit(1)).alias("_n"),
+                            F.count(F.when(slot == "b", 1)).alias("_b"),
+                            F.count(F.when(slot == "m", 1)).alias("_m"),
+                            F.count(F.when(slot == "e", 1)).alias("_e"))
+    return g.select("ch", (F.col("_b") / F.col("_n")).alias("p1"), (F.col("_m") / F.col("_n")).alias("p2"),
+                    (F.col("_e") / F.col("_n")).alias("p3"))
+
+
+def char_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    occ = char_occurrences(spark, sf)
+    right = coh.char_side_entropy(occ, "next")
+    left = coh.char_side_entropy(occ, "prev")
+    merged = coh.merge_entropy(right, left)
+    scored = pm.char_pmi(merged, right)
+    with_pp = pm.positional_pos(scored, positional_prop(spark, sf))
+    return {"right": right, "left": left, "merged": merged, "scored": with_pp,
+            "terms": pm.char_term_filter(with_pp)}
