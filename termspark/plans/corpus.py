@@ -83,7 +83,17 @@ def tagged(df: DataFrame, tokens_col: str = "tokens", out: str = "pos") -> DataF
 def segments(spark: SparkSession, sf_dir: str, corpus: str = "B", dedup: bool = True) -> DataFrame:
     """P2+P3+P4: one row per sentence segment (``seg`` array<string>)."""
     lines = distinct_lines(spark, sf_dir, corpus) if dedup else corpus_lines(spark, sf_dir, corpus)
-    t = tagged(tokens_of(lines))
+    lines = tk.spread(lines, "line")
+    seg, words = tk.segment_lines(F.lower(F.col("line")), SCRIPT_CLASS,
+                                  tk.cut_words(POS_LEXICON, STOP_WORDS, K.CUT_POS_PREFIXES))
+    s = lines.select(words.alias("_w")).select(seg)
+    return tk.explode_segments(s, "segments", "seg")
+
+
+def segments_tagged(spark: SparkSession, sf_dir: str, corpus: str = "B") -> DataFrame:
+    """P2+P3+P4 through the general path (tokens -> POS tags -> cuts); the
+    result equals ``segments``; used by tests to cross-check the fused path."""
+    t = tagged(tokens_of(distinct_lines(spark, sf_dir, corpus)))
     s = tk.add_segments(t, "tokens", "pos", "segments", STOP_WORDS, K.CUT_POS_PREFIXES,
                         SCRIPT_CLASS)
     return tk.explode_segments(s, "segments", "seg")

@@ -54,16 +54,47 @@ def gram_total(spark: SparkSession, sf: str) -> int:
     return coh.gram_total(gram_freq(spark, sf, "B"))
 
 
+def context_counts(spark: SparkSession, sf: str, corpus: str = "B") -> DataFrame:
+    """A7 long form ``(gram, side, ctx, c)``, checkpointed: frequency table,
+    total, entropy and PMI all derive from it without re-generating the
+    n-grams."""
+    from termspark.session import materialize
+    return materialize(coh.side_contexts(occurrences(spark, sf, corpus)))
+
+
+def freq_from_contexts(cc: DataFrame, min_freq: int = K.COHESION_MIN_FREQ) -> DataFrame:
+    """A6 from A7: a gram's frequency is the sum of its previous-token counts."""
+    f = cc.where(F.col("side") == 0).groupBy("gram").agg(F.sum("c").alias("freq"))
+    return f.where(F.col("freq") >= min_freq)
+
+
 def cohesion(spark: SparkSession, sf: str, corpus: str = "B") -> DataFrame:
     return coh.cohesion(occurrences(spark, sf, corpus))
 
 
-def scored(spark: SparkSession, sf: str, corpus: str = "B", **pmi_kw) -> DataFrame:
-    """Cohesion table of ``corpus`` scored with PMI whose marginals and
-    total always come from the combined corpus B (as the original does)."""
-    freq_b = gram_freq(spark, sf, "B")
+def _cohesion_from(cc: DataFrame) -> DataFrame:
+    ce = coh.context_entropy(None, ctx_counts=cc).where(F.col("freq") >= K.COHESION_MIN_FREQ)
+    multi = F.col("gram").contains(K.GRAM_JOINER)
+    ent = F.when(multi, F.least("left_entropy", "right_entropy")).otherwise(F.log(F.col("freq").cast("double")))
+    return ce.select("gram", "freq", ent.alias("entropy")).where(F.col("entropy") >= K.COHESION_MIN_ENTROPY)
+
+
+def scored_tables(spark: SparkSession, sf: str, corpora=("B", "A"), **pmi_kw) -> dict[str, DataFrame]:
+    """X3+X4+X5 for the given corpora; PMI marginals and total always come
+    from the combined corpus B (as the original does)."""
+    cc_b = context_counts(spark, sf, "B")
+    freq_b = freq_from_contexts(cc_b)
     total = coh.gram_total(freq_b)
-    return pm.pmi(cohesion(spark, sf, corpus), freq_b, total, **pmi_kw)
+    out = {}
+    for corpus in corpora:
+        cc = cc_b if corpus == "B" else context_counts(spark, sf, corpus)
+        out[corpus] = pm.pmi(_cohesion_from(cc), freq_b, total, **pmi_kw)
+    return out
+
+
+def scored(spark: SparkSession, sf: str, corpus: str = "B", **pmi_kw) -> DataFrame:
+    """X5 for one corpus."""
+    return scored_tables(spark, sf, (corpus,), **pmi_kw)[corpus]
 
 
 # -- X6 corpus diff ----------------------------------------------------------------
@@ -74,8 +105,8 @@ SURFACE_JOINER = " "  # Latin test text: a gram's surface form keeps a space
 def diff(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     from termspark.operators import compare as cmp
     from termspark.session import materialize
-    b = materialize(scored(spark, sf, "B"))
-    a = materialize(scored(spark, sf, "A"))
+    t = scored_tables(spark, sf, ("B", "A"))
+    b, a = materialize(t["B"]), materialize(t["A"])
     return cmp.diff_candidates(b, a, surface_joiner=SURFACE_JOINER)
 
 
