@@ -227,3 +227,14 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     that are already distinct (no skew is possible)."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, key)
+
+
+def spread_small_input(df: DataFrame, key: str) -> DataFrame:
+    """When a scan yields fewer input partitions than the cluster's default
+    parallelism (a few large row groups), hash-spread it by a unique key so
+    the CPU-heavy text work runs on every core.  At scale the scan already
+    has thousands of splits and this is a no-op."""
+    sc = df.sparkSession.sparkContext
+    if df.rdd.getNumPartitions() < sc.defaultParallelism:
+        return df.repartition(sc.defaultParallelism, key)
+    return df

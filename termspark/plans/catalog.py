@@ -713,3 +713,43 @@ def q_classify(spark, sf):
     feats = J.features(spark, sf, terms)
     m = md.train(fe.training_rows(pos, neg, feats), fe.FILTER_FEATURES)
     return r6(md.predict(m, fe.prediction_rows(cands, feats)))
+
+
+# ---------------------------------------------------------------------------
+# M2 + J8 rank-mode features, F6 verb-tail filter
+# ---------------------------------------------------------------------------
+
+RANK_COLS = ", ".join(["term"] + [r(c) + " AS " + c for c in
+                                   ["length", "char_idf_sum", "char_idf_avg", "word_idf_sum", "word_idf_avg",
+                                    "hot_char_sum", "hot_char_avg", "hot_word_sum", "hot_word_avg",
+                                    "ext_freq", "ext_entropy", "ext_pmi"]])
+
+
+@register("rank_features", f"""
+WITH {DIFF_CTES}{O.features_ctes('sc')},
+ext AS (SELECT replace(gram, ',', ' ') AS term, CAST(freq AS DOUBLE) AS ext_freq, entropy AS ext_entropy,
+        pmi AS ext_pmi FROM a_scored)
+SELECT {RANK_COLS}, {r('score')} AS score FROM sc JOIN feat USING (term) JOIN ext USING (term)""")
+def q_rank_features(spark, sf):
+    from termspark.operators import features as fe
+    from termspark.session import materialize
+    t = J.scored_tables(spark, sf, ("B", "A"))
+    b, a = materialize(t["B"]), materialize(t["A"])
+    from termspark.operators import compare as cmp
+    cands = cmp.diff_candidates(b, a, surface_joiner=J.SURFACE_JOINER)["candidates"]
+    feats = J.features(spark, sf, cands, mode="rank")
+    rows = fe.with_external(fe.prediction_rows(cands, feats), J.external_features(a))
+    return r6(rows)
+
+
+@register("verb_tail_filter", f"""
+WITH {DIFF_CTES},
+vtk AS (SELECT term, unnest(toks) AS tok, generate_subscripts(toks, 1) AS i
+        FROM (SELECT DISTINCT term, regexp_extract_all(lower(term), {O.q(C.TOKEN_PATTERN)}) AS toks FROM sc)),
+vtg AS (SELECT vtk.term, list({O.tag_expr('vtk.tok', 'lx.tag')} ORDER BY vtk.i) AS tags
+        FROM vtk LEFT JOIN {O.lexicon_values()} lx ON vtk.tok = lx.word GROUP BY vtk.term)
+SELECT sc.term, {r('sc.score')} AS score FROM sc JOIN vtg USING (term) WHERE NOT starts_with(tags[len(tags)], 'v')""")
+def q_verb_tail_filter(spark, sf):
+    from termspark.operators import rank as rk
+    x = J.term_pos(J.diff(spark, sf)["candidates"])
+    return r6(rk.verb_tail_filter(x).drop("pos"))

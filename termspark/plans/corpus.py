@@ -46,6 +46,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def corpus_docs(spark: SparkSession, sf_dir: str, corpus: str = "B") -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = tk.spread_small_input(docs, "doc_id")
     if corpus == "A":
         docs = docs.where(F.col("lang") != "en")
     elif corpus != "B":

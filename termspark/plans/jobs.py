@@ -253,3 +253,11 @@ def char_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     with_pp = pm.positional_pos(scored, positional_prop(spark, sf))
     return {"right": right, "left": left, "merged": merged, "scored": with_pp,
             "terms": pm.char_term_filter(with_pp)}
+
+
+def external_features(a_scored: DataFrame) -> DataFrame:
+    """External per-term features for the rank mode (M2/J8), derived from
+    the background corpus's scored table (surface form, freq, entropy, pmi)."""
+    return a_scored.select(F.regexp_replace("gram", K.GRAM_JOINER, SURFACE_JOINER).alias("term"),
+                           F.col("freq").cast("double").alias("ext_freq"),
+                           F.col("entropy").alias("ext_entropy"), F.col("pmi").alias("ext_pmi"))
