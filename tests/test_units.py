@@ -119,10 +119,13 @@ def test_global_rank_is_total(spark):
 
 
 def test_keyword_parse_reference_defaults(spark):
-    line = "摘要 关键词：电力系统；继电保护（装置）；KeyWords 中图分类号 TM7"
+    line = "摘要 关键词：电力系统，继电保护（装置）；中图分类号 TM7"
     df = spark.createDataFrame([(line,)], "line string")
     got = sorted(r.keyword for r in kw.parse_keyword_fields(df, "line").collect())
     assert got == ["电力系统", "继电保护"]
+    # the full-width semicolon is not a separator: one keyword, paren cut
+    df2 = spark.createDataFrame([("关键词：电力系统；继电保护（装置）；KeyWords 中图分类号",)], "line string")
+    assert [r.keyword for r in kw.parse_keyword_fields(df2, "line").collect()] == ["电力系统；继电保护"]
 
 
 def test_emoji_and_script(spark):
