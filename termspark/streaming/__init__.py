@@ -1,0 +1,8 @@
+"""Streaming.
+
+The original pipeline is batch-only: it has no stream source, watermark,
+windowed aggregation or stateful operator, so nothing is built here.  All
+operators are DataFrame -> DataFrame functions; the row-local ones
+(tokenise, segment, n-grams) would work unchanged on a ``readStream``
+DataFrame if a streaming job is ever wanted.
+"""
