@@ -221,10 +221,11 @@ def segment_lines(c, script_class: str, words_that_cut: Sequence[str]) -> Column
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-repartition distinct rows to the session's shuffle parallelism so
-    the CPU-heavy per-row work that follows is not squeezed into the few
-    partitions AQE would coalesce a small shuffle into.  Only use on keys
-    that are already distinct (no skew is possible)."""
+    """Hash-partition distinct rows by ``key`` into the session's shuffle
+    parallelism before CPU-heavy per-row work.  Spark folds this into the
+    preceding exchange when that one already hashes by ``key`` into the same
+    number of partitions (e.g. right after a dedup), so it costs no extra
+    shuffle there.  Only use on keys that are already distinct (no skew)."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, key)
 
