@@ -9,6 +9,7 @@ import json
 import os
 import re
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -26,7 +27,8 @@ def main() -> None:
     from termspark.plans import catalog
     from termspark.session import local_session
 
-    spark = local_session(cpus, int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", "16")))
+    spark = local_session(cpus, int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", "16")),
+                          checkpoint_dir=tempfile.mkdtemp(prefix="termspark-bench-"))
     times: dict[str, float] = {}
     errors: dict[str, str] = {}
     for n in names:
