@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from termspark.session import materialize
 
 __all__ = ["table", "materialize", "worker_cache", "WordHash", "mix64", "shingle_hashes", "set_hash",
-           "doc_words", "bucket_below", "only", "crc_of_id"]
+           "slices", "doc_words", "bucket_below", "only", "crc_of_id"]
 
 MASK = (1 << 64) - 1
 
@@ -61,6 +61,14 @@ class WordHash(dict):
         return h
 
 
+def slices(batches, rows: int = 256):
+    """The rows of Arrow batches in small parts, so that of a batch of long texts only
+    a few are Python objects at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def doc_words(text: bytes | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; bytes.lower and
     bytes.split touch exactly these ASCII characters."""

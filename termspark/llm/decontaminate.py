@@ -16,13 +16,15 @@ documents once; the documents are never shuffled.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termspark.llm.common import WordHash, doc_words, mix64, only, shingle_hashes
+from termspark.llm.common import WordHash, doc_words, mix64, only, shingle_hashes, slices
 
 #: Shingles of test items that go to the tasks at once (8 bytes each).
 BLOCK_SHINGLES = 1_000_000
@@ -124,7 +126,7 @@ def contaminated(docs: DataFrame, items: DataFrame, *, percent: int = 75, shingl
 
         def run(batches, sent=sent, pct=pct):
             index, seen = Sketches(sent.value, pct), WordHash()
-            for b in batches:
+            for b in slices(batches):
                 found = [(d, *m) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())
                          for m in index.matches(doc_words(t), seen, shingle)]
                 cols = list(zip(*found)) or [()] * 4
@@ -138,21 +140,22 @@ def contaminated(docs: DataFrame, items: DataFrame, *, percent: int = 75, shingl
     return out.withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 
+def _free_of(sent, percent: int, shingle: int):
+    """A predicate over texts: holds none of the items of one block."""
+
+    def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index, seen = Sketches(sent.value, percent), WordHash()
+        for part in it:
+            yield part.map(lambda t: not index.matches(doc_words(None if t is None else bytes(t)), seen, shingle)).astype(bool)
+
+    return F.pandas_udf(run, "boolean")
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, *, percent: int = 75, shingle: int = 5,
                   item_id: str = "item_id", text: str = "text", block: int = BLOCK_SHINGLES) -> DataFrame:
     """The rows of ``docs``, all columns, that contain no test item (see
     :func:`contaminated`); rows without text stay."""
     for sent, pct in _blocks(items, percent, shingle, item_id, text, block):
 
-        def run(it, sent=sent, pct=pct):
-            index, seen = Sketches(sent.value, pct), WordHash()
-            for s in it:
-                yield s.map(lambda t: not index.matches(doc_words(None if t is None else bytes(t)), seen, shingle))
-
-        from collections.abc import Iterator
-
-        import pandas as pd
-        run.__annotations__ = {"it": Iterator[pd.Series], "return": Iterator[pd.Series]}
-        clean = F.pandas_udf(run, "boolean")
-        docs = docs.where(clean(F.col(f"`{text}`").cast("binary")))
+        docs = docs.where(_free_of(sent, pct, shingle)(F.col(f"`{text}`").cast("binary")))
     return docs

@@ -42,7 +42,7 @@ BANDS, ROWS, FLOOR = 40, 5, 0.55
 BROADCAST_IDS = 500_000
 #: Members of a bucket compared in one task.
 CHUNK = 1024
-#: Documents per numpy batch.
+#: Shingles of a numpy batch.
 BATCH_ELEMENTS = 200_000
 
 
@@ -181,7 +181,7 @@ def _confirm(docs, pairs, reps, percent, shingle, doc_id, text) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, percent: int = 75, shingle: int = 5, bands: int = BANDS, rows: int = ROWS,
                     floor: float = FLOOR, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document row: (doc_id, n_shingles, component_id, kept, node).
+    """One row per document row: (doc_id, n_shingles, component_id, kept, node, group).
 
     Two documents are linked when 100 * |A & B| >= percent * |A | B| over their
     distinct shingles (fewer words than ``shingle``: the whole sequence is the
@@ -189,8 +189,9 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, shingle: int = 5, ban
     included.  A document without words (or with null text) is linked with
     nothing and is its own component; a null doc_id takes part but is never the
     smallest (alone, its component is null and it counts as kept); repeated
-    ids are joined only by their texts.  ``node`` names the shingle set.  Other
-    columns of ``docs`` are left aside; an empty table gives no rows.
+    ids are joined only by their texts.  ``node`` names the shingle set and ``group``
+    the component (null: no words).  Other columns of ``docs`` are left aside; an
+    empty table gives no rows.
     """
     s = materialize(signatures(docs, shingle=shingle, bands=bands, rows=rows, doc_id=doc_id, text=text))
     full = s.where("node is not null")
@@ -249,7 +250,51 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, shingle: int = 5, ban
         comp = components(links)
     root = reps.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = root.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = root.join(smallest, "component").select("node", "component_id")
+    named = root.join(smallest, "component").select("node", "component_id", F.col("component").alias("group"))
     return (s.select("doc_id", "n_shingles", "node").join(named, "node", "left")
             .withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-            .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "node"))
+            .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "node", "group"))
+
+
+def _named_sets(docs: DataFrame, text: str, shingle: int) -> DataFrame:
+    """``docs`` plus ``_node``, the name of each row's shingle set (null: empty)."""
+
+    def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        seen = WordHash()
+        for part in it:
+            sets = [shingle_hashes(doc_words(None if t is None else bytes(t)), seen, shingle) for t in part]
+            yield pd.Series([int.from_bytes(set_hash(x)[:8], "little", signed=True) if len(x) else None for x in sets], dtype="Int64")
+
+    return docs.withColumn("_node", F.pandas_udf(run, "long")(F.col(text).cast("binary")))
+
+
+def keep_one(docs: DataFrame, *, shingle: int = 5, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """The rows of ``docs``, all columns, when one row of each group of near duplicates
+    stays: one with the smallest id (a group without ids: any of its rows).  Rows
+    without words all stay.
+
+    Only the rows whose id is touched (it goes, or stands for several rows) are
+    looked at again; their ids travel as a broadcast up to BROADCAST_IDS of them and
+    are joined by shuffle beyond.
+    """
+    names = docs.columns
+    result = near_duplicates(docs, shingle=shingle, doc_id=doc_id, text=text, **how).where("node is not null")
+    pairs = materialize(result.groupBy("group", "doc_id", "node").agg(F.count("*").alias("n")))
+    order = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("i"), F.col("node").alias("k"))
+    first = pairs.groupBy(F.col("group").alias("g")).agg(F.min(order).alias("f")).select("g", "f.i", "f.k")
+    judged = materialize(pairs.join(first, F.col("group") == F.col("g")).select(
+        "doc_id", "node", "n", (F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("node") == F.col("k"))).alias("stays")))
+    touched = materialize(judged.where("not stays or n > 1 or doc_id is null").select(F.col("doc_id").alias("_id")).distinct())
+    small = touched.count() <= BROADCAST_IDS
+    ids = F.broadcast(touched) if small else touched
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    i, t = f"c{names.index(doc_id)}", f"c{names.index(text)}"
+    is_touched = F.col(i).cast("long").eqNullSafe(F.col("_id"))
+    again = _named_sets(rows.join(ids, is_touched, "left_semi"), t, shingle)
+    stay = judged.where("stays").select(F.col("doc_id").alias("_id"), F.col("node").alias("_n"))
+    chosen = again.where("_node is not null").join(
+        stay.join(ids.withColumnRenamed("_id", "_t"), F.col("_id").eqNullSafe(F.col("_t")), "left_semi"),
+        is_touched & (F.col("_node") == F.col("_n")), "left_semi").dropDuplicates([i, "_node"])
+    cols = [F.col(f"c{k}").alias(c) for k, c in enumerate(names)]
+    return (rows.join(ids, is_touched, "left_anti").select(*cols)
+            .union(again.where("_node is null").select(*cols)).union(chosen.select(*cols)))

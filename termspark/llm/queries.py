@@ -3,10 +3,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termspark.llm.common import table
+from termspark.llm import bpe, chat, lm, pii, secrets, shard, toxicity
+from termspark.llm.caps import near_vectors
+from termspark.llm.common import crc_of_id, table
 from termspark.llm.decontaminate import contaminated
 from termspark.llm.near_dup import near_duplicates
 
@@ -23,9 +26,34 @@ def register(name: str, sql: str | None = None):
     return put
 
 
+#: Fixed values of the queries.
+SHARDS, LEAST_TOXIC, VOCABULARY = 40, 0.7, "byte_bpe_50k.tiktoken"
+
+
+@register("op1_sharding")
+def op1(spark, sf):
+    docs = table(spark, sf, "documents")
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    slim = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
+                       F.xxhash64("text").alias("text_hash"))
+    out = shard.assign_shards(slim, SHARDS, key="text_hash", size="size", tie=["doc_id"])
+    return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@register("op2_secret_scan")
+def op2(spark, sf):
+    docs = table(spark, sf, "documents")
+    return secrets.digests(secrets.find_secrets(docs, secrets.train(docs)))
+
+
+@register("op3_lm_scoring")
+def op3(spark, sf):
+    return lm.score(table(spark, sf, "documents"))
+
+
 @register("op4_minhash_near_dup")
 def op4(spark, sf):
-    return near_duplicates(table(spark, sf, "documents")).drop("node")
+    return near_duplicates(table(spark, sf, "documents")).drop("node", "group")
 
 
 #: Words as DuckDB SQL: A-Z lowered, runs of anything but the six ASCII white-space characters.
@@ -49,3 +77,33 @@ SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment
 FROM m JOIN n USING (item_id) WHERE 100 * n_shared >= 75 * n_item""")
 def op6(spark, sf):
     return contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@register("op5_byte_bpe")
+def op5(spark, sf):
+    path = public_tokenizers.path(VOCABULARY)
+    encoded = bpe.encode(table(spark, sf, "documents"), path, public_tokenizers.PATTERN)
+    return bpe.digests(bpe.decode(encoded, path))
+
+
+@register("op7_pii")
+def op7(spark, sf):
+    return pii.digests(pii.find_pii(table(spark, sf, "documents")))
+
+
+@register("op8_toxicity")
+def op8(spark, sf):
+    docs = table(spark, sf, "documents")
+    tagged = toxicity.tag(docs, toxicity.fit(docs, table(spark, sf, "labels")))
+    return tagged.select("doc_id", (F.pmod(crc_of_id(), F.lit(3)) == 1).alias("held_out"),
+                         "score", (F.col("score") >= LEAST_TOXIC).cast("int").alias("predicted"), "spans")
+
+
+@register("op9_embedding_near_dup")
+def op9(spark, sf):
+    return near_vectors(table(spark, sf, "embeddings"))
+
+
+@register("op10_chat_formatting", chat.ORACLE_SQL)
+def op10(spark, sf):
+    return chat.rotate(table(spark, sf, "conversations"))
