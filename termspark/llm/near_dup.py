@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from termspark.llm.common import WordHash, doc_words, materialize, mix64, only, set_hash, shingle_hashes
+from termspark.llm.common import WordHash, doc_words, materialize, mix64, only, set_hash, shingle_hashes, slices
 from termspark.llm.graph import components
 
 BANDS, ROWS, FLOOR = 40, 5, 0.55
@@ -42,8 +42,8 @@ BANDS, ROWS, FLOOR = 40, 5, 0.55
 BROADCAST_IDS = 500_000
 #: Members of a bucket compared in one task.
 CHUNK = 1024
-#: Shingles of a numpy batch.
-BATCH_ELEMENTS = 200_000
+#: Shingles of a numpy batch (more if one document has more).
+BATCH_ELEMENTS = 60_000
 
 
 def super_minhash(sets: list[np.ndarray], m: int) -> np.ndarray:
@@ -103,7 +103,7 @@ def signatures(docs: DataFrame, *, shingle: int = 5, bands: int = BANDS, rows: i
 
     def run(batches):
         seen = WordHash()
-        for b in batches:
+        for b in slices(batches):
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             lo = 0
             while lo < len(ids):
@@ -161,7 +161,7 @@ def _confirm(docs, pairs, reps, percent, shingle, doc_id, text) -> DataFrame:
 
     def run(batches):
         seen, last = WordHash(), (None, None)
-        for batch in batches:
+        for batch in slices(batches):
             a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
             keep = []
             for i in range(len(a)):
