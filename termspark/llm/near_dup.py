@@ -33,6 +33,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from termspark.llm.common import WordHash, doc_words, materialize, mix64, only, set_hash, shingle_hashes, slices
 from termspark.llm.graph import components
@@ -128,7 +129,7 @@ def signatures(docs: DataFrame, *, shingle: int = 5, bands: int = BANDS, rows: i
         F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t")).mapInArrow(run, schema)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of the signature positions on which two documents agree."""
     x = np.frombuffer(b"".join(a), np.uint16).reshape(len(a), -1) if len(a) else np.empty((0, 1))

@@ -505,3 +505,12 @@ def test_queries_equal_their_sql(spark, name):
     assert sorted(cols) == sorted(got.columns)
     key = lambda r: tuple(map(str, r))
     assert sorted((tuple(r) for r in got.select(*cols).collect()), key=key) == sorted(want.fetchall(), key=key)
+
+
+def test_entry_needs_no_session():
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = "import __spark_entry__ as e; print(sorted(q for q in e.queries() if q[:2] == 'op' and q[2].isdigit()), 'pipeline' in e.queries())"
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0 and out.stdout.count("'op") == 10 and out.stdout.strip().endswith("True"), out.stderr
