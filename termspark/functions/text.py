@@ -36,9 +36,24 @@ def regex_escape_class(chars: str) -> str:
 
 # -- script predicates ------------------------------------------------------
 
+# Java's trim takes off every character up to U+0020, and in Java "$" also
+# matches before a final line terminator; "\z" is the end of the string alone.
+BLANK_CHARS = r"\x00-\x20"
+
+
+def java_trim(c) -> Column:
+    """Leading and trailing characters up to U+0020 removed."""
+    return F.regexp_replace(col(c), rf"^[{BLANK_CHARS}]+|[{BLANK_CHARS}]+\z", "")
+
+
+def not_blank(c) -> Column:
+    """True if anything is left after :func:`java_trim` (null: null)."""
+    return col(c).rlike(rf"[^{BLANK_CHARS}]")
+
+
 def is_script(c, script_class: str = K.SCRIPT_CLASS_CJK) -> Column:
     """Single character lies in the script range."""
-    return col(c).rlike(f"^[{script_class}]$")
+    return col(c).rlike(rf"^[{script_class}]\z")
 
 
 def all_script(c, script_class: str = K.SCRIPT_CLASS_CJK, empty_is_true: bool = True) -> Column:
@@ -49,8 +64,8 @@ def all_script(c, script_class: str = K.SCRIPT_CLASS_CJK, empty_is_true: bool =
     """
     c = col(c)
     if empty_is_true:
-        return c.rlike(f"^[{script_class}]*$")
-    return F.coalesce(c.rlike(f"^[{script_class}]+$") & (F.trim(c) != ""), F.lit(False))
+        return c.rlike(rf"^[{script_class}]*\z")
+    return F.coalesce(c.rlike(rf"^[{script_class}]+\z") & not_blank(c), F.lit(False))
 
 
 def replace_non_script(c, replacement: str, script_class: str = K.SCRIPT_CLASS_CJK) -> Column:
@@ -121,7 +136,7 @@ def reverse_str(c) -> Column:
 
 def is_alnum_only(c) -> Column:
     """ASCII letters/digits only after lower-casing (empty -> true)."""
-    return F.lower(col(c)).rlike("^[a-z0-9]*$")
+    return F.lower(col(c)).rlike(r"^[a-z0-9]*\z")
 
 
 def length_factor(c, center: float = K.LENGTH_CENTER, decay: float = K.LENGTH_DECAY) -> Column:

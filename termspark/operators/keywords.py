@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from termspark.functions import constants as K
 from termspark.functions.text import (col, contains_any, ends_with_any, first_marker_index,
-                                      regex_escape_class)
+                                      regex_escape_class, sql_str)
 
 
 def extract_tagged(df: DataFrame, line_col: str = "line", open_tag: str = K.CONTENT_OPEN,
@@ -23,6 +23,16 @@ def _drop_last_if(c, suffixes: Sequence[str]):
     return F.when(ends_with_any(c, suffixes), F.expr("substring(_kw, 1, length(_kw) - 1)")).otherwise(c)
 
 
+def _java_split(ch: str):
+    """Split at one character; empty pieces at the end are dropped, '' is one piece."""
+    sep = "[" + regex_escape_class(ch) + "]"
+
+    def split(s):
+        cut = F.regexp_replace(s, sep + r"+\z", "")
+        return F.when(s == "", F.array(F.lit(""))).when(cut == "", F.array().cast("array<string>")).otherwise(F.split(cut, sep, -1))
+    return split
+
+
 def parse_keyword_fields(df: DataFrame, line_col: str = "line",
                          labels: Sequence[str] = K.KEYWORD_LABELS,
                          end_markers: Sequence[str] = K.KEYWORD_END_MARKERS,
@@ -37,10 +47,11 @@ def parse_keyword_fields(df: DataFrame, line_col: str = "line",
 
     Lines containing any label -> labels normalised to the first -> text
     after it -> cut at the first end marker -> one trailing ``;`` dropped ->
-    split on the separator characters -> one trailing tail char dropped ->
-    cut at the first parenthesis -> ``remove`` deleted -> dropped if it
-    contains an excluded string or is longer than ``max_len``.  Empty pieces
-    are dropped (the original could emit empty keywords).
+    split on one separator character after the other -> one trailing tail char
+    dropped -> cut at the first parenthesis -> ``remove`` deleted -> dropped if it
+    contains an excluded string or is longer than ``max_len``.  Splitting is Java's:
+    empty pieces at the end of a split go, others stay and are keywords too; a text
+    without any character is one empty piece.
     """
     canon = labels[0]
     c = F.col(line_col)
@@ -49,18 +60,19 @@ def parse_keyword_fields(df: DataFrame, line_col: str = "line",
     for lab in labels[1:]:
         norm = F.replace(norm, F.lit(lab), F.lit(canon))
     x = x.select(norm.alias("_n"))
-    x = x.select(F.expr(f"substring(_n, instr(_n, '{canon}') + {len(canon)})").alias("_kw"))
+    x = x.select(F.expr(f"substring(_n, instr(_n, {sql_str(canon)}) + {len(canon)})").alias("_kw"))
     fi = first_marker_index(F.col("_kw"), end_markers)
     x = x.select(F.when(fi >= 0, F.substring(F.col("_kw"), F.lit(1), fi)).otherwise(F.col("_kw")).alias("_kw"))
     x = x.select(_drop_last_if(F.col("_kw"), trailing_drop).alias("_kw"))
-    sep = "[" + regex_escape_class("".join(split_chars)) + "]"
-    x = x.select(F.explode(F.split("_kw", sep)).alias("_kw")).where(F.col("_kw") != "")
+    pieces = F.array("_kw")
+    for ch in split_chars:
+        pieces = F.flatten(F.transform(pieces, _java_split(ch)))
+    x = x.select(F.inline(F.array(F.struct(pieces.alias("_a"))))).select(F.explode("_a").alias("_kw"))
     x = x.select(_drop_last_if(F.col("_kw"), tail_drop).alias("_kw"))
     pi = first_marker_index(F.col("_kw"), paren)
     x = x.select(F.when(pi >= 0, F.substring(F.col("_kw"), F.lit(1), pi)).otherwise(F.col("_kw")).alias("_kw"))
     x = x.select(F.replace(F.col("_kw"), F.lit(remove), F.lit("")).alias("keyword"))
-    return x.where(~contains_any(F.col("keyword"), exclude) & (F.length("keyword") <= max_len)
-                   & (F.col("keyword") != ""))
+    return x.where(~contains_any(F.col("keyword"), exclude) & (F.length("keyword") <= max_len))
 
 
 def keyword_freq(keywords: DataFrame) -> DataFrame:
@@ -83,14 +95,16 @@ def list_hits(keywords: DataFrame, *lists: DataFrame) -> DataFrame:
 
 
 def kwic_pieces(lines: DataFrame, line_col: str, key: str, script_class: str,
-                stop_chars: str = K.STOP_CHARS, sep: str = ",", exclude: str | None = None) -> DataFrame:
-    """Distinct lines containing ``key``, cleaned (width, stop chars,
-    emoji, non-script -> ``sep``), split, pieces containing ``key``
-    (optionally not containing the longer phrase ``exclude``)."""
-    from termspark.functions.text import half_width, mask_chars, replace_emoji, replace_non_script
+                stop_chars: str = K.STOP_CHARS, sep: str = ",", exclude: str | None = None,
+                variants: tuple[str, str] = ("", "")) -> DataFrame:
+    """Distinct lines containing ``key``, cleaned (width and ``variants``, a pair
+    of strings whose characters stand for each other; stop chars, emoji, non-script ->
+    ``sep``), split, pieces containing ``key`` (optionally not containing the longer
+    phrase ``exclude``)."""
+    from termspark.functions.text import half_width, map_chars, mask_chars, replace_emoji, replace_non_script
     x = lines.where(F.col(line_col).contains(key)).select(line_col).distinct()
-    cleaned = replace_non_script(replace_emoji(mask_chars(half_width(col(line_col)), stop_chars, sep), sep),
-                                 sep, script_class)
+    plain = map_chars(half_width(col(line_col)), *variants)
+    cleaned = replace_non_script(replace_emoji(mask_chars(plain, stop_chars, sep), sep), sep, script_class)
     p = x.select(F.explode(F.split(cleaned, "[" + regex_escape_class(sep) + "]")).alias("piece"))
     p = p.where(F.col("piece").contains(key))
     if exclude:
@@ -99,12 +113,14 @@ def kwic_pieces(lines: DataFrame, line_col: str, key: str, script_class: str,
 
 
 def grep_tokens(lines: DataFrame, line_col: str, key: str, tokenize_fn,
-                stop_chars: str = K.STOP_CHARS, sep: str = ",", alnum: bool = True) -> DataFrame:
-    """Lines containing ``key`` -> stop chars and regex classes -> sep ->
-    split -> pieces containing ``key`` -> tokens (space-joined)."""
-    from termspark.functions.text import clean_classes, half_width, mask_chars
+                stop_chars: str = K.STOP_CHARS, sep: str = ",", alnum: bool = True,
+                variants: tuple[str, str] = ("", "")) -> DataFrame:
+    """Lines containing ``key`` -> width and ``variants`` -> stop chars and regex
+    classes -> sep -> split -> pieces containing ``key`` -> tokens (space-joined)."""
+    from termspark.functions.text import clean_classes, half_width, map_chars, mask_chars
     x = lines.where(F.col(line_col).contains(key))
-    cleaned = clean_classes(mask_chars(half_width(col(line_col)), stop_chars, sep), sep, alnum=alnum)
+    plain = map_chars(half_width(col(line_col)), *variants)
+    cleaned = clean_classes(mask_chars(plain, stop_chars, sep), sep, alnum=alnum)
     p = x.select(F.explode(F.split(cleaned, "[" + regex_escape_class(sep) + "]")).alias("piece"))
     p = p.where(F.col("piece").contains(key))
     return p.select(F.array_join(tokenize_fn(F.col("piece")), " ").alias("tokens"))

@@ -11,11 +11,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termspark.functions import constants as K
+from termspark.functions.text import not_blank
 
 
 def word_list(df: DataFrame, col: str = "value") -> DataFrame:
-    """S3: non-blank (trim) entries, distinct; entries are not trimmed."""
-    return df.select(F.col(col).alias("word")).where(F.trim("word") != "").distinct()
+    """S3: non-blank entries (nothing but characters up to U+0020 is blank), distinct;
+    entries are not trimmed.  With an ``ord`` column (place in the files) each entry
+    keeps its first place."""
+    words = df.select(F.col(col).alias("word"), *(["ord"] if "ord" in df.columns else [])).where(not_blank("word"))
+    if "ord" in df.columns:
+        return words.groupBy("word").agg(F.min("ord").alias("ord"))
+    return words.distinct()
 
 
 def consolidate(lists: Sequence[DataFrame]) -> DataFrame:
@@ -44,6 +50,13 @@ def list_difference(a: DataFrame, b: DataFrame, key: str = "word") -> DataFrame:
     return a.join(b.select(F.col("word").alias(key)), key, "left_anti")
 
 
+def minus_lists(candidates: DataFrame, lists: Sequence[DataFrame], key: str = "term") -> DataFrame:
+    """J10 over several lists: the distinct entries of ``candidates`` that none of the
+    lists holds, sorted."""
+    known = bag_union(*[x.select("word") for x in lists])
+    return list_difference(candidates.select(key).distinct(), known, key).orderBy(key)
+
+
 def resolve_conflicts(pos_lists: Mapping[str, DataFrame], neg_lists: Mapping[str, DataFrame],
                       true_pos: DataFrame) -> DataFrame:
     """``inter = pos ∩ neg``; ``true_neg = inter − true_pos``; every

@@ -8,82 +8,83 @@ splits a skewed half such as a very common first token).
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termspark.functions import constants as K
 from termspark.functions.text import is_alnum_only
 
 
-def _splits(df: DataFrame, joiner: str) -> DataFrame:
-    toks = F.split(F.col("gram"), joiner, -1)
-    x = df.withColumn("_t", toks).withColumn("_j", F.explode(F.sequence(F.lit(1), F.size("_t") - 1)))
-    return x.select(
-        "*",
-        F.array_join(F.slice("_t", 1, F.col("_j")), joiner).alias("_lw"),
-        F.array_join(F.slice("_t", F.col("_j") + 1, F.size("_t") - F.col("_j")), joiner).alias("_rw"),
-    ).drop("_t")
-
-
-def pmi(scored: DataFrame, freq_table: DataFrame, total: int, joiner: str = K.GRAM_JOINER,
+def pmi(scored: DataFrame, freq_table: DataFrame, total: Column | int | None = None, joiner: str = K.GRAM_JOINER,
         single_slope: float = K.PMI_SINGLE_SLOPE, single_intercept: float = K.PMI_SINGLE_INTERCEPT,
         single_const: float | None = None, missing: int | None = None,
         min_pmi: float | None = K.PMI_MIN) -> DataFrame:
-    """Add ``pmi`` to a (gram, freq, ...) table.
+    """Add ``pmi`` to a (gram, freq, ...) table with one row a gram.
 
     Multi-token gram: ``log2(freq * total / max_split(lf * rf))`` — the split
     maximising the product, i.e. the smallest PMI (as the original code does).
     Single token: ``single_slope * len + single_intercept``, or
     ``single_const`` when given (variants 5.0 / 10.0).
-    ``missing=None`` requires both halves in ``freq_table`` (inner join);
-    an integer substitutes that frequency for an absent half (J2).  A zero
-    product gives +inf, as the original's floating division does.
+    ``total`` is A10 of ``freq_table`` (default: a scalar subquery over it).
+    ``missing=None`` requires both halves of every split in ``freq_table`` and fails
+    the query otherwise, as the original throws; an integer stands in for an absent
+    half (J2).  A zero product gives +inf, as the original's floating division does.
     Rows are kept when ``pmi > min_pmi`` (None keeps all).
     """
     cols = scored.columns
-    multi_in = scored.where(F.col("gram").contains(joiner))
-    single_in = scored.where(~F.col("gram").contains(joiner))
+    if total is None:
+        total = freq_table.agg(F.coalesce(F.sum("freq"), F.lit(0)).alias("total")).scalar()
+    total = F.lit(total) if isinstance(total, int) else total
     f = freq_table.select(F.col("gram").alias("_g"), F.col("freq").cast("bigint").alias("_f"))
-    sp = _splits(multi_in, joiner)
-    how = "inner" if missing is None else "left"
-    lf = f.withColumnRenamed("_g", "_lw").withColumnRenamed("_f", "_lf")
-    rf = f.withColumnRenamed("_g", "_rw").withColumnRenamed("_f", "_rf")
-    j = sp.join(lf, "_lw", how).join(rf, "_rw", how)
-    if missing is not None:
-        j = j.fillna({"_lf": missing, "_rf": missing})
-    ff = j.groupBy(*cols).agg(F.max(F.col("_lf") * F.col("_rf")).alias("_ff"))
-    val = F.when(F.col("_ff") == 0, F.lit(float("inf"))).otherwise(
-        F.log2(F.col("freq").cast("double") * F.lit(float(total)) / F.col("_ff").cast("double")))
-    multi = ff.select(*cols, val.alias("pmi"))
+    toks = F.split(F.col("gram"), re.escape(joiner), -1)
+    once = scored.select(F.inline(F.array(F.struct(*[F.col(c) for c in cols], toks.alias("_t")))))
+    # a single token has no split: one row with null halves
+    x = once.withColumn("_j", F.explode_outer(F.expr("CASE WHEN size(_t) > 1 THEN sequence(1, size(_t) - 1) END")))
+    sp = x.select(*cols, F.col("_j").isNotNull().alias("_multi"), F.array_join(F.expr("slice(_t, 1, _j)"), joiner).alias("_lw"),
+                  F.array_join(F.expr("slice(_t, _j + 1, size(_t))"), joiner).alias("_rw"))
+    j = sp.join(f.select(F.col("_g").alias("_lw"), F.col("_f").alias("_lf")), "_lw", "left") \
+        .join(f.select(F.col("_g").alias("_rw"), F.col("_f").alias("_rf")), "_rw", "left")
+    lf, rf = F.col("_lf"), F.col("_rf")
+    if missing is None:
+        absent = F.col("_multi") & (lf.isNull() | rf.isNull())
+        lf = F.when(absent, F.raise_error(F.concat(F.lit("no frequency for a part of gram "), F.col("gram"))).cast("bigint")).otherwise(lf)
+    else:
+        lf, rf = F.coalesce(lf, F.lit(missing)), F.coalesce(rf, F.lit(missing))
+    rest = [c for c in cols if c != "gram"]
+    ff = j.groupBy("gram").agg(*[F.any_value(c).alias(c) for c in rest], F.any_value("_multi").alias("_multi"),
+                               F.max(F.when(F.col("_multi"), lf * rf)).alias("_ff"))
+    multi = F.when(F.col("_ff") == 0, F.lit(float("inf"))).otherwise(
+        F.log2(F.col("freq").cast("double") * total.cast("double") / F.col("_ff").cast("double")))
     if single_const is not None:
-        sval = F.lit(float(single_const))
+        single = F.lit(float(single_const))
     else:
-        sval = F.lit(single_slope) * F.length("gram") + F.lit(single_intercept)
-    single = single_in.select(*cols, sval.cast("double").alias("pmi"))
-    out = multi.unionByName(single)
+        single = F.lit(single_slope) * F.length("gram") + F.lit(single_intercept)
+    out = ff.select(*cols, F.when(F.col("_multi"), multi).otherwise(single.cast("double")).alias("pmi"))
     if min_pmi is not None:
         out = out.where(F.col("pmi").isNotNull() & ~F.isnan("pmi") & (F.col("pmi") > min_pmi))
     return out
 
 
-def char_pmi(merged: DataFrame, freq_table: DataFrame) -> DataFrame:
+def char_pmi(merged: DataFrame, freq_table: DataFrame, drop_alnum: bool = True) -> DataFrame:
     """PMI of a char gram over its binary splits, skipping splits with an
     absent half; ``total`` is the NUMBER of frequency rows and the quotient
-    ``f * total / max`` is integer division; grams with no valid split (and
-    alnum-only grams) are dropped."""
-    total = freq_table.count()
+    ``f * total / max`` is integer division; grams with no valid split are dropped,
+    and so are grams of ASCII letters and digits alone unless ``drop_alnum`` is off."""
+    total = freq_table.agg(F.count(F.lit(1)).alias("n")).scalar()
     f = freq_table.select(F.col("gram").alias("_g"), F.col("freq").cast("bigint").alias("_f"))
-    m = merged.where(~is_alnum_only("gram"))
-    sp = m.withColumn("_j", F.explode(F.sequence(F.lit(1), F.greatest(F.length("gram") - 1, F.lit(1)))))
-    sp = sp.where(F.length("gram") > 1).select(
-        "*", F.substring("gram", 1, F.col("_j")).alias("_lw"),
-        F.expr("substring(gram, _j + 1)").alias("_rw"))
-    lf = f.withColumnRenamed("_g", "_lw").withColumnRenamed("_f", "_lf")
-    rf = f.withColumnRenamed("_g", "_rw").withColumnRenamed("_f", "_rf")
-    j = sp.join(lf, "_lw", "inner").join(rf, "_rw", "inner")
-    ff = j.groupBy(*merged.columns).agg(F.max(F.col("_lf") * F.col("_rf")).alias("_ff"))
-    pf = F.floor((F.col("freq").cast("bigint") * F.lit(total)) / F.col("_ff"))
-    return ff.select(*merged.columns, F.log2(pf.cast("double")).alias("pmi"))
+    m = merged.where(F.length("gram") > 1)
+    if drop_alnum:
+        m = m.where(~is_alnum_only("gram"))
+    sp = m.withColumn("_j", F.explode(F.sequence(F.lit(1), F.length("gram") - 1))).select(
+        "*", F.substring("gram", 1, F.col("_j")).alias("_lw"), F.expr("substring(gram, _j + 1)").alias("_rw"))
+    j = sp.join(f.select(F.col("_g").alias("_lw"), F.col("_f").alias("_lf")), "_lw") \
+        .join(f.select(F.col("_g").alias("_rw"), F.col("_f").alias("_rf")), "_rw")
+    rest = [c for c in merged.columns if c != "gram"]
+    ff = j.groupBy("gram").agg(*[F.any_value(c).alias(c) for c in rest], F.max(F.col("_lf") * F.col("_rf")).alias("_ff"))
+    quotient = F.call_function("div", F.col("freq").cast("bigint") * total, F.col("_ff"))
+    return ff.select(*merged.columns, F.log2(F.nullif(quotient, F.lit(0)).cast("double")).alias("pmi"))
 
 
 def positional_pos(merged: DataFrame, pos_prop: DataFrame) -> DataFrame:

@@ -13,15 +13,17 @@ from termspark.operators.ranking import global_rank
 
 
 def attach_predictions(features: DataFrame, predictions: DataFrame, check: bool = True) -> DataFrame:
-    """Attach ``pred`` by term (inner join).  The original throws on a
-    term without a prediction; ``check=True`` raises the same way (one
-    anti-join count)."""
-    p = predictions.select("term", "pred").dropDuplicates(["term"])
-    if check:
-        missing = features.select("term").join(p, "term", "left_anti").limit(1).count()
-        if missing:
-            raise ValueError("candidate term without prediction")
-    return features.join(p, "term", "inner")
+    """Attach ``pred`` by term.  The original throws on a term without a
+    prediction; ``check`` fails the query in that case, otherwise such terms are
+    dropped.  Of several predictions for a term the last by ``ord`` counts (the
+    greatest where predictions carry no such column)."""
+    last = F.max_by("pred", "ord") if "ord" in predictions.columns else F.max("pred")
+    p = predictions.groupBy("term").agg(last.alias("pred"), F.lit(True).alias("_known"))
+    if not check:
+        return features.join(p.drop("_known"), "term", "inner")
+    error = F.raise_error(F.concat(F.lit("candidate term without prediction: "), F.col("term")))
+    x = features.join(p, "term", "left")
+    return x.withColumn("pred", F.when(F.col("_known").isNull(), error.cast("double")).otherwise(F.col("pred"))).drop("_known")
 
 
 def final_score(df: DataFrame) -> DataFrame:
@@ -104,10 +106,23 @@ def rank_boost(df: DataFrame, trusted: DataFrame, order: list[Column],
 def hit_counts(ranked_terms: DataFrame, positives: DataFrame, negatives: DataFrame) -> DataFrame:
     """Size of the bag intersection of the ranked terms with the
     positive and the negative list (one row)."""
-    t = ranked_terms.select(F.col("term").alias("w"))
-    pos = t.intersectAll(positives.select(F.col("word").alias("w"))).count()
-    neg = t.intersectAll(negatives.select(F.col("word").alias("w"))).count()
-    return ranked_terms.sparkSession.createDataFrame([(pos, neg)], "pos_hits bigint, neg_hits bigint")
+    def counts(df, c, out):
+        return df.groupBy(F.col(c).alias("w")).agg(F.count(F.lit(1)).alias(out))
+
+    x = counts(ranked_terms, "term", "t").join(counts(positives, "word", "p"), "w", "left").join(counts(negatives, "word", "n"), "w", "left")
+    both = [F.coalesce(F.sum(F.when(F.col(c).isNotNull(), F.least("t", c))), F.lit(0)).cast("bigint").alias(out)
+            for c, out in (("p", "pos_hits"), ("n", "neg_hits"))]
+    return x.agg(*both)
+
+
+def threshold_report(predictions: DataFrame, threshold: float = K.REPORT_THRESHOLD, n: int = K.REPORT_TOP_N) -> dict[str, DataFrame]:
+    """O7 / X10 as one job over (term, score, pred): ``ranked`` (best score first),
+    ``kept`` (F7, best score first), ``dropped`` (least pred first) and ``diff``
+    (U4 of the two top-``n`` lists)."""
+    order = [F.desc("score"), F.asc("term")]
+    kept, dropped = threshold_split(predictions, threshold)
+    return {"ranked": predictions.orderBy(*order), "kept": kept.orderBy(*order), "dropped": dropped.orderBy("pred", "term"),
+            "diff": top_n_diff(predictions, kept, order, n)}
 
 
 def top_n_diff(candidates: DataFrame, filtered: DataFrame, order: list[Column],

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termspark.functions.text import col
+from termspark.functions.text import col, java_trim
 from termspark.operators.ngrams import adjacent_bigrams
 
 
@@ -17,72 +17,101 @@ def _chars(c):
     return F.filter(F.split(col(c), ""), lambda x: x != "")
 
 
-def count_terms(terms: DataFrame, term_col: str = "term", out: str = "freq") -> DataFrame:
-    return terms.groupBy(term_col).agg(F.count(F.lit(1)).alias(out))
+def count_terms(terms: DataFrame, term_col: str = "term", out: str = "freq", weight: str | None = None) -> DataFrame:
+    """Rows of each term, or the sum of ``weight`` over them."""
+    n = F.sum(weight) if weight else F.count(F.lit(1))
+    return terms.groupBy(term_col).agg(n.alias(out))
 
 
-def term_freq(df: DataFrame, tokens_col: str = "tokens") -> DataFrame:
-    """A1: occurrences of every token, most frequent first."""
-    t = df.select(F.explode(tokens_col).alias("term"))
-    return count_terms(t).orderBy(F.desc("freq"), "term")
+def _terms(df: DataFrame, arrays, weight: str | None) -> DataFrame:
+    """One row per array element.  The array is a generator's output before it is
+    exploded: the filter that Spark infers from the explode can then not carry a
+    second copy of the array's expression below an aggregation."""
+    cols = [weight] if weight else []
+    once = df.select(*cols, F.inline(F.array(F.struct(arrays.alias("_terms")))))
+    return once.select(*cols, F.explode("_terms").alias("term"))
 
 
-def char_freq(df: DataFrame, tokens_col: str = "tokens") -> DataFrame:
+def term_freq(df: DataFrame, tokens_col: str = "tokens", weight: str | None = None) -> DataFrame:
+    """A1: occurrences of every token, most frequent first.  With ``weight`` a row
+    of ``df`` stands for that many equal lines."""
+    return count_terms(_terms(df, col(tokens_col), weight), weight=weight).orderBy(F.desc("freq"), "term")
+
+
+def char_freq(df: DataFrame, tokens_col: str = "tokens", weight: str | None = None) -> DataFrame:
     """A2: occurrences of every character of every token."""
-    t = df.select(F.explode(F.flatten(F.transform(tokens_col, _chars))).alias("term"))
-    return count_terms(t).orderBy(F.desc("freq"), "term")
+    t = _terms(df, F.flatten(F.transform(tokens_col, _chars)), weight)
+    return count_terms(t, weight=weight).orderBy(F.desc("freq"), "term")
+
+
+def _tagged(unit: str):
+    return lambda x: F.struct(F.lit(unit).alias("unit"), x.alias("term"))
+
+
+WORD, CHAR, LINES = "word", "char", "lines"
+
+
+def document_freq(df: DataFrame, tokens_col: str = "tokens", weight: str | None = None,
+                  units: tuple[str, ...] = (WORD, CHAR)) -> DataFrame:
+    """(unit, term, df) of words and characters in ONE pass over the lines, with the
+    number of lines as the row (``lines``, '', N)."""
+    t = col(tokens_col)
+    per_line = {WORD: lambda: F.array_distinct(t), CHAR: lambda: F.array_distinct(F.flatten(F.transform(t, _chars)))}
+    tagged = [F.transform(per_line[u](), _tagged(u)) for u in units]
+    everything = F.concat(F.array(F.struct(F.lit(LINES).alias("unit"), F.lit("").alias("term"))), *tagged)
+    rows = _terms(df, everything, weight).select("term.unit", "term.term", *([weight] if weight else []))
+    n = F.sum(weight) if weight else F.count(F.lit(1))
+    return rows.groupBy("unit", "term").agg(n.alias("df"))
+
+
+def idf_from(freq: DataFrame, unit: str) -> DataFrame:
+    """A3 / A4 from :func:`document_freq`: ``ln(N / df)``."""
+    n = freq.where(F.col("unit") == LINES).select(F.col("df").alias("_n"))
+    # N is one row: a scalar subquery, no job before the query runs
+    return freq.where(F.col("unit") == unit).select(
+        "term", F.log(n.scalar().cast("double") / F.col("df")).alias("idf"))
 
 
-def idf(df: DataFrame, tokens_col: str = "tokens", unit: str = "word",
-        n_docs: int | None = None) -> DataFrame:
+def idf(df: DataFrame, tokens_col: str = "tokens", unit: str = WORD, weight: str | None = None) -> DataFrame:
     """A3 / A4: ``ln(N / df)`` where df counts lines containing the term
     (per-line distinct) and N counts every line; lowest idf first."""
-    if unit == "word":
-        per_line = F.array_distinct(col(tokens_col))
-    elif unit == "char":
-        per_line = F.array_distinct(F.flatten(F.transform(tokens_col, _chars)))
-    else:
+    if unit not in (WORD, CHAR):
         raise ValueError(unit)
-    if n_docs is None:
-        n_docs = df.count()
-    t = df.select(F.explode(per_line).alias("term"))
-    dfreq = count_terms(t, out="df")
-    return (dfreq.select("term", F.log(F.lit(float(n_docs)) / F.col("df")).alias("idf"))
-            .orderBy("idf", "term"))
+    freq = document_freq(df, tokens_col, weight, (unit,))
+    return idf_from(freq, unit).orderBy("idf", "term")
 
 
-def bigram_freq(df: DataFrame, tokens_col: str = "tokens") -> DataFrame:
+def bigram_freq(df: DataFrame, tokens_col: str = "tokens", weight: str | None = None) -> DataFrame:
     """A5: adjacent-token bigrams (no separator), most frequent first."""
-    t = df.select(F.explode(adjacent_bigrams(tokens_col)).alias("term"))
-    return count_terms(t).orderBy(F.desc("freq"), "term")
+    return count_terms(_terms(df, adjacent_bigrams(tokens_col), weight), weight=weight).orderBy(F.desc("freq"), "term")
 
 
 def nonscript_chars(lines: DataFrame, line_col: str, script_class: str) -> DataFrame:
     """Distinct characters outside the script over trimmed lines."""
-    ch = lines.select(F.explode(_chars(F.trim(line_col))).alias("ch"))
-    return ch.where(~F.col("ch").rlike(f"^[{script_class}]$")).distinct()
+    ch = lines.select(F.explode(_chars(java_trim(line_col))).alias("ch"))
+    return ch.where(~F.col("ch").rlike(rf"^[{script_class}]\z")).distinct()
 
 
 def nonscript_char_rank(freq_table: DataFrame, script_class: str, gram_col: str = "gram",
                         freq_col: str = "freq") -> DataFrame:
     """Length-1 entries of a frequency table outside the script, most
     frequent first."""
-    return (freq_table.where((F.length(gram_col) == 1) & ~F.col(gram_col).rlike(f"^[{script_class}]$"))
+    return (freq_table.where((F.length(gram_col) == 1) & ~F.col(gram_col).rlike(rf"^[{script_class}]\z"))
             .select(gram_col, freq_col).orderBy(F.desc(freq_col), gram_col))
 
 
 def all_script_lines(lines: DataFrame, line_col: str, script_class: str) -> DataFrame:
     """Distinct trimmed lines made only of script characters (empty
     lines pass)."""
-    t = lines.select(F.trim(line_col).alias("line"))
-    return t.where(F.col("line").rlike(f"^[{script_class}]*$")).distinct()
+    t = lines.select(java_trim(line_col).alias("line"))
+    return t.where(F.col("line").rlike(rf"^[{script_class}]*\z")).distinct()
 
 
-def duplicate_audit(lines: DataFrame, line_col: str = "line") -> DataFrame:
+def duplicate_audit(lines: DataFrame, line_col: str = "line", weight: str | None = None) -> DataFrame:
     """Total vs distinct trimmed lines, one row."""
-    t = lines.select(F.trim(line_col).alias("l"))
-    return t.agg(F.count(F.lit(1)).alias("total_lines"),
-                 F.count_distinct("l").alias("distinct_lines"))
+    n = F.sum(weight) if weight else F.count(F.lit(1))
+    t = lines.groupBy(java_trim(line_col).alias("l")).agg(n.alias("n"))
+    return t.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_lines"), F.count(F.lit(1)).alias("distinct_lines"))
 
 
 def hot_words(words: DataFrame, tokens_col: str = "tokens") -> DataFrame:

@@ -1,11 +1,11 @@
 """Tokenise, tag and cut lines into segments.
 
-Everything here is row-local: a line's tokens, tags and segments are computed
-inside the row with JVM array expressions, so no shuffle happens between the
-line scan and the n-gram aggregation.  Lexicon / stop-list membership is an
-``IN (...)`` list that the optimizer turns into a hash-set lookup (``InSet``)
-— the parameter lists are small and their size is checked; for a lexicon too
-large to inline, ``tag_tokens_join`` does the lookup as a join instead.
+Everything on the main path is row-local: a line's tokens, tags and segments are
+computed inside the row with JVM array expressions, so no shuffle happens between
+the line scan and the n-gram aggregation.  A lexicon or stop list given as a Python
+mapping or sequence becomes an ``IN (...)`` list that the optimizer turns into a
+hash-set lookup; a list of any size is given as a DataFrame and joined
+(``tag_tokens_join``, ``cut_words_join``, ``tokenize_lexicon``).
 """
 from __future__ import annotations
 
@@ -23,20 +23,26 @@ from termspark.functions.text import col, sql_str
 LATIN_SCRIPT_CLASS = "a-zà-öø-ÿ"
 LATIN_TOKEN_PATTERN = f"[{LATIN_SCRIPT_CLASS}]+|[^{LATIN_SCRIPT_CLASS} ]+"
 
-# Largest list inlined into a plan as an IN-set; beyond it use a join.
-INLINE_LIST_LIMIT = 100_000
+# Dictionaries up to this many words travel to the tasks as one automaton; larger
+# ones are joined.
+BROADCAST_WORDS = 500_000
+# A very common word is dealt out over this many keys in the lookup joins.
+SALTS = 16
 
 
 def _in_list(expr: str, words: Iterable[str]) -> str:
     words = list(dict.fromkeys(words))
     if not words:
         return "false"
-    if len(words) > INLINE_LIST_LIMIT:
-        raise ValueError(
-            f"list of {len(words)} entries is too large to inline; use tag_tokens_join")
     return f"({expr} IN ({', '.join(sql_str(w) for w in words)}))"
 
 
+def _once(df: DataFrame, *cols: Column) -> DataFrame:
+    """``df.select(cols)`` as the output of a generator, so that no later filter or
+    lambda makes Catalyst evaluate a column's expression a second time."""
+    return df.select(F.inline(F.array(F.struct(*cols))))
+
+
 def dedup_lines(df: DataFrame, line_col: str = "line") -> DataFrame:
     """Exact line dedup (partial aggregation removes map-side copies)."""
     return df.select(line_col).dropDuplicates([line_col])
@@ -55,7 +61,8 @@ def tokenize(c, mode: str = "regex", pattern: str = LATIN_TOKEN_PATTERN,
     c = col(c)
     if mode == "whitespace":
         if keep_empty:
-            return F.split(F.regexp_replace(c, " +$", ""), " ")
+            cut = F.regexp_replace(c, r" +\z", "")
+            return F.when((cut == "") & (c != ""), F.array().cast("array<string>")).otherwise(F.split(cut, " "))
         return F.filter(F.split(c, " "), lambda t: t != "")
     if mode == "char":
         return F.filter(F.split(c, ""), lambda t: t != "")
@@ -64,42 +71,68 @@ def tokenize(c, mode: str = "regex", pattern: str = LATIN_TOKEN_PATTERN,
     raise ValueError(f"unknown tokenize mode {mode!r}")
 
 
-def tokenize_lexicon(df: DataFrame, line_col: str, lexicon: Sequence[str],
-                     out: str = "tokens", max_word_len: int | None = None) -> DataFrame:
-    """P3 lexicon mode: forward longest match against a dictionary.
+def tokenize_lexicon(df: DataFrame, line_col: str, lexicon: DataFrame, out: str = "tokens",
+                     broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+    """P3 lexicon mode: forward longest match against a dictionary (``word`` column).
 
-    The dictionary is a bounded parameter (size checked); matching runs per
-    Arrow batch in ``mapInPandas`` — the only Python in the tokenise path.
+    At each place the longest dictionary word starting there is a token, else one
+    character; spaces outside words are dropped; a null line gives null.  Words of one
+    character or with a leading space change nothing.  A dictionary of up to
+    ``broadcast_words`` words is one automaton in each task; a larger one is joined
+    to the lines' substrings.  The result is the same.
     """
-    words = set(w for w in lexicon if w)
-    if len(words) > 5_000_000:
-        raise ValueError("lexicon too large to ship to tasks")
-    longest = max_word_len or max((len(w) for w in words), default=1)
-    out_schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(T.StringType()))])
-
-    def segment(line: str | None) -> list[str] | None:
-        if line is None:
-            return None
-        res, i, n = [], 0, len(line)
-        while i < n:
-            if line[i] == " ":
-                i += 1
-                continue
-            step = 1
-            for L in range(min(longest, n - i), 1, -1):
-                if line[i:i + L] in words:
-                    step = L
-                    break
-            res.append(line[i:i + step])
-            i += step
-        return res
+    words = lexicon.select("word").where("length(word) > 1 and not startswith(word, ' ')").distinct()
+    if words.count() > broadcast_words:
+        return _match_by_join(df, line_col, words, out)
+    sent = df.sparkSession.sparkContext.broadcast([r["word"] for r in words.collect()])
+    schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(T.StringType()))])
 
     def run(batches):
+        import ahocorasick
+
+        longest = ahocorasick.Automaton()
+        for w in sent.value:
+            longest.add_word(w, len(w))
+        if sent.value:
+            longest.make_automaton()
+
+        def cut(line):
+            if line is None:
+                return None
+            tokens, at = [], 0
+            for end, n in longest.iter_long(line) if sent.value else ():
+                tokens.extend(line[at:end + 1 - n].replace(" ", ""))
+                tokens.append(line[end + 1 - n:end + 1])
+                at = end + 1
+            tokens.extend(line[at:].replace(" ", ""))
+            return tokens
+
         for pdf in batches:
-            pdf[out] = pdf[line_col].map(segment)
+            pdf[out] = [cut(x) for x in pdf[line_col]]
             yield pdf
 
-    return df.mapInPandas(run, out_schema)
+    return df.mapInPandas(run, schema)
+
+
+def _match_by_join(df: DataFrame, line_col: str, words: DataFrame, out: str) -> DataFrame:
+    """Longest match without shipping the dictionary: substrings of distinct lines that
+    are as long as some word, joined to the words; then one walk over each line."""
+    lengths = sorted(r["n"] for r in words.select(F.length("word").alias("n")).distinct().collect())  # a row a length
+    lines = df.select(F.col(line_col).alias("_line")).where("_line is not null").distinct()
+    places = lines.select("_line", F.explode(F.expr("sequence(1, greatest(length(_line), 1))")).alias("_i"))
+    subs = places.withColumn("_n", F.explode(F.array(*map(F.lit, lengths)))).where(F.col("_i") + F.col("_n") - 1 <= F.length("_line")) \
+        .select("_line", "_i", "_n", F.expr("substring(_line, _i, _n)").alias("word"))
+    best = subs.join(words, "word", "left_semi").groupBy("_line", "_i").agg(F.max("_n").alias("_n"))
+    hits = best.groupBy("_line").agg(F.map_from_entries(F.collect_list(F.struct("_i", "_n"))).alias("_at"))
+    walked = lines.join(hits, "_line", "left").select("_line", F.expr("""aggregate(sequence(1, length(_line)),
+        named_struct('next', 1, 'out', cast(array() as array<string>)),
+        (a, i) -> case when i < a.next then a
+          when _at is not null and _at[i] is not null then named_struct('next', i + _at[i], 'out', concat(a.out, array(substring(_line, i, _at[i]))))
+          when substring(_line, i, 1) = ' ' then named_struct('next', i + 1, 'out', a.out)
+          else named_struct('next', i + 1, 'out', concat(a.out, array(substring(_line, i, 1)))) end,
+        a -> a.out)""").alias(out)).where("length(_line) > 0") \
+        .union(lines.where("length(_line) = 0").select("_line", F.array().cast("array<string>")))
+    return df.join(walked, F.col(line_col) == F.col("_line"), "left").drop("_line")
 
 
 def pos_tags(tokens_col: str, lexicon: Mapping[str, Sequence[str]] | None = None,
@@ -110,31 +143,49 @@ def pos_tags(tokens_col: str, lexicon: Mapping[str, Sequence[str]] | None = None
     branches = []
     for pos, words in (lexicon or {}).items():
         branches.append(f"WHEN {_in_list('t', words)} THEN {sql_str(pos)}")
-    case = (f"CASE WHEN NOT (t rlike {sql_str('^[' + script_class + ']+$')}) "
+    case = (f"CASE WHEN NOT (t rlike {sql_str('^[' + script_class + ']+' + chr(92) + 'z')}) "
             f"THEN {sql_str(nonscript_pos)} {' '.join(branches)} ELSE {sql_str(default_pos)} END")
     return F.expr(f"transform({tokens_col}, t -> {case})")
 
 
-def tag_tokens_join(df: DataFrame, id_col: str, tokens_col: str, lexicon_df: DataFrame,
-                    out: str = "pos", default_pos: str = "n") -> DataFrame:
-    """POS lookup as a join, for lexicons too large to inline.
-
-    Costs one shuffle of the tokens by line id to re-assemble the arrays;
-    the join itself is left to AQE (broadcast if the lexicon is small).
-    """
-    lex = lexicon_df.select(F.col("word").alias("_w"), F.col("pos").alias("_p")).dropDuplicates(["_w"])
-    t = df.select(id_col, F.posexplode(tokens_col).alias("_i", "_t"))
-    j = t.join(lex, t["_t"] == lex["_w"], "left")
-    g = j.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(
-        "_i", "_t", F.coalesce("_p", F.lit(default_pos)).alias("_p")))).alias("_a"))
-    g = g.select(id_col, F.col("_a._t").alias(tokens_col), F.col("_a._p").alias(out))
-    return df.drop(tokens_col).join(g, id_col, "inner")
+def _found_words(df: DataFrame, id_col: str, tokens_col: str, words: DataFrame) -> DataFrame:
+    """(id, word, other columns of ``words``): the listed words among each line's
+    distinct tokens.  Both sides are salted by the line, so a word that is in every
+    line is no single join key; AQE broadcasts the list where it is small."""
+    t = df.select(F.col(id_col).alias("_id"), F.explode(F.array_distinct(tokens_col)).alias("_t")) \
+        .withColumn("_salt", F.pmod(F.hash("_id"), F.lit(SALTS)))
+    w = words.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return t.join(w, (t["_t"] == w["word"]) & (t["_salt"] == w["_salt"])).select("_id", *words.columns)
 
 
-# Control characters used to mark cuts / join tokens inside one row; both
-# are non-script, so a token containing them is itself a cut token.
-_CUT = "\x01"
-_SEP = "\x02"
+def tag_tokens_join(df: DataFrame, id_col: str, tokens_col: str, lexicon_df: DataFrame,
+                    out: str = "pos", default_pos: str = "n", nonscript_pos: str | None = None,
+                    script_class: str | None = None) -> DataFrame:
+    """POS lookup as a join, for a lexicon ``(word, pos)`` of any size.
+
+    A word listed with several tags gets the one with the smallest ``ord`` (if the
+    lexicon has that column), else the smallest tag.  Every line stays, one without
+    tokens with an empty array.  With ``nonscript_pos`` and ``script_class`` tokens with any
+    other character get that tag.  ``id_col`` must name a line.
+    """
+    first = F.min_by("pos", "ord") if "ord" in lexicon_df.columns else F.min("pos")
+    lex = lexicon_df.groupBy("word").agg(first.alias("pos"))
+    found = _found_words(df, id_col, tokens_col, lex).groupBy("_id") \
+        .agg(F.map_from_entries(F.collect_list(F.struct("word", "pos"))).alias("_tags"))
+    j = df.join(found, F.col(id_col) == F.col("_id"), "left")
+    tag = f"coalesce(_tags[t], {sql_str(default_pos)})"
+    if nonscript_pos and script_class:
+        tag = f"CASE WHEN NOT (t rlike {sql_str('^[' + script_class + ']+' + chr(92) + 'z')}) THEN {sql_str(nonscript_pos)} ELSE {tag} END"
+    return j.select(*df.columns, F.expr(f"transform({tokens_col}, t -> {tag})").alias(out))
+
+
+def cut_words_join(df: DataFrame, id_col: str, tokens_col: str, words: DataFrame, out: str = "segments") -> DataFrame:
+    """P5 with a stop list (``word`` column) of any size: the runs between stop words."""
+    found = _found_words(df, id_col, tokens_col, words.select("word").distinct()).groupBy("_id") \
+        .agg(F.collect_list("word").alias("_cuts"))
+    j = df.join(found, F.col(id_col) == F.col("_id"), "left")
+    flags = F.expr(f"transform({tokens_col}, t -> coalesce(array_contains(_cuts, t), false))")
+    return _segments(j, [F.col(c) for c in df.columns], F.col(tokens_col), flags, out)
 
 
 def cut_flags_sql(tok: str, pos: str | None, stop_words: Sequence[str],
@@ -146,33 +197,23 @@ def cut_flags_sql(tok: str, pos: str | None, stop_words: Sequence[str],
     if pos and cut_pos_prefixes:
         conds.extend(f"startswith({pos}, {sql_str(p)})" for p in cut_pos_prefixes)
     if script_class:
-        conds.append(f"NOT ({tok} rlike {sql_str('^[' + script_class + ']+$')})")
+        conds.append(f"NOT ({tok} rlike {sql_str('^[' + script_class + ']+' + chr(92) + 'z')})")
     if stop_words:
         conds.append(_in_list(tok, stop_words))
     return "(" + " OR ".join(conds) + ")" if conds else "false"
 
 
-def segments_expr(tokens_col: str, pos_col: str | None = None, stop_words: Sequence[str] = (),
-                  cut_pos_prefixes: Sequence[str] = K.CUT_POS_PREFIXES,
-                  script_class: str | None = K.SCRIPT_CLASS_CJK) -> Column:
-    """P4 as one row-local Column (array<array<string>>).
-
-    Cut tokens become a marker, the line is joined and split at the markers
-    and each piece split back into tokens.  Every array is evaluated once
-    per row (no lambda indexes into another computed array, which Catalyst
-    could inline and re-evaluate per element), so the cost is linear in the
-    line length.
-    """
-    if pos_col:
-        src = f"arrays_zip({tokens_col}, {pos_col})"
-        tok, pos = f"z.{tokens_col}", f"z.{pos_col}"
-    else:
-        src, tok, pos = tokens_col, "z", None
-    cut = cut_flags_sql(tok, pos, stop_words, cut_pos_prefixes, script_class)
-    marked = f"transform({src}, z -> CASE WHEN {cut} THEN '{_CUT}' ELSE {tok} END)"
-    return F.expr(
-        f"filter(transform(split(array_join({marked}, '{_SEP}'), '{_CUT}'), "
-        f"p -> filter(split(p, '{_SEP}'), x -> x != '')), s -> size(s) > 0)")
+def _segments(df: DataFrame, keep: list[Column], tokens: Column, flags: Column, out: str) -> DataFrame:
+    """Runs of tokens between flagged ones, which are dropped, by position alone: a
+    token may hold any character.  Tokens, flags and cut positions are each computed
+    once a row, so the cost is linear in the line."""
+    a = _once(df, *keep, tokens.alias("_t"), flags.alias("_f"))
+    names = [c for c in a.columns if c not in ("_t", "_f")]
+    cuts = "filter(transform(_f, (f, i) -> CASE WHEN f THEN i END), x -> x IS NOT NULL)"
+    b = _once(a, *[F.col(c) for c in names], F.col("_t"), F.expr(f"concat(array(-1), {cuts}, array(size(_t)))").alias("_b"))
+    runs = ("filter(zip_with(slice(_b, 1, size(_b) - 1), slice(_b, 2, size(_b) - 1), "
+            "(x, y) -> slice(_t, x + 2, y - x - 1)), s -> size(s) > 0)")
+    return _once(b, *[F.col(c) for c in names if c != out], F.expr(f"CASE WHEN _t IS NOT NULL THEN {runs} END").alias(out))
 
 
 def add_segments(df: DataFrame, tokens_col: str = "tokens", pos_col: str | None = None,
@@ -182,12 +223,17 @@ def add_segments(df: DataFrame, tokens_col: str = "tokens", pos_col: str | None
     """Cut the token array at cut tokens (which are dropped) and keep the
     non-empty runs between them.  P5 (stop words only) is
     ``cut_pos_prefixes=(), script_class=None``."""
-    return df.withColumn(out, segments_expr(tokens_col, pos_col, stop_words, cut_pos_prefixes,
-                                            script_class))
+    if pos_col:
+        cut = cut_flags_sql("t", "p", stop_words, cut_pos_prefixes, script_class)
+        flags = F.expr(f"zip_with({tokens_col}, {pos_col}, (t, p) -> coalesce({cut}, false))")
+    else:
+        cut = cut_flags_sql("t", None, stop_words, cut_pos_prefixes, script_class)
+        flags = F.expr(f"transform({tokens_col}, t -> coalesce({cut}, false))")
+    return _segments(df, [F.col(c) for c in df.columns], F.col(tokens_col), flags, out)
 
 
-def explode_segments(df: DataFrame, segments_col: str = "segments", out: str = "seg") -> DataFrame:
-    return df.select(F.explode(segments_col).alias(out))
+def explode_segments(df: DataFrame, segments_col: str = "segments", out: str = "seg", keep: Sequence[str] = ()) -> DataFrame:
+    return _once(df, *[F.col(c) for c in keep], F.col(segments_col).alias("_s")).select(*keep, F.explode("_s").alias(out))
 
 
 def cut_words(lexicon: Mapping[str, Sequence[str]] | None, stop_words: Sequence[str],
@@ -202,7 +248,14 @@ def cut_words(lexicon: Mapping[str, Sequence[str]] | None, stop_words: Sequence[
     return list(dict.fromkeys(list(stop_words) + cut))
 
 
-def segment_lines(c, script_class: str, words_that_cut: Sequence[str]) -> Column:
+# Marks cuts and joins words inside one line of a script; both characters are outside
+# every script class, and what is outside the class has become a cut before they come in.
+_CUT = "\x01"
+_SEP = "\x02"
+
+
+def segment_lines(df: DataFrame, line: Column, script_class: str, words_that_cut: Sequence[str],
+                  out: str = "segments", keep: Sequence[str] = ()) -> DataFrame:
     """P3+P4 fused for regex-tokenised scripts: every run of non-script,
     non-space characters becomes a cut marker at the line level (one regex
     per line), the line is split into words, cut words (one hash-set lookup
@@ -211,31 +264,10 @@ def segment_lines(c, script_class: str, words_that_cut: Sequence[str]) -> Column
     Same result as ``tokenize(regex) -> pos_tags -> add_segments`` when the
     default tag of a script word does not cut, at a fraction of the cost.
     """
-    marked = F.regexp_replace(col(c), f"[^{script_class} ]+", f" {_CUT} ")
-    words = F.split(marked, " +")
+    marked = F.regexp_replace(line, f"[^{script_class} ]+", f" {_CUT} ")
+    words = _once(df, *[F.col(c) for c in keep], F.split(marked, " +").alias("_w"))
     inl = _in_list("t", words_that_cut)
-    return F.expr(
+    segments = F.expr(
         f"filter(transform(split(array_join(transform(_w, t -> CASE WHEN {inl} THEN '{_CUT}' ELSE t END), "
-        f"'{_SEP}'), '{_CUT}'), p -> filter(split(p, '{_SEP}'), x -> x != '')), s -> size(s) > 0)"
-    ).alias("segments"), words
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition distinct rows by ``key`` into the session's shuffle
-    parallelism before CPU-heavy per-row work.  Spark folds this into the
-    preceding exchange when that one already hashes by ``key`` into the same
-    number of partitions (e.g. right after a dedup), so it costs no extra
-    shuffle there.  Only use on keys that are already distinct (no skew)."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, key)
-
-
-def spread_small_input(df: DataFrame, key: str) -> DataFrame:
-    """When a scan yields fewer input partitions than the cluster's default
-    parallelism (a few large row groups), hash-spread it by a unique key so
-    the CPU-heavy text work runs on every core.  At scale the scan already
-    has thousands of splits and this is a no-op."""
-    sc = df.sparkSession.sparkContext
-    if df.rdd.getNumPartitions() < sc.defaultParallelism:
-        return df.repartition(sc.defaultParallelism, key)
-    return df
+        f"'{_SEP}'), '{_CUT}'), p -> filter(split(p, '{_SEP}'), x -> x != '')), s -> size(s) > 0)")
+    return words.select(*keep, segments.alias(out))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termspark.functions import constants as K
+from termspark.functions.text import not_blank
 from termspark.operators import tokenize as tk
 
 SCRIPT_CLASS = tk.LATIN_SCRIPT_CLASS
@@ -44,26 +45,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def corpus_docs(spark: SparkSession, sf_dir: str, corpus: str = "B") -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    docs = tk.spread_small_input(docs, "doc_id")
-    if corpus == "A":
-        docs = docs.where(F.col("lang") != "en")
-    elif corpus != "B":
-        raise ValueError(corpus)
-    return docs
+def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(line, n, na): every distinct non-blank line of B with how often it occurs in B and
+    in A.  Every statistic over lines starts from this table: text is processed once
+    for each distinct line, and the exchange of the aggregation deals the lines out
+    over the cluster, however few splits the scan had."""
+    docs = table(spark, sf_dir, "documents").select("text", (F.col("lang") != "en").alias("a"))
+    lines = docs.select("a", F.explode(F.split("text", "\n")).alias("line")).where(not_blank("line"))
+    return lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.count_if("a").alias("na"))
 
 
 def corpus_lines(spark: SparkSession, sf_dir: str, corpus: str = "B") -> DataFrame:
-    """Non-blank lines with their identity (doc_id, line_no); not deduped."""
-    docs = corpus_docs(spark, sf_dir, corpus)
-    return (docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-            .where(F.trim("line") != ""))
+    """Distinct non-blank lines of a corpus with their number of occurrences ``n``."""
+    lines = line_counts(spark, sf_dir)
+    if corpus == "A":
+        return lines.where("na > 0").select("line", F.col("na").alias("n"))
+    if corpus != "B":
+        raise ValueError(corpus)
+    return lines.select("line", "n")
 
 
 def distinct_lines(spark: SparkSession, sf_dir: str, corpus: str = "B") -> DataFrame:
     """The deduplicated lines the statistics jobs read."""
-    return tk.dedup_lines(corpus_lines(spark, sf_dir, corpus), "line")
+    return corpus_lines(spark, sf_dir, corpus).select("line")
 
 
 def tokens_of(df: DataFrame, line_col: str = "line", out: str = "tokens") -> DataFrame:
@@ -72,7 +76,7 @@ def tokens_of(df: DataFrame, line_col: str = "line", out: str = "tokens") -> Dat
 
 
 def segmented_lines(spark: SparkSession, sf_dir: str, corpus: str = "B") -> DataFrame:
-    """Every non-blank line with its token array (not deduped)."""
+    """Each distinct line with its token array and number of occurrences ``n``."""
     return tokens_of(corpus_lines(spark, sf_dir, corpus))
 
 
@@ -81,23 +85,21 @@ def tagged(df: DataFrame, tokens_col: str = "tokens", out: str = "pos") -> DataF
                                           SCRIPT_CLASS))
 
 
-def segments(spark: SparkSession, sf_dir: str, corpus: str = "B", dedup: bool = True) -> DataFrame:
-    """P2+P3+P4: one row per sentence segment (``seg`` array<string>)."""
-    lines = distinct_lines(spark, sf_dir, corpus) if dedup else corpus_lines(spark, sf_dir, corpus)
-    lines = tk.spread(lines, "line")
-    seg, words = tk.segment_lines(F.lower(F.col("line")), SCRIPT_CLASS,
-                                  tk.cut_words(POS_LEXICON, STOP_WORDS, K.CUT_POS_PREFIXES))
-    s = lines.select(words.alias("_w")).select(seg)
-    return tk.explode_segments(s, "segments", "seg")
+def lexicon(spark: SparkSession) -> DataFrame:
+    """POS_LEXICON as a table (word, pos, ord): the first listed tag has the least ord."""
+    rows = [(w, p, i) for i, (p, words) in enumerate(POS_LEXICON.items()) for w in words]
+    return spark.createDataFrame(rows, "word string, pos string, ord int")
 
 
-def segments_tagged(spark: SparkSession, sf_dir: str, corpus: str = "B") -> DataFrame:
-    """P2+P3+P4 through the general path (tokens -> POS tags -> cuts); the
-    result equals ``segments``; used by tests to cross-check the fused path."""
-    t = tagged(tokens_of(distinct_lines(spark, sf_dir, corpus)))
-    s = tk.add_segments(t, "tokens", "pos", "segments", STOP_WORDS, K.CUT_POS_PREFIXES,
-                        SCRIPT_CLASS)
-    return tk.explode_segments(s, "segments", "seg")
+def segments(spark: SparkSession, sf_dir: str, corpus: str = "B") -> DataFrame:
+    """P2+P3+P4: one row per sentence segment of the distinct lines (``seg``
+    array<string>) with ``in_a``: the line belongs to A as well."""
+    lines = line_counts(spark, sf_dir).select("line", (F.col("na") > 0).alias("in_a"))
+    if corpus == "A":
+        lines = lines.where("in_a")
+    cut = tk.cut_words(POS_LEXICON, STOP_WORDS, K.CUT_POS_PREFIXES)
+    s = tk.segment_lines(lines, F.lower(F.col("line")), SCRIPT_CLASS, cut, keep=["in_a"])
+    return tk.explode_segments(s, "segments", "seg", keep=["in_a"])
 
 
 def stop_segments(spark: SparkSession, sf_dir: str, corpus: str = "B") -> DataFrame:

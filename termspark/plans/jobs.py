@@ -1,8 +1,7 @@
 """Composite jobs (X1-X14) wired onto the driver's test tables.
 
 Each function is a thin composition of operators; the operators carry the
-semantics.  Nothing here collects rows: the only driver round-trips are
-scalars (a line count, a frequency total, a top-K size).
+semantics.  Nothing here collects rows.
 """
 from __future__ import annotations
 
@@ -10,120 +9,137 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termspark.functions import constants as K
+from termspark.functions.text import not_blank
 from termspark.operators import cohesion as coh
+from termspark.operators import compare as cmp
+from termspark.operators import features as fe
+from termspark.operators import keywords as kw
+from termspark.operators import labels as lb
+from termspark.operators import model as md
 from termspark.operators import ngrams as ng
 from termspark.operators import pmi as pm
+from termspark.operators import rank as rk
 from termspark.operators import stats as st
 from termspark.plans import corpus as C
+from termspark.session import materialize
+from termspark.sources import readers, sinks
+
+# -- X1 corpus extraction ---------------------------------------------------------
+
+
+def extract_corpus(spark: SparkSession, paths, out: str, encoding: str = "GBK", open_tag: str = K.CONTENT_OPEN,
+                   close_tag: str = K.CONTENT_CLOSE, partitions: int = 128) -> None:
+    """S1 -> P1 -> K3: the tagged lines of text files, tags removed, as text."""
+    lines = kw.extract_tagged(readers.read_lines(spark, paths, encoding), "line", open_tag, close_tag)
+    sinks.write_lines(lines, out, partitions)
+
 
 # -- X2 corpus statistics ------------------------------------------------------
 
 
 def word_idf(spark: SparkSession, sf: str) -> DataFrame:
-    return st.idf(C.segmented_lines(spark, sf, "B"), "tokens", "word")
+    return st.idf(C.segmented_lines(spark, sf, "B"), "tokens", st.WORD, "n")
 
 
 def char_idf(spark: SparkSession, sf: str) -> DataFrame:
-    return st.idf(C.segmented_lines(spark, sf, "B"), "tokens", "char")
+    return st.idf(C.segmented_lines(spark, sf, "B"), "tokens", st.CHAR, "n")
 
 
 def term_freq(spark: SparkSession, sf: str) -> DataFrame:
-    return st.term_freq(C.segmented_lines(spark, sf, "B"), "tokens")
+    return st.term_freq(C.segmented_lines(spark, sf, "B"), "tokens", "n")
 
 
 def char_freq(spark: SparkSession, sf: str) -> DataFrame:
-    return st.char_freq(C.segmented_lines(spark, sf, "B"), "tokens")
+    return st.char_freq(C.segmented_lines(spark, sf, "B"), "tokens", "n")
 
 
 def bigram_freq(spark: SparkSession, sf: str) -> DataFrame:
-    return st.bigram_freq(C.segmented_lines(spark, sf, "B"), "tokens")
+    return st.bigram_freq(C.segmented_lines(spark, sf, "B"), "tokens", "n")
 
 
 # -- X3 / X4 / X5 cohesion, frequency, PMI --------------------------------------
 
 
 def occurrences(spark: SparkSession, sf: str, corpus: str = "B") -> DataFrame:
-    return ng.ngrams_with_context(C.segments(spark, sf, corpus), "seg")
+    return ng.ngrams_with_context(C.segments(spark, sf, corpus), "seg", keep=["in_a"])
 
 
 def gram_freq(spark: SparkSession, sf: str, corpus: str = "B") -> DataFrame:
     return coh.gram_freq(occurrences(spark, sf, corpus), K.COHESION_MIN_FREQ)
 
 
-def gram_total(spark: SparkSession, sf: str) -> int:
+def gram_total(spark: SparkSession, sf: str) -> DataFrame:
     return coh.gram_total(gram_freq(spark, sf, "B"))
 
 
-def context_counts(spark: SparkSession, sf: str, corpus: str = "B") -> DataFrame:
-    """A7 long form ``(gram, side, ctx, c)``, checkpointed: frequency table,
-    total, entropy and PMI all derive from it without re-generating the
-    n-grams."""
-    from termspark.session import materialize
-    return materialize(coh.side_contexts(occurrences(spark, sf, corpus)))
+CORPORA = {"B": "", "A": "a_"}
 
 
-def freq_from_contexts(cc: DataFrame, min_freq: int = K.COHESION_MIN_FREQ) -> DataFrame:
-    """A6 from A7: a gram's frequency is the sum of its previous-token counts."""
-    f = cc.where(F.col("side") == 0).groupBy("gram").agg(F.sum("c").alias("freq"))
-    return f.where(F.col("freq") >= min_freq)
+def gram_table(spark: SparkSession, sf: str) -> DataFrame:
+    """A6-A8 of B and of A (A is part of B) in one pass: (gram, freq, left_entropy,
+    right_entropy, a_freq, a_left_entropy, a_right_entropy) of the grams that reach the
+    frequency floor in B, which those of A reach as well.  Small beside the contexts it
+    comes from; it is the only intermediate that the jobs after it use."""
+    contexts = coh.side_contexts(occurrences(spark, sf, "B"), "in_a")
+    return coh.context_entropy(None, ctx_counts=contexts, corpora={"": "c", "a_": "ca"}).where(F.col("freq") >= K.COHESION_MIN_FREQ)
 
 
 def cohesion(spark: SparkSession, sf: str, corpus: str = "B") -> DataFrame:
-    return coh.cohesion(occurrences(spark, sf, corpus))
-
-
-def _cohesion_from(cc: DataFrame) -> DataFrame:
-    ce = coh.context_entropy(None, ctx_counts=cc).where(F.col("freq") >= K.COHESION_MIN_FREQ)
-    multi = F.col("gram").contains(K.GRAM_JOINER)
-    ent = F.when(multi, F.least("left_entropy", "right_entropy")).otherwise(F.log(F.col("freq").cast("double")))
-    return ce.select("gram", "freq", ent.alias("entropy")).where(F.col("entropy") >= K.COHESION_MIN_ENTROPY)
-
-
-def scored_tables(spark: SparkSession, sf: str, corpora=("B", "A"), **pmi_kw) -> dict[str, DataFrame]:
-    """X3+X4+X5 for the given corpora; PMI marginals and total always come
-    from the combined corpus B (as the original does)."""
-    cc_b = context_counts(spark, sf, "B")
-    freq_b = freq_from_contexts(cc_b)
-    total = coh.gram_total(freq_b)
-    out = {}
-    for corpus in corpora:
-        cc = cc_b if corpus == "B" else context_counts(spark, sf, corpus)
-        out[corpus] = pm.pmi(_cohesion_from(cc), freq_b, total, **pmi_kw)
-    return out
+    return coh.cohesion_from(gram_table(spark, sf), prefix=CORPORA[corpus])
+
+
+def scored_from(grams: DataFrame, corpus: str = "B", **pmi_kw) -> DataFrame:
+    """X5 of a gram table; PMI marginals and total always come from the combined
+    corpus B (as the original does)."""
+    return pm.pmi(coh.cohesion_from(grams, prefix=CORPORA[corpus]), grams.select("gram", "freq"), **pmi_kw)
 
 
 def scored(spark: SparkSession, sf: str, corpus: str = "B", **pmi_kw) -> DataFrame:
     """X5 for one corpus."""
-    return scored_tables(spark, sf, (corpus,), **pmi_kw)[corpus]
+    return scored_from(materialize(gram_table(spark, sf)), corpus, **pmi_kw)
+
+
+# marginals of the J2 query: only grams this frequent, so that halves are missing
+SPARSE_MARGINALS = 40
+
+
+def scored_sparse(spark: SparkSession, sf: str) -> DataFrame:
+    """J2 with marginals that lack many halves: missing = 0, single = 10.0."""
+    grams = materialize(gram_table(spark, sf))
+    marginals = grams.where(F.col("freq") >= SPARSE_MARGINALS).select("gram", "freq")
+    return pm.pmi(coh.cohesion_from(grams), marginals, single_const=K.PMI_SINGLE_CONST_TRIE, missing=0)
 
 
 # -- X6 corpus diff ----------------------------------------------------------------
 
 SURFACE_JOINER = " "  # Latin test text: a gram's surface form keeps a space
+# J6 / O3 on the test tables: a larger share of A counts as its head, and a protected
+# string that some of the head words hold (parameters; both outputs have rows)
+HEAD_DIVISOR = 2
+PROTECTED = "th"
+
 
+def diff_from(grams: DataFrame, surface_joiner: str = SURFACE_JOINER, **how) -> dict[str, DataFrame]:
+    how = {"divisor": HEAD_DIVISOR, "protected": PROTECTED} | how
+    return cmp.diff_candidates(scored_from(grams, "B"), scored_from(grams, "A"), surface_joiner=surface_joiner, **how)
 
-def diff(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    from termspark.operators import compare as cmp
-    from termspark.session import materialize
-    t = scored_tables(spark, sf, ("B", "A"))
-    b, a = materialize(t["B"]), materialize(t["A"])
-    return cmp.diff_candidates(b, a, surface_joiner=SURFACE_JOINER)
+
+def diff(spark: SparkSession, sf: str, **how) -> dict[str, DataFrame]:
+    return diff_from(materialize(gram_table(spark, sf)), **how)
 
 
 # -- word lists for the test tables (S3 semantics: non-blank, distinct) ------------
 
 
 def positives(spark: SparkSession, sf: str) -> DataFrame:
-    """Positive list: distinct script words (3+ letters) of ``benchmark``."""
-    t = C.table(spark, sf, "benchmark").select(F.explode(
-        C.tk.tokenize(F.lower("text"), "regex", C.TOKEN_PATTERN)).alias("word"))
-    return t.where(F.col("word").rlike(f"^[{C.SCRIPT_CLASS}]{{3,}}$")).distinct()
+    """Positive list: distinct script words of ``benchmark``."""
+    return script_words(C.table(spark, sf, "benchmark"), "text")
 
 
 def negatives(spark: SparkSession, sf: str) -> DataFrame:
     """Negative list: distinct words of ``part.p_name``."""
     t = C.table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("word"))
-    return t.where(F.trim("word") != "").distinct()
+    return lb.word_list(t, "word")
 
 
 def word_units(c):
@@ -138,9 +154,10 @@ def hot_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def features(spark: SparkSession, sf: str, terms: DataFrame, mode: str = "filter") -> DataFrame:
-    from termspark.operators import features as fe
+    """Lexical features; the corpus is read once, for N and both document frequencies."""
     hc, hw = hot_tables(spark, sf)
-    return fe.term_features(terms, char_idf(spark, sf), word_idf(spark, sf), hc, hw, word_units, mode)
+    df = materialize(st.document_freq(C.segmented_lines(spark, sf, "B"), "tokens", "n"))
+    return fe.term_features(terms, st.idf_from(df, st.CHAR), st.idf_from(df, st.WORD), hc, hw, word_units, mode)
 
 
 def stand_in_predictions(feats: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -159,10 +176,20 @@ NO_IN = ["tion"]
 
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
-    cands = diff(spark, sf)["candidates"]
+    cands = materialize(diff(spark, sf)["candidates"])
     return stand_in_predictions(features(spark, sf, cands), cands)
 
 
+# O4 / U4 on the test tables: list lengths below the number of candidates
+REPORT_TOP_N = 100
+EVAL_TOP_N = 100
+
+
+def threshold_report(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """Ranked, kept, dropped and diff tables of the predictions."""
+    return rk.threshold_report(materialize(predictions(spark, sf)), n=REPORT_TOP_N)
+
+
 def term_pos(df: DataFrame, term_col: str = "term") -> DataFrame:
     t = df.withColumn("_toks", word_units(F.col(term_col)))
     return t.withColumn("pos", C.tk.pos_tags("_toks", C.POS_LEXICON, C.DEFAULT_POS, C.NONSCRIPT_POS,
@@ -171,10 +198,10 @@ def term_pos(df: DataFrame, term_col: str = "term") -> DataFrame:
 
 def final_terms(spark: SparkSession, sf: str) -> DataFrame:
     """J7 -> O2 -> F2 -> F4 -> F3 -> F5, best first."""
-    from termspark.operators import rank as rk
     d = diff(spark, sf)
-    preds = stand_in_predictions(features(spark, sf, d["candidates"]), d["candidates"])
-    x = rk.final_score(rk.attach_predictions(d["features"], preds))
+    terms = materialize(d["features"].withColumn("score", F.lit(0.0)))
+    preds = stand_in_predictions(features(spark, sf, terms), terms)
+    x = rk.final_score(rk.attach_predictions(terms.drop("score"), preds))
     x = term_pos(rk.final_floor(x))
     x = rk.single_token_filter(x)
     x = rk.affix_filter(x, "term", NO_BEGIN, NO_END, NO_IN)
@@ -182,6 +209,27 @@ def final_terms(spark: SparkSession, sf: str) -> DataFrame:
     return x.drop("pos").orderBy(F.desc("final_score"), "term")
 
 
+def stop_bigrams(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct one- and two-token terms of the stop-word segments (P5): unlike the
+    candidates they still hold words of every tag, and repeated characters."""
+    s = C.stop_segments(spark, sf, "B")
+    grams = ng.ngrams_with_context(s, "seg", 2, " ").where(F.col("gram").rlike(rf"^[{C.SCRIPT_CLASS} ]+\z"))
+    return term_pos(grams.select(F.col("gram").alias("term")).distinct())
+
+
+def rule_filters(spark: SparkSession, sf: str) -> DataFrame:
+    """(rule, term): what each of F3, F4, F5, F6 and F10 keeps of the stop-word bigrams."""
+    t = materialize(stop_bigrams(spark, sf))
+    kept = {"affix": rk.affix_filter(t, "term", NO_BEGIN, NO_END, NO_IN), "single_token": rk.single_token_filter(t),
+            "pos_pattern": rk.pos_pattern_filter(t), "verb_tail": rk.verb_tail_filter(t),
+            "reduplication": cmp.reduplication_filter(t, "term", " ")}
+    out = None
+    for rule, df in kept.items():
+        df = df.select(F.lit(rule).alias("rule"), "term")
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
 # -- X11 keywords / X12 label hygiene / X14 audit ---------------------------------------
 
 # keyword-field parameters for the test tables (invented)
@@ -192,6 +240,10 @@ KWIC_KEY = "tion"
 KWIC_EXCLUDE = "tions"
 TEST_STOP_CHARS = "qxz"
 MARKERS = ["ment", "tion", "eau"]
+# characters that stand for each other (P10, passed to P21 and P22)
+VARIANTS = ("éèê", "eee")
+# letters turned into a full-width letter, an emoji and a private-use character, so that P9 and P10 have work
+ODD_CHARS = ("jkw", "\uFF21\U0001F600\uE000")
 
 
 def conversation_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -199,19 +251,18 @@ def conversation_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def keywords(spark: SparkSession, sf: str) -> DataFrame:
-    from termspark.operators import keywords as kw
     return kw.parse_keyword_fields(conversation_lines(spark, sf), "line", **KW)
 
 
 def script_words(df: DataFrame, text_col: str) -> DataFrame:
     t = df.select(F.explode(word_units(F.col(text_col))).alias("word"))
-    return t.where(F.col("word").rlike(f"^[{C.SCRIPT_CLASS}]{{3,}}$")).distinct()
+    return t.where(F.col("word").rlike(rf"^[{C.SCRIPT_CLASS}]+\z")).distinct()
 
 
 def label_lists(spark: SparkSession, sf: str) -> tuple[dict, dict, DataFrame]:
     pos = {"pos1": positives(spark, sf),
            "pos2": C.table(spark, sf, "part").select(F.explode(F.split(F.lower("p_type"), " ")).alias("word"))
-           .where(F.trim("word") != "").distinct()}
+           .where(not_blank("word")).distinct()}
     neg = {"neg1": negatives(spark, sf),
            "neg2": script_words(C.table(spark, sf, "conversations"), "text")}
     true_pos = pos["pos1"].where(F.length("word") % 2 == 0)
@@ -224,40 +275,70 @@ CHAR_MAX_LEN = 4
 
 
 def char_occurrences(spark: SparkSession, sf: str) -> DataFrame:
-    lines = C.corpus_lines(spark, sf, "B").select(F.lower("line").alias("line"))
-    pieces = lines.select(F.explode(ng.char_pieces("line", C.SCRIPT_CLASS, TEST_STOP_CHARS, " ")).alias("piece"))
-    return ng.char_ngrams_with_next(pieces, "piece", CHAR_MAX_LEN)
+    """N3 / N4 occurrences of the distinct pieces, with the pieces' number ``n``."""
+    lines = C.corpus_lines(spark, sf, "B")
+    found = lines.select("n", F.inline(F.array(F.struct(ng.char_pieces(F.lower("line"), C.SCRIPT_CLASS, TEST_STOP_CHARS, " ").alias("_p")))))
+    pieces = found.select("n", F.explode("_p").alias("piece")).groupBy("piece").agg(F.sum("n").alias("n"))
+    return ng.char_ngrams_with_next(pieces, "piece", CHAR_MAX_LEN, keep=["n"])
 
 
 def positional_prop(spark: SparkSession, sf: str) -> DataFrame:
     """Positional char table (ch, p1, p2, p3): share of a character's
     occurrences at the start / middle / end of the corpus's script words."""
-    t = C.segmented_lines(spark, sf, "B").select(F.explode("tokens").alias("t"))
-    t = t.where(F.col("t").rlike(f"^[{C.SCRIPT_CLASS}]+$"))
-    c = t.select("t", F.posexplode(F.filter(F.split("t", ""), lambda x: x != "")).alias("i", "ch"))
+    t = term_freq(spark, sf).select(F.col("term").alias("t"), F.col("freq").alias("n"))
+    t = t.where(F.col("t").rlike(rf"^[{C.SCRIPT_CLASS}]+\z"))
+    c = t.select("t", "n", F.posexplode(F.filter(F.split("t", ""), lambda x: x != "")).alias("i", "ch"))
     slot = (F.when(F.col("i") == 0, "b").when(F.col("i") == F.length("t") - 1, "e").otherwise("m"))
-    g = c.groupBy("ch").agg(F.count(F.lit(1)).alias("_n"),
-                            F.count(F.when(slot == "b", 1)).alias("_b"),
-                            F.count(F.when(slot == "m", 1)).alias("_m"),
-                            F.count(F.when(slot == "e", 1)).alias("_e"))
+    g = c.groupBy("ch").agg(F.sum("n").alias("_n"), F.sum(F.when(slot == "b", F.col("n")).otherwise(0)).alias("_b"),
+                            F.sum(F.when(slot == "m", F.col("n")).otherwise(0)).alias("_m"),
+                            F.sum(F.when(slot == "e", F.col("n")).otherwise(0)).alias("_e"))
     return g.select("ch", (F.col("_b") / F.col("_n")).alias("p1"), (F.col("_m") / F.col("_n")).alias("p2"),
                     (F.col("_e") / F.col("_n")).alias("p3"))
 
 
-def char_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    occ = char_occurrences(spark, sf)
-    right = coh.char_side_entropy(occ, "next")
-    left = coh.char_side_entropy(occ, "prev")
-    merged = coh.merge_entropy(right, left)
-    scored = pm.char_pmi(merged, right)
-    with_pp = pm.positional_pos(scored, positional_prop(spark, sf))
-    return {"right": right, "left": left, "merged": merged, "scored": with_pp,
-            "terms": pm.char_term_filter(with_pp)}
+def char_entropies(spark: SparkSession, sf: str) -> DataFrame:
+    return coh.char_entropies(char_occurrences(spark, sf), "n")
+
+
+def char_side(spark: SparkSession, sf: str, side: str) -> DataFrame:
+    return char_entropies(spark, sf).select("gram", "freq", F.col(side).alias("entropy"))
+
+
+def char_merged(both: DataFrame) -> DataFrame:
+    """J13 over the two sides of one table."""
+    return coh.merge_entropy(both.select("gram", "freq", F.col("right").alias("entropy")),
+                             both.select("gram", "freq", F.col("left").alias("entropy")))
+
+
+def char_scored(spark: SparkSession, sf: str) -> DataFrame:
+    """J13 -> J3 -> J14; the test corpus is of Latin script, so grams of ASCII letters
+    are kept."""
+    both = materialize(char_entropies(spark, sf))
+    scored = pm.char_pmi(char_merged(both), both.select("gram", "freq"), drop_alnum=False)
+    return pm.positional_pos(scored, positional_prop(spark, sf))
+
+
+# external features of the rank mode on the test tables: what the gram table says of a
+# term in both corpora (it covers every candidate, and some of the training words)
+def external_features(grams: DataFrame) -> DataFrame:
+    """(term, ext1 .. ext12) with three booleans, keyed by the surface form."""
+    f, a = F.col("freq").cast("double"), F.col("a_freq").cast("double")
+    values = [f, a, F.col("left_entropy"), F.col("right_entropy"), F.col("a_freq") > 0, F.col("gram").contains(K.GRAM_JOINER),
+              F.col("a_freq") >= K.COHESION_MIN_FREQ, F.coalesce("a_left_entropy", F.lit(0.0)), F.coalesce("a_right_entropy", F.lit(0.0)),
+              a / f, F.length("gram").cast("double"), F.abs(F.col("left_entropy") - F.col("right_entropy"))]
+    return grams.select(F.replace(F.col("gram"), F.lit(K.GRAM_JOINER), F.lit(SURFACE_JOINER)).alias("term"),
+                        *[v.alias(c) for v, c in zip(values, fe.EXTERNAL_COLUMNS)])
+
+
+def rank_tables(spark: SparkSession, sf: str, mode: str = "rank") -> tuple[DataFrame, DataFrame]:
+    """M3 on the test tables: the (train, predict) rows of a mode."""
+    grams = materialize(gram_table(spark, sf))
+    cands = materialize(diff_from(grams)["candidates"])
+    return fe.choose(mode, positives(spark, sf), negatives(spark, sf), cands, lambda t, m: features(spark, sf, t, m), external_features(grams))
 
 
-def external_features(a_scored: DataFrame) -> DataFrame:
-    """External per-term features for the rank mode (M2/J8), derived from
-    the background corpus's scored table (surface form, freq, entropy, pmi)."""
-    return a_scored.select(F.regexp_replace("gram", K.GRAM_JOINER, SURFACE_JOINER).alias("term"),
-                           F.col("freq").cast("double").alias("ext_freq"),
-                           F.col("entropy").alias("ext_entropy"), F.col("pmi").alias("ext_pmi"))
+def classify(spark: SparkSession, sf: str, kind: str = "logistic") -> DataFrame:
+    """Fit on the labelled words, score the candidates."""
+    train, predict = rank_tables(spark, sf, "filter")
+    model = md.train(materialize(train), fe.FILTER_FEATURES, kind)
+    return md.predict(model, predict, kind)

@@ -27,12 +27,20 @@ def r6(expr: str) -> str:
     return f"(round({expr}, 6) + 0.0)"
 
 
+def not_blank(expr: str) -> str:
+    return f"regexp_matches({expr}, '[^\\x00-\\x20]')"
+
+
+def java_trim(expr: str) -> str:
+    return f"regexp_replace({expr}, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g')"
+
+
 def lines(corpus: str = "B") -> str:
     where = "WHERE lang <> 'en'" if corpus == "A" else ""
     return f"""(SELECT doc_id, line_no, line FROM (
         SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
                generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
-        FROM documents {where}) WHERE trim(line) <> '')"""
+        FROM documents {where}) WHERE {not_blank('line')})"""
 
 
 def tokens(expr: str) -> str:
@@ -68,7 +76,7 @@ def segments_ctes(corpus: str = "B", dedup: bool = True, stop_only: bool = False
         pos_cut = " OR ".join(f"starts_with(tag, {q(x)})" for x in K.CUT_POS_PREFIXES)
         cut = f"({pos_cut} OR NOT {script_full('tok')} OR tok IN ({lst(C.STOP_WORDS)}))"
     return f"""
-{p}dl AS ({src}),
+{p}dl AS MATERIALIZED ({src}),
 {p}tl AS (SELECT line, {tokens('line')} AS toks FROM {p}dl),
 {p}tk AS (SELECT line, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM {p}tl),
 {p}tg AS (SELECT tk.line, tk.pos, tk.tok, {tag_expr('tk.tok', 'lx.tag')} AS tag
@@ -76,7 +84,7 @@ def segments_ctes(corpus: str = "B", dedup: bool = True, stop_only: bool = False
 {p}cf AS (SELECT line, pos, tok, {cut} AS is_cut FROM {p}tg),
 {p}sg AS (SELECT line, pos, tok, is_cut,
         sum(CASE WHEN is_cut THEN 1 ELSE 0 END) OVER (PARTITION BY line ORDER BY pos) AS seg_id FROM {p}cf),
-{p}segs AS (SELECT line, seg_id, list(tok ORDER BY pos) AS seg FROM {p}sg WHERE NOT is_cut GROUP BY line, seg_id)"""
+{p}segs AS MATERIALIZED (SELECT line, seg_id, list(tok ORDER BY pos) AS seg FROM {p}sg WHERE NOT is_cut GROUP BY line, seg_id)"""
 
 
 def occurrences_ctes(corpus: str = "B", prefix: str = "") -> str:
@@ -85,7 +93,7 @@ def occurrences_ctes(corpus: str = "B", prefix: str = "") -> str:
     return segments_ctes(corpus, prefix=prefix) + f""",
 {p}sp AS (SELECT seg, unnest(generate_series(1, len(seg))) AS i FROM {p}segs),
 {p}gk AS (SELECT seg, i, unnest(generate_series(1, least(4, len(seg) - i + 1))) AS k FROM {p}sp),
-{p}occ AS (SELECT array_to_string(seg[i:i + k - 1], ',') AS gram, k,
+{p}occ AS MATERIALIZED (SELECT array_to_string(seg[i:i + k - 1], ',') AS gram, k,
         CASE WHEN i = 1 THEN '$' ELSE seg[i - 1] END AS prev,
         CASE WHEN i + k > len(seg) THEN '$' ELSE seg[i + k] END AS next FROM {p}gk)"""
 
@@ -94,7 +102,7 @@ def entropy_ctes(prefix: str = "") -> str:
     """From ``{prefix}occ``: ``{prefix}ent(gram, freq, left_entropy, right_entropy)``."""
     p = prefix
     return f""",
-{p}fr AS (SELECT gram, count(*) AS freq FROM {p}occ GROUP BY gram),
+{p}fr AS MATERIALIZED (SELECT gram, count(*) AS freq FROM {p}occ GROUP BY gram),
 {p}lc AS (SELECT gram, prev AS ctx, count(*) AS c FROM {p}occ GROUP BY gram, prev),
 {p}rc AS (SELECT gram, next AS ctx, count(*) AS c FROM {p}occ GROUP BY gram, next),
 {p}le AS (SELECT x.gram, sum(CASE WHEN x.ctx = '$' THEN -log2(x.c / f.freq)
@@ -103,7 +111,7 @@ def entropy_ctes(prefix: str = "") -> str:
 {p}re AS (SELECT x.gram, sum(CASE WHEN x.ctx = '$' THEN -log2(x.c / f.freq)
                  ELSE -(x.c / f.freq) * log2(x.c / f.freq) END) AS h
         FROM {p}rc x JOIN {p}fr f USING (gram) GROUP BY x.gram),
-{p}ent AS (SELECT f.gram, f.freq, l.h AS left_entropy, r.h AS right_entropy
+{p}ent AS MATERIALIZED (SELECT f.gram, f.freq, l.h AS left_entropy, r.h AS right_entropy
         FROM {p}fr f JOIN {p}le l USING (gram) JOIN {p}re r USING (gram))"""
 
 
@@ -111,7 +119,7 @@ def cohesion_ctes(corpus: str = "B", prefix: str = "") -> str:
     """``{prefix}coh(gram, freq, entropy)`` = A9 on the corpus."""
     p = prefix
     return occurrences_ctes(corpus, prefix) + entropy_ctes(prefix) + f""",
-{p}coh AS (SELECT gram, freq, entropy FROM (
+{p}coh AS MATERIALIZED (SELECT gram, freq, entropy FROM (
         SELECT gram, freq, CASE WHEN contains(gram, ',') THEN least(left_entropy, right_entropy)
                ELSE ln(freq) END AS entropy FROM {p}ent WHERE freq >= 5) WHERE entropy >= 1.5)"""
 
@@ -143,18 +151,19 @@ def pmi_ctes(scored: str, freqt: str, out: str, single: str = "0.8 * length(s.gr
 def diff_ctes(scored_ctes: str) -> str:
     """X6 on top of ``b_scored`` / ``a_scored``: ``nw`` (new), ``rs`` (risen),
     ``rk`` (risen kept), ``bt`` (excluded head words), ``sc`` (candidates)."""
+    from termspark.plans import jobs as J
     return scored_ctes + f""",
-bf AS (SELECT * FROM b_scored WHERE freq >= 5 AND entropy >= 2 AND pmi >= 1.5),
+bf AS MATERIALIZED (SELECT * FROM b_scored WHERE freq >= 5 AND entropy >= 2 AND pmi >= 1.5),
 nw AS (SELECT * FROM bf WHERE gram NOT IN (SELECT gram FROM a_scored)),
 rs AS (SELECT bf.*, a.freq AS a_freq, a.entropy AS a_entropy, a.pmi AS a_pmi
        FROM bf JOIN a_scored a USING (gram)
        WHERE a.freq * 10 < bf.freq AND (a.entropy < bf.entropy OR a.pmi < bf.pmi)),
 tp AS (SELECT gram FROM (SELECT gram, row_number() OVER (ORDER BY freq DESC, gram) AS rn FROM a_scored)
-       WHERE rn <= (SELECT count(*) FROM bf) // 50),
-rk AS (SELECT * FROM rs WHERE NOT (gram IN (SELECT gram FROM tp) AND NOT contains(gram, {q(K.PROTECTED_SUBSTRING)}))),
-bt AS (SELECT * FROM rs WHERE gram IN (SELECT gram FROM tp) AND NOT contains(gram, {q(K.PROTECTED_SUBSTRING)})),
+       WHERE rn <= (SELECT count(*) FROM bf) // {J.HEAD_DIVISOR}),
+rk AS (SELECT * FROM rs WHERE NOT (gram IN (SELECT gram FROM tp) AND NOT contains(gram, {q(J.PROTECTED)}))),
+bt AS (SELECT * FROM rs WHERE gram IN (SELECT gram FROM tp) AND NOT contains(gram, {q(J.PROTECTED)})),
 al AS (SELECT gram, freq, entropy, pmi FROM nw UNION ALL SELECT gram, freq, entropy, pmi FROM rk),
-sc AS (SELECT replace(gram, ',', ' ') AS term, freq, entropy, pmi,
+sc AS MATERIALIZED (SELECT replace(gram, ',', ' ') AS term, freq, entropy, pmi,
        sqrt(freq) * entropy * pmi * (1.0 / exp(abs(length(gram) - 4.5) * 0.3)) AS score
        FROM al WHERE NOT (length(replace(gram, ',', '')) > 1
                           AND len(list_distinct(string_split(replace(gram, ',', ''), ''))) = 1))"""
@@ -164,7 +173,7 @@ def features_ctes(terms: str, out: str = "feat") -> str:
     """13 filter features per distinct term of ``terms(term)`` -> ``out``."""
     pat = q(C.TOKEN_PATTERN)
     return f""",
-f_tl AS (SELECT doc_id, line_no, {tokens('line')} AS toks FROM {lines('B')}),
+f_tl AS MATERIALIZED (SELECT doc_id, line_no, {tokens('line')} AS toks FROM {lines('B')}),
 f_n AS (SELECT count(*) AS n FROM f_tl),
 widf AS (SELECT term, ln((SELECT n FROM f_n) / count(*)) AS idf
          FROM (SELECT DISTINCT doc_id, line_no, unnest(toks) AS term FROM f_tl) GROUP BY term),
@@ -172,7 +181,7 @@ cidf AS (SELECT term, ln((SELECT n FROM f_n) / count(*)) AS idf
          FROM (SELECT DISTINCT doc_id, line_no, unnest(string_split(t, '')) AS term
                FROM (SELECT doc_id, line_no, unnest(toks) AS t FROM f_tl)) WHERE term <> '' GROUP BY term),
 posw AS (SELECT DISTINCT w AS word FROM (SELECT unnest(regexp_extract_all(lower(text), {pat})) AS w FROM benchmark)
-         WHERE regexp_full_match(w, {q('[' + C.SCRIPT_CLASS + ']{3,}')})),
+         WHERE regexp_full_match(w, {q('[' + C.SCRIPT_CLASS + ']+')})),
 hw AS (SELECT t AS term, count(*) AS hot FROM (SELECT unnest(regexp_extract_all(lower(word), {pat})) AS t FROM posw) GROUP BY t),
 hc AS (SELECT c AS term, count(*) AS hot FROM (SELECT unnest(string_split(word, '')) AS c FROM posw) WHERE c <> '' GROUP BY c),
 ft AS (SELECT DISTINCT term FROM {terms}),
@@ -184,7 +193,7 @@ s2 AS (SELECT x.term, sum(t.idf) AS s, count(t.idf) AS n, min(t.idf) AS mn, max(
        FROM fwu x JOIN widf t ON t.term = x.u GROUP BY x.term),
 s3 AS (SELECT x.term, sum(t.hot) AS s, count(t.hot) AS n FROM fcu x JOIN hc t ON t.term = x.u GROUP BY x.term),
 s4 AS (SELECT x.term, sum(t.hot) AS s, count(t.hot) AS n FROM fwu x JOIN hw t ON t.term = x.u GROUP BY x.term),
-{out} AS (SELECT ft.term, CAST(length(ft.term) AS DOUBLE) AS length,
+{out} AS MATERIALIZED (SELECT ft.term, CAST(length(ft.term) AS DOUBLE) AS length,
        coalesce(s1.s, 0.0) AS char_idf_sum, coalesce(s1.s, 0.0) / (coalesce(s1.n, 0) + 1e-8) AS char_idf_avg,
        coalesce(s1.mn, 0.0) AS char_idf_min, coalesce(s1.mx, 0.0) AS char_idf_max,
        coalesce(s2.s, 0.0) AS word_idf_sum, coalesce(s2.s, 0.0) / (coalesce(s2.n, 0) + 1e-8) AS word_idf_avg,

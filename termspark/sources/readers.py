@@ -1,62 +1,80 @@
-"""Scans (S1-S7).  All are splittable Spark file sources with explicit
-schemas (no inference); nothing is read on the driver."""
+"""Scans (S1-S7).  All are splittable Spark file sources with explicit schemas (no
+inference); nothing is read on the driver and no session setting is changed."""
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str], encoding: str = "UTF-8") -> DataFrame:
-    """Text lines as ``line STRING``.
+    """Text lines as ``line STRING``; every line stays, blank ones too.
 
-    UTF-8 uses the text source.  Other charsets (GBK) go through the CSV
-    line reader with the charset option, quoting off and a separator that
-    cannot occur, so each physical line is one value; GBK needs
-    ``spark.sql.legacy.javaCharsets=true``.  Line splitting happens on the
-    raw bytes, which is safe for GBK (no trail byte is a newline).
+    Lines are split on the raw bytes and decoded afterwards, which is safe for GBK
+    (no trail byte is a line end).  Charsets other than UTF-8 need a session with
+    ``spark.sql.legacy.javaCharsets=true``.
+    """
+    raw = spark.read.text(paths)
+    if encoding.upper().replace("-", "") == "UTF8":
+        return raw.select(F.col("value").alias("line"))
+    return raw.select(F.decode(F.col("value").cast("binary"), encoding).alias("line"))
+
+
+def read_word_list(spark: SparkSession, paths: str | Sequence[str], ordered: bool = False) -> DataFrame:
+    """S3: concatenated files, blank lines dropped, distinct; entries are not trimmed.
+
+    ``ordered`` adds ``ord``, the place of an entry's first occurrence in the order
+    of the files' names and lines (files up to one split; ascending within each).
     """
-    if encoding.upper().replace("-", "") in ("UTF8",):
-        return spark.read.text(paths).select(F.col("value").alias("line"))
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    return (spark.read.schema("line string")
-            .options(encoding=encoding, sep="\u0001", quote="", escape="", header="false",
-                     ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false")
-            .csv(paths)
-            .select(F.coalesce("line", F.lit("")).alias("line")))
-
-
-def read_word_list(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """S3: concatenated files, blank (trim-empty) lines dropped, distinct;
-    entries are not trimmed."""
     from termspark.operators.labels import word_list
-    return word_list(spark.read.text(paths), "value")
+    raw = spark.read.text(paths)
+    if ordered:
+        place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                         F.monotonically_increasing_id().alias("line"))
+        raw = raw.select("value", place.alias("ord"))
+    return word_list(raw, "value")
 
 
-def read_tsv(spark: SparkSession, path: str, schema: str | T.StructType, header: bool = False) -> DataFrame:
-    """Positional TSV with an explicit schema (S6: header row
-    skipped, booleans parsed from ``true``/``false``)."""
-    return spark.read.schema(schema).options(sep="\t", header=str(header).lower(), quote="").csv(path)
+def _fields(sep: str) -> Column:
+    """Fields as Java's split gives them: empty ones at the end are dropped, a line
+    without any character is one empty field."""
+    value, literal = F.col("value"), re.escape(sep)
+    cut = F.regexp_replace(value, f"(?:{literal})+\\z", "")
+    return F.when(value == "", F.array(F.lit(""))).when(cut == "", F.array().cast("array<string>")).otherwise(F.split(cut, literal, -1))
 
 
-def read_exact_fields(spark: SparkSession, path: str, names: Sequence[str],
-                      types: Sequence[str] | None = None, sep: str = "\t") -> DataFrame:
-    """Keep only lines with exactly ``len(names)`` fields (the original's
-    ``split(...).length == N`` filter), typed by ``types``."""
-    parts = F.split(F.col("value"), _regex_literal(sep), -1)
-    n = len(names)
-    x = spark.read.text(path).select(parts.alias("_f")).where(F.size("_f") == n)
-    types = types or ["string"] * n
-    return x.select(*[F.col("_f").getItem(i).cast(t).alias(c) for i, (c, t) in enumerate(zip(names, types))])
+def read_exact_fields(spark: SparkSession, path: str, names: Sequence[str], types: Sequence[str] | None = None,
+                      sep: str = "\t", header: bool = False) -> DataFrame:
+    """Lines with exactly ``len(names)`` fields, typed by ``types``; all other
+    lines are dropped before anything is cast, and a field that does not parse as its
+    type fails the query.  ``header`` drops the first line of each file that has this
+    number of fields."""
+    rows = spark.read.text(path)
+    cols = [_fields(sep).alias("_f")]
+    if header:
+        cols += [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                 F.monotonically_increasing_id().alias("_line")]
+    # a generator's output: the field count is tested before any cast
+    x = rows.select(F.inline(F.array(F.struct(*cols)))) if not header else rows.select(*cols)
+    x = x.where(F.size("_f") == len(names))
+    if header:
+        first = x.groupBy("_file").agg(F.min(F.struct("_block", "_line")).alias("_head"))
+        x = x.join(first, "_file").where(F.struct("_block", "_line") != F.col("_head"))
+    types = types or ["string"] * len(names)
+    fields = [F.get("_f", F.lit(i)).cast(t).alias(c) for i, (c, t) in enumerate(zip(names, types))]
+    return x.select(*fields)
+
+
+def read_tsv(spark: SparkSession, path: str, schema: str | T.StructType, header: bool = False) -> DataFrame:
+    """Positional TSV with an explicit schema; lines with another number of
+    fields are dropped (S6: the header row is skipped, booleans are ``true`` / ``false``)."""
+    fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+    return read_exact_fields(spark, path, [f.name for f in fields], [f.dataType.simpleString() for f in fields], header=header)
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """``term, score, pred`` comma-separated."""
     return spark.read.schema("term string, score double, pred double").options(sep=",", quote="").csv(path)
-
-
-def _regex_literal(s: str) -> str:
-    import re
-    return re.escape(s)

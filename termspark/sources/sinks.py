@@ -3,23 +3,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 
-# A single output file funnels every row through one task; allow it only for
-# outputs whose size has been checked against this bound.
-SINGLE_FILE_MAX_ROWS = 5_000_000
 
-
-def write_sorted(df: DataFrame, path: str, order: list[Column], fmt: str = "parquet",
-                 single_file: bool = False, sep: str = "\t") -> None:
-    """K1 / K2: globally sorted output.  Default: range-partitioned sort,
-    many part files whose concatenation is in order.  ``single_file`` (the
-    original's one sorted text file) is allowed only under a row bound."""
-    out = df.orderBy(*order)
-    if single_file:
-        n = df.count()
-        if n > SINGLE_FILE_MAX_ROWS:
-            raise ValueError(f"{n} rows is too many for a single-file sink")
-        out = out.coalesce(1)
-    w = out.write.mode("overwrite")
+def write_sorted(df: DataFrame, path: str, order: list[Column], fmt: str = "parquet", sep: str = "\t") -> None:
+    """K1 / K2: globally sorted output: a range-partitioned sort into part files whose
+    concatenation is in order (no task ever holds more than its range)."""
+    w = df.orderBy(*order).write.mode("overwrite")
     if fmt == "tsv":
         w.options(sep=sep, header="false", quote="").csv(path)
     else:
