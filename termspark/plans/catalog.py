@@ -820,9 +820,9 @@ def q_char_pmi(spark, sf):
 
 @register("char_terms", f"""WITH {CHAR_CTES}
 SELECT gram, freq, {r('entropy')} AS entropy, {r('pmi')} AS pmi, {r('pos_prob')} AS pos_prob FROM cpp2
-WHERE pmi >= 1 AND entropy >= 1.5 AND pos_prob >= 0.04""")
+WHERE pmi >= {J.CHAR_FLOORS['min_pmi']} AND entropy >= {J.CHAR_FLOORS['min_entropy']} AND pos_prob >= {J.CHAR_FLOORS['min_pos_prob']}""")
 def q_char_terms(spark, sf):
-    return r6(PM.char_term_filter(J.char_scored(spark, sf)))
+    return r6(PM.char_term_filter(J.char_scored(spark, sf), **J.CHAR_FLOORS))
 
 
 # ---------------------------------------------------------------------------

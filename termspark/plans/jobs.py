@@ -115,7 +115,7 @@ def scored_sparse(spark: SparkSession, sf: str) -> DataFrame:
 SURFACE_JOINER = " "  # Latin test text: a gram's surface form keeps a space
 # J6 / O3 on the test tables: a larger share of A counts as its head, and a protected
 # string that some of the head words hold (parameters; both outputs have rows)
-HEAD_DIVISOR = 2
+HEAD_DIVISOR = 5
 PROTECTED = "th"
 
 
@@ -271,7 +271,9 @@ def label_lists(spark: SparkSession, sf: str) -> tuple[dict, dict, DataFrame]:
 
 # -- X13 char-mode miner --------------------------------------------------------------
 
-CHAR_MAX_LEN = 4
+CHAR_MAX_LEN = 6
+# F9 on the test tables: no gram reaches all of the original's floors, so the entropy is not asked for (a parameter)
+CHAR_FLOORS = {"min_pmi": 1.0, "min_entropy": 0.0, "min_pos_prob": 0.04}
 
 
 def char_occurrences(spark: SparkSession, sf: str) -> DataFrame:

@@ -101,8 +101,7 @@ def test_segments_fused_equals_general(spark):
     t = lines.withColumn("tokens", tk.tokenize(F.lower("line"), "regex", tk.LATIN_TOKEN_PATTERN))
     t = t.withColumn("pos", tk.pos_tags("tokens", lex, "n", "w", tk.LATIN_SCRIPT_CLASS))
     g = tk.add_segments(t, "tokens", "pos", "segments", stop, ["w", "c", "u", "p", "r"], tk.LATIN_SCRIPT_CLASS)
-    seg, words = tk.segment_lines(F.lower("line"), tk.LATIN_SCRIPT_CLASS, tk.cut_words(lex, stop))
-    f = lines.select("line", words.alias("_w")).select("line", seg)
+    f = tk.segment_lines(lines, F.lower("line"), tk.LATIN_SCRIPT_CLASS, tk.cut_words(lex, stop), keep=["line"])
     a = {r.line: r.segments for r in g.select("line", "segments").collect()}
     b = {r.line: r.segments for r in f.collect()}
     assert a == b
@@ -123,6 +122,9 @@ def test_keyword_parse_reference_defaults(spark):
     df = spark.createDataFrame([(line,)], "line string")
     got = sorted(r.keyword for r in kw.parse_keyword_fields(df, "line").collect())
     assert got == ["电力系统", "继电保护"]
+    # Java's split: empty pieces stay unless they end a split, and are keywords too
+    df3 = spark.createDataFrame([("关键词：，甲，：乙，",), ("关键词：",)], "line string")
+    assert sorted(r.keyword for r in kw.parse_keyword_fields(df3, "line").collect()) == ["", "", "", "乙", "甲"]
     # the full-width semicolon is not a separator: one keyword, paren cut
     df2 = spark.createDataFrame([("关键词：电力系统；继电保护（装置）；KeyWords 中图分类号",)], "line string")
     assert [r.keyword for r in kw.parse_keyword_fields(df2, "line").collect()] == ["电力系统；继电保护"]
@@ -148,6 +150,8 @@ def test_conflict_resolution(spark):
 def test_char_pmi_integer_division(spark):
     merged = spark.createDataFrame([("éa", 6, 2.0), ("é", 9, 2.0)], "gram string, freq bigint, entropy double")
     freq = spark.createDataFrame([("é", 9), ("a", 2), ("éa", 6)], "gram string, freq bigint")
+    assert {x.gram for x in pm.char_pmi(merged.union(spark.createDataFrame([("ab", 1, 1.0)], merged.schema)),
+                                        freq.union(spark.createDataFrame([("b", 1), ("ab", 1)], freq.schema)), drop_alnum=False).collect()} == {"éa", "ab"}
     r = {x.gram: x.pmi for x in pm.char_pmi(merged, freq).collect()}
     # total = 3 rows; floor(6 * 3 / 18) = 1 -> log2(1) = 0; single chars dropped
     assert r == {"éa": 0.0}
