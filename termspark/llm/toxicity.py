@@ -11,8 +11,8 @@ and backward passes give the marginal of the toxic state for each cue; a run of
 other words between cues is the k-th power of one 2x2 matrix, which has a closed
 form, so the exact marginals cost as much as there are cues, not words.
 
-Document score.  A logistic regression over the marginals (their greatest, their
-sum, their sum per word), fitted on the same training documents.  The offending
+Document score.  A logistic regression over the marginals (the greatest, their sum,
+their sum per word), fitted on the same training documents.  The offending
 offsets are the spans of the tokens whose marginal reaches ``span_at``.
 
 Fitting takes at most about ``max_train`` labelled documents, chosen by the hash
@@ -136,8 +136,11 @@ def _norm(x):
 
 
 def _features(n: int, marginals: list[float]) -> list[float]:
+    """Constant; the surest cue and all cues together, in log-odds; the expected number
+    of toxic words, and their share."""
+    odds = [max(-4.0, min(12.0, math.log(p + 1e-9) - math.log(1 - p + 1e-9))) for p in marginals]
     total = sum(marginals)
-    return [1.0, max(marginals, default=0.0), math.log1p(total), min(1.0, 10 * total / max(n, 1))]
+    return [1.0, max(odds, default=-4.0) / 4, math.log1p(sum(max(o, 0.0) for o in odds)), math.log1p(total), min(1.0, 10 * total / max(n, 1))]
 
 
 def _fit_chain(windows: list[tuple[list[int], list[int]]], cues: int, l2: float = 0.05, rounds: int = 300):
@@ -256,7 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN, doc_i
     sent = spark.sparkContext.broadcast(cues)
 
     def found(batches):
-        tagger = Tagger(Model(sent.value, np.zeros(len(sent.value) + 1), np.zeros((2, 2)), np.zeros(4)))
+        tagger = Tagger(Model(sent.value, np.zeros(len(sent.value) + 1), np.zeros((2, 2)), np.zeros(5)))
         for b in slices(batches):
             out = [(y, *tagger.cues(t)) for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([
@@ -267,7 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN, doc_i
     hits = train.mapInArrow(found, "y int, n long, at array<int>, cue array<int>").collect()  # about max_train rows
     hits = sorted((r["y"], r["n"], tuple(zip(r["at"], r["cue"]))) for r in hits)
     emission, transition = _fit_chain([w for y, n, c in hits for w in _windows(n, list(c), y)], len(cues))
-    model = Model(cues, emission, transition, np.zeros(4))
+    model = Model(cues, emission, transition, np.zeros(5))
     tagger = Tagger(model)
     if hits:
         x = np.array([_features(n, tagger.marginals(n, list(c))) for _, n, c in hits])

@@ -349,7 +349,7 @@ def test_crf_marginals_equal_enumeration():
 
     from termspark.llm.toxicity import Model, Tagger
     rng = np.random.default_rng(1)
-    m = Model({b"bad": 1, b"vile": 2}, np.array([-1.5, 2.0, 0.7]), rng.normal(size=(2, 2)), np.array([-2.0, 3.0, 1.0, 0.5]))
+    m = Model({b"bad": 1, b"vile": 2}, np.array([-1.5, 2.0, 0.7]), rng.normal(size=(2, 2)), np.zeros(5))
     tagger = Tagger(m)
     for text in (b"bad", b"so bad it is vile bad", b"a b c bad d e vile", b"vile x"):
         words = text.split()
