@@ -16,7 +16,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = [
     "word_idf", "term_freq", "bigram_freq", "gram_freq", "cohesion", "pmi",
-    "diff_candidates", "final_terms", "char_right_entropy", "keywords", "label_conflicts",
+    "diff_candidates", "candidate_features", "final_terms", "threshold_diff", "rank_boost", "classify",
+    "char_right_entropy", "keywords", "label_conflicts",
 ]
 
 
