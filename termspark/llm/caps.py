@@ -20,14 +20,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from termspark.llm.common import materialize, only
-from termspark.llm.graph import components
+from termspark.llm.graph import components, forest
 
 #: Independent codes, filters that a vector passes on average in each, vectors meant for a filter.
 CODES, LISTED, LOAD = 8, 5.0, 128
@@ -88,23 +87,6 @@ def _codes(dim: int, words: int, codes: int, listed: float) -> list[ProductCode]
     return [ProductCode(dim, words, seed, listed) for seed in range(codes)]
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that connect what the pairs (a, b) connect, at most one a node."""
-    nodes, inv = np.unique(np.concatenate([a, b]), return_inverse=True)
-    i, j, low = inv[:len(a)], inv[len(a):], np.arange(len(nodes))
-    while True:
-        m = np.minimum(low[i], low[j])
-        new = low.copy()
-        np.minimum.at(new, i, m)
-        np.minimum.at(new, j, m)
-        np.minimum.at(new, low[i], m)
-        np.minimum.at(new, low[j], m)
-        new = new[new]
-        if (new == low).all():
-            return [(int(nodes[k]), int(nodes[v])) for k, v in enumerate(low) if k != v]
-        low = new
-
-
 def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", least_cosine: float = 0.95,
                  codes: int = CODES, listed: float = LISTED, load: int = LOAD) -> DataFrame:
     """One row per vector row: (vec_id, n_links, component_id, kept).
@@ -216,7 +198,7 @@ def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str =
                 pb_.append(b)
         a = np.concatenate(pa_) if pa_ else np.empty(0, np.int64)
         b = np.concatenate(pb_) if pb_ else np.empty(0, np.int64)
-        edges = _forest(node[a], node[b]) if len(a) else []
+        edges = forest(node[a], node[b]) if len(a) else []
         some = np.flatnonzero(links)
         return pa.table({
             "a": pa.array(np.concatenate([node[some], np.array([e[0] for e in edges], np.int64)]), pa.int64()),

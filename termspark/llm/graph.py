@@ -1,6 +1,7 @@
 """Connected components of a link table, as DataFrame joins."""
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +18,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     links are harmless; null ends are ignored; no links give no rows.
     """
     e = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
-    edges = materialize(e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    parents = materialize(edges.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m"))
+    both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+    # a checkpoint keeps its partitioning: edges lie by v and parents by n, so the joins of a round move nothing twice
+    parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges = materialize(both.repartition(parts, "v"))
+    parents = materialize(edges.groupBy(F.col("v").alias("n")).agg(F.min("u").alias("m"))
                           .select("n", F.least("n", "m").alias("p")))
 
     def mark(df):
@@ -34,8 +38,25 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = materialize(low)
         parents = materialize(
             low.join(low.select(F.col("n").alias("p"), F.col("p").alias("g")), "p", "left")
-            .select("n", F.coalesce("g", "p").alias("p")))
+            .select("n", F.coalesce("g", "p").alias("p")).repartition(parts, "n"))
         after = mark(parents)
         if after == before:
             return parents.select(F.col("n").alias("node"), F.col("p").alias("component"))
         before = after
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that connect what the pairs (a, b) connect, at most one a node."""
+    nodes, inv = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j, low = inv[:len(a)], inv[len(a):], np.arange(len(nodes))
+    while True:
+        m = np.minimum(low[i], low[j])
+        new = low.copy()
+        np.minimum.at(new, i, m)
+        np.minimum.at(new, j, m)
+        np.minimum.at(new, low[i], m)
+        np.minimum.at(new, low[j], m)
+        new = new[new]
+        if (new == low).all():
+            return [(int(nodes[k]), int(nodes[v])) for k, v in enumerate(low) if k != v]
+        low = new

@@ -14,12 +14,13 @@ Steps, all of them joins and aggregates over small rows:
 2. band keys meet; each bucket has a center (its smallest node), and members
    are paired with centers, never with each other: pairs grow with the rows;
 3. pairs whose signatures agree on less than ``floor`` of the positions are
-   left out (0.55 against 0.75 is 6.5 standard deviations of the estimate), the
+   left out (0.6 against 0.75 is 4.9 standard deviations of the estimate), the
    others are confirmed on the full sets: first the center that a node meets
    most often, and, after a union-find over these links, the rest;
 4. a bucket with members outside its center's component is compared block by
    block, each such member against all members of other components, so a
-   link that does not run over a center is found too.
+   link that does not run over a center is found too; a task reports the links
+   that join components, not all pairs.
 
 With 40 bands of 5 values a pair at exactly 0.75 is missed with probability
 2e-5; nothing is capped or sampled.
@@ -36,11 +37,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from termspark.llm.common import WordHash, doc_words, materialize, mix64, only, set_hash, shingle_hashes, slices
-from termspark.llm.graph import components
+from termspark.llm.graph import components, forest
 
-BANDS, ROWS, FLOOR = 40, 5, 0.55
+BANDS, ROWS, FLOOR = 40, 5, 0.6
 #: Candidate documents up to this count travel to the scans as a broadcast list of ids; more are joined by shuffle.
 BROADCAST_IDS = 500_000
+#: Pairs whose texts meet in one task.
+PAIRS_A_TASK = 1_500
 #: Members of a bucket compared in one task.
 CHUNK = 1024
 #: Shingles of a numpy batch (more if one document has more).
@@ -138,27 +141,24 @@ def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _texts(docs: DataFrame, nodes: DataFrame, reps: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(node, t): one text for each node wanted, from one document row that has it."""
-    want = materialize(nodes.distinct().join(reps.select("node", "rep"), "node"))
-    ids = want.select(F.col("rep").alias("doc_id")).distinct()
+    """(node, t): one text for each node wanted, from the document rows with its id."""
+    want = materialize(nodes.distinct().join(reps, "node").select("node", "rep"))
     if want.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+        want = F.broadcast(want)
     rows = only(docs, doc_id, text).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t"))
-    return (want.join(rows.join(ids, "doc_id", "left_semi"), want["rep"].eqNullSafe(rows["doc_id"]))
-            .select("node", "t"))
+    return materialize(rows.join(want, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "t"))
 
 
 def _confirm(docs, pairs, reps, percent, shingle, doc_id, text) -> DataFrame:
-    """The pairs (a, b) that are links by their full sets.  Centers stand in
-    column b; each center's text is dealt out 16 ways, so a center of very many
-    pairs does not meet them in one task."""
-    salts = 16
-    texts = materialize(_texts(docs, pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))),
-                               reps, doc_id, text))
-    left = pairs.join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a") \
-        .withColumn("salt", F.pmod(F.hash("a"), F.lit(salts)))
-    right = (pairs.select(F.col("b").alias("node")).distinct().join(texts, "node")
-             .select(F.col("node").alias("b"), F.col("t").alias("tb"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")))
+    """The pairs (a, b) that are links by their full sets.  Centers stand in column b; a
+    center of very many pairs is dealt out over as many keys as its pairs need."""
+    texts = _texts(docs, pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))), reps, doc_id, text)
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs.count() // PAIRS_A_TASK))
+    keys = pairs.groupBy("b").agg(F.ceil(F.count("*") / PAIRS_A_TASK).cast("int").alias("k"))
+    left = pairs.join(keys, "b").join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a") \
+        .withColumn("salt", F.pmod(F.hash("a"), F.col("k"))).drop("k")
+    right = keys.join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b") \
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).drop("k")
 
     def run(batches):
         seen, last = WordHash(), (None, None)
@@ -176,10 +176,111 @@ def _confirm(docs, pairs, reps, percent, shingle, doc_id, text) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()),
                                               pa.array([b[i] for i in keep], pa.int64())], ["a", "b"])
 
-    met = left.join(right, ["b", "salt"]).select("a", "b", "ta", "tb")
+    # so many tasks that the texts of one task's pairs are a bounded number of Arrow bytes
+    met = left.repartition(tasks, "b", "salt").join(right.repartition(tasks, "b", "salt"), ["b", "salt"]).select("a", "b", "ta", "tb")
     return met.mapInArrow(run, "a long, b long").distinct()
 
 
+def _component_of(df: DataFrame, col: str, comp: DataFrame, out: str) -> DataFrame:
+    return df.join(comp.select(F.col("node").alias(col), F.col("component").alias(out)), col, "left") \
+        .withColumn(out, F.coalesce(out, col))
+
+
+def _across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends lie in different components."""
+    x = _component_of(_component_of(pairs, "a", comp, "ca"), "b", comp, "cb")
+    return materialize(x.where("ca <> cb").select("a", "b"))
+
+
+def _overlaps(sets: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets ``rows`` with all sets."""
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, col, count = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = count > 1  # what one set alone holds is in no intersection
+    place = np.cumsum(shared) - 1
+    keep = shared[col]
+    owner, col = owner[keep], place[col[keep]]
+    by = np.argsort(col, kind="stable")
+    owner, col = owner[by], col[by]
+    out = np.zeros((len(rows), len(sets)), np.float32)
+    for lo in range(0, int(shared.sum()), 2048):
+        x, y = np.searchsorted(col, [lo, lo + 2048])
+        has = np.zeros((len(sets), 2048), np.float32)
+        has[owner[x:y], col[x:y] - lo] = 1
+        out += has[rows] @ has.T
+    return out
+
+
+def _mixed_buckets(docs, member, comp, reps, percent, shingle, doc_id, text) -> DataFrame:
+    """Links (a, b) that join components, from the buckets that hold several.
+
+    Members outside their center's component are compared with all members of other
+    components, CHUNK by CHUNK, on 32-bit fingerprints of the full sets; each task
+    reports a spanning forest of what it finds, never the pairs, and the caller
+    confirms these links.  (A fingerprint can only let two sets look more alike.)
+    """
+    pairs = member.select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
+    out = _across(pairs, comp)
+    mixed = member.join(out.select(F.col("a").alias("node"), F.col("b").alias("center"), F.lit(True).alias("out")), ["node", "center"], "left")
+    split = mixed.where("out").groupBy("band").agg(F.lit(True).alias("x")).drop("x")
+    mixed = mixed.join(split, "band").select("band", "node", F.coalesce("out", F.lit(False)).alias("out"))
+    mixed = materialize(_component_of(mixed, "node", comp, "c"))
+    texts = _texts(docs, mixed.select("node"), reps, doc_id, text)
+
+    def prints(batches):
+        seen = WordHash()
+        for b in slices(batches):
+            sets = [np.unique((shingle_hashes(doc_words(t), seen, shingle) >> np.uint64(32)).astype(np.uint32)) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "prints"])
+
+    sets = materialize(texts.mapInArrow(prints, "node long, prints binary"))
+    count = mixed.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)  # few: most buckets are small
+    rows = mixed.join(count, "band", "left").withColumn("k", F.ceil(F.coalesce("n", F.lit(1)) / CHUNK).cast("int")) \
+        .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))) \
+        .withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")) \
+        .select("band", "i", "j", "mine", "node", "c", "out").join(sets, "node")
+    tasks = max(int(member.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-mixed.count() // 20_000))
+    dealt = rows.repartition(tasks, "band", "i", "j").sortWithinPartitions("band", "i", "j")
+
+    def compare(batches):
+        def group(rows):
+            i, j = rows[0][1], rows[0][2]
+            mine, node, c, outside = (np.array([r[k] for r in rows]) for k in (3, 4, 5, 6))
+            if not outside.any() or (c == c[0]).all():
+                return []
+            sets = [np.frombuffer(r[7], np.uint32) for r in rows]
+            size = np.array([len(x) for x in sets])
+            left = np.flatnonzero(outside)
+            both = _overlaps(sets, left)
+            near = 100 * both >= percent * (size[left][:, None] + size[None, :] - both)
+            near &= c[left][:, None] != c[None, :]
+            if i != j:
+                near &= mine[left][:, None] != mine[None, :]
+            p, q = np.nonzero(near)
+            return forest(node[left[p]], node[q]) if len(p) else []
+
+        held, key = [], None
+        for b in slices(batches, 512):
+            edges = []
+            for r in zip(*(b.column(k).to_pylist() for k in range(8))):
+                if r[:3] != key and held:
+                    edges += group(held)
+                    held = []
+                key = r[:3]
+                held.append(r)
+            yield _edges(edges)
+        if held:
+            yield _edges(group(held))
+
+    return materialize(dealt.select("band", "i", "j", "mine", "node", "c", "out", "prints").mapInArrow(compare, "a long, b long").distinct())
+
+
+def _edges(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["a", "b"])
+
+
 def near_duplicates(docs: DataFrame, *, percent: int = 75, shingle: int = 5, bands: int = BANDS, rows: int = ROWS,
                     floor: float = FLOOR, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document row: (doc_id, n_shingles, component_id, kept, node, group).
@@ -209,43 +310,12 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, shingle: int = 5, ban
             .where(F.col("est") >= floor))
     star = materialize(star)
     best = Window.partitionBy("a").orderBy(F.desc("met"), F.desc("est"), "b")
-    first = star.withColumn("r", F.row_number().over(best)).where("r = 1").select("a", "b")
+    first = materialize(star.withColumn("r", F.row_number().over(best)).where("r = 1").select("a", "b"))
     links = materialize(_confirm(docs, first, reps, percent, shingle, doc_id, text))
     comp = components(links)
 
-    def of(df, col, out):
-        return df.join(comp.select(F.col("node").alias(col), F.col("component").alias(out)), col, "left") \
-            .withColumn(out, F.coalesce(out, col))
-
-    # what remains: star pairs across components, and buckets that hold more than one component
-    rest = of(of(star.select("a", "b"), "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
-    edge = of(of(member.select("node", "center").distinct(), "node", "cn"), "center", "cc").withColumn("out", F.col("cn") != F.col("cc"))
-    edge = materialize(edge.select("node", "center", "cn", "out"))
-    split = member.join(edge.where("out").select("node", "center"), ["node", "center"], "left_semi").select("band").distinct()
-    mixed = member.join(split, "band").join(edge, ["node", "center"])
-    count = mixed.groupBy("band").agg(F.count("*").alias("n"))
-    blocks = mixed.join(count, "band").join(sig, "node").withColumn("k", F.ceil(F.col("n") / CHUNK).cast("int")) \
-        .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-    # side 0: the members outside the center's component, in their own block row; side 1: all members, in every block row
-    outs = blocks.where("out").select("band", F.col("mine").alias("i"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"),
-                                      F.lit(0).alias("side"), "node", "cn", "sig")
-    alls = blocks.select("band", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"), F.col("mine").alias("j"),
-                         F.lit(1).alias("side"), "node", "cn", "sig")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        out = []
-        if len(x) and len(y):
-            sy = np.frombuffer(b"".join(y.sig), np.uint16).reshape(len(y), -1)
-            ny, cy = y.node.to_numpy(), y.cn.to_numpy()
-            for n, c, sx in zip(x.node, x.cn, x.sig):
-                e = (sy == np.frombuffer(sx, np.uint16)).mean(1)
-                hit = ny[(e >= floor) & (cy != c)]
-                out.extend((min(n, h), max(n, h)) for h in hit)
-        return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
-
-    found = outs.union(alls).groupBy("band", "i", "j").applyInPandas(compare, "a long, b long")
-    more = materialize(rest.union(found).distinct())
+    more = _across(star.select("a", "b"), comp).union(_mixed_buckets(docs, member, comp, reps, percent, shingle, doc_id, text))
+    more = materialize(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     if more.take(1):
         links = materialize(links.union(_confirm(docs, more, reps, percent, shingle, doc_id, text)))
         comp = components(links)
