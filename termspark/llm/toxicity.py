@@ -143,7 +143,7 @@ def _features(n: int, marginals: list[float]) -> list[float]:
     return [1.0, max(odds, default=-4.0) / 4, math.log1p(sum(max(o, 0.0) for o in odds)), math.log1p(total), min(1.0, 10 * total / max(n, 1))]
 
 
-def _fit_chain(windows: list[tuple[list[int], list[int]]], cues: int, l2: float = 0.05, rounds: int = 300):
+def _fit_chain(windows: list[tuple[list[int], list[int]]], cues: int, l2: float = 0.05, rounds: int = 120):
     """Emission and transition weights from (emission indexes, states) windows."""
     emission, transition = np.zeros(cues + 1), np.zeros((2, 2))
     emission[0] = -3.0
@@ -181,7 +181,7 @@ def _fit_chain(windows: list[tuple[list[int], list[int]]], cues: int, l2: float
                 b = np.where(on[:, k, None], nb / nb.sum(-1, keepdims=True), b)
         slope = np.concatenate([seen_e - expect_e, (seen_t - expect_t).ravel()]) / len(x) - l2 * params / len(x)
         first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope ** 2
-        params = params + 0.1 * (first / (1 - 0.9 ** t)) / (np.sqrt(second / (1 - 0.999 ** t)) + 1e-9)
+        params = params + 0.25 * (first / (1 - 0.9 ** t)) / (np.sqrt(second / (1 - 0.999 ** t)) + 1e-9)
     return params[:cues + 1], params[cues + 1:].reshape(2, 2)
 
 
