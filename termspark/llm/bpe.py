@@ -22,13 +22,14 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termspark.llm.common import only, slices, worker_cache
 
 #: Pieces remembered by a worker; beyond it the memory starts anew.
-REMEMBERED = 250_000
+REMEMBERED = 600_000
 NEVER = 1 << 60
 
 
@@ -55,6 +56,7 @@ class Vocabulary:
             t = self.bytes[r]
             self.ends.add_word(t.decode("latin-1"), (len(t), r))
         self.ends.make_automaton()
+        self.size = {r: len(t) for r, t in self.bytes.items()}
         self.pairs: dict[tuple[int, int], bool] = {}
 
     def _merge(self, token: bytes, below: int) -> list[bytes]:
@@ -91,6 +93,27 @@ class Vocabulary:
         return good
 
 
+    def encode(self, data: bytes) -> tuple[int, ...]:
+        """The last tokens of all prefixes of one short piece, and the encoding they give."""
+        last, known, stable = [-1] * len(data), self.pairs.get, self.stable
+        for end, (n, t) in self.ends.iter(data.decode("latin-1")):
+            if last[end] < 0:
+                before = end - n
+                if before < 0:
+                    last[end] = t
+                else:
+                    good = known((last[before], t))
+                    if good is None:
+                        good = stable(last[before], t)
+                    if good:
+                        last[end] = t
+        at, out, size = len(data) - 1, [], self.size
+        while at >= 0:
+            out.append(last[at])
+            at -= size[last[at]]
+        return tuple(out[::-1])
+
+
 class PrefixEncoding:
     """The encoding of every prefix of a byte string that grows or is edited."""
 
@@ -154,7 +177,7 @@ class PieceCache(dict):
     def __missing__(self, piece: str) -> tuple[int, ...]:
         data = piece.encode("utf-8", "surrogatepass")
         whole = self.v.ranks.get(data)
-        ids = (whole,) if whole is not None else tuple(PrefixEncoding(self.v, data).tokens())
+        ids = (whole,) if whole is not None else self.v.encode(data)
         if len(self) >= REMEMBERED:
             self.clear()
         if len(data) <= 256:
@@ -162,14 +185,24 @@ class PieceCache(dict):
         return ids
 
 
-def _in_worker(sent, pattern: str):
-    import regex
+class TextEncoder:
+    """Texts to ids: each match of the pattern separately."""
+
+    def __init__(self, vocabulary: Vocabulary, pattern: str):
+        import regex
+
+        self.split, self.pieces = regex.compile(pattern).findall, PieceCache(vocabulary)
+
+    def __call__(self, text: str | None) -> list[int]:
+        return list(chain.from_iterable(map(self.pieces.__getitem__, self.split(text)))) if text else []
+
 
+def _in_worker(sent, pattern: str) -> TextEncoder:
     kept = worker_cache("bpe")
-    if kept.get("file") != (key := hash(sent.value)):
-        v = Vocabulary(sent.value)
-        kept |= {"file": key, "vocabulary": v, "pieces": PieceCache(v)}
-    return kept["vocabulary"], kept["pieces"], regex.compile(pattern)
+    key = (hash(sent.value), pattern)
+    if kept.get("key") != key:
+        kept |= {"key": key, "encoder": TextEncoder(Vocabulary(sent.value), pattern)}
+    return kept["encoder"]
 
 
 def send_vocabulary(spark: SparkSession, rank_path: str):
@@ -187,11 +220,11 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, *, doc_id: str = "doc_
     sent = send_vocabulary(docs.sparkSession, rank_path)
 
     def run(batches):
-        v, pieces, split = _in_worker(sent, pattern)
+        encoder = _in_worker(sent, pattern)
         for b in slices(batches):
             values, ends = [], [0]
             for t in b.column(1).to_pylist():
-                ids = list(chain.from_iterable(map(pieces.__getitem__, split.findall(t)))) if t else []
+                ids = encoder(t)
                 values.append(np.array(ids, np.int32))
                 ends.append(ends[-1] + len(ids))
             flat = np.concatenate(values) if values else np.empty(0, np.int32)
@@ -208,12 +241,21 @@ def decode(encoded: DataFrame, rank_path: str) -> DataFrame:
 
     def run(batches):
         kept = worker_cache("bpe-bytes")
-        if kept.get("file") != (key := hash(sent.value)):
-            kept |= {"file": key, "bytes": {int(b): base64.b64decode(a) for a, b in map(bytes.split, sent.value.splitlines()) if a}}
-        size = kept["bytes"].__getitem__
+        if kept.get("key") != (key := hash(sent.value)):
+            by = {int(b): base64.b64decode(a) for a, b in map(bytes.split, sent.value.splitlines()) if a}
+            size = np.array([len(by.get(i, b"")) for i in range(max(by, default=-1) + 1)], np.int64)
+            kept |= {"key": key, "size": size, "start": np.cumsum(size) - size,
+                     "bytes": np.frombuffer(b"".join(by.get(i, b"") for i in range(len(size))), np.uint8)}
+        size, start, table = kept["size"], kept["start"], kept["bytes"]
         for b in slices(batches):
-            out = [None if ids is None else b"".join(map(size, ids)) for ids in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"])
+            lists = b.column(1)
+            ids = lists.flatten().to_numpy(zero_copy_only=False)
+            counts = np.array([0 if n is None else n for n in pc.list_value_length(lists).to_pylist()], np.int64)
+            n = size[ids]
+            at = np.repeat(start[ids] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            data, ends = table[at].tobytes(), np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(counts)])]
+            out = [data[x:y] if ok else None for x, y, ok in zip(ends, ends[1:], lists.is_valid().to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"])
 
     return only(encoded, "doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
