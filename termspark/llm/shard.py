@@ -2,7 +2,7 @@
 
 Records are ordered by a hash of their key (here: the text, so equal texts are
 neighbours) and, inside a key, by a hash of their id.  A size-weighted sample of
-the keys (priority sampling: the records with the largest weight / uniform) gives
+the keys (each record with a chance in proportion to its size) gives
 quantile boundaries, the splitters; they cut the order into many ranges of like
 weight, each of which one task can hold.  A key that fills more than one range
 is drawn more than once, and its range is cut inside the key.  Ranges that the
@@ -36,17 +36,20 @@ RANGE_ROWS, MAX_RANGES = 200_000, 50_000
 WHOLE = 1 / 128
 
 
-def sample_splitters(df: DataFrame, ranges: int, mean: float) -> list[tuple[int, int]]:
-    """At most ``ranges`` - 1 boundaries (key, sub) of ranges of like weight."""
-    # weight: the record's size plus the mean size, so both bytes and rows of a range are bounded
+def sample_splitters(df: DataFrame, ranges: int, mean: float, weight: float) -> list[tuple[int, int]]:
+    """At most ``ranges`` - 1 boundaries (key, sub) of ranges of like weight.
+
+    A record of weight w is drawn when w / u exceeds ``weight`` / m, u uniform in
+    (0, 1] from its hash: with probability in proportion to w, all together about
+    m = ``ranges`` * OVERSAMPLE of them, which is all that reaches the driver."""
+    # the record's size plus the mean size, so that both bytes and rows of a range are bounded
     u = (F.pmod(F.xxhash64(F.lit(11), "_key", "_sub"), F.lit(1 << 52)).cast("double") + 1) / float(1 << 52)
     w = F.col("size").cast("double") + F.lit(mean)
-    m = ranges * OVERSAMPLE
-    rows = df.select("_key", "_sub", w.alias("w"), (w / u).alias("p")).orderBy(F.desc("p"), "_key", "_sub").limit(m + 1).collect()
+    tau = weight / (ranges * OVERSAMPLE)
+    rows = df.where(w / u > tau).select("_key", "_sub", w.alias("w")).collect()
     if not rows:
         return []
-    tau = rows[-1]["p"] if len(rows) > m else 0.0
-    rows = sorted(((r["_key"], r["_sub"], max(r["w"], tau)) for r in rows[:m]))
+    rows = sorted((r["_key"], r["_sub"], max(r["w"], tau)) for r in rows)
     total, out, acc, step = sum(r[2] for r in rows), [], 0.0, 1
     for k, s, weight in rows:
         acc += weight
@@ -108,7 +111,7 @@ def assign_shards(records: DataFrame, shards: int, *, key: str, size: str, tie:
     total = total or 0
     mean = max(total / n, 1.0)
     ranges = min(max_ranges, max(4 * shards, -(-n // range_rows)))
-    cuts = sample_splitters(base, ranges, mean)
+    cuts = sample_splitters(base, ranges, mean, total + n * mean)
     most = 2.0 * (total + n * mean) / ranges
     for attempt in range(4):
         placed = _ranged(base, cuts)
@@ -117,8 +120,9 @@ def assign_shards(records: DataFrame, shards: int, *, key: str, size: str, tie:
         over = [k for k, (b, c) in stats.items() if b + c * mean > most and c > 1]
         if not over or attempt == 3:
             break
-        parts = int(sum((stats[k][0] + stats[k][1] * mean) / most + 2 for k in over)) * 2
-        more = sample_splitters(placed.where(F.col("_range").isin(over)), min(parts, max_ranges), mean)
+        heavy = sum(stats[k][0] + stats[k][1] * mean for k in over)
+        parts = 2 * (int(heavy / most) + 2 * len(over))
+        more = sample_splitters(placed.where(F.col("_range").isin(over)), min(parts, max_ranges), mean, heavy)
         if set(more) <= set(cuts):
             break
         cuts = sorted(set(cuts) | set(more))
