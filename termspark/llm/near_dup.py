@@ -15,12 +15,12 @@ Steps, all of them joins and aggregates over small rows:
    are paired with centers, never with each other: pairs grow with the rows;
 3. pairs whose signatures agree on less than ``floor`` of the positions are
    left out (0.6 against 0.75 is 4.9 standard deviations of the estimate), the
-   others are confirmed on the full sets: first the center that a node meets
-   most often, and, after a union-find over these links, the rest;
+   center that a node meets most often is confirmed on the full sets, and a
+   union-find over these links gives the first components;
 4. a bucket with members outside its center's component is compared block by
-   block, each such member against all members of other components, so a
-   link that does not run over a center is found too; a task reports the links
-   that join components, not all pairs.
+   block, each such member against all members of other components, on the full
+   sets, so a link that does not run over a center is found too; a task reports
+   what its links connect, not all pairs.
 
 With 40 bands of 5 values a pair at exactly 0.75 is missed with probability
 2e-5; nothing is capped or sampled.
@@ -146,13 +146,13 @@ def _texts(docs: DataFrame, nodes: DataFrame, reps: DataFrame, doc_id: str, text
     if want.count() <= BROADCAST_IDS:
         want = F.broadcast(want)
     rows = only(docs, doc_id, text).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t"))
-    return materialize(rows.join(want, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "t"))
+    return rows.join(want, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "t")
 
 
 def _confirm(docs, pairs, reps, percent, shingle, doc_id, text) -> DataFrame:
     """The pairs (a, b) that are links by their full sets.  Centers stand in column b; a
     center of very many pairs is dealt out over as many keys as its pairs need."""
-    texts = _texts(docs, pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))), reps, doc_id, text)
+    texts = materialize(_texts(docs, pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))), reps, doc_id, text))
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs.count() // PAIRS_A_TASK))
     keys = pairs.groupBy("b").agg(F.ceil(F.count("*") / PAIRS_A_TASK).cast("int").alias("k"))
     left = pairs.join(keys, "b").join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a") \
@@ -213,12 +213,13 @@ def _overlaps(sets: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
 
 
 def _mixed_buckets(docs, member, comp, reps, percent, shingle, doc_id, text) -> DataFrame:
-    """Links (a, b) that join components, from the buckets that hold several.
+    """Edges (a, b) that connect what links across components connect, from the buckets
+    that hold several components.
 
     Members outside their center's component are compared with all members of other
-    components, CHUNK by CHUNK, on 32-bit fingerprints of the full sets; each task
-    reports a spanning forest of what it finds, never the pairs, and the caller
-    confirms these links.  (A fingerprint can only let two sets look more alike.)
+    components, CHUNK by CHUNK, on their full sets, as in _confirm; a task reports a
+    spanning forest over the links it finds.  Its edges need not be links themselves:
+    they say what is connected and are not to be confirmed again.
     """
     pairs = member.select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
     out = _across(pairs, comp)
@@ -228,13 +229,14 @@ def _mixed_buckets(docs, member, comp, reps, percent, shingle, doc_id, text) ->
     mixed = materialize(_component_of(mixed, "node", comp, "c"))
     texts = _texts(docs, mixed.select("node"), reps, doc_id, text)
 
-    def prints(batches):
+    def hashes(batches):
         seen = WordHash()
         for b in slices(batches):
-            sets = [np.unique((shingle_hashes(doc_words(t), seen, shingle) >> np.uint64(32)).astype(np.uint32)) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "prints"])
+            sets = [(n, shingle_hashes(doc_words(t), seen, shingle)) for n, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            sets = [(n, s) for n, s in sets if len(s) and int.from_bytes(set_hash(s)[:8], "little", signed=True) == n]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in sets], pa.int64()), pa.array([s.tobytes() for _, s in sets], pa.binary())], ["node", "hashes"])
 
-    sets = materialize(texts.mapInArrow(prints, "node long, prints binary"))
+    sets = materialize(texts.mapInArrow(hashes, "node long, hashes binary"))
     count = mixed.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)  # few: most buckets are small
     rows = mixed.join(count, "band", "left").withColumn("k", F.ceil(F.coalesce("n", F.lit(1)) / CHUNK).cast("int")) \
         .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")) \
@@ -250,12 +252,13 @@ def _mixed_buckets(docs, member, comp, reps, percent, shingle, doc_id, text) ->
             mine, node, c, outside = (np.array([r[k] for r in rows]) for k in (3, 4, 5, 6))
             if not outside.any() or (c == c[0]).all():
                 return []
-            sets = [np.frombuffer(r[7], np.uint32) for r in rows]
+            sets = [np.frombuffer(r[7], np.uint64) for r in rows]
             size = np.array([len(x) for x in sets])
             left = np.flatnonzero(outside)
-            both = _overlaps(sets, left)
-            near = 100 * both >= percent * (size[left][:, None] + size[None, :] - both)
-            near &= c[left][:, None] != c[None, :]
+            near = c[left][:, None] != c[None, :]
+            for at, both in enumerate(_overlaps(sets, left)):
+                both = both.astype(np.int64)
+                near[at] &= 100 * both >= percent * (size[left[at]] + size - both)
             if i != j:
                 near &= mine[left][:, None] != mine[None, :]
             p, q = np.nonzero(near)
@@ -274,7 +277,7 @@ def _mixed_buckets(docs, member, comp, reps, percent, shingle, doc_id, text) ->
         if held:
             yield _edges(group(held))
 
-    return materialize(dealt.select("band", "i", "j", "mine", "node", "c", "out", "prints").mapInArrow(compare, "a long, b long").distinct())
+    return materialize(dealt.select("band", "i", "j", "mine", "node", "c", "out", "hashes").mapInArrow(compare, "a long, b long").distinct())
 
 
 def _edges(edges: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -308,17 +311,18 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, shingle: int = 5, ban
             .join(sig, "node").join(sig.select(F.col("node").alias("center"), F.col("sig").alias("csig")), "center")
             .select(F.col("node").alias("a"), F.col("center").alias("b"), "met", _agreement("sig", "csig").alias("est"))
             .where(F.col("est") >= floor))
-    star = materialize(star)
     best = Window.partitionBy("a").orderBy(F.desc("met"), F.desc("est"), "b")
     first = materialize(star.withColumn("r", F.row_number().over(best)).where("r = 1").select("a", "b"))
     links = materialize(_confirm(docs, first, reps, percent, shingle, doc_id, text))
     comp = components(links)
 
-    more = _across(star.select("a", "b"), comp).union(_mixed_buckets(docs, member, comp, reps, percent, shingle, doc_id, text))
-    more = materialize(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    if more.take(1):
-        links = materialize(links.union(_confirm(docs, more, reps, percent, shingle, doc_id, text)))
-        comp = components(links)
+    # a center met less often is a member of a mixed bucket like any other; what the first
+    # part of the buckets joins is not compared again in the others
+    for part in (F.pmod("band", F.lit(8)) == 0, F.pmod("band", F.lit(8)) > 0):
+        more = _mixed_buckets(docs, member.where(part), comp, reps, percent, shingle, doc_id, text)
+        if more.take(1):
+            links = links.union(more)
+            comp = components(links)
     root = reps.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = root.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = root.join(smallest, "component").select("node", "component_id", F.col("component").alias("group"))

@@ -220,6 +220,26 @@ def test_near_duplicates_chains_and_passages(spark):
     assert got == brute.near_duplicates(rows)
 
 
+def variants(n=1100, edits=2, seed=4):
+    """Variants of one text whose similarities lie around 0.75 (below it without edits close together)."""
+    rng = random.Random(seed)
+    base, rows = [f"t{i}" for i in range(100)], []
+    for i in range(n):
+        text = list(base)
+        for at in rng.sample(range(100), edits):
+            text[at] = f"v{i}x{at}"
+        rows.append((i, " ".join(text)))
+    return rows
+
+
+@pytest.mark.parametrize("edits, seed", [(2, 4), (3, 5)])
+def test_near_duplicates_large_family_around_the_threshold(spark, edits, seed):
+    from termspark.llm.near_dup import near_duplicates
+    rows = variants(edits=edits, seed=seed)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.near_duplicates(rows)
+
+
 def test_near_duplicates_odd_rows(spark):
     from termspark.llm.near_dup import keep_one, near_duplicates
     got = {(r["doc_id"], r["n_shingles"]): (r["component_id"], r["kept"]) for r in near_duplicates(odd(spark)).collect()}
