@@ -33,10 +33,21 @@ def _runs() -> str:
         acc -> acc.out))"""
 
 
+def _context(zip_: str) -> str:
+    """The pieces next to each match become the text next to it: where one is shorter than
+    CONTEXT, the matches and pieces beyond it follow.  No match is empty, so CONTEXT of them do."""
+    return f"""transform({zip_}, (x, i) -> named_struct('lp', x.lp, 'lm', x.lm, 's', x.s,
+        'b', case when i = 0 or length(x.b) >= {CONTEXT} then x.b else right(concat(array_join(transform(
+            slice({zip_}, greatest(i - {CONTEXT - 1}, 1), least(i, {CONTEXT})), y -> concat(y.b, right(y.s, {CONTEXT}))), ''), x.b), {CONTEXT}) end,
+        'f', case when i = size({zip_}) - 1 or length(x.f) >= {CONTEXT} then x.f else left(concat(x.f, array_join(transform(
+            slice({zip_}, i + 2, {CONTEXT}), y -> concat(left(y.s, {CONTEXT}), y.f)), '')), {CONTEXT}) end))"""
+
+
 def with_spans(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
     """Adds one column for each name in ``patterns``: array<SPAN> of its matches in
     order of their start (null text: no matches).  ``patterns`` must not match the
-    empty string.  The matches keep the code points next to them as context."""
+    empty string.  The matches keep the CONTEXT code points of the text on
+    either side of them, whatever matches lie there."""
     keep = df.columns
     found = df.select("*", *[F.coalesce(F.regexp_extract_all(F.col(text), F.lit(p), 0), F.array().cast("array<string>")).alias(f"_m_{k}")
                              for k, p in patterns.items()])
@@ -46,6 +57,7 @@ def with_spans(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
         zip_with(slice(_p_{k}, 1, size(_m_{k})), slice(_p_{k}, 2, size(_m_{k})), (p, q) -> named_struct('p', p, 'q', q)), _m_{k},
         (x, s) -> named_struct('lp', cast(length(x.p) as bigint), 'lm', cast(length(s) as bigint), 's', s,
                                'b', right(x.p, {CONTEXT}), 'f', left(x.q, {CONTEXT}))) end""").alias(f"_z_{k}") for k in patterns])
+    zipped = zipped.select(*keep, *[F.expr(_context(f"_z_{k}")).alias(f"_z_{k}") for k in patterns])
     return zipped.select(*keep, *[F.expr(f"case when _z_{k} is null then cast(array() as array<{SPAN}>) else {_runs().replace('zip,', f'_z_{k},').replace('size(zip)', f'size(_z_{k})')} end").alias(k)
                                   for k in patterns])
 

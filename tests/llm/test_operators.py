@@ -136,6 +136,23 @@ def test_personal_checksums_and_context(spark):
     assert got[5][0]["score"] == pytest.approx(0.9)
 
 
+def test_personal_context_is_the_text_whatever_matches_lie_there(spark):
+    from termspark.llm import pii
+    from termspark.llm.spans import with_spans
+    rows = [(1, "SSN: 123-45-6789, 234-56-7890, 345-67-8901"), (2, "123-45-6789, 234-56-7890 (social)"), (3, "123-45-6789, 234-56-7890"),
+            (4, "ssn " + "é " * 19 + "123-45-6789, 234-56-7890")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: [(f["kind"], f["start"], f["stop"]) for f in r["findings"]] for r in pii.find_pii(df).collect()}
+    assert got == {1: [("ssn", 5, 16), ("ssn", 18, 29), ("ssn", 31, 42)], 2: [("ssn", 0, 11), ("ssn", 13, 24)], 3: [], 4: []}
+    assert {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}[1] == "SSN: <SSN>, <SSN>, <SSN>"
+    rng = random.Random(8)
+    many = [(i, "".join(rng.choices("ab1é🙂 ", weights=(1, 1, 4, 1, 1, 1), k=n))) for i, n in enumerate((0, 1, 30, 90, 700, 3000))]
+    for r in with_spans(spark.createDataFrame(many, "doc_id long, text string"), "text", {"one": "[0-9]", "run": "[0-9]+"}).collect():
+        for m in r["one"] + r["run"]:
+            assert m["s"] == r["text"][m["start"]:m["stop"]]
+            assert (m["before"], m["after"]) == (r["text"][max(0, m["start"] - 40):m["start"]], r["text"][m["stop"]:m["stop"] + 40])
+
+
 def test_redaction(spark):
     from termspark.llm import pii
     rows = [(1, "to a.b@c.de and 1.2.3.4!"), (2, None), (3, "none"), (4, "+4111 1111 1111 1111 x")]
