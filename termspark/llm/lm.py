@@ -1,22 +1,24 @@
 """Language-model scores from an Elias-Fano n-gram trie spread over the cluster.
 
-The model is a bigram model with Dirichlet smoothing:
+The model has n-grams up to ``order`` words with Dirichlet smoothing:
 
-    p(w | u) = c(uw) / (c(u) + mu)  +  mu / (c(u) + mu) * p1(w)
-    p1(w)    = (c(w) + 0.1) / (N + 0.1 (V + 1))
+    p(w | uv) = c(uvw) / (c(uv) + mu)  +  mu / (c(uv) + mu) * p(w | v)
+    p1(w)     = (c(w) + 0.1) / (N + 0.1 (V + 1))
 
 It sums to one over the vocabulary and one unknown word.  The first term is what
-the trie holds, quantised; the second needs only counts of single words.
+the trie holds, quantised; the second comes from the level below.  A text's first
+word has the start as its only context.
 
 Neither the vocabulary nor the trie has to fit into one machine.  Documents are
 packed once into batches (word hashes, a stream of local word numbers).  A batch
-asks the shard of each of its distinct words, and then the shard of each of its
-distinct bigrams, in one compact message for each shard; a shard adds up what the
+asks the shard of each of its distinct words, and then, level by level, the shard of
+each of its distinct n-grams (context, word), in one compact message for each shard; a
+shard answers with the number of the n-gram, which is the context of the next level.  It adds up what the
 training documents counted, builds its part of the trie, answers every batch by
 trie lookups, and forgets it.  So everything that crosses the network is counted
 per batch beforehand, and a word or word pair that is everywhere costs one entry a
-batch.  Bigrams of a frequent first word are dealt out by both words, all others
-by the first, so no context is held by one task that a task cannot hold.
+batch.  N-grams of a frequent context are dealt out by context and word, all others
+by the context, so no context is held by one task that a task cannot hold.
 """
 from __future__ import annotations
 
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from termspark.llm.common import WordHash, crc_of_id, doc_words, materialize, mix64, only, slices
 from termspark.llm.trie import ABSENT, STEPS, Trie
 
-#: Tokens of a batch; words and bigrams of a shard (before summing up).
+#: Tokens of a batch; words and n-grams of a shard (before summing up).
 BATCH_TOKENS, SHARD_WORDS, SHARD_PAIRS = 1_000_000, 1_500_000, 1_500_000
 #: Weight of the unigram model, in tokens.
 MU = 20.0
@@ -157,30 +159,62 @@ def vocabulary(packed: DataFrame, shards: int, hot_above: int) -> DataFrame:
     return asked.groupBy("shard").applyInArrow(answer, "batch long, shard int, ids binary, counts binary, v long")
 
 
+class _Level:
+    """The n-grams of one length in a batch: positions ``at`` in its stream, number of the
+    n-gram at each (``inverse``), and of each distinct one the context (``back``) and word."""
+
+    def __init__(self, at: np.ndarray, context: np.ndarray, stream: np.ndarray, n: int):
+        self.at = at
+        grams, self.inverse = np.unique(context * n + stream[at], return_inverse=True)
+        self.back, self.word = grams // n, grams % n
+        self.ids = self.counts = self.codes = None
+
+
 class _Batch:
-    """A packed batch with what the vocabulary shards said about its words."""
+    """A packed batch with what the shards said about its words and n-grams: ``levels``
+    of 2 to ``order`` words, of which the last may still be without answers."""
+
+    def __init__(self, row: dict, replies: list[dict], shards: int, pair_shards: int, hot: list[np.ndarray], order: int):
+        replies = sorted(replies, key=lambda r: r["shard"])
+
+        def said(level, col, kind):
+            got = [_unpack(r[col], kind) for r in replies if r["level"] == level and r[col] is not None]
+            return np.concatenate([np.empty(0, kind), *got])
 
-    def __init__(self, row: dict, replies: list[dict], shards: int):
         h = np.frombuffer(row["hashes"], np.uint64)
-        order = np.lexsort((h, _hash_shard(h, shards)))
+        by = np.lexsort((h, _hash_shard(h, shards)))
         self.gid, self.count = np.empty(len(h), np.int64), np.empty(len(h), np.int64)
-        replies = sorted(replies, key=lambda r: r["shard"])
-        self.gid[order] = np.concatenate([_unpack(r["ids"], np.int64) for r in replies])
-        self.count[order] = np.concatenate([_unpack(r["counts"], np.int64) for r in replies])
+        self.gid[by], self.count[by] = said(1, "ids", np.int64), said(1, "counts", np.int64)
         self.stream = _unpack(row["stream"], np.uint32).astype(np.int64)
         self.sizes = _unpack(row["sizes"], np.int64)
         self.held = np.frombuffer(row["held"], np.uint8).astype(bool)
-        first = np.cumsum(self.sizes) - self.sizes
+        self.first = np.cumsum(self.sizes) - self.sizes
         n = len(h)
-        self.before = np.roll(self.stream, 1)  # local number of the context; n: start of a text
-        self.before[first] = n
+        place = np.arange(len(self.stream)) - np.repeat(self.first, self.sizes)
+        before = np.roll(self.stream, 1)  # local number of the context; n: start of a text
+        before[self.first] = n
         # the start has id 0 (all others are moved up by one), so it is a context like any other
-        self.context_id = np.append(self.gid + 1, 0)
-        self.first, self.n = first, n
-        self.pairs, self.inverse = np.unique(self.before * n + self.stream, return_inverse=True)
-
-    def pair_ids(self) -> tuple[np.ndarray, np.ndarray]:
-        return self.context_id[self.pairs // self.n], self.gid[self.pairs % self.n]
+        context_id = np.append(self.gid + 1, 0)
+        self.levels = []
+        for k in range(2, order + 1):
+            if k == 2:
+                g = _Level(np.arange(len(self.stream)), before, self.stream, n)
+            else:  # a context that training did not have leaves the level below as it is
+                last = self.levels[-1]
+                number = np.full(len(self.stream), -1)
+                number[last.at] = np.where(last.counts > 0, np.arange(len(last.counts)), -1)[last.inverse]
+                at = np.flatnonzero((place >= k - 2) & (np.roll(number, 1) >= 0))
+                g = _Level(at, number[at - 1], self.stream, n)
+                context_id = last.ids
+            self.levels.append(g)
+            g.u, g.w = context_id[g.back], self.gid[g.word]
+            g.order, g.cut = _pair_order(g.u, g.w, hot[k - 2], pair_shards)
+            for name, kind in (("codes", np.uint16), ("counts", np.int64), ("ids", np.int64)):
+                got = said(k, name, kind)
+                if len(got) == len(g.order):
+                    value = np.empty(len(got), kind)
+                    value[g.order] = got
+                    setattr(g, name, value)
 
 
 def _pair_order(u: np.ndarray, w: np.ndarray, hot: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
@@ -194,7 +228,7 @@ def _pair_order(u: np.ndarray, w: np.ndarray, hot: np.ndarray, shards: int) -> t
 
 
 def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", mu: float = MU, batch_tokens: int = BATCH_TOKENS,
-          shard_words: int = SHARD_WORDS, shard_pairs: int = SHARD_PAIRS) -> DataFrame:
+          shard_words: int = SHARD_WORDS, shard_pairs: int = SHARD_PAIRS, order: int = 2) -> DataFrame:
     """One row per document row: (doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score).
 
@@ -203,7 +237,7 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", mu: fl
     the words (A-Z lower-cased, runs without white space) and one end; a null or
     blank text has the end alone.  n_known counts tokens seen in training,
     train_tokens all training tokens N; base_score is the log10 probability under
-    p1, score under the bigram model.  Words are told apart by 64-bit hashes.  Other
+    p1, score under the model of ``order`` words (2 or more).  Words are told apart by 64-bit hashes.  Other
     columns are left aside; an empty table gives no rows.
     """
     packed = pack(docs, doc_id=doc_id, text=text, batch_tokens=batch_tokens)
@@ -221,68 +255,87 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", mu: fl
     if size["train_docs"] > hot_above:
         hot[0] = size["train_docs"]
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(hot)
-    replies = words.where("batch >= 0").select("batch", "shard", "ids", "counts")
-
-    def ask(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        u_, w_, c_, s_, b_ = [], [], [], [], []
-        for row in left.to_pylist():
-            b = _Batch(row, right.to_pylist(), word_shards)
-            seen = np.bincount(b.inverse, weights=np.repeat(~b.held, b.sizes), minlength=len(b.pairs)).astype(np.uint32)
-            u, w = b.pair_ids()
-            order, cut = _pair_order(u, w, np.array(list(sent.value), np.int64), pair_shards)
-            for k, (x, y) in enumerate(zip(cut, cut[1:])):
-                if y > x:
-                    o = order[x:y]
-                    s_.append(k)
-                    b_.append(row["batch"])
-                    u_.append(_pack(_delta(u[o])))
-                    w_.append(_pack(w[o]))
-                    c_.append(_pack(seen[o]))
-        return pa.table({"shard": pa.array(s_, pa.int32()), "batch": pa.array(b_, pa.int64()), "u": pa.array(u_, pa.binary()),
-                         "w": pa.array(w_, pa.binary()), "c": pa.array(c_, pa.binary())})
-
-    def answer(t: pa.Table) -> pa.Table:
-        t = t.sort_by("batch")
-        us = [np.cumsum(_unpack(x, np.int64)) for x in t.column("u").to_pylist()]
-        ends = np.cumsum([0] + [len(x) for x in us])
-        u = np.concatenate(us)
-        w = np.concatenate([_unpack(x, np.int64) for x in t.column("w").to_pylist()])
-        c = np.concatenate([_unpack(x, np.uint32) for x in t.column("c").to_pylist()])
-        del us
-        uu, ui = np.unique(u, return_inverse=True)
-        ww, wi = np.unique(w, return_inverse=True)
-        key, inv = np.unique(ui * len(ww) + wi, return_inverse=True)
-        c = np.bincount(inv, weights=c, minlength=len(key)).astype(np.int64)
-        ku, kw = key // len(ww), key % len(ww)
-        per = np.bincount(ku, weights=c, minlength=len(uu))
-        for i in np.flatnonzero(np.isin(uu, np.array(list(sent.value), np.int64))):
-            per[i] = sent.value[int(uu[i])]
-        have = c > 0
-        trie = Trie.from_buffer(Trie.build(uu[ku[have]], ww[kw[have]], c[have] / (per[ku[have]] + mu)).to_bytes())
-        codes = trie.lookup(uu[ku], ww[kw])[inv]
-        return pa.table({"batch": t.column("batch"), "shard": t.column("shard"),
-                         "codes": pa.array([_pack(codes[x:y]) for x, y in zip(ends, ends[1:])], pa.binary())})
-
-    asked = packed.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(
-        ask, "shard int, batch long, u binary, w binary, c binary")
-    codes = asked.groupBy("shard").applyInArrow(answer, "batch long, shard int, codes binary")
+    sent = [spark.sparkContext.broadcast(hot)]  # for each level, frequent contexts and their counts
+    none = F.lit(None).cast("binary")
+    replies = words.where("batch >= 0").select("batch", "shard", F.lit(1).alias("level"), "ids", "counts", none.alias("codes"))
+
+    def asker(level, hot_of):
+        def ask(key, left: pa.Table, right: pa.Table) -> pa.Table:
+            u_, w_, c_, s_, b_ = [], [], [], [], []
+            rows = right.to_pylist()
+            for row in left.to_pylist():
+                b = _Batch(row, rows, word_shards, pair_shards, [np.array(list(h.value), np.int64) for h in hot_of], level)
+                g = b.levels[-1]
+                seen = np.bincount(g.inverse, weights=np.repeat(~b.held, b.sizes)[g.at], minlength=len(g.u)).astype(np.uint32)
+                for k, (x, y) in enumerate(zip(g.cut, g.cut[1:])):
+                    if y > x:
+                        o = g.order[x:y]
+                        s_.append(k)
+                        b_.append(row["batch"])
+                        u_.append(_pack(_delta(g.u[o])))
+                        w_.append(_pack(g.w[o]))
+                        c_.append(_pack(seen[o]))
+            return pa.table({"shard": pa.array(s_, pa.int32()), "batch": pa.array(b_, pa.int64()), "u": pa.array(u_, pa.binary()),
+                             "w": pa.array(w_, pa.binary()), "c": pa.array(c_, pa.binary())})
+        return ask
+
+    def answerer(level, frequent):
+        def answer(t: pa.Table) -> pa.Table:
+            t = t.sort_by("batch")
+            shard = t.column("shard")[0].as_py()
+            us = [np.cumsum(_unpack(x, np.int64)) for x in t.column("u").to_pylist()]
+            ends = np.cumsum([0] + [len(x) for x in us])
+            u = np.concatenate(us)
+            w = np.concatenate([_unpack(x, np.int64) for x in t.column("w").to_pylist()])
+            c = np.concatenate([_unpack(x, np.uint32) for x in t.column("c").to_pylist()])
+            del us
+            uu, ui = np.unique(u, return_inverse=True)
+            ww, wi = np.unique(w, return_inverse=True)
+            key, inv = np.unique(ui * len(ww) + wi, return_inverse=True)
+            c = np.bincount(inv, weights=c, minlength=len(key)).astype(np.int64)
+            ku, kw = key // len(ww), key % len(ww)
+            per = np.bincount(ku, weights=c, minlength=len(uu))
+            for i in np.flatnonzero(np.isin(uu, np.array(list(frequent.value), np.int64))):
+                per[i] = frequent.value[int(uu[i])]
+            have = c > 0
+            trie = Trie.from_buffer(Trie.build(uu[ku[have]], ww[kw[have]], c[have] / (per[ku[have]] + mu)).to_bytes())
+            codes = trie.lookup(uu[ku], ww[kw])[inv]
+            parts = list(zip(ends, ends[1:]))
+            out = {"batch": t.column("batch").to_pylist(), "ids": [None] * len(parts), "counts": [None] * len(parts),
+                   "codes": [_pack(codes[x:y]) for x, y in parts]}
+            if level < order:  # the next level's contexts, numbered in the order of the shard's trie
+                ids, often = np.arange(len(key)) * pair_shards + shard, np.flatnonzero(c > hot_above)
+                out = {"batch": [-1] + out["batch"], "ids": [_pack(ids[often])] + [_pack(ids[inv[x:y]]) for x, y in parts],
+                       "counts": [_pack(c[often])] + [_pack(c[inv[x:y]]) for x, y in parts], "codes": [None] + out["codes"]}
+            return pa.table({"batch": pa.array(out["batch"], pa.int64()), "shard": pa.array([shard] * len(out["batch"]), pa.int32()),
+                             "level": pa.array([level] * len(out["batch"]), pa.int32()),
+                             **{k: pa.array(out[k], pa.binary()) for k in ("ids", "counts", "codes")}})
+        return answer
+
+    for level in range(2, order + 1):
+        asked = packed.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(
+            asker(level, list(sent)), "shard int, batch long, u binary, w binary, c binary")
+        said = asked.groupBy("shard").applyInArrow(answerer(level, sent[-1]), "batch long, shard int, level int, ids binary, counts binary, codes binary")
+        if level < order:
+            said = materialize(said)
+            hot = {}  # at most 8 * pair_shards n-grams
+            for r in said.where("batch = -1").select("ids", "counts").collect():
+                hot.update(zip(_unpack(r["ids"], np.int64).tolist(), _unpack(r["counts"], np.int64).tolist()))
+            sent.append(spark.sparkContext.broadcast(hot))
+        replies = replies.unionByName(said.where("batch >= 0"))
 
     def finish(key, left: pa.Table, right: pa.Table) -> pa.Table:
         rows = right.to_pylist()
         out = []
         for row in left.to_pylist():
-            b = _Batch(row, [r for r in rows if r["codes"] is None], word_shards)
-            u, w = b.pair_ids()
-            order, _ = _pair_order(u, w, np.array(list(sent.value), np.int64), pair_shards)
-            code = np.empty(len(order), np.uint16)
-            got = sorted((r for r in rows if r["codes"] is not None), key=lambda r: r["shard"])
-            code[order] = np.concatenate([_unpack(r["codes"], np.uint16) for r in got])
+            b = _Batch(row, rows, word_shards, pair_shards, [np.array(list(h.value), np.int64) for h in sent], order)
             p1 = (b.count + 0.1) / (total + 0.1 * (known + 1))
-            seen = np.append(b.count, size_train_docs)  # training count of each context
-            back = mu / (seen + mu)
-            high = np.where(code == ABSENT, 0.0, 10.0 ** (-code.astype(float) / STEPS))
-            p = high + back[b.pairs // b.n] * p1[b.pairs % b.n]
+            p, seen = p1[b.stream], np.append(b.count, size_train_docs)  # training count of each context
+            for g in b.levels:
+                back = mu / (seen + mu)
+                high = np.where(g.codes == ABSENT, 0.0, 10.0 ** (-g.codes.astype(float) / STEPS))
+                p[g.at] = high[g.inverse] + back[g.back][g.inverse] * p[g.at]
+                seen = g.counts
             starts = b.first
             out.append(pa.table({
                 "doc_id": pa.array(np.where(np.frombuffer(row["known_ids"], np.uint8) > 0, _unpack(row["ids"], np.int64), 0), pa.int64(),
@@ -291,10 +344,9 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", mu: fl
                 "n_known": pa.array(np.add.reduceat((b.count > 0)[b.stream].astype(np.int64), starts), pa.int64()),
                 "train_tokens": pa.array(np.full(len(b.sizes), total), pa.int64()),
                 "base_score": pa.array(np.add.reduceat(np.log10(p1)[b.stream], starts), pa.float64()),
-                "score": pa.array(np.add.reduceat(np.log10(p)[b.inverse], starts), pa.float64())}))
+                "score": pa.array(np.add.reduceat(np.log10(p), starts), pa.float64())}))
         return pa.concat_tables(out)
 
     size_train_docs = size["train_docs"]
-    both = replies.withColumn("codes", F.lit(None).cast("binary")).unionByName(codes, allowMissingColumns=True)
-    return packed.groupBy("batch").cogroup(both.groupBy("batch")).applyInArrow(
+    return packed.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(
         finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

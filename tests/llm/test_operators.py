@@ -208,6 +208,50 @@ def test_lm_odd_rows(spark):
     assert lm.score(odd(spark).where("false")).count() == 0
 
 
+def ngram_scores(docs, mu, order):
+    """{doc_id: log10 probability} under the smoothed model of ``order`` words, not quantised."""
+    end, start, count = object(), object(), {}
+    tokens = {d: brute.words(t) + [end] for d, t in docs}
+    for d, t in tokens.items():
+        if brute.crc(d) % 10:
+            padded = [start] + t
+            for k in range(1, order + 1):
+                for i in range(len(padded) - k + 1):
+                    count[tuple(padded[i:i + k])] = count.get(tuple(padded[i:i + k]), 0) + 1
+    one = {g[0]: c for g, c in count.items() if len(g) == 1 and g[0] is not start}
+    n, v = sum(one.values()), len(one)
+
+    def p(gram):
+        if len(gram) == 1:
+            return (one.get(gram[0], 0) + 0.1) / (n + 0.1 * (v + 1))
+        c = count.get(gram[:-1], 0)
+        return (count.get(gram, 0) + mu * p(gram[1:])) / (c + mu)
+
+    return {d: sum(np.log10(p(tuple(([start] + t)[max(0, i + 2 - order):i + 2]))) for i in range(len(t))) for d, t in tokens.items()}
+
+
+@pytest.mark.parametrize("order", [3, 4])
+def test_lm_longer_contexts(spark, docs, texts, order):
+    from termspark.llm import lm
+    rows = [r for r in ODD if r[0] not in (6, None)]
+    small = {"batch_tokens": 3000, "shard_words": 2000, "shard_pairs": 1500}
+    for df, plain, how in ((docs.repartition(5), texts, small), (odd(spark, rows), rows, {})):
+        want = ngram_scores(plain, lm.MU, order)
+        got = lm.score(df, order=order, **how).collect()
+        assert len(got) == len(plain)
+        for r in got:
+            assert want[r["doc_id"]] - 0.001 * r["n_tokens"] - 1e-6 <= r["score"] <= want[r["doc_id"]] + 1e-6
+    assert lm.score(odd(spark).where("false"), order=order).count() == 0
+
+
+def test_lm_query_sees_two_words_of_context(spark, texts):
+    from termspark.llm import lm
+    from termspark.llm.queries import op3
+    want = ngram_scores(texts, lm.MU, 3)
+    for r in op3(spark, SF).collect():
+        assert want[r["doc_id"]] - 0.001 * r["n_tokens"] - 1e-6 <= r["score"] <= want[r["doc_id"]] + 1e-6
+
+
 # ---- near duplicates, decontamination -------------------------------------------------------
 
 def test_near_duplicates(spark, docs, texts):
