@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from termspark.session import materialize
 
 __all__ = ["table", "materialize", "worker_cache", "WordHash", "mix64", "shingle_hashes", "set_hash",
-           "slices", "doc_words", "bucket_below", "only", "crc_of_id"]
+           "slices", "pack_ints", "unpack_ints", "delta", "doc_words", "bucket_below", "only", "crc_of_id"]
 
 MASK = (1 << 64) - 1
 
@@ -107,3 +107,24 @@ def bucket_below(col, bound: int, total: int):
     if total <= bound:
         return F.lit(True)
     return F.pmod(F.xxhash64(F.lit(7), col), F.lit(1 << 40)) < int((1 << 40) * bound / total)
+
+
+def pack_ints(a: np.ndarray) -> bytes:
+    """An integer array, byte planes apart, compressed."""
+    import zstandard
+
+    a = np.ascontiguousarray(a)
+    planes = a.view(np.uint8).reshape(-1, a.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def unpack_ints(b: bytes, kind) -> np.ndarray:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(b) if b else b""
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def delta(a: np.ndarray) -> np.ndarray:
+    return np.diff(a, prepend=a.dtype.type(0))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termspark.llm.common import WordHash, crc_of_id, doc_words, materialize, mix64, only, slices
+from termspark.llm.common import WordHash, crc_of_id, delta, doc_words, materialize, mix64, only, pack_ints, slices, unpack_ints
 from termspark.llm.trie import ABSENT, STEPS, Trie
 
 #: Tokens of a batch; words and n-grams of a shard (before summing up).
@@ -38,27 +38,6 @@ MU = 20.0
 END, START = b" ", b"\n"
 
 
-def _pack(a: np.ndarray) -> bytes:
-    """An integer array, byte planes apart, compressed."""
-    import zstandard
-
-    a = np.ascontiguousarray(a)
-    planes = a.view(np.uint8).reshape(-1, a.itemsize).T
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
-
-
-def _unpack(b: bytes, kind) -> np.ndarray:
-    import zstandard
-
-    raw = zstandard.ZstdDecompressor().decompress(b) if b else b""
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
-
-
-def _delta(a: np.ndarray) -> np.ndarray:
-    return np.diff(a, prepend=a.dtype.type(0))
-
-
 _PACKED = "batch long, docs int, tokens long, train_docs long, train_tokens long, words long, " \
           "ids binary, known_ids binary, held binary, sizes binary, stream binary, hashes binary, counts binary"
 
@@ -85,8 +64,8 @@ def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", batch_t
             counts = np.bincount(stream[np.repeat(train, sizes)], minlength=len(local))
             known = np.array([i is not None for i in ids], np.uint8)
             row = [part << 24 | no, len(ids), len(stream), int(train.sum()), int(counts.sum()), len(local),
-                   _pack(np.array([i or 0 for i in ids], np.int64)), known.tobytes(), np.array(held, np.uint8).tobytes(),
-                   _pack(sizes), _pack(stream), hashes.tobytes(), _pack(counts.astype(np.uint32))]
+                   pack_ints(np.array([i or 0 for i in ids], np.int64)), known.tobytes(), np.array(held, np.uint8).tobytes(),
+                   pack_ints(sizes), pack_ints(stream), hashes.tobytes(), pack_ints(counts.astype(np.uint32))]
             types = [pa.int64(), pa.int32()] + [pa.int64()] * 4 + [pa.binary()] * 7
             names = [c.split()[0] for c in _PACKED.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names)
@@ -126,21 +105,21 @@ def vocabulary(packed: DataFrame, shards: int, hot_above: int) -> DataFrame:
     def ask(batches):
         for b in batches:
             for batch, h, c in zip(*(b.column(k).to_pylist() for k in range(3))):
-                h, c = np.frombuffer(h, np.uint64), _unpack(c, np.uint32)
+                h, c = np.frombuffer(h, np.uint64), unpack_ints(c, np.uint32)
                 s = _hash_shard(h, shards)
                 order = np.lexsort((h, s))
                 cut = _cuts(s[order], shards)
                 parts = [(k, order[x:y]) for k, (x, y) in enumerate(zip(cut, cut[1:])) if y > x]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([k for k, _ in parts], pa.int32()), pa.array([batch] * len(parts), pa.int64()),
-                    pa.array([h[o].tobytes() for _, o in parts], pa.binary()), pa.array([_pack(c[o]) for _, o in parts], pa.binary())],
+                    pa.array([h[o].tobytes() for _, o in parts], pa.binary()), pa.array([pack_ints(c[o]) for _, o in parts], pa.binary())],
                     ["shard", "batch", "hashes", "counts"])
 
     def answer(t: pa.Table) -> pa.Table:
         t = t.sort_by("batch")
         shard, batch = t.column("shard")[0].as_py(), t.column("batch").to_pylist()
         hashes = [np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()]
-        counts = np.concatenate([_unpack(x, np.uint32) for x in t.column("counts").to_pylist()])
+        counts = np.concatenate([unpack_ints(x, np.uint32) for x in t.column("counts").to_pylist()])
         word, inv = np.unique(np.concatenate(hashes), return_inverse=True)
         total = np.bincount(inv, weights=counts, minlength=len(word)).astype(np.int64)
         rank = np.empty(len(word), np.int64)
@@ -151,8 +130,8 @@ def vocabulary(packed: DataFrame, shards: int, hot_above: int) -> DataFrame:
         hot = np.flatnonzero(total > hot_above)
         return pa.table({
             "batch": pa.array([-1] + batch, pa.int64()), "shard": pa.array([shard] * (len(batch) + 1), pa.int32()),
-            "ids": pa.array([_pack(ids[hot])] + [_pack(ids[m]) for m in mine], pa.binary()),
-            "counts": pa.array([_pack(total[hot])] + [_pack(total[m]) for m in mine], pa.binary()),
+            "ids": pa.array([pack_ints(ids[hot])] + [pack_ints(ids[m]) for m in mine], pa.binary()),
+            "counts": pa.array([pack_ints(total[hot])] + [pack_ints(total[m]) for m in mine], pa.binary()),
             "v": pa.array([int((total > 0).sum())] + [0] * len(batch), pa.int64())})
 
     asked = packed.select("batch", "hashes", "counts").mapInArrow(ask, "shard int, batch long, hashes binary, counts binary")
@@ -178,15 +157,15 @@ class _Batch:
         replies = sorted(replies, key=lambda r: r["shard"])
 
         def said(level, col, kind):
-            got = [_unpack(r[col], kind) for r in replies if r["level"] == level and r[col] is not None]
+            got = [unpack_ints(r[col], kind) for r in replies if r["level"] == level and r[col] is not None]
             return np.concatenate([np.empty(0, kind), *got])
 
         h = np.frombuffer(row["hashes"], np.uint64)
         by = np.lexsort((h, _hash_shard(h, shards)))
         self.gid, self.count = np.empty(len(h), np.int64), np.empty(len(h), np.int64)
         self.gid[by], self.count[by] = said(1, "ids", np.int64), said(1, "counts", np.int64)
-        self.stream = _unpack(row["stream"], np.uint32).astype(np.int64)
-        self.sizes = _unpack(row["sizes"], np.int64)
+        self.stream = unpack_ints(row["stream"], np.uint32).astype(np.int64)
+        self.sizes = unpack_ints(row["sizes"], np.int64)
         self.held = np.frombuffer(row["held"], np.uint8).astype(bool)
         self.first = np.cumsum(self.sizes) - self.sizes
         n = len(h)
@@ -251,7 +230,7 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", mu: fl
     known = about.agg(F.coalesce(F.sum("v"), F.lit(0))).first()[0]
     hot = {}  # at most 8 * pair_shards words
     for r in about.select("ids", "counts").collect():
-        hot.update(zip((_unpack(r["ids"], np.int64) + 1).tolist(), _unpack(r["counts"], np.int64).tolist()))
+        hot.update(zip((unpack_ints(r["ids"], np.int64) + 1).tolist(), unpack_ints(r["counts"], np.int64).tolist()))
     if size["train_docs"] > hot_above:
         hot[0] = size["train_docs"]
     spark = docs.sparkSession
@@ -272,9 +251,9 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", mu: fl
                         o = g.order[x:y]
                         s_.append(k)
                         b_.append(row["batch"])
-                        u_.append(_pack(_delta(g.u[o])))
-                        w_.append(_pack(g.w[o]))
-                        c_.append(_pack(seen[o]))
+                        u_.append(pack_ints(delta(g.u[o])))
+                        w_.append(pack_ints(g.w[o]))
+                        c_.append(pack_ints(seen[o]))
             return pa.table({"shard": pa.array(s_, pa.int32()), "batch": pa.array(b_, pa.int64()), "u": pa.array(u_, pa.binary()),
                              "w": pa.array(w_, pa.binary()), "c": pa.array(c_, pa.binary())})
         return ask
@@ -283,11 +262,11 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", mu: fl
         def answer(t: pa.Table) -> pa.Table:
             t = t.sort_by("batch")
             shard = t.column("shard")[0].as_py()
-            us = [np.cumsum(_unpack(x, np.int64)) for x in t.column("u").to_pylist()]
+            us = [np.cumsum(unpack_ints(x, np.int64)) for x in t.column("u").to_pylist()]
             ends = np.cumsum([0] + [len(x) for x in us])
             u = np.concatenate(us)
-            w = np.concatenate([_unpack(x, np.int64) for x in t.column("w").to_pylist()])
-            c = np.concatenate([_unpack(x, np.uint32) for x in t.column("c").to_pylist()])
+            w = np.concatenate([unpack_ints(x, np.int64) for x in t.column("w").to_pylist()])
+            c = np.concatenate([unpack_ints(x, np.uint32) for x in t.column("c").to_pylist()])
             del us
             uu, ui = np.unique(u, return_inverse=True)
             ww, wi = np.unique(w, return_inverse=True)
@@ -302,11 +281,11 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", mu: fl
             codes = trie.lookup(uu[ku], ww[kw])[inv]
             parts = list(zip(ends, ends[1:]))
             out = {"batch": t.column("batch").to_pylist(), "ids": [None] * len(parts), "counts": [None] * len(parts),
-                   "codes": [_pack(codes[x:y]) for x, y in parts]}
+                   "codes": [pack_ints(codes[x:y]) for x, y in parts]}
             if level < order:  # the next level's contexts, numbered in the order of the shard's trie
                 ids, often = np.arange(len(key)) * pair_shards + shard, np.flatnonzero(c > hot_above)
-                out = {"batch": [-1] + out["batch"], "ids": [_pack(ids[often])] + [_pack(ids[inv[x:y]]) for x, y in parts],
-                       "counts": [_pack(c[often])] + [_pack(c[inv[x:y]]) for x, y in parts], "codes": [None] + out["codes"]}
+                out = {"batch": [-1] + out["batch"], "ids": [pack_ints(ids[often])] + [pack_ints(ids[inv[x:y]]) for x, y in parts],
+                       "counts": [pack_ints(c[often])] + [pack_ints(c[inv[x:y]]) for x, y in parts], "codes": [None] + out["codes"]}
             return pa.table({"batch": pa.array(out["batch"], pa.int64()), "shard": pa.array([shard] * len(out["batch"]), pa.int32()),
                              "level": pa.array([level] * len(out["batch"]), pa.int32()),
                              **{k: pa.array(out[k], pa.binary()) for k in ("ids", "counts", "codes")}})
@@ -320,7 +299,7 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", mu: fl
             said = materialize(said)
             hot = {}  # at most 8 * pair_shards n-grams
             for r in said.where("batch = -1").select("ids", "counts").collect():
-                hot.update(zip(_unpack(r["ids"], np.int64).tolist(), _unpack(r["counts"], np.int64).tolist()))
+                hot.update(zip(unpack_ints(r["ids"], np.int64).tolist(), unpack_ints(r["counts"], np.int64).tolist()))
             sent.append(spark.sparkContext.broadcast(hot))
         replies = replies.unionByName(said.where("batch >= 0"))
 
@@ -338,7 +317,7 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", mu: fl
                 seen = g.counts
             starts = b.first
             out.append(pa.table({
-                "doc_id": pa.array(np.where(np.frombuffer(row["known_ids"], np.uint8) > 0, _unpack(row["ids"], np.int64), 0), pa.int64(),
+                "doc_id": pa.array(np.where(np.frombuffer(row["known_ids"], np.uint8) > 0, unpack_ints(row["ids"], np.int64), 0), pa.int64(),
                                    mask=np.frombuffer(row["known_ids"], np.uint8) == 0),
                 "held_out": pa.array(b.held), "n_tokens": pa.array(b.sizes, pa.int64()),
                 "n_known": pa.array(np.add.reduceat((b.count > 0)[b.stream].astype(np.int64), starts), pa.int64()),

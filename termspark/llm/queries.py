@@ -7,11 +7,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termspark.llm import bpe, chat, lm, pii, secrets, shard, toxicity
+from termspark.llm import bpe, chat, divergence, lm, negatives, pii, secrets, shard, toxicity
 from termspark.llm.caps import near_vectors
 from termspark.llm.common import crc_of_id, table
 from termspark.llm.decontaminate import contaminated
 from termspark.llm.near_dup import near_duplicates
+from termspark.llm.repeats import remove_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -107,3 +108,29 @@ def op9(spark, sf):
 @register("op10_chat_formatting", chat.ORACLE_SQL)
 def op10(spark, sf):
     return chat.rotate(table(spark, sf, "conversations"))
+
+
+@register("op11_substring_dedup", r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT doc_id, i, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
+gone AS (SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1),
+cover AS (SELECT doc_id, words.i, word, max(gone.i) OVER (PARTITION BY doc_id ORDER BY words.i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) IS NOT NULL AS removed
+          FROM words LEFT JOIN gone USING (doc_id, i)),
+per AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (removed) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT removed) AS kept
+        FROM cover GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN per USING (doc_id)""")
+def op11(spark, sf):
+    out = remove_repeats(table(spark, sf, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register("op12_source_divergence", divergence.ORACLE_SQL)
+def op12(spark, sf):
+    return divergence.divergence(table(spark, sf, "documents"))
+
+
+@register("op13_hard_negatives", negatives.ORACLE_SQL)
+def op13(spark, sf):
+    return negatives.hard_negatives(table(spark, sf, "embeddings"))
