@@ -4,13 +4,14 @@ from __future__ import annotations
 import sys
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termspark.session import materialize
 
 __all__ = ["table", "materialize", "worker_cache", "WordHash", "mix64", "shingle_hashes", "set_hash",
-           "slices", "pack_ints", "unpack_ints", "delta", "doc_words", "bucket_below", "only", "crc_of_id"]
+           "slices", "keep_rows", "pack_ints", "unpack_ints", "pack_bytes", "unpack_bytes", "delta", "doc_words", "bucket_below", "only", "crc_of_id"]
 
 MASK = (1 << 64) - 1
 
@@ -69,6 +70,23 @@ def slices(batches, rows: int = 256):
             yield b.slice(i, rows)
 
 
+def keep_rows(df: DataFrame, column: str, start) -> DataFrame:
+    """The rows of ``df``, all columns whatever their names, whose value of ``column`` as
+    bytes (or None) is to be kept: ``start()``, called in each task, returns a function
+    from a list of values to a list of booleans.  Rows pass the workers as slices of
+    Arrow batches, so whole texts are Python objects a few at a time."""
+    names = df.columns
+    at = names.index(column)
+    plain = df.toDF(*[f"c{i}" for i in range(len(names))])
+
+    def run(batches):
+        keep = start()
+        for b in slices(batches):
+            yield b.filter(pa.array(keep(b.column(at).cast(pa.binary()).to_pylist()), pa.bool_()))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
+
+
 def doc_words(text: bytes | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; bytes.lower and
     bytes.split touch exactly these ASCII characters."""
@@ -126,5 +144,17 @@ def unpack_ints(b: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
+def pack_bytes(raw: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def unpack_bytes(b: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(b)
+
+
 def delta(a: np.ndarray) -> np.ndarray:
     return np.diff(a, prepend=a.dtype.type(0))

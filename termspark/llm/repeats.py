@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termspark.llm.automaton import SuffixAutomaton
-from termspark.llm.common import WordHash, delta, materialize, mix64, only, pack_ints, slices, unpack_ints
+from termspark.llm.common import WordHash, delta, materialize, mix64, only, pack_bytes, pack_ints, slices, unpack_bytes, unpack_ints
 
 #: Words of a window, words of an anchor (a mask of 16 bits holds the windows of a piece).
 WINDOW, ANCHOR = 20, 10
@@ -83,12 +83,6 @@ def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", batch_w
     return only(docs, doc_id, text).select(F.col(doc_id).cast("long").alias("i"), F.col(text).cast("binary").alias("t")).mapInArrow(run, _PACKED)
 
 
-def pack_bytes(raw: bytes) -> bytes:
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=1).compress(raw)
-
-
 def _grams(h: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all n-grams of a stream of word hashes."""
     acc = np.zeros(max(0, len(h) - n + 1), np.uint64)
@@ -103,9 +97,7 @@ class Batch:
     """A packed batch: word hashes, windows, anchors and the pieces they make."""
 
     def __init__(self, row: dict, seen: WordHash, window: int, anchor: int):
-        import zstandard
-
-        raw = zstandard.ZstdDecompressor().decompress(row["vocabulary"])
+        raw = unpack_bytes(row["vocabulary"])
         self.id, self.vocabulary = row["batch"], raw.split(b" ") if raw else []
         self.stream = unpack_ints(row["stream"], np.uint32)
         self.sizes = unpack_ints(row["sizes"], np.int64)
