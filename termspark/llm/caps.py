@@ -36,6 +36,17 @@ CHUNK = 2048
 LEAST = 2
 
 
+def cap_height(dim: int, share: float) -> float:
+    """alpha for which a random direction of ``dim`` dimensions has an inner product of at
+    least alpha with a given one with probability ``share``: the cap's share of the sphere."""
+    t = np.linspace(-1, 1, 200_001)[1:-1]
+    density = np.exp((dim - 3) / 2 * np.log1p(-t * t))
+    above = np.cumsum(density[::-1])[::-1] / density.sum()
+    if dim == 1:
+        return 0.5  # one of two directions
+    return float(t[np.searchsorted(-above, -share)]) if share < 1 else -1.0
+
+
 class ProductCode:
     """One rotation and the code words of its blocks, the same on every machine."""
 
@@ -48,11 +59,7 @@ class ProductCode:
             w = rng.standard_normal((words, len(block)))
             self.words.append(w / np.linalg.norm(w, axis=1, keepdims=True) / math.sqrt(len(self.cut)))
         self.size = words ** len(self.cut)
-        # alpha: a random direction passes ``listed`` filters on average
-        probe = rng.standard_normal((256, dim))
-        probe /= np.linalg.norm(probe, axis=1, keepdims=True)
-        scores = np.sort(self._sums(self._products(probe)).ravel())
-        self.alpha = float(scores[max(0, len(scores) - int(listed * len(probe)))])
+        self.alpha = cap_height(dim, min(1.0, listed / self.size))
 
     def _products(self, x: np.ndarray) -> list[np.ndarray]:
         y = x @ self.rotation
@@ -83,6 +90,26 @@ class ProductCode:
         return rows, code
 
 
+def _met_before(a: list[np.ndarray], b: list[np.ndarray], filter_id: int, wide: int = 4096) -> np.ndarray:
+    """Which pairs of the two lists of rows share a filter before ``filter_id``, from the
+    sorted filters of each row: one matrix product for each ``wide`` of the filters that occur."""
+    cut = [[s[:np.searchsorted(s, filter_id)] for s in side] for side in (a, b)]
+    flat = [np.concatenate(side) for side in cut]
+    owner = [np.repeat(np.arange(len(side)), [len(s) for s in side]) for side in cut]
+    both = np.intersect1d(*flat)
+    out = np.zeros((len(a), len(b)), bool)
+    for lo in range(0, len(both), wide):
+        part, has = both[lo:lo + wide], []
+        for f, o, n in zip(flat, owner, (len(a), len(b))):
+            at = np.minimum(np.searchsorted(part, f), len(part) - 1)
+            same = part[at] == f
+            x = np.zeros((n, len(part)), np.float32)
+            x[o[same], at[same]] = 1
+            has.append(x)
+        out |= has[0] @ has[1].T > 0
+    return out
+
+
 def _codes(dim: int, words: int, codes: int, listed: float) -> list[ProductCode]:
     return [ProductCode(dim, words, seed, listed) for seed in range(codes)]
 
@@ -123,7 +150,7 @@ def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str =
     n = nodes.count()
     words = max(8, math.ceil((n * listed / load) ** (1 / 3)))
 
-    def listing(batches):
+    def listing(batches, whole=True):
         known: dict[int, list[ProductCode]] = {}
         for b in batches:
             ids, raw, m = (b.column(k).to_pylist() for k in range(3))
@@ -142,6 +169,9 @@ def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str =
                     r, c = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
                     order = np.lexsort((c, r))
                     r, c = r[order], c[order]
+                    if not whole:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), dim), pa.int32()), pa.array(c, pa.int64())], ["dim", "filter"])
+                        continue
                     cut = np.searchsorted(r, np.arange(len(part) + 1))
                     lists = [c[s:e].astype(np.int32).tobytes() for s, e in zip(cut, cut[1:])]
                     yield pa.RecordBatch.from_arrays([
@@ -152,7 +182,7 @@ def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str =
 
     listed_rows = nodes.select("node", "v", "m").mapInArrow(
         listing, "dim int, filter long, node long, m long, v binary, lists binary")
-    busy = (nodes.select("node", "v", "m").mapInArrow(listing, "dim int, filter long, node long, m long, v binary, lists binary")
+    busy = (nodes.select("node", "v", "m").mapInArrow(lambda batches: listing(batches, False), "dim int, filter long")
             .groupBy("dim", "filter").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
             .withColumn("k", F.ceil(F.col("n") / CHUNK).cast("int")).drop("n"))
     blocks = listed_rows.join(busy, ["dim", "filter"], "left").withColumn("k", F.coalesce("k", F.lit(1))) \
@@ -169,33 +199,25 @@ def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str =
         x = x / np.abs(x).max(1, keepdims=True)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         lists = [np.frombuffer(s, np.int32) for s in t.column("lists").to_pylist()]
-        width = max(map(len, lists))
-        f = np.full((len(lists), width), -1, np.int64)
-        for k, s in enumerate(lists):
-            s = s[s < filter_id]
-            f[k, :len(s)] = s
-        f = f[:, :max(1, int((f >= 0).sum(1).max()))]
         left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
         links, pa_, pb_ = np.zeros(len(node), np.int64), [], []
         step = max(1, 4_000_000 // max(1, len(right)))
         for s in range(0, len(left), step):
             rows_ = left[s:s + step]
             hit = x[rows_] @ x[right].T >= least_cosine
-            p, q = np.nonzero(hit)
-            p, q = rows_[p], right[q]
             if i == j:
-                p, q = p[p < q], q[p < q]
-            for lo in range(0, len(p), 50_000):
-                a, b = p[lo:lo + 50_000], q[lo:lo + 50_000]
-                fa, fb = f[a], f[b]
-                early = np.zeros(len(a), bool)
-                for c in range(fa.shape[1]):
-                    early |= ((fa[:, c, None] == fb) & (fa[:, c, None] >= 0)).any(1)
-                a, b = a[~early], b[~early]
-                np.add.at(links, a, m[b])
-                np.add.at(links, b, m[a])
-                pa_.append(a)
-                pb_.append(b)
+                hit &= rows_[:, None] < right[None, :]
+            if not hit.any():
+                continue
+            u, v = np.flatnonzero(hit.any(1)), np.flatnonzero(hit.any(0))
+            some = hit[np.ix_(u, v)]
+            u, v = rows_[u], right[v]
+            some &= ~_met_before([lists[k] for k in u], [lists[k] for k in v], filter_id)
+            links[u] += some @ m[v]
+            links[v] += m[u] @ some
+            p, q = np.nonzero(some)
+            pa_.append(u[p])
+            pb_.append(v[q])
         a = np.concatenate(pa_) if pa_ else np.empty(0, np.int64)
         b = np.concatenate(pb_) if pb_ else np.empty(0, np.int64)
         edges = forest(node[a], node[b]) if len(a) else []
@@ -205,7 +227,8 @@ def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str =
             "b": pa.array([None] * len(some) + [e[1] for e in edges], pa.int64()),
             "n": pa.array(np.concatenate([links[some], np.zeros(len(edges), np.int64)]), pa.int64())})
 
-    found = materialize(blocks.select("dim", "filter", "i", "j", "mine", "node", "m", "v", "lists")
+    # dealt out by block: the join above may have left all blocks of a filter in one place
+    found = materialize(blocks.select("dim", "filter", "i", "j", "mine", "node", "m", "v", "lists").repartition("dim", "filter", "i", "j")
                         .groupBy("dim", "filter", "i", "j").applyInArrow(compare, "a long, b long, n long"))
     counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     comp = components(found.where("b is not null").select("a", "b").distinct())
