@@ -16,15 +16,13 @@ documents once; the documents are never shuffled.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termspark.llm.common import WordHash, doc_words, mix64, only, shingle_hashes, slices
+from termspark.llm.common import WordHash, doc_words, keep_rows, mix64, only, shingle_hashes, slices
 
 #: Shingles of test items that go to the tasks at once (8 bytes each).
 BLOCK_SHINGLES = 1_000_000
@@ -141,21 +139,20 @@ def contaminated(docs: DataFrame, items: DataFrame, *, percent: int = 75, shingl
 
 
 def _free_of(sent, percent: int, shingle: int):
-    """A predicate over texts: holds none of the items of one block."""
+    """For keep_rows: texts that hold none of the items of one block."""
 
-    def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def start():
         index, seen = Sketches(sent.value, percent), WordHash()
-        for part in it:
-            yield part.map(lambda t: not index.matches(doc_words(None if t is None else bytes(t)), seen, shingle)).astype(bool)
+        return lambda texts: [not index.matches(doc_words(t), seen, shingle) for t in texts]
 
-    return F.pandas_udf(run, "boolean")
+    return start
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, percent: int = 75, shingle: int = 5,
                   item_id: str = "item_id", text: str = "text", block: int = BLOCK_SHINGLES) -> DataFrame:
     """The rows of ``docs``, all columns, that contain no test item (see
-    :func:`contaminated`); rows without text stay."""
+    :func:`contaminated`); rows without text stay, repeated rows stay or go
+    together, columns may have any name; no items leave the table as it is."""
     for sent, pct in _blocks(items, percent, shingle, item_id, text, block):
-
-        docs = docs.where(_free_of(sent, pct, shingle)(F.col(f"`{text}`").cast("binary")))
+        docs = keep_rows(docs, text, _free_of(sent, pct, shingle))
     return docs

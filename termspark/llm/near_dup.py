@@ -27,8 +27,6 @@ With 40 bands of 5 values a pair at exactly 0.75 is missed with probability
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -334,13 +332,16 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, shingle: int = 5, ban
 def _named_sets(docs: DataFrame, text: str, shingle: int) -> DataFrame:
     """``docs`` plus ``_node``, the name of each row's shingle set (null: empty)."""
 
-    def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    at = docs.columns.index(text)
+
+    def run(batches):
         seen = WordHash()
-        for part in it:
-            sets = [shingle_hashes(doc_words(None if t is None else bytes(t)), seen, shingle) for t in part]
-            yield pd.Series([int.from_bytes(set_hash(x)[:8], "little", signed=True) if len(x) else None for x in sets], dtype="Int64")
+        for b in slices(batches):
+            sets = [shingle_hashes(doc_words(t), seen, shingle) for t in b.column(at).cast(pa.binary()).to_pylist()]
+            names = [int.from_bytes(set_hash(x)[:8], "little", signed=True) if len(x) else None for x in sets]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.int64())], [*b.schema.names, "_node"])
 
-    return docs.withColumn("_node", F.pandas_udf(run, "long")(F.col(text).cast("binary")))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_node", T.LongType())]))
 
 
 def keep_one(docs: DataFrame, *, shingle: int = 5, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:

@@ -23,16 +23,14 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termspark.llm.common import bucket_below, crc_of_id, only, slices
+from termspark.llm.common import bucket_below, crc_of_id, keep_rows, only, slices
 
 #: Bound on the labelled documents that the model is fitted on.
 MAX_TRAIN = 20_000
@@ -48,6 +46,10 @@ class Model:
     transition: np.ndarray   # 2x2 weights
     document: np.ndarray     # logistic regression over _features
 
+    def parts(self) -> tuple:
+        """What a broadcast carries: workers may not have this class's module."""
+        return self.cues, self.emission, self.transition, self.document
+
 
 def _power(m: np.ndarray):
     """k -> m^k up to a factor, for a positive 2x2 matrix."""
@@ -285,11 +287,11 @@ def tag(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "t
     A null or empty text has no spans and the score of a text without cues; a
     null id stays null; other columns are left aside.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model.parts())
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
 
     def run(batches):
-        tagger = Tagger(sent.value)
+        tagger = Tagger(Model(*sent.value))
         for b in slices(batches):
             scores, spans = [], []
             for t in b.column(1).to_pylist():
@@ -305,13 +307,19 @@ def tag(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "t
 
 
 def keep_clean(docs: DataFrame, model: Model, *, least: float = 0.7, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose score stays below ``least``."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    """The rows of ``docs``, all columns, whose score stays below ``least``.
+
+    A null or empty text has the score of a text without cues; repeated rows are judged
+    each for itself and alike; columns may have any name, also one that occurs twice; an
+    empty table gives no rows.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(model.parts())
+
+    def start():
+        tagger = Tagger(Model(*sent.value))
 
-    def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tagger = Tagger(sent.value)
-        for s in it:
-            yield pd.Series([tagger.score(n, tagger.marginals(n, c)) for n, c in
-                             (tagger.cues(None if t is None else bytes(t)) for t in s)], dtype="float64")
+        def keep(texts):
+            return [tagger.score(n, tagger.marginals(n, c)) < least for n, c in map(tagger.cues, texts)]
+        return keep
 
-    return docs.where(F.pandas_udf(run, "double")(F.col(f"`{text}`").cast("binary")) < least)
+    return keep_rows(docs, text, start)
