@@ -6,7 +6,8 @@ them calls back into Python.
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -91,6 +92,20 @@ def map_chars(c, source: str, target: str) -> Column:
     return F.translate(col(c), source, target)
 
 
+def map_phrases(c, mapping: Mapping[str, str]) -> Column:
+    """P10 for strings of several characters: from left to right, at each place the longest
+    phrase that starts there is replaced, and reading goes on after it.  The mapping becomes
+    one expression, so it is meant for tables of some thousand phrases."""
+    phrases = sorted((p for p in mapping if p), key=lambda p: (-len(p), p))
+    if not phrases:
+        return col(c)
+    starts = regex_escape_class("".join(sorted({p[0] for p in phrases})))
+    literal = "|".join(re.sub(r"([\\^$.|?*+()\[\]{}])", r"\\\1", p) for p in phrases)
+    pieces = F.regexp_extract_all(col(c), F.lit(f"{literal}|[^{starts}]+|[\\s\\S]"), 0)
+    table = F.create_map(*[F.lit(x) for p in phrases for x in (p, mapping[p])])
+    return F.array_join(F.transform(pieces, lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+
+
 def mask_chars(c, chars: str = K.STOP_CHARS, sep: str = ",") -> Column:
     """Every character of ``chars`` -> ``sep``."""
     return F.translate(col(c), chars, sep * len(chars))

@@ -101,17 +101,30 @@ def kwic_pieces(lines: DataFrame, line_col: str, key: str, script_class: str,
     of strings whose characters stand for each other; stop chars, emoji, non-script ->
     ``sep``), split, pieces containing ``key`` (optionally not containing the longer
     phrase ``exclude``)."""
-    from termspark.functions.text import half_width, map_chars, mask_chars, replace_emoji, replace_non_script
     x = lines.where(F.col(line_col).contains(key)).select(line_col).distinct()
-    plain = map_chars(half_width(col(line_col)), *variants)
-    cleaned = replace_non_script(replace_emoji(mask_chars(plain, stop_chars, sep), sep), sep, script_class)
-    p = x.select(F.explode(F.split(cleaned, "[" + regex_escape_class(sep) + "]")).alias("piece"))
-    p = p.where(F.col("piece").contains(key))
+    p = _pieces(x, line_col, script_class, stop_chars, sep, variants).where(F.col("piece").contains(key))
     if exclude:
         p = p.where(~F.col("piece").contains(exclude))
     return p
 
 
+def _pieces(lines: DataFrame, line_col: str, script_class: str, stop_chars: str, sep: str, variants: tuple[str, str], *keep: str) -> DataFrame:
+    """``keep`` and the pieces of each line after cleaning."""
+    from termspark.functions.text import half_width, map_chars, mask_chars, replace_emoji, replace_non_script
+    plain = map_chars(half_width(col(line_col)), *variants)
+    cleaned = replace_non_script(replace_emoji(mask_chars(plain, stop_chars, sep), sep), sep, script_class)
+    return lines.select(*keep, F.explode(F.split(cleaned, "[" + regex_escape_class(sep) + "]")).alias("piece"))
+
+
+def kwic_many(index: DataFrame, lines: DataFrame, keys: DataFrame, script_class: str, id_col: str = "id", line_col: str = "line",
+              key_col: str = "key", stop_chars: str = K.STOP_CHARS, sep: str = ",", variants: tuple[str, str] = ("", "")) -> DataFrame:
+    """P21 for a table of keys: (key, piece), what :func:`kwic_pieces` gives for each of them.
+    ``index`` is the positional index of ``lines``, distinct lines with an id."""
+    from termspark.operators.index import find_keys
+    found = find_keys(index, keys, key_col).join(lines.select(F.col(id_col).alias("id"), F.col(line_col).alias("_line")), "id")
+    return _pieces(found, "_line", script_class, stop_chars, sep, variants, "key").where(F.col("piece").contains(F.col("key")))
+
+
 def grep_tokens(lines: DataFrame, line_col: str, key: str, tokenize_fn,
                 stop_chars: str = K.STOP_CHARS, sep: str = ",", alnum: bool = True,
                 variants: tuple[str, str] = ("", "")) -> DataFrame:

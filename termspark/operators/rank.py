@@ -47,6 +47,29 @@ def affix_filter(df: DataFrame, term_col: str = "term", no_begin: Sequence[str]
     return df.where(~bad)
 
 
+def affix_filter_join(df: DataFrame, term_col: str = "term", no_begin: DataFrame | None = None, no_end: DataFrame | None = None,
+                      no_in: DataFrame | None = None) -> DataFrame:
+    """F3 / F8 with lists of any size (tables with a column ``word``): drops terms that start
+    with, end with or contain a listed string; a null term goes as well.
+
+    The pieces of each distinct term that are as long as some listed string (its prefixes,
+    its suffixes, its substrings) meet the list in one equi-join; what the plan holds
+    does not grow with the lists.  An empty string is in every term."""
+    terms = df.select(F.col(term_col).alias("_term")).where("_term is not null").distinct()
+    hits = None
+    for words, pieces in ((no_begin, "array(left(_term, _n))"), (no_end, "array(right(_term, _n))"),
+                          (no_in, "transform(sequence(1, length(_term) - _n + 1), i -> substring(_term, i, _n))")):
+        if words is None:
+            continue
+        words = words.select("word").where("word is not null").distinct()
+        lengths = words.agg(F.collect_set(F.length("word")).alias("l")).scalar()  # as many as there are lengths
+        each = terms.withColumn("_n", F.explode(lengths)).where("_n <= length(_term)")
+        met = each.select("_term", F.explode(F.expr(f"case when _n = 0 then array('') else {pieces} end")).alias("word")).join(words, "word", "left_semi")
+        hits = met.select("_term") if hits is None else hits.union(met.select("_term"))
+    kept = df.where(F.col(term_col).isNotNull())
+    return kept if hits is None else kept.join(hits.distinct(), F.col(term_col) == F.col("_term"), "left_anti")
+
+
 def _any_prefix(c: Column, prefixes: Sequence[str]) -> Column:
     out = F.lit(False)
     for p in prefixes:

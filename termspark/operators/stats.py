@@ -24,12 +24,10 @@ def count_terms(terms: DataFrame, term_col: str = "term", out: str = "freq", wei
 
 
 def _terms(df: DataFrame, arrays, weight: str | None) -> DataFrame:
-    """One row per array element.  The array is a generator's output before it is
-    exploded: the filter that Spark infers from the explode can then not carry a
-    second copy of the array's expression below an aggregation."""
+    """One row per array element that is not null.  From an outer explode Spark infers no
+    filter, which would carry a second copy of the array's expression below it."""
     cols = [weight] if weight else []
-    once = df.select(*cols, F.inline(F.array(F.struct(arrays.alias("_terms")))))
-    return once.select(*cols, F.explode("_terms").alias("term"))
+    return df.select(*cols, F.explode_outer(arrays).alias("term")).where("term is not null")
 
 
 def term_freq(df: DataFrame, tokens_col: str = "tokens", weight: str | None = None) -> DataFrame:
@@ -44,24 +42,36 @@ def char_freq(df: DataFrame, tokens_col: str = "tokens", weight: str | None = No
     return count_terms(t, weight=weight).orderBy(F.desc("freq"), "term")
 
 
-def _tagged(unit: str):
-    return lambda x: F.struct(F.lit(unit).alias("unit"), x.alias("term"))
+WORD, CHAR, LINES = "word", "char", "lines"
+_MARK = {WORD: "w", CHAR: "c"}
 
 
-WORD, CHAR, LINES = "word", "char", "lines"
+def _marked(unit: str):
+    return lambda x: F.concat(F.lit(_MARK[unit]), x)
+
+
+def _per_line(tokens, unit: str):
+    """The distinct words or characters of a line; none of a null."""
+    terms = tokens if unit == WORD else F.flatten(F.transform(tokens, _chars))
+    return F.coalesce(F.array_distinct(terms), F.array().cast("array<string>"))
+
+
+def _line_counts(df: DataFrame, terms, weight: str | None) -> DataFrame:
+    """(term, df): in how many lines each of a line's ``terms`` is; the null term counts the lines."""
+    null = F.array(F.lit(None).cast("string"))
+    rows = df.select(*([weight] if weight else []), F.explode_outer(F.concat(null, terms)).alias("term"))
+    return rows.groupBy("term").agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("df"))
 
 
 def document_freq(df: DataFrame, tokens_col: str = "tokens", weight: str | None = None,
                   units: tuple[str, ...] = (WORD, CHAR)) -> DataFrame:
     """(unit, term, df) of words and characters in ONE pass over the lines, with the
-    number of lines as the row (``lines``, '', N)."""
+    number of lines as the row (``lines``, '', N).  The key of the aggregation is one string,
+    the term behind a letter for its unit."""
     t = col(tokens_col)
-    per_line = {WORD: lambda: F.array_distinct(t), CHAR: lambda: F.array_distinct(F.flatten(F.transform(t, _chars)))}
-    tagged = [F.transform(per_line[u](), _tagged(u)) for u in units]
-    everything = F.concat(F.array(F.struct(F.lit(LINES).alias("unit"), F.lit("").alias("term"))), *tagged)
-    rows = _terms(df, everything, weight).select("term.unit", "term.term", *([weight] if weight else []))
-    n = F.sum(weight) if weight else F.count(F.lit(1))
-    return rows.groupBy("unit", "term").agg(n.alias("df"))
+    marked = F.concat(*[F.transform(_per_line(t, u), _marked(u)) for u in units])
+    unit = F.when(F.col("term").isNull(), LINES).otherwise(F.when(F.left("term", F.lit(1)) == _MARK[WORD], WORD).otherwise(CHAR))
+    return _line_counts(df, marked, weight).select(unit.alias("unit"), F.coalesce(F.expr("substring(term, 2)"), F.lit("")).alias("term"), "df")
 
 
 def idf_from(freq: DataFrame, unit: str) -> DataFrame:
@@ -74,11 +84,15 @@ def idf_from(freq: DataFrame, unit: str) -> DataFrame:
 
 def idf(df: DataFrame, tokens_col: str = "tokens", unit: str = WORD, weight: str | None = None) -> DataFrame:
     """A3 / A4: ``ln(N / df)`` where df counts lines containing the term
-    (per-line distinct) and N counts every line; lowest idf first."""
+    (per-line distinct) and N counts every line; lowest idf first.
+
+    One aggregation by the term alone."""
     if unit not in (WORD, CHAR):
         raise ValueError(unit)
-    freq = document_freq(df, tokens_col, weight, (unit,))
-    return idf_from(freq, unit).orderBy("idf", "term")
+    freq = _terms(df, _per_line(col(tokens_col), unit), weight).groupBy("term").agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("df"))
+    # one row; the lines it counts are the exchange that the terms are read from, not a second pass
+    lines = df.agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n")).scalar()
+    return freq.select("term", F.log(lines.cast("double") / F.col("df")).alias("idf")).orderBy("idf", "term")
 
 
 def bigram_freq(df: DataFrame, tokens_col: str = "tokens", weight: str | None = None) -> DataFrame:

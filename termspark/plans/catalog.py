@@ -185,6 +185,28 @@ def q_pmi(spark, sf):
     return r6(J.scored(spark, sf, "B"))
 
 
+@register("pmi_stored", f"""
+WITH {SCORED_B_CTES.lstrip()}
+SELECT gram, freq, {r('entropy')} AS entropy, {r('pmi')} AS pmi FROM b_scored""")
+def q_pmi_stored(spark, sf):
+    return r6(J.scored_stored(spark, sf))
+
+
+@register("merged_entropy", f"""
+WITH {O.occurrences_ctes('B').lstrip()}{O.entropy_ctes()}
+SELECT gram, freq, {r('left_entropy')} AS left_entropy, {r('right_entropy')} AS right_entropy
+FROM ent WHERE freq >= 5""")
+def q_merged_entropy(spark, sf):
+    return r6(J.merged_entropy(spark, sf).where(F.col("freq") >= K.COHESION_MIN_FREQ))
+
+
+@register("sorted_lookup", f"""
+WITH {O.occurrences_ctes('B').lstrip()}, f AS (SELECT gram, count(*) AS freq FROM occ GROUP BY gram HAVING count(*) >= 5)
+SELECT gram, freq FROM f WHERE gram BETWEEN {O.q(J.LOOKUP[0])} AND {O.q(J.LOOKUP[1])}""")
+def q_sorted_lookup(spark, sf):
+    return J.sorted_lookup(spark, sf)
+
+
 @register("pmi_background", f"""
 WITH {SCORED_CTES.lstrip()}
 SELECT gram, freq, {r('entropy')} AS entropy, {r('pmi')} AS pmi FROM a_scored""")
@@ -577,6 +599,15 @@ def q_tagged_extract(spark, sf):
     return KWO.extract_tagged(_p_lines(spark, sf), "line", "<p>", "</p>")
 
 
+@register("gbk_extract", f"""
+SELECT replace(replace(line, '<p>', ''), '</p>', '') AS line
+FROM (SELECT translate(regexp_replace(line, '[^\\x00-\\x7F]', '', 'g'), {O.q(J.GBK_LETTERS[0])}, {O.q(J.GBK_LETTERS[1])}) AS line
+      FROM (SELECT unnest(string_split(replace(html, '<p>', chr(10) || '<p>'), chr(10))) AS line FROM pages))
+WHERE starts_with(line, '<p>')""")
+def q_gbk_extract(spark, sf):
+    return J.gbk_extract(spark, _p_lines(spark, sf), "<p>", "</p>")
+
+
 @register("nonscript_chars", f"""
 SELECT DISTINCT ch FROM (SELECT unnest(string_split({O.java_trim('line')}, '')) AS ch FROM {LINES_B})
 WHERE ch <> '' AND NOT regexp_full_match(ch, {O.q('[' + SC + ']')})""")
@@ -759,6 +790,60 @@ def q_rule_filters(spark, sf):
     return J.rule_filters(spark, sf)
 
 
+def _affix_sql():
+    """Rules from lists that are tables: prefixes from part types, suffixes from benchmark words, infixes from part names."""
+    words = O.q(C.TOKEN_PATTERN)
+    return f"""WITH {O.segments_ctes('B', stop_only=True).lstrip()},
+bt AS (SELECT DISTINCT term FROM (SELECT unnest(seg) AS term FROM segs UNION ALL
+       SELECT seg[i] || ' ' || seg[i + 1] AS term FROM (SELECT seg, unnest(generate_series(1, len(seg) - 1)) AS i FROM segs))
+       WHERE regexp_full_match(term, {O.q('[' + SC + ' ]+')})),
+b AS (SELECT DISTINCT left(word, 3) AS word FROM (SELECT unnest(regexp_extract_all(lower(p_type), {words})) AS word FROM part)),
+e AS (SELECT DISTINCT right(word, 4) AS word FROM (SELECT unnest(regexp_extract_all(lower(text), {words})) AS word FROM benchmark)),
+i AS (SELECT DISTINCT substring(word, 2, 3) AS word FROM (SELECT unnest(regexp_extract_all(lower(p_name), {words})) AS word FROM part))
+SELECT term FROM bt WHERE NOT EXISTS (SELECT 1 FROM b WHERE starts_with(term, word)) AND NOT EXISTS (SELECT 1 FROM e WHERE ends_with(term, word))
+  AND NOT EXISTS (SELECT 1 FROM i WHERE contains(term, word))"""
+
+
+@register("affix_lists", _affix_sql())
+def q_affix_lists(spark, sf):
+    from termspark.operators import rank as rk
+
+    def words(table, column, cut):
+        t = C.table(spark, sf, table).select(F.explode(J.word_units(F.lower(column))).alias("word"))
+        return t.select(F.expr(cut).alias("word")).distinct()
+    return rk.affix_filter_join(J.stop_bigrams(spark, sf).select("term"), "term", words("part", "p_type", "left(word, 3)"),
+                                words("benchmark", "text", "right(word, 4)"), words("part", "p_name", "substring(word, 2, 3)"))
+
+
+PHRASES = {"tion": "sion", "ti": "xi", "ment": "mant", "me": "mi", "on": "an", "ion": "yon", " de ": " of ", "de": "d'"}
+
+
+@register("phrase_mapping", f"""
+SELECT line, array_to_string(list_transform(regexp_extract_all(line, {O.q('|'.join(sorted(PHRASES, key=lambda p: -len(p))) + '|[^a-z ]+|(?s:.)')}),
+  lambda x: CASE {' '.join(f"WHEN x = {O.q(a)} THEN {O.q(b)}" for a, b in PHRASES.items())} ELSE x END), '') AS mapped
+FROM (SELECT DISTINCT line FROM {LINES_B})""")
+def q_phrase_mapping(spark, sf):
+    return C.distinct_lines(spark, sf, "B").select("line", TX.map_phrases("line", PHRASES).alias("mapped"))
+
+
+def _keys_sql():
+    return f"""WITH w AS (SELECT string_split(text, ' ') AS t FROM benchmark),
+keys AS (SELECT DISTINCT key FROM (SELECT unnest(t) AS key FROM w UNION ALL
+  SELECT t[i] || ' ' || t[i + 1] FROM (SELECT t, unnest(generate_series(1, len(t) - 1)) AS i FROM w) UNION ALL
+  SELECT t[i] || ' ' || t[i + 1] || ' ' || t[i + 2] FROM (SELECT t, unnest(generate_series(1, len(t) - 2)) AS i FROM w)) WHERE length(key) >= 4),
+x AS (SELECT key, line FROM (SELECT DISTINCT line FROM {LINES_B}) JOIN keys ON contains(line, key)),
+c AS (SELECT key, regexp_replace(regexp_replace(translate(translate(translate(line, {O.q(FULL)}, {O.q(HALF)}), {O.q(J.VARIANTS[0])}, {O.q(J.VARIANTS[1])}),
+            {O.q(J.TEST_STOP_CHARS)}, {O.q(',' * len(J.TEST_STOP_CHARS))}),
+            {O.q('[' + K.EMOJI_CLASS + ']')}, ',', 'g'), {O.q('[^ ' + SC + ']')}, ',', 'g') AS l FROM x)
+SELECT key, count(*) AS n, count(DISTINCT piece) AS n_distinct FROM (SELECT key, unnest(string_split(l, ',')) AS piece FROM c) WHERE contains(piece, key) GROUP BY key"""
+
+
+@register("kwic_many", _keys_sql())
+def q_kwic_many(spark, sf):
+    found = J.kwic_many(spark, sf)
+    return found.groupBy("key").agg(F.count("*").alias("n"), F.count_distinct("piece").alias("n_distinct"))
+
+
 # ---------------------------------------------------------------------------
 # X13 char-mode miner
 # ---------------------------------------------------------------------------
@@ -843,6 +928,25 @@ def q_classify_view(spark, sf):
     return r6(x.select("term", "score", ((F.col("pred") >= 0) & (F.col("pred") <= 1)).alias("is_probability")))
 
 
+@register("calibration_view", f"""
+WITH posl AS (SELECT DISTINCT w AS word FROM (SELECT unnest(regexp_extract_all(lower(text), {O.q(C.TOKEN_PATTERN)})) AS w FROM benchmark)
+              WHERE regexp_full_match(w, {O.q('[' + C.SCRIPT_CLASS + ']+')})),
+negl AS (SELECT DISTINCT w AS word FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) WHERE {O.not_blank('w')})
+SELECT (SELECT count(*) FROM posl) + (SELECT count(*) FROM negl) AS n, (SELECT count(*) FROM posl) AS positives, TRUE AS sums_up""")
+def q_calibration_view(spark, sf):
+    """What is certain of a calibration: every labelled word is held out once, and the
+    probabilities add up to the targets that they were fitted to."""
+    x = J.calibration(spark, sf).agg(F.sum("n").alias("n"), F.sum("positives").alias("positives"), F.sum(F.col("n") * F.col("mean_pred")).alias("p"))
+    n1, n0 = F.col("positives"), F.col("n") - F.col("positives")
+    targets = n1 * (n1 + 1) / (n1 + 2) + n0 / (n0 + 2)
+    return x.select("n", "positives", (F.abs(F.col("p") - targets) < 0.001 * F.col("n")).alias("sums_up"))
+
+
+@register("calibration")
+def q_calibration(spark, sf):
+    return r6(J.calibration(spark, sf))
+
+
 # ---------------------------------------------------------------------------
 # M2 + J8 rank-mode features, F6 verb-tail filter
 # ---------------------------------------------------------------------------

@@ -10,6 +10,8 @@ B = all ``documents``.  A line is one ``\\n``-separated piece of ``text``.
 """
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,11 +97,14 @@ def segments(spark: SparkSession, sf_dir: str, corpus: str = "B") -> DataFrame:
     """P2+P3+P4: one row per sentence segment of the distinct lines (``seg``
     array<string>) with ``in_a``: the line belongs to A as well."""
     lines = line_counts(spark, sf_dir).select("line", (F.col("na") > 0).alias("in_a"))
-    if corpus == "A":
-        lines = lines.where("in_a")
+    return segments_of(lines.where("in_a") if corpus == "A" else lines, ["in_a"])
+
+
+def segments_of(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """P3+P4 of distinct lines: one row per segment (``seg``), with the columns ``keep``."""
     cut = tk.cut_words(POS_LEXICON, STOP_WORDS, K.CUT_POS_PREFIXES)
-    s = tk.segment_lines(lines, F.lower(F.col("line")), SCRIPT_CLASS, cut, keep=["in_a"])
-    return tk.explode_segments(s, "segments", "seg", keep=["in_a"])
+    s = tk.segment_lines(lines, F.lower(F.col("line")), SCRIPT_CLASS, cut, keep=keep)
+    return tk.explode_segments(s, "segments", "seg", keep=keep)
 
 
 def stop_segments(spark: SparkSession, sf_dir: str, corpus: str = "B") -> DataFrame:

@@ -5,6 +5,8 @@ semantics.  Nothing here collects rows.
 """
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,15 +15,19 @@ from termspark.functions.text import not_blank
 from termspark.operators import cohesion as coh
 from termspark.operators import compare as cmp
 from termspark.operators import features as fe
+from termspark.operators import growth as gr
+from termspark.operators import index as ix
 from termspark.operators import keywords as kw
 from termspark.operators import labels as lb
 from termspark.operators import model as md
 from termspark.operators import ngrams as ng
 from termspark.operators import pmi as pm
 from termspark.operators import rank as rk
+from termspark.operators import state as sv
 from termspark.operators import stats as st
+from termspark.operators import suffixes as sx
 from termspark.plans import corpus as C
-from termspark.session import materialize
+from termspark.session import checkpoint_dir, materialize
 from termspark.sources import readers, sinks
 
 # -- X1 corpus extraction ---------------------------------------------------------
@@ -30,8 +36,25 @@ from termspark.sources import readers, sinks
 def extract_corpus(spark: SparkSession, paths, out: str, encoding: str = "GBK", open_tag: str = K.CONTENT_OPEN,
                    close_tag: str = K.CONTENT_CLOSE, partitions: int = 128) -> None:
     """S1 -> P1 -> K3: the tagged lines of text files, tags removed, as text."""
-    lines = kw.extract_tagged(readers.read_lines(spark, paths, encoding), "line", open_tag, close_tag)
-    sinks.write_lines(lines, out, partitions)
+    sinks.write_lines(tagged_lines(spark, paths, encoding, open_tag, close_tag), out, partitions)
+
+
+def tagged_lines(spark: SparkSession, paths, encoding: str = "GBK", open_tag: str = K.CONTENT_OPEN, close_tag: str = K.CONTENT_CLOSE) -> DataFrame:
+    """S1 -> P1."""
+    return kw.extract_tagged(readers.read_lines(spark, paths, encoding), "line", open_tag, close_tag)
+
+
+# letters that stand as characters of two bytes in the GBK files of the test tables
+GBK_LETTERS = ("aeiou", "电力系统网")
+
+
+def gbk_extract(spark: SparkSession, lines: DataFrame, open_tag: str, close_tag: str) -> DataFrame:
+    """K3 -> S1 -> P1: lines (column ``line``, other than ASCII left out and vowels turned into
+    characters of two bytes) written as GBK files to the shared folder and read back."""
+    ascii_ = F.regexp_replace("line", r"[^\x00-\x7F]", "")
+    path = shared_folder(spark, "gbk")
+    sinks.write_lines(lines.select(F.translate(ascii_, *GBK_LETTERS).alias("line")), path, 4, "GBK")
+    return tagged_lines(spark, path, "GBK", open_tag, close_tag)
 
 
 # -- X2 corpus statistics ------------------------------------------------------
@@ -64,28 +87,43 @@ def occurrences(spark: SparkSession, sf: str, corpus: str = "B") -> DataFrame:
     return ng.ngrams_with_context(C.segments(spark, sf, corpus), "seg", keep=["in_a"])
 
 
+#: How often a segment occurs in each corpus, and the prefix of the corpus's columns.
+WEIGHTS = {"B": "n", "A": "na"}
+CORPORA = {"B": "", "A": "a_"}
+
+
+def places(spark: SparkSession, sf: str, corpora: tuple[str, ...] = ("B", "A")) -> DataFrame:
+    """The token places of the distinct segments with their number in each corpus; A is part of B."""
+    counts = {"B": F.count(F.lit(1)), "A": F.count_if("in_a")}
+    segments = C.segments(spark, sf, "B" if "B" in corpora else "A")
+    whole = gr.weighted(segments, counts={WEIGHTS[c]: counts[c] for c in corpora})
+    return gr.places(materialize(whole), weights=[WEIGHTS[c] for c in corpora])
+
+
 def gram_freq(spark: SparkSession, sf: str, corpus: str = "B") -> DataFrame:
-    return coh.gram_freq(occurrences(spark, sf, corpus), K.COHESION_MIN_FREQ)
+    """A6 level by level."""
+    return gr.frequent_grams(places(spark, sf, (corpus,)), K.COHESION_MIN_FREQ, weight=WEIGHTS[corpus]).select("gram", "freq")
 
 
 def gram_total(spark: SparkSession, sf: str) -> DataFrame:
     return coh.gram_total(gram_freq(spark, sf, "B"))
 
 
-CORPORA = {"B": "", "A": "a_"}
-
-
-def gram_table(spark: SparkSession, sf: str) -> DataFrame:
-    """A6-A8 of B and of A (A is part of B) in one pass: (gram, freq, left_entropy,
-    right_entropy, a_freq, a_left_entropy, a_right_entropy) of the grams that reach the
-    frequency floor in B, which those of A reach as well.  Small beside the contexts it
-    comes from; it is the only intermediate that the jobs after it use."""
-    contexts = coh.side_contexts(occurrences(spark, sf, "B"), "in_a")
-    return coh.context_entropy(None, ctx_counts=contexts, corpora={"": "c", "a_": "ca"}).where(F.col("freq") >= K.COHESION_MIN_FREQ)
+def gram_table(spark: SparkSession, sf: str, corpora: tuple[str, ...] = ("B", "A")) -> DataFrame:
+    """(gram, freq, left_entropy, right_entropy, a_freq, a_left_entropy,
+    a_right_entropy) of the grams that reach the frequency floor in the first corpus;
+    the columns of a corpus that is not asked for are absent.  Contexts of rarer
+    grams are never counted.  With B and A, which is part of it, one pass counts both."""
+    at = places(spark, sf, corpora)
+    kept = gr.frequent_grams(at, K.COHESION_MIN_FREQ, weight=WEIGHTS[corpora[0]])
+    weights = [WEIGHTS[c] for c in corpora]
+    contexts = gr.context_counts(gr.kept_occurrences(at, kept, weights=weights), {w: w for w in weights})
+    return coh.context_entropy(None, ctx_counts=contexts, corpora={CORPORA[c]: WEIGHTS[c] for c in corpora})
 
 
 def cohesion(spark: SparkSession, sf: str, corpus: str = "B") -> DataFrame:
-    return coh.cohesion_from(gram_table(spark, sf), prefix=CORPORA[corpus])
+    """A9 of one corpus; the other one is not counted."""
+    return coh.cohesion_from(gram_table(spark, sf, (corpus,)), prefix=CORPORA[corpus])
 
 
 def scored_from(grams: DataFrame, corpus: str = "B", **pmi_kw) -> DataFrame:
@@ -110,6 +148,61 @@ def scored_sparse(spark: SparkSession, sf: str) -> DataFrame:
     return pm.pmi(coh.cohesion_from(grams), marginals, single_const=K.PMI_SINGLE_CONST_TRIE, missing=0)
 
 
+# -- stored intermediates: D7 for X5, the merged state of A7 ----------------------------
+
+BUCKETS = 16
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, where the session names one."""
+    folder = checkpoint_dir(spark)
+    if not folder:
+        raise ValueError("the session names no shared folder (spark.checkpoint.dir)")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def store(df: DataFrame, name: str, key: str, buckets: int = BUCKETS) -> DataFrame:
+    """``df`` written as a bucketed table of its own in the shared folder, and read from it."""
+    path = shared_folder(df.sparkSession, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    sinks.store_bucketed(df, table, path, key, buckets)
+    return readers.stored(df.sparkSession, table)
+
+
+def scored_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """X4 -> X5 by a stored table: the frequencies (D7) and entropies (D8) of B are written
+    once, in buckets of the gram; PMI joins its halves to the stored frequencies."""
+    grams = store(gram_table(spark, sf, ("B",)), "grams", "gram")
+    return pm.pmi(coh.cohesion_from(grams), grams.select("gram", "freq"))
+
+
+#: Keys that the lookup query asks for: grams between these two.
+LOOKUP = ("m", "mz")
+
+
+def sorted_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """D7 written as sorted tab-separated part files with a manifest; the grams of
+    a range are read from the files that may hold them."""
+    path = shared_folder(spark, "freq")
+    sinks.write_sorted(gram_freq(spark, sf), path, [F.col("gram")], "tsv", manifest="gram")
+    return readers.lookup(spark, path, "gram string, freq bigint", between=LOOKUP)
+
+
+def context_state(lines: DataFrame) -> DataFrame:
+    """(gram, side, ctx, c) over all grams of distinct lines (column ``line``)."""
+    at = gr.places(gr.weighted(C.segments_of(lines)))
+    return gr.context_counts(gr.occurrences(at), {"c": "n"})
+
+
+def merged_entropy(spark: SparkSession, sf: str) -> DataFrame:
+    """A7 partial and merged: the state of A is saved; the lines of B that it does not have
+    are counted and merged into it, and entropy comes from the merged counts."""
+    seen = store(C.distinct_lines(spark, sf, "A"), "lines", "line")
+    state = store(context_state(seen), "contexts", "gram")
+    more = context_state(sv.new_lines(C.distinct_lines(spark, sf, "B"), seen))
+    return coh.context_entropy(None, ctx_counts=sv.merge_counts(state, more))
+
+
 # -- X6 corpus diff ----------------------------------------------------------------
 
 SURFACE_JOINER = " "  # Latin test text: a gram's surface form keeps a space
@@ -269,6 +362,21 @@ def label_lists(spark: SparkSession, sf: str) -> tuple[dict, dict, DataFrame]:
     return pos, neg, true_pos
 
 
+def search_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys for the many-key lookup: the words and the runs of two and three words of ``benchmark``."""
+    t = C.table(spark, sf, "benchmark").select(F.split("text", " ").alias("t"))
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size("t") - k + 1, F.lit(1))), lambda i: F.array_join(F.slice("t", i, k), " "))))
+    return t.select(F.explode(runs).alias("key")).where(F.length("key") >= 4).distinct()
+
+
+def kwic_many(spark: SparkSession, sf: str) -> DataFrame:
+    """P21 for all search keys: lines are numbered and indexed once."""
+    lines = materialize(C.distinct_lines(spark, sf, "B").withColumn("id", F.monotonically_increasing_id()))
+    index = materialize(ix.positional_index(lines))
+    return kw.kwic_many(index, lines, search_keys(spark, sf), C.SCRIPT_CLASS + " ", stop_chars=TEST_STOP_CHARS, variants=VARIANTS)
+
+
 # -- X13 char-mode miner --------------------------------------------------------------
 
 CHAR_MAX_LEN = 6
@@ -276,12 +384,12 @@ CHAR_MAX_LEN = 6
 CHAR_FLOORS = {"min_pmi": 1.0, "min_entropy": 0.0, "min_pos_prob": 0.04}
 
 
-def char_occurrences(spark: SparkSession, sf: str) -> DataFrame:
-    """N3 / N4 occurrences of the distinct pieces, with the pieces' number ``n``."""
+def char_starts(spark: SparkSession, sf: str) -> DataFrame:
+    """The starts of the distinct pieces, with the pieces' number ``n``."""
     lines = C.corpus_lines(spark, sf, "B")
     found = lines.select("n", F.inline(F.array(F.struct(ng.char_pieces(F.lower("line"), C.SCRIPT_CLASS, TEST_STOP_CHARS, " ").alias("_p")))))
     pieces = found.select("n", F.explode("_p").alias("piece")).groupBy("piece").agg(F.sum("n").alias("n"))
-    return ng.char_ngrams_with_next(pieces, "piece", CHAR_MAX_LEN, keep=["n"])
+    return sx.starts(pieces, "piece", CHAR_MAX_LEN)
 
 
 def positional_prop(spark: SparkSession, sf: str) -> DataFrame:
@@ -299,7 +407,7 @@ def positional_prop(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def char_entropies(spark: SparkSession, sf: str) -> DataFrame:
-    return coh.char_entropies(char_occurrences(spark, sf), "n")
+    return sx.suffix_entropies(char_starts(spark, sf), CHAR_MAX_LEN)
 
 
 def char_side(spark: SparkSession, sf: str, side: str) -> DataFrame:
@@ -344,3 +452,17 @@ def classify(spark: SparkSession, sf: str, kind: str = "logistic") -> DataFrame:
     train, predict = rank_tables(spark, sf, "filter")
     model = md.train(materialize(train), fe.FILTER_FEATURES, kind)
     return md.predict(model, predict, kind)
+
+
+def held_out(spark: SparkSession, sf: str, folds: int = 3) -> DataFrame:
+    """(term, label, margin) of the labelled words, each under an SVM trained without its fold."""
+    pos, neg = positives(spark, sf), negatives(spark, sf)
+    words = pos.select(F.col("word").alias("term")).unionByName(neg.select(F.col("word").alias("term")))
+    train = materialize(fe.training_rows(pos, neg, features(spark, sf, words)))
+    return materialize(md.held_out_margins(train, fe.FILTER_FEATURES, folds=folds, max_iter=20))
+
+
+def calibration(spark: SparkSession, sf: str) -> DataFrame:
+    """M4: (bin, n, positives, mean_pred) of the held-out words by calibrated probability."""
+    margins = held_out(spark, sf)
+    return md.reliability(margins, md.platt(margins))

@@ -2,25 +2,36 @@
 inference); nothing is read on the driver and no session setting is changed."""
 from __future__ import annotations
 
+import codecs
 import re
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from termspark.sources.sinks import MANIFEST
+
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str], encoding: str = "UTF-8") -> DataFrame:
     """Text lines as ``line STRING``; every line stays, blank ones too.
 
-    Lines are split on the raw bytes and decoded afterwards, which is safe for GBK
-    (no trail byte is a line end).  Charsets other than UTF-8 need a session with
-    ``spark.sql.legacy.javaCharsets=true``.
+    Files are cut into splits at line ends on the raw bytes, which is safe for GBK (no
+    trail byte is a line end), from any store that Spark reads.  Lines in another
+    charset than UTF-8 are decoded batch by batch in the workers, so no session setting is
+    needed; what is malformed becomes U+FFFD.
     """
     raw = spark.read.text(paths)
     if encoding.upper().replace("-", "") == "UTF8":
         return raw.select(F.col("value").alias("line"))
-    return raw.select(F.decode(F.col("value").cast("binary"), encoding).alias("line"))
+    codec = codecs.lookup(encoding).name
+
+    def decode(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([x.decode(codec, "replace") for x in b.column(0).to_pylist()], pa.string())], ["line"])
+
+    return raw.select(F.col("value").cast("binary").alias("line")).mapInArrow(decode, "line string")
 
 
 def read_word_list(spark: SparkSession, paths: str | Sequence[str], ordered: bool = False) -> DataFrame:
@@ -46,7 +57,7 @@ def _fields(sep: str) -> Column:
     return F.when(value == "", F.array(F.lit(""))).when(cut == "", F.array().cast("array<string>")).otherwise(F.split(cut, literal, -1))
 
 
-def read_exact_fields(spark: SparkSession, path: str, names: Sequence[str], types: Sequence[str] | None = None,
+def read_exact_fields(spark: SparkSession, path: str | Sequence[str], names: Sequence[str], types: Sequence[str] | None = None,
                       sep: str = "\t", header: bool = False) -> DataFrame:
     """Lines with exactly ``len(names)`` fields, typed by ``types``; all other
     lines are dropped before anything is cast, and a field that does not parse as its
@@ -68,7 +79,7 @@ def read_exact_fields(spark: SparkSession, path: str, names: Sequence[str], type
     return x.select(*fields)
 
 
-def read_tsv(spark: SparkSession, path: str, schema: str | T.StructType, header: bool = False) -> DataFrame:
+def read_tsv(spark: SparkSession, path: str | Sequence[str], schema: str | T.StructType, header: bool = False) -> DataFrame:
     """Positional TSV with an explicit schema; lines with another number of
     fields are dropped (S6: the header row is skipped, booleans are ``true`` / ``false``)."""
     fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
@@ -76,5 +87,34 @@ def read_tsv(spark: SparkSession, path: str, schema: str | T.StructType, header:
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """``term, score, pred`` comma-separated."""
-    return spark.read.schema("term string, score double, pred double").options(sep=",", quote="").csv(path)
+    """``term, score, pred`` comma-separated; lines with another number of fields are
+    dropped."""
+    return read_exact_fields(spark, path, ["term", "score", "pred"], ["string", "double", "double"], sep=",")
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(file, low, high, n) of each part file that :func:`sinks.write_sorted` left with a manifest."""
+    return spark.read.parquet(f"{path.rstrip('/')}/{MANIFEST}")
+
+
+def lookup(spark: SparkSession, path: str, schema: str, keys: Sequence[str] = (), between: tuple[str, str] | None = None) -> DataFrame:
+    """Rows of a sorted, tab-separated table whose first column is one of ``keys`` or lies
+    ``between`` two values (both included): only the part files whose key range may hold
+    one are opened.  The driver sees the manifest's rows of these files alone."""
+    field = T.StructType.fromDDL(schema).fields[0].name
+    keys = list(dict.fromkeys(keys))
+    low, high = between or (None, None)
+    holds, wanted = F.lit(False), F.lit(False)
+    if keys:
+        holds = holds | F.exists(F.array(*map(F.lit, keys)), lambda k: (k >= F.col("low")) & (k <= F.col("high")))
+        wanted = wanted | F.col(field).isin(keys)
+    if between:
+        holds = holds | ((F.col("low") <= high) & (F.col("high") >= low))
+        wanted = wanted | F.col(field).between(low, high)
+    files = [r["file"] for r in read_manifest(spark, path).where(holds).select("file").orderBy("file").collect()]
+    return read_tsv(spark, files, schema).where(wanted) if files else spark.createDataFrame([], schema)
+
+
+def stored(spark: SparkSession, name: str) -> DataFrame:
+    """A table of :func:`sinks.store_bucketed`."""
+    return spark.table(name)

@@ -208,9 +208,9 @@ def _optimized(df) -> str:
 
 
 @pytest.mark.parametrize("build, pattern", [
-    (lambda J, C, s: C.segments(s, SF), "regexp_replace"), (lambda J, C, s: J.gram_table(s, SF), "regexp_replace"),
+    (lambda J, C, s: C.segments(s, SF), "regexp_replace"), (lambda J, C, s: J.word_idf(s, SF), "regexp_extract_all"),
     (lambda J, C, s: C.stop_segments(s, SF), "regexp_extract_all"), (lambda J, C, s: J.term_freq(s, SF), "regexp_extract_all"),
-    (lambda J, C, s: J.char_entropies(s, SF), "regexp_replace")])
+    (lambda J, C, s: J.bigram_freq(s, SF), "regexp_extract_all"), (lambda J, C, s: J.char_starts(s, SF), "regexp_replace")])
 def test_text_is_evaluated_once(spark, build, pattern):
     from termspark.plans import corpus as C
     from termspark.plans import jobs as J
@@ -220,7 +220,7 @@ def test_text_is_evaluated_once(spark, build, pattern):
 def test_building_a_query_starts_no_job(spark):
     from termspark.plans import jobs as J
     spark.sparkContext.setJobGroup("lazy", "lazy")
-    for build in (J.word_idf, J.gram_total, J.cohesion, J.char_entropies):
+    for build in (J.word_idf, J.term_freq, J.occurrences, J.char_starts):
         build(spark, SF)
     grams = spark.createDataFrame([("a", 9, 3.0, 3.0, 9, 3.0, 3.0)], "gram string, freq bigint, left_entropy double, right_entropy double, "
                                   "a_freq bigint, a_left_entropy double, a_right_entropy double")
