@@ -32,6 +32,8 @@ from termspark.llm.graph import components, forest
 CODES, LISTED, LOAD = 8, 5.0, 128
 #: Vectors of a filter compared in one task.
 CHUNK = 2048
+#: Busy filters up to this number (some 30 bytes each) go to the tasks as a broadcast; more are joined by shuffle.
+BROADCAST_FILTERS = 200_000
 #: Filters asked of a vector at least in each code (its best ones, where fewer exceed alpha).
 LEAST = 2
 
@@ -182,10 +184,12 @@ def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str =
 
     listed_rows = nodes.select("node", "v", "m").mapInArrow(
         listing, "dim int, filter long, node long, m long, v binary, lists binary")
-    busy = (nodes.select("node", "v", "m").mapInArrow(lambda batches: listing(batches, False), "dim int, filter long")
+    busy = materialize(nodes.select("node", "v", "m").mapInArrow(lambda batches: listing(batches, False), "dim int, filter long")
             .groupBy("dim", "filter").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
             .withColumn("k", F.ceil(F.col("n") / CHUNK).cast("int")).drop("n"))
-    blocks = listed_rows.join(busy, ["dim", "filter"], "left").withColumn("k", F.coalesce("k", F.lit(1))) \
+    # while they are few, a broadcast spares the vectors a second exchange
+    few = busy.count() <= BROADCAST_FILTERS
+    blocks = listed_rows.join(F.broadcast(busy) if few else busy, ["dim", "filter"], "left").withColumn("k", F.coalesce("k", F.lit(1))) \
         .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))) \
         .withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
