@@ -2,15 +2,16 @@
 from __future__ import annotations
 
 import sys
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termspark.session import materialize
+from termspark.session import checkpoint_dir, materialize
 
-__all__ = ["table", "materialize", "worker_cache", "WordHash", "mix64", "shingle_hashes", "set_hash",
+__all__ = ["table", "materialize", "lay_out", "worker_cache", "WordHash", "mix64", "shingle_hashes", "set_hash",
            "slices", "keep_rows", "pack_ints", "unpack_ints", "pack_bytes", "unpack_bytes", "delta", "doc_words", "bucket_below", "only", "crc_of_id"]
 
 MASK = (1 << 64) - 1
@@ -31,6 +32,18 @@ def crc_of_id(col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary"))
 
 
+def lay_out(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """``df`` written once to the folder that the session names, in hash buckets of ``key``:
+    whatever groups it by the key afterwards reads it where it lies, without an exchange.
+    Without such a folder it is materialised."""
+    shared = checkpoint_dir(df.sparkSession)
+    if not shared:
+        return materialize(df)
+    name = f"laid_out_{uuid.uuid4().hex}"
+    df.repartition(buckets, key).write.option("path", f"{shared.rstrip('/')}/{name}").bucketBy(buckets, key).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def worker_cache(name: str) -> dict:
     """A dict that lives as long as the Python worker process, so that tables
     built by one task (vocabularies, automata) serve the following ones."""
@@ -64,10 +77,24 @@ class WordHash(dict):
 
 def slices(batches, rows: int = 256):
     """The rows of Arrow batches in small parts, so that of a batch of long texts only
-    a few are Python objects at a time."""
+    a few are Python objects at a time; memory of a batch that is done goes back."""
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
+        del b
+        give_back()
+
+
+def give_back() -> None:
+    """Returns memory that the worker's allocators keep for later: a worker outlives its task,
+    and what it holds is missing elsewhere on its machine."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
 
 
 def keep_rows(df: DataFrame, column: str, start) -> DataFrame:

@@ -18,7 +18,10 @@ training documents counted, builds its part of the trie, answers every batch by
 trie lookups, and forgets it.  So everything that crosses the network is counted
 per batch beforehand, and a word or word pair that is everywhere costs one entry a
 batch.  N-grams of a frequent context are dealt out by context and word, all others
-by the context, so no context is held by one task that a task cannot hold.
+by the context, so no context is held by one task that a task cannot hold; every batch
+knows from the shards' answers how often a context is there, so no list of the
+frequent ones is needed.  Batches and answers lie by batch in the shared folder, where each
+level reads them without moving them.
 """
 from __future__ import annotations
 
@@ -27,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termspark.llm.common import WordHash, crc_of_id, delta, doc_words, materialize, mix64, only, pack_ints, slices, unpack_ints
+from termspark.llm.common import WordHash, crc_of_id, delta, doc_words, lay_out, mix64, only, pack_ints, slices, unpack_ints
 from termspark.llm.trie import ABSENT, STEPS, Trie
 
 #: Tokens of a batch; words and n-grams of a shard (before summing up).
 BATCH_TOKENS, SHARD_WORDS, SHARD_PAIRS = 1_000_000, 1_500_000, 1_500_000
+#: Bytes of text whose batches lie in one place.
+BUCKET_BYTES = 48 << 20
 #: Weight of the unigram model, in tokens.
 MU = 20.0
 # Reserved words: none of them can occur, for they hold white space.
@@ -96,11 +101,10 @@ def _cuts(shard: np.ndarray, shards: int) -> np.ndarray:
     return np.searchsorted(shard, np.arange(shards + 1))
 
 
-def vocabulary(packed: DataFrame, shards: int, hot_above: int) -> DataFrame:
+def vocabulary(packed: DataFrame, shards: int) -> DataFrame:
     """What the shards answer to each batch about its words, in the batch's order by
-    (shard, hash): ``ids`` (frequent words have small ones) and training ``counts``;
-    and one row a shard (batch -1) with its known words ``v`` and the ids and counts
-    of words counted more often than ``hot_above``."""
+    (shard, hash): ``ids`` (frequent words have small ones) and training ``counts``; each
+    shard says in its first answer how many words ``v`` it knows."""
 
     def ask(batches):
         for b in batches:
@@ -127,12 +131,10 @@ def vocabulary(packed: DataFrame, shards: int, hot_above: int) -> DataFrame:
         ids = rank * shards + shard
         ends = np.cumsum([0] + [len(h) for h in hashes])
         mine = [inv[x:y] for x, y in zip(ends, ends[1:])]
-        hot = np.flatnonzero(total > hot_above)
         return pa.table({
-            "batch": pa.array([-1] + batch, pa.int64()), "shard": pa.array([shard] * (len(batch) + 1), pa.int32()),
-            "ids": pa.array([pack_ints(ids[hot])] + [pack_ints(ids[m]) for m in mine], pa.binary()),
-            "counts": pa.array([pack_ints(total[hot])] + [pack_ints(total[m]) for m in mine], pa.binary()),
-            "v": pa.array([int((total > 0).sum())] + [0] * len(batch), pa.int64())})
+            "batch": pa.array(batch, pa.int64()), "shard": pa.array([shard] * len(batch), pa.int32()),
+            "ids": pa.array([pack_ints(ids[m]) for m in mine], pa.binary()), "counts": pa.array([pack_ints(total[m]) for m in mine], pa.binary()),
+            "v": pa.array([int((total > 0).sum())] + [0] * (len(batch) - 1), pa.int64())})
 
     asked = packed.select("batch", "hashes", "counts").mapInArrow(ask, "shard int, batch long, hashes binary, counts binary")
     return asked.groupBy("shard").applyInArrow(answer, "batch long, shard int, ids binary, counts binary, v long")
@@ -153,7 +155,7 @@ class _Batch:
     """A packed batch with what the shards said about its words and n-grams: ``levels``
     of 2 to ``order`` words, of which the last may still be without answers."""
 
-    def __init__(self, row: dict, replies: list[dict], shards: int, pair_shards: int, hot: list[np.ndarray], order: int):
+    def __init__(self, row: dict, replies: list[dict], shards: int, pair_shards: int, hot_above: int, train_docs: int, order: int):
         replies = sorted(replies, key=lambda r: r["shard"])
 
         def said(level, col, kind):
@@ -173,7 +175,7 @@ class _Batch:
         before = np.roll(self.stream, 1)  # local number of the context; n: start of a text
         before[self.first] = n
         # the start has id 0 (all others are moved up by one), so it is a context like any other
-        context_id = np.append(self.gid + 1, 0)
+        context_id, context_count = np.append(self.gid + 1, 0), np.append(self.count, train_docs)
         self.levels = []
         for k in range(2, order + 1):
             if k == 2:
@@ -184,10 +186,13 @@ class _Batch:
                 number[last.at] = np.where(last.counts > 0, np.arange(len(last.counts)), -1)[last.inverse]
                 at = np.flatnonzero((place >= k - 2) & (np.roll(number, 1) >= 0))
                 g = _Level(at, number[at - 1], self.stream, n)
-                context_id = last.ids
+                context_id, context_count = last.ids, last.counts
             self.levels.append(g)
             g.u, g.w = context_id[g.back], self.gid[g.word]
-            g.order, g.cut = _pair_order(g.u, g.w, hot[k - 2], pair_shards)
+            # contexts that training has very often: every batch knows their count from the shards
+            count = context_count[g.back]
+            g.often = np.where(count > hot_above, count, 0)
+            g.order, g.cut = _pair_order(g.u, g.w, g.often > 0, pair_shards)
             for name, kind in (("codes", np.uint16), ("counts", np.int64), ("ids", np.int64)):
                 got = said(k, name, kind)
                 if len(got) == len(g.order):
@@ -196,10 +201,10 @@ class _Batch:
                     setattr(g, name, value)
 
 
-def _pair_order(u: np.ndarray, w: np.ndarray, hot: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the pairs by (shard, u, w), and the shards' cuts in it."""
+def _pair_order(u: np.ndarray, w: np.ndarray, often: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the pairs by (shard, u, w), and the shards' cuts in it; a pair whose context is
+    there ``often`` goes by context and word."""
     mixed = u.astype(np.uint64)
-    often = np.isin(u, hot)
     mixed[often] = mix64(mixed[often]) ^ w[often].astype(np.uint64)
     s = _hash_shard(mixed, shards)
     order = np.lexsort((w, u, s))
@@ -219,31 +224,26 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", mu: fl
     p1, score under the model of ``order`` words (2 or more).  Words are told apart by 64-bit hashes.  Other
     columns are left aside; an empty table gives no rows.
     """
-    packed = pack(docs, doc_id=doc_id, text=text, batch_tokens=batch_tokens)
-    packed = materialize(packed)
+    spark = docs.sparkSession
+    # what belongs to a batch lies by batch, so that no level moves it again
+    bytes_ = only(docs, text).agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-bytes_ // BUCKET_BYTES))
+    packed = lay_out(pack(docs, doc_id=doc_id, text=text, batch_tokens=batch_tokens), "batch", buckets)
     size = packed.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("tokens", "words", "train_docs", "train_tokens")]).first()
-    total = size["train_tokens"]
+    total, train_docs = size["train_tokens"], size["train_docs"]
     word_shards, pair_shards = max(16, -(-size["words"] // shard_words)), max(16, -(-size["tokens"] // shard_pairs))
     hot_above = max(1, size["tokens"] // (8 * pair_shards))
-    words = materialize(vocabulary(packed, word_shards, hot_above))
-    about = words.where("batch = -1")
-    known = about.agg(F.coalesce(F.sum("v"), F.lit(0))).first()[0]
-    hot = {}  # at most 8 * pair_shards words
-    for r in about.select("ids", "counts").collect():
-        hot.update(zip((unpack_ints(r["ids"], np.int64) + 1).tolist(), unpack_ints(r["counts"], np.int64).tolist()))
-    if size["train_docs"] > hot_above:
-        hot[0] = size["train_docs"]
-    spark = docs.sparkSession
-    sent = [spark.sparkContext.broadcast(hot)]  # for each level, frequent contexts and their counts
+    words = lay_out(vocabulary(packed, word_shards), "batch", buckets)
+    known = words.agg(F.coalesce(F.sum("v"), F.lit(0))).first()[0]
     none = F.lit(None).cast("binary")
-    replies = words.where("batch >= 0").select("batch", "shard", F.lit(1).alias("level"), "ids", "counts", none.alias("codes"))
+    replies = words.select("batch", "shard", F.lit(1).alias("level"), "ids", "counts", none.alias("codes"))
 
-    def asker(level, hot_of):
+    def asker(level):
         def ask(key, left: pa.Table, right: pa.Table) -> pa.Table:
-            u_, w_, c_, s_, b_ = [], [], [], [], []
+            u_, w_, c_, o_, s_, b_ = [], [], [], [], [], []
             rows = right.to_pylist()
             for row in left.to_pylist():
-                b = _Batch(row, rows, word_shards, pair_shards, [np.array(list(h.value), np.int64) for h in hot_of], level)
+                b = _Batch(row, rows, word_shards, pair_shards, hot_above, train_docs, level)
                 g = b.levels[-1]
                 seen = np.bincount(g.inverse, weights=np.repeat(~b.held, b.sizes)[g.at], minlength=len(g.u)).astype(np.uint32)
                 for k, (x, y) in enumerate(zip(g.cut, g.cut[1:])):
@@ -254,11 +254,12 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", mu: fl
                         u_.append(pack_ints(delta(g.u[o])))
                         w_.append(pack_ints(g.w[o]))
                         c_.append(pack_ints(seen[o]))
+                        o_.append(pack_ints(g.often[o]))
             return pa.table({"shard": pa.array(s_, pa.int32()), "batch": pa.array(b_, pa.int64()), "u": pa.array(u_, pa.binary()),
-                             "w": pa.array(w_, pa.binary()), "c": pa.array(c_, pa.binary())})
+                             "w": pa.array(w_, pa.binary()), "c": pa.array(c_, pa.binary()), "often": pa.array(o_, pa.binary())})
         return ask
 
-    def answerer(level, frequent):
+    def answerer(level):
         def answer(t: pa.Table) -> pa.Table:
             t = t.sort_by("batch")
             shard = t.column("shard")[0].as_py()
@@ -274,8 +275,8 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", mu: fl
             c = np.bincount(inv, weights=c, minlength=len(key)).astype(np.int64)
             ku, kw = key // len(ww), key % len(ww)
             per = np.bincount(ku, weights=c, minlength=len(uu))
-            for i in np.flatnonzero(np.isin(uu, np.array(list(frequent.value), np.int64))):
-                per[i] = frequent.value[int(uu[i])]
+            often = np.concatenate([unpack_ints(x, np.int64) for x in t.column("often").to_pylist()])
+            per[ui[often > 0]] = often[often > 0]  # of a frequent context this shard has a part
             have = c > 0
             trie = Trie.from_buffer(Trie.build(uu[ku[have]], ww[kw[have]], c[have] / (per[ku[have]] + mu)).to_bytes())
             codes = trie.lookup(uu[ku], ww[kw])[inv]
@@ -283,9 +284,8 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", mu: fl
             out = {"batch": t.column("batch").to_pylist(), "ids": [None] * len(parts), "counts": [None] * len(parts),
                    "codes": [pack_ints(codes[x:y]) for x, y in parts]}
             if level < order:  # the next level's contexts, numbered in the order of the shard's trie
-                ids, often = np.arange(len(key)) * pair_shards + shard, np.flatnonzero(c > hot_above)
-                out = {"batch": [-1] + out["batch"], "ids": [pack_ints(ids[often])] + [pack_ints(ids[inv[x:y]]) for x, y in parts],
-                       "counts": [pack_ints(c[often])] + [pack_ints(c[inv[x:y]]) for x, y in parts], "codes": [None] + out["codes"]}
+                ids = np.arange(len(key)) * pair_shards + shard
+                out |= {"ids": [pack_ints(ids[inv[x:y]]) for x, y in parts], "counts": [pack_ints(c[inv[x:y]]) for x, y in parts]}
             return pa.table({"batch": pa.array(out["batch"], pa.int64()), "shard": pa.array([shard] * len(out["batch"]), pa.int32()),
                              "level": pa.array([level] * len(out["batch"]), pa.int32()),
                              **{k: pa.array(out[k], pa.binary()) for k in ("ids", "counts", "codes")}})
@@ -293,23 +293,17 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", mu: fl
 
     for level in range(2, order + 1):
         asked = packed.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(
-            asker(level, list(sent)), "shard int, batch long, u binary, w binary, c binary")
-        said = asked.groupBy("shard").applyInArrow(answerer(level, sent[-1]), "batch long, shard int, level int, ids binary, counts binary, codes binary")
-        if level < order:
-            said = materialize(said)
-            hot = {}  # at most 8 * pair_shards n-grams
-            for r in said.where("batch = -1").select("ids", "counts").collect():
-                hot.update(zip(unpack_ints(r["ids"], np.int64).tolist(), unpack_ints(r["counts"], np.int64).tolist()))
-            sent.append(spark.sparkContext.broadcast(hot))
-        replies = replies.unionByName(said.where("batch >= 0"))
+            asker(level), "shard int, batch long, u binary, w binary, c binary, often binary")
+        said = asked.groupBy("shard").applyInArrow(answerer(level), "batch long, shard int, level int, ids binary, counts binary, codes binary")
+        replies = replies.unionByName(lay_out(said, "batch", buckets) if level < order else said)
 
     def finish(key, left: pa.Table, right: pa.Table) -> pa.Table:
         rows = right.to_pylist()
         out = []
         for row in left.to_pylist():
-            b = _Batch(row, rows, word_shards, pair_shards, [np.array(list(h.value), np.int64) for h in sent], order)
+            b = _Batch(row, rows, word_shards, pair_shards, hot_above, train_docs, order)
             p1 = (b.count + 0.1) / (total + 0.1 * (known + 1))
-            p, seen = p1[b.stream], np.append(b.count, size_train_docs)  # training count of each context
+            p, seen = p1[b.stream], np.append(b.count, train_docs)  # training count of each context
             for g in b.levels:
                 back = mu / (seen + mu)
                 high = np.where(g.codes == ABSENT, 0.0, 10.0 ** (-g.codes.astype(float) / STEPS))
@@ -326,6 +320,5 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", mu: fl
                 "score": pa.array(np.add.reduceat(np.log10(p), starts), pa.float64())}))
         return pa.concat_tables(out)
 
-    size_train_docs = size["train_docs"]
     return packed.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(
         finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
