@@ -42,8 +42,8 @@ BANDS, ROWS, FLOOR = 40, 5, 0.6
 BROADCAST_IDS = 500_000
 #: Pairs whose texts meet in one task.
 PAIRS_A_TASK = 1_500
-#: Members of a bucket compared in one task.
-CHUNK = 1024
+#: Members of a bucket in a part of it, and their shingles; shingles that a task compares.
+CHUNK, CHUNK_SHINGLES, TASK_SHINGLES = 1024, 1_000_000, 3_000_000
 #: Shingles of a numpy batch (more if one document has more).
 BATCH_ELEMENTS = 60_000
 
@@ -215,7 +215,7 @@ def _mixed_buckets(docs, member, comp, reps, percent, shingle, doc_id, text) ->
     that hold several components.
 
     Members outside their center's component are compared with all members of other
-    components, CHUNK by CHUNK, on their full sets, as in _confirm; a task reports a
+    components, part by part, on their full sets, as in _confirm; a task reports a
     spanning forest over the links it finds.  Its edges need not be links themselves:
     they say what is connected and are not to be confirmed again.
     """
@@ -235,30 +235,33 @@ def _mixed_buckets(docs, member, comp, reps, percent, shingle, doc_id, text) ->
             yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in sets], pa.int64()), pa.array([s.tobytes() for _, s in sets], pa.binary())], ["node", "hashes"])
 
     sets = materialize(texts.mapInArrow(hashes, "node long, hashes binary"))
-    count = mixed.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)  # few: most buckets are small
-    rows = mixed.join(count, "band", "left").withColumn("k", F.ceil(F.coalesce("n", F.lit(1)) / CHUNK).cast("int")) \
-        .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")) \
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))) \
-        .withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")) \
-        .select("band", "i", "j", "mine", "node", "c", "out").join(sets, "node")
-    tasks = max(int(member.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-mixed.count() // 20_000))
-    dealt = rows.repartition(tasks, "band", "i", "j").sortWithinPartitions("band", "i", "j")
+    # members outside their center's component go by part `a`, all members by part `b`, of bounded
+    # members and shingles; a set is sent to the blocks of its parts that compare it, once each
+    sized = mixed.join(sets.select("node", (F.octet_length("hashes") / 8).alias("e")), "node")
+    parts = sized.groupBy("band").agg(*[F.greatest(F.ceil(F.count_if(w) / CHUNK), F.ceil(F.sum(F.when(w, F.col("e")).otherwise(0)) / CHUNK_SHINGLES), F.lit(1))
+                                        .cast("int").alias(n) for n, w in (("p", F.col("out")), ("q", F.lit(True)))]).where("p > 1 or q > 1")
+    placed = mixed.join(parts, "band", "left").na.fill(1, ["p", "q"]) \
+        .withColumn("pa", F.pmod(F.xxhash64("node"), F.col("p")).cast("int")).withColumn("pb", F.pmod(F.xxhash64("node", F.lit(1)), F.col("q")).cast("int"))
+    blocks = F.expr("""concat(transform(sequence(0, p - 1), x -> named_struct('a', x, 'b', pb, 'l', out and x = pa, 'r', true)),
+        if(out, transform(filter(sequence(0, q - 1), x -> x <> pb), x -> named_struct('a', pa, 'b', x, 'l', true, 'r', false)), array()))""")
+    rows = placed.select("band", "node", "c", F.explode(blocks).alias("x")).select("band", "x.a", "x.b", "x.l", "x.r", "node", "c").join(sets, "node")
+    work = sized.join(parts, "band", "left").na.fill(1, ["p", "q"]).agg(
+        F.sum("p"), F.sum(F.col("e") * (F.col("p") + F.when(F.col("out"), F.col("q") - 1).otherwise(0)))).first()
+    tasks = max(int(member.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(work[0] or 0) // 20_000), int((work[1] or 0) // TASK_SHINGLES))
+    dealt = rows.repartition(tasks, "band", "a", "b").sortWithinPartitions("band", "a", "b")
 
     def compare(batches):
         def group(rows):
-            i, j = rows[0][1], rows[0][2]
-            mine, node, c, outside = (np.array([r[k] for r in rows]) for k in (3, 4, 5, 6))
-            if not outside.any() or (c == c[0]).all():
+            l, r, node, c = (np.array([x[k] for x in rows]) for k in (3, 4, 5, 6))
+            if not l.any() or (c == c[0]).all():
                 return []
-            sets = [np.frombuffer(r[7], np.uint64) for r in rows]
+            sets = [np.frombuffer(x[7], np.uint64) for x in rows]
             size = np.array([len(x) for x in sets])
-            left = np.flatnonzero(outside)
-            near = c[left][:, None] != c[None, :]
+            left = np.flatnonzero(l)
+            near = (c[left][:, None] != c[None, :]) & r[None, :]
             for at, both in enumerate(_overlaps(sets, left)):
                 both = both.astype(np.int64)
                 near[at] &= 100 * both >= percent * (size[left[at]] + size - both)
-            if i != j:
-                near &= mine[left][:, None] != mine[None, :]
             p, q = np.nonzero(near)
             return forest(node[left[p]], node[q]) if len(p) else []
 
@@ -275,7 +278,7 @@ def _mixed_buckets(docs, member, comp, reps, percent, shingle, doc_id, text) ->
         if held:
             yield _edges(group(held))
 
-    return materialize(dealt.select("band", "i", "j", "mine", "node", "c", "out", "hashes").mapInArrow(compare, "a long, b long").distinct())
+    return materialize(dealt.select("band", "a", "b", "l", "r", "node", "c", "hashes").mapInArrow(compare, "a long, b long").distinct())
 
 
 def _edges(edges: list[tuple[int, int]]) -> pa.RecordBatch:
