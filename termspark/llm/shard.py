@@ -11,8 +11,9 @@ exact totals show to be overfull are sampled again and subdivided.
 With the ranges' totals every record knows its place in the whole order, and the
 place in bytes gives the shard: shard k takes the records whose middle falls
 into the k-th of ``shards`` equal parts of all bytes.  A key is kept in one shard
-as long as its records are at most ``whole`` of a shard.  So the law is ``bytes``:
-shard sizes differ by little more than one record (or small group).
+as long as its records together are no larger than the largest record of all, or than
+``whole`` of a shard.  So the law is ``bytes``: shard sizes differ by little more than
+two records of the largest size do.
 
 Only the splitters and the totals of the ranges (bounded by ``max_ranges``)
 reach the driver.
@@ -77,11 +78,11 @@ def _ranged(df: DataFrame, cuts: list[tuple[int, int]]) -> DataFrame:
         for k, s in it:
             k, s = k.to_numpy(), s.to_numpy()
             lo, hi = np.searchsorted(keys, k, "left"), np.searchsorted(keys, k, "right")
-            at = np.flatnonzero(hi > lo)  # the key itself is a splitter: the id decides
+            at, out = np.flatnonzero(hi > lo), lo.copy()  # the key itself is a splitter: the id decides
             for x in np.unique(lo[at]):
                 own = at[lo[at] == x]
-                lo[own] = x + np.searchsorted(subs[x:hi[own[0]]], s[own], "right")
-            yield pd.Series(lo)
+                out[own] = x + np.searchsorted(subs[x:hi[own[0]]], s[own], "right")
+            yield pd.Series(out)
 
     return df.withColumn("_range", F.pandas_udf(run, "long")("_key", "_sub"))
 
@@ -91,7 +92,8 @@ def assign_shards(records: DataFrame, shards: int, *, key: str, size: str, tie:
     """The columns of ``records`` plus law, shard (0 to shards - 1) and slot (the
     record's place in its shard, 0, 1, ...).
 
-    ``key`` names the column whose equal values are kept together, ``size`` the
+    ``key`` names the column whose equal values are kept together (up to the size of the
+    largest record, or ``whole`` of a shard if that is more), ``size`` the
     bytes of a record (null or negative: 0), ``tie`` the columns that order the
     records of one key.  Nulls are a key like any other; records that are equal
     in all of these take any order among themselves; an empty table stays
@@ -103,7 +105,7 @@ def assign_shards(records: DataFrame, shards: int, *, key: str, size: str, tie:
         F.greatest(F.coalesce(F.col(f"`{size}`").cast("long"), F.lit(0)), F.lit(0)).alias("size"),
         F.xxhash64(F.col(f"`{key}`")).alias("_key"), F.xxhash64(*[F.col(f"`{c}`") for c in tie]).alias("_sub"))
     base = materialize(base)
-    n, total = base.agg(F.count("*"), F.sum("size")).first()
+    n, total, largest = base.agg(F.count("*"), F.sum("size"), F.max("size")).first()
     law = F.lit("bytes").alias("law")
     if not n:
         return base.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], law,
@@ -134,15 +136,21 @@ def assign_shards(records: DataFrame, shards: int, *, key: str, size: str, tie:
     offsets = records.sparkSession.createDataFrame(rows, "_range long, _bytes long, _rank long")
     order = Window.partitionBy("_range").orderBy("_key", "_sub", *[F.col(f"c{keep.index(c)}") for c in tie])
     group = Window.partitionBy("_range", "_key")
-    per = total / shards
+    bound = max(whole * total / shards, largest or 0)
+    # a key that is cut inside begins at a splitter; such keys are fewer than the splitters
+    low, first_byte = -(1 << 63), {k: b for k, b, _ in rows}
+    inside = {k for k, sub in cuts if sub != low}
+    begins = [(k, first_byte.get(i + 1, 0)) for i, (k, sub) in enumerate(cuts) if sub == low and k in inside]
+    large = F.broadcast(records.sparkSession.createDataFrame(begins, "_key long, _kbytes long"))
+    large = large.join(base.join(large, "_key", "left_semi").groupBy("_key").agg(F.sum("size").alias("_ksize")), "_key")
     rowed = (placed.withColumn("_end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
              .withColumn("_no", F.row_number().over(order) - 1)
              .withColumn("_gsize", F.sum("size").over(group)).withColumn("_gstart", F.min(F.col("_end") - F.col("size")).over(group)))
-    together = F.col("_gsize") <= F.lit(whole * per)
-    middle = F.when(together, F.col("_gstart") + F.col("_gsize") / 2).otherwise(F.col("_end") - F.col("size") / 2)
-    shard = F.floor((F.col("_bytes") + middle) * F.lit(float(shards)) / F.lit(float(max(total, 1)))).cast("int")
+    group_size, group_start = F.coalesce("_ksize", "_gsize"), F.coalesce(F.col("_kbytes"), F.col("_bytes") + F.col("_gstart"))
+    middle = F.when(group_size <= F.lit(bound), group_start + group_size / 2).otherwise(F.col("_bytes") + F.col("_end") - F.col("size") / 2)
+    shard = F.floor(middle * F.lit(float(shards)) / F.lit(float(max(total, 1)))).cast("int")
     out = materialize(
-        rowed.join(F.broadcast(offsets), "_range")  # bounded by max_ranges
+        rowed.join(F.broadcast(offsets), "_range").join(F.broadcast(large), "_key", "left")  # bounded by max_ranges
         .withColumn("shard", F.least(F.greatest(shard, F.lit(0)), F.lit(shards - 1)))
         .withColumn("_at", F.col("_rank") + F.col("_no"))
         .select(*[f"c{i}" for i in range(len(keep))], "shard", "_at"))
@@ -152,7 +160,9 @@ def assign_shards(records: DataFrame, shards: int, *, key: str, size: str, tie:
 
 
 def write_shards(records: DataFrame, shards: int, path: str, **how) -> None:
-    """Writes the records, one folder ``shard=k`` for each shard, rows by slot."""
+    """Writes the records, one folder ``shard=k`` for each shard, rows by slot; what holds for
+    :func:`assign_shards` of nulls, ties and repeated rows holds here, and an empty table
+    writes no folder."""
     out = assign_shards(records, shards, **how)
     out.repartition("shard", F.floor(F.col("slot") / 1_000_000)).sortWithinPartitions("shard", "slot") \
         .write.partitionBy("shard").parquet(path)
