@@ -31,28 +31,42 @@ NEED = ((8, 1), (32, 2), (1 << 62, 4))
 
 
 def item_sets(items: DataFrame, shingle: int = 5, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """(item_id, n, shingles): the distinct shingle sets of the items."""
+    """(item_id, n, k, shingles): the distinct shingle sets of the items; ``k`` words make
+    a shingle, fewer than ``shingle`` where the item has fewer."""
 
     def run(batches):
         seen = WordHash()
         for b in batches:
-            sets = [shingle_hashes(doc_words(t), seen, shingle) for t in b.column(1).to_pylist()]
+            words = [doc_words(t) for t in b.column(1).to_pylist()]
+            sets = [shingle_hashes(w, seen, shingle) for w in words]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([s.tobytes() for s in sets], pa.binary())], ["item_id", "n", "shingles"])
+                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([min(len(w), shingle) for w in words], pa.int32()),
+                 pa.array([s.tobytes() for s in sets], pa.binary())], ["item_id", "n", "k", "shingles"])
 
     rows = only(items, item_id, text).select(
         F.col(item_id).cast("long").alias("item_id"), F.col(text).cast("binary").alias("t"))
-    return (rows.mapInArrow(run, "item_id long, n long, shingles binary")
+    return (rows.mapInArrow(run, "item_id long, n long, k int, shingles binary")
             .where("n > 0").dropDuplicates(["item_id", "shingles"]))
 
 
+def short_shingles(words: list[bytes], seen: WordHash, k: int) -> np.ndarray:
+    """The distinct runs of ``k`` words, each hashed as an item of these words alone."""
+    if len(words) < k:
+        return np.empty(0, np.uint64)
+    h = np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
+    acc = np.full(len(h) - k + 1, k, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for i in range(k):
+        acc = mix64(acc ^ h[i:len(acc) + i])
+    return np.unique(acc)
+
+
 class Sketches:
     """The sketches of one block of items, by size class, and the exact sets."""
 
     BITS = 20
 
-    def __init__(self, rows: list[tuple[int, bytes]], percent: int):
+    def __init__(self, rows: list[tuple[int, bytes, int]], percent: int, shingle: int = 5):
+        self.short = sorted({r[2] for r in rows} - {shingle})  # numbers of words of items that are one shingle
         self.ids = [r[0] for r in rows]
         self.sets = [np.frombuffer(r[1], np.uint64) for r in rows]
         self.least = [-(-percent * len(s) // 100) for s in self.sets]
@@ -73,6 +87,8 @@ class Sketches:
     def matches(self, words: list[bytes], seen: WordHash, shingle: int) -> list[tuple[int, int, int]]:
         """(item_id, shingles of the item, shared) of the items it contains."""
         s = shingle_hashes(words, seen, shingle)
+        if self.short:
+            s = np.unique(np.concatenate([s, *[short_shingles(words, seen, k) for k in self.short]]))
         probe = s[self.some[(s >> np.uint64(64 - self.BITS)).astype(np.int64)]]
         if not len(probe):
             return []
@@ -98,7 +114,7 @@ def _blocks(items: DataFrame, percent: int, shingle: int, item_id: str, text: st
     parts = max(1, math.ceil(total / block))
     for k in range(parts):
         part = sets if parts == 1 else sets.where(F.pmod(F.xxhash64("item_id", "shingles"), F.lit(parts)) == k)
-        rows = [(r["item_id"], bytes(r["shingles"])) for r in part.select("item_id", "shingles").collect()]
+        rows = [(r["item_id"], bytes(r["shingles"]), r["k"]) for r in part.select("item_id", "shingles", "k").collect()]
         if rows:
             yield items.sparkSession.sparkContext.broadcast(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))), percent
 
@@ -111,8 +127,8 @@ def contaminated(docs: DataFrame, items: DataFrame, *, percent: int = 75, shingl
 
     An item is contained when at least ``percent`` % of its distinct
     ``shingle``-word shingles occur in the document.  Words are lower-cased
-    runs without white space.  An item of fewer words is one shingle, which
-    only a document of exactly these words holds; null or blank items and
+    runs without white space.  An item of fewer words is one shingle, which a
+    document holds that has these words in a row; null or blank items and
     documents match nothing; items repeated under one id count once; a null id
     stays null; other columns of either table are left aside.  No items, or no
     documents, give no rows.
@@ -123,7 +139,7 @@ def contaminated(docs: DataFrame, items: DataFrame, *, percent: int = 75, shingl
     for sent, pct in _blocks(items, percent, shingle, item_id, text, block):
 
         def run(batches, sent=sent, pct=pct):
-            index, seen = Sketches(sent.value, pct), WordHash()
+            index, seen = Sketches(sent.value, pct, shingle), WordHash()
             for b in slices(batches):
                 found = [(d, *m) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())
                          for m in index.matches(doc_words(t), seen, shingle)]
@@ -142,7 +158,7 @@ def _free_of(sent, percent: int, shingle: int):
     """For keep_rows: texts that hold none of the items of one block."""
 
     def start():
-        index, seen = Sketches(sent.value, percent), WordHash()
+        index, seen = Sketches(sent.value, percent, shingle), WordHash()
         return lambda texts: [not index.matches(doc_words(t), seen, shingle) for t in texts]
 
     return start

@@ -71,7 +71,9 @@ def _shingles(key: str, tbl: str) -> str:
 
 @register("op6_decontamination", f"""
 WITH q AS ({_shingles('item_id', 'benchmark')}),
-d AS ({_shingles('doc_id', 'documents')}),
+d AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + k - 1], ' ') AS s, k
+      FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i
+            FROM (SELECT doc_id, {_WORDS.format(t='text')} AS w FROM documents), (SELECT DISTINCT k FROM q) WHERE len(w) >= k)),
 n AS (SELECT item_id, count(*) AS n_item FROM q GROUP BY item_id),
 m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN q USING (s, k) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment

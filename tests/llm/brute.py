@@ -91,14 +91,16 @@ def near_duplicates(docs):
 
 
 def contaminated(docs, items):
-    """{(doc_id, item_id): (size, shared)}."""
-    sets, out = {i: shingles(t) for i, t in items}, {}
-    where = {}
+    """{(doc_id, item_id): (size, shared)}; an item of fewer than five words is one run of them."""
+    sets, out, where = {i: shingles(t) for i, t in items}, {}, {}
+    short = {len(words(t)) for _, t in items} & {1, 2, 3, 4}
     for i, s in sets.items():
         for x in s:
             where.setdefault(x, []).append(i)
     for d, t in docs:
-        for i, n in Counter(i for x in shingles(t) for i in where.get(x, ())).items():
+        w = words(t)
+        have = shingles(t) | {tuple(w[j:j + k]) for k in short for j in range(len(w) - k + 1)}
+        for i, n in Counter(i for x in have for i in where.get(x, ())).items():
             if 100 * n >= 75 * len(sets[i]):
                 out[d, i] = len(sets[i]), n
     return out
