@@ -114,8 +114,10 @@ def redact(docs: DataFrame, *, text: str = "text", least: float = LEAST) -> Data
 
 
 def digests(found: DataFrame) -> DataFrame:
-    """Counts of the base kinds, the hash of their spans, and all spans."""
+    """Counts of the base kinds, the hash of their spans, all spans, and their scores in the
+    same order (``scores``: numbers, comma-joined)."""
     base = F.expr("filter(findings, f -> f.kind in ('email', 'ip', 'card', 'phone'))")
     return found.select(
         "doc_id", *[F.expr(f"cast(size(filter(findings, f -> f.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in BASE],
-        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("findings")).alias("spans"))
+        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("findings")).alias("spans"),
+        F.expr("array_join(transform(findings, f -> cast(round(f.score, 2) as string)), ',')").alias("scores"))
