@@ -25,8 +25,8 @@ from termspark.llm.spans import joined, literal, with_spans
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 RULES = {"assign": ASSIGN, "access": "AKIA[A-Z0-9]{14,}", "hex": "[0-9a-f]{16,}"}
 ASSIGN_LEAST = 12
-#: Tokens that the Markov models are asked about.
-TOKEN = r"(?<![\p{L}\p{N}+/_=-])[A-Za-z0-9+/_=-]{20,}+(?![\p{L}\p{N}])"
+#: Runs that the Markov models are asked about: as long as an assignment's value, whatever stands beside them.
+TOKEN = r"[A-Za-z0-9+/_=-]{12,}+"
 #: Natural logarithm of the likelihood ratio from which a token is reported.
 LEAST_RATIO = 12.0
 #: Documents that the models are trained on: for random strings, for ordinary words.
