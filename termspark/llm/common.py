@@ -1,6 +1,7 @@
 """Helpers shared by the operators of this subpackage."""
 from __future__ import annotations
 
+import gc
 import sys
 import uuid
 
@@ -41,6 +42,10 @@ def lay_out(df: DataFrame, key: str, buckets: int) -> DataFrame:
         return materialize(df)
     name = f"laid_out_{uuid.uuid4().hex}"
     df.repartition(buckets, key).write.option("path", f"{shared.rstrip('/')}/{name}").bucketBy(buckets, key).saveAsTable(name)
+    # Spark deletes the shuffle files of a finished step when the driver's garbage is collected; a
+    # driver with room to spare would keep those of all steps on the executors' disks
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
     return df.sparkSession.table(name)
 
 

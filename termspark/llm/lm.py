@@ -269,22 +269,30 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", mu: fl
             w = np.concatenate([unpack_ints(x, np.int64) for x in t.column("w").to_pylist()])
             c = np.concatenate([unpack_ints(x, np.uint32) for x in t.column("c").to_pylist()])
             del us
-            uu, ui = np.unique(u, return_inverse=True)
-            ww, wi = np.unique(w, return_inverse=True)
-            key, inv = np.unique(ui * len(ww) + wi, return_inverse=True)
-            c = np.bincount(inv, weights=c, minlength=len(key)).astype(np.int64)
-            ku, kw = key // len(ww), key % len(ww)
-            per = np.bincount(ku, weights=c, minlength=len(uu))
+            # one sort of all pairs by (context, word): the batches' pairs come as sorted runs
+            by = np.lexsort((w, u))
+            su, sw = u[by], w[by]
+            new_u = np.append(True, su[1:] != su[:-1])[:len(su)]
+            new = new_u.copy()
+            new[1:] |= sw[1:] != sw[:-1]
+            first = np.flatnonzero(new)
+            inv = np.empty(len(u), np.int64)
+            inv[by] = np.cumsum(new) - 1
+            c = np.add.reduceat(c[by].astype(np.int64), first)
+            ku, kw, context = su[first], sw[first], np.cumsum(new_u[first]) - 1
+            per = np.bincount(context, weights=c)
             often = np.concatenate([unpack_ints(x, np.int64) for x in t.column("often").to_pylist()])
-            per[ui[often > 0]] = often[often > 0]  # of a frequent context this shard has a part
+            some = np.flatnonzero(often > 0)
+            per[context[inv[some]]] = often[some]  # of a frequent context this shard has a part
+            del by, su, sw, new_u, new, often
             have = c > 0
-            trie = Trie.from_buffer(Trie.build(uu[ku[have]], ww[kw[have]], c[have] / (per[ku[have]] + mu)).to_bytes())
-            codes = trie.lookup(uu[ku], ww[kw])[inv]
+            trie = Trie.from_buffer(Trie.build(ku[have], kw[have], c[have] / (per[context[have]] + mu)).to_bytes())
+            codes = trie.lookup(ku, kw)[inv]
             parts = list(zip(ends, ends[1:]))
             out = {"batch": t.column("batch").to_pylist(), "ids": [None] * len(parts), "counts": [None] * len(parts),
                    "codes": [pack_ints(codes[x:y]) for x, y in parts]}
             if level < order:  # the next level's contexts, numbered in the order of the shard's trie
-                ids = np.arange(len(key)) * pair_shards + shard
+                ids = np.arange(len(ku)) * pair_shards + shard
                 out |= {"ids": [pack_ints(ids[inv[x:y]]) for x, y in parts], "counts": [pack_ints(c[inv[x:y]]) for x, y in parts]}
             return pa.table({"batch": pa.array(out["batch"], pa.int64()), "shard": pa.array([shard] * len(out["batch"]), pa.int32()),
                              "level": pa.array([level] * len(out["batch"]), pa.int32()),
