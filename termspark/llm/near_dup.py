@@ -235,27 +235,30 @@ def _mixed_buckets(docs, member, comp, reps, percent, shingle, doc_id, text) ->
             yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in sets], pa.int64()), pa.array([s.tobytes() for _, s in sets], pa.binary())], ["node", "hashes"])
 
     sets = materialize(texts.mapInArrow(hashes, "node long, hashes binary"))
-    # members outside their center's component go by part `a`, all members by part `b`, of bounded
-    # members and shingles; a set is sent to the blocks of its parts that compare it, once each
+    # Members outside their center's component lie in p parts, the others in q, of bounded members and
+    # shingles.  A block compares one part of the outside members with itself and one part of the others
+    # (kind 0), or with another part of the outside members (kind 1); l and r are its sides.
     sized = mixed.join(sets.select("node", (F.octet_length("hashes") / 8).alias("e")), "node")
     parts = sized.groupBy("band").agg(*[F.greatest(F.ceil(F.count_if(w) / CHUNK), F.ceil(F.sum(F.when(w, F.col("e")).otherwise(0)) / CHUNK_SHINGLES), F.lit(1))
-                                        .cast("int").alias(n) for n, w in (("p", F.col("out")), ("q", F.lit(True)))]).where("p > 1 or q > 1")
+                                        .cast("int").alias(n) for n, w in (("p", F.col("out")), ("q", ~F.col("out")))]).where("p > 1 or q > 1")
     placed = mixed.join(parts, "band", "left").na.fill(1, ["p", "q"]) \
-        .withColumn("pa", F.pmod(F.xxhash64("node"), F.col("p")).cast("int")).withColumn("pb", F.pmod(F.xxhash64("node", F.lit(1)), F.col("q")).cast("int"))
-    blocks = F.expr("""concat(transform(sequence(0, p - 1), x -> named_struct('a', x, 'b', pb, 'l', out and x = pa, 'r', true)),
-        if(out, transform(filter(sequence(0, q - 1), x -> x <> pb), x -> named_struct('a', pa, 'b', x, 'l', true, 'r', false)), array()))""")
-    rows = placed.select("band", "node", "c", F.explode(blocks).alias("x")).select("band", "x.a", "x.b", "x.l", "x.r", "node", "c").join(sets, "node")
-    work = sized.join(parts, "band", "left").na.fill(1, ["p", "q"]).agg(
-        F.sum("p"), F.sum(F.col("e") * (F.col("p") + F.when(F.col("out"), F.col("q") - 1).otherwise(0)))).first()
+        .withColumn("mine", F.pmod(F.xxhash64("node"), F.when(F.col("out"), F.col("p")).otherwise(F.col("q"))).cast("int"))
+    blocks = F.expr("""if(out, concat(
+            transform(sequence(0, q - 1), x -> named_struct('kind', 0, 'a', mine, 'b', x, 'l', true, 'r', x = 0)),
+            transform(filter(sequence(0, p - 1), x -> x <> mine), x -> named_struct('kind', 1, 'a', least(mine, x), 'b', greatest(mine, x), 'l', mine < x, 'r', mine > x))),
+        transform(sequence(0, p - 1), x -> named_struct('kind', 0, 'a', x, 'b', mine, 'l', false, 'r', true)))""")
+    rows = placed.select("band", "node", "c", F.explode(blocks).alias("x")).select("band", "x.kind", "x.a", "x.b", "x.l", "x.r", "node", "c").join(sets, "node")
+    copies = F.when(F.col("out"), F.col("p") + F.col("q") - 1).otherwise(F.col("p"))
+    work = sized.join(parts, "band", "left").na.fill(1, ["p", "q"]).agg(F.sum(copies), F.sum(F.col("e") * copies)).first()
     tasks = max(int(member.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(work[0] or 0) // 20_000), int((work[1] or 0) // TASK_SHINGLES))
-    dealt = rows.repartition(tasks, "band", "a", "b").sortWithinPartitions("band", "a", "b")
+    dealt = rows.repartition(tasks, "band", "kind", "a", "b").sortWithinPartitions("band", "kind", "a", "b")
 
     def compare(batches):
         def group(rows):
-            l, r, node, c = (np.array([x[k] for x in rows]) for k in (3, 4, 5, 6))
+            l, r, node, c = (np.array([x[k] for x in rows]) for k in (4, 5, 6, 7))
             if not l.any() or (c == c[0]).all():
                 return []
-            sets = [np.frombuffer(x[7], np.uint64) for x in rows]
+            sets = [np.frombuffer(x[8], np.uint64) for x in rows]
             size = np.array([len(x) for x in sets])
             left = np.flatnonzero(l)
             near = (c[left][:, None] != c[None, :]) & r[None, :]
@@ -268,17 +271,17 @@ def _mixed_buckets(docs, member, comp, reps, percent, shingle, doc_id, text) ->
         held, key = [], None
         for b in slices(batches, 512):
             edges = []
-            for r in zip(*(b.column(k).to_pylist() for k in range(8))):
-                if r[:3] != key and held:
+            for r in zip(*(b.column(k).to_pylist() for k in range(9))):
+                if r[:4] != key and held:
                     edges += group(held)
                     held = []
-                key = r[:3]
+                key = r[:4]
                 held.append(r)
             yield _edges(edges)
         if held:
             yield _edges(group(held))
 
-    return materialize(dealt.select("band", "a", "b", "l", "r", "node", "c", "hashes").mapInArrow(compare, "a long, b long").distinct())
+    return materialize(dealt.select("band", "kind", "a", "b", "l", "r", "node", "c", "hashes").mapInArrow(compare, "a long, b long").distinct())
 
 
 def _edges(edges: list[tuple[int, int]]) -> pa.RecordBatch:
