@@ -119,10 +119,10 @@ def _pieces(lines: DataFrame, line_col: str, script_class: str, stop_chars: str,
 def kwic_many(index: DataFrame, lines: DataFrame, keys: DataFrame, script_class: str, id_col: str = "id", line_col: str = "line",
               key_col: str = "key", stop_chars: str = K.STOP_CHARS, sep: str = ",", variants: tuple[str, str] = ("", "")) -> DataFrame:
     """P21 for a table of keys: (key, piece), what :func:`kwic_pieces` gives for each of them.
-    ``index`` is the positional index of ``lines``, distinct lines with an id."""
+    ``index`` is the token index of ``lines``, distinct lines with an id."""
     from termspark.operators.index import find_keys
-    found = find_keys(index, keys, key_col).join(lines.select(F.col(id_col).alias("id"), F.col(line_col).alias("_line")), "id")
-    return _pieces(found, "_line", script_class, stop_chars, sep, variants, "key").where(F.col("piece").contains(F.col("key")))
+    found = find_keys(index, lines, keys, id_col, line_col, key_col)
+    return _pieces(found, "line", script_class, stop_chars, sep, variants, "key").where(F.col("piece").contains(F.col("key")))
 
 
 def grep_tokens(lines: DataFrame, line_col: str, key: str, tokenize_fn,

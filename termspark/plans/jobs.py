@@ -373,7 +373,7 @@ def search_keys(spark: SparkSession, sf: str) -> DataFrame:
 def kwic_many(spark: SparkSession, sf: str) -> DataFrame:
     """P21 for all search keys: lines are numbered and indexed once."""
     lines = materialize(C.distinct_lines(spark, sf, "B").withColumn("id", F.monotonically_increasing_id()))
-    index = materialize(ix.positional_index(lines))
+    index = materialize(ix.token_index(lines))
     return kw.kwic_many(index, lines, search_keys(spark, sf), C.SCRIPT_CLASS + " ", stop_chars=TEST_STOP_CHARS, variants=VARIANTS)
 
 

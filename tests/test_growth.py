@@ -277,13 +277,13 @@ def test_keys_by_the_index_equal_a_search_of_every_line(spark):
     df = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
     keys = ["ab", "b c", "ab ab", "b xx a", "cab", "abc abc abc", "a  b", " ab", "ab ", "zz", "b", ""]
     kd = spark.createDataFrame([(k,) for k in keys + ["ab", None]], "key string")
-    got = {(r["key"], r["id"]) for r in ix.find_keys(ix.positional_index(df), kd).collect()}
+    got = {(r["key"], r["id"]) for r in ix.find_keys(ix.token_index(df), df, kd).collect()}
     assert got == {(k, i) for k in keys if k for i, l in enumerate(lines) if k in l}
 
 
 def test_many_keys_give_what_each_key_gives(spark):
     lines = spark.createDataFrame([(0, "the station, motion; x"), (1, "a motion of motions"), (2, "none")], "id long, line string")
     keys = ["motion", "station", "on"]
-    got = kw.kwic_many(ix.positional_index(lines), lines, spark.createDataFrame([(k,) for k in keys], "key string"), "a-z", stop_chars="q").collect()
+    got = kw.kwic_many(ix.token_index(lines), lines, spark.createDataFrame([(k,) for k in keys], "key string"), "a-z", stop_chars="q").collect()
     want = [(k, r.piece) for k in keys for r in kw.kwic_pieces(lines, "line", k, "a-z", "q").collect()]
     assert sorted(tuple(r) for r in got) == sorted(want)
