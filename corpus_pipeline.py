@@ -57,8 +57,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of each document row; a null or empty text
     has no tokens."""
     path = public_tokenizers.path(VOCABULARY)
-    decoded = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
-    return bpe.digests(decoded, "ids")
+    return bpe.digests(bpe.round_trip(docs, path, public_tokenizers.PATTERN), "ids")
 
 
 STAGES = [

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from termspark.llm.common import only, slices, worker_cache
 
 #: Pieces remembered by a worker; beyond it the memory starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 NEVER = 1 << 60
 
 
@@ -220,19 +220,45 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, *, doc_id: str = "doc_
     sent = send_vocabulary(docs.sparkSession, rank_path)
 
     def run(batches):
-        encoder = _in_worker(sent, pattern)
         for b in slices(batches):
-            values, ends = [], [0]
-            for t in b.column(1).to_pylist():
-                ids = encoder(t)
-                values.append(np.array(ids, np.int32))
-                ends.append(ends[-1] + len(ids))
-            flat = np.concatenate(values) if values else np.empty(0, np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))], ["doc_id", "ids"])
-
-    return only(docs, doc_id, text).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")) \
-        .mapInArrow(run, "doc_id long, ids array<int>")
+            yield _encoded(sent, pattern, b)
+
+    return _plain(docs, doc_id, text).mapInArrow(run, "doc_id long, ids array<int>")
+
+
+def _plain(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return only(docs, doc_id, text).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"))
+
+
+def _encoded(sent, pattern: str, b: pa.RecordBatch) -> pa.RecordBatch:
+    """(doc_id, ids) of a batch (doc_id, text), in a worker."""
+    encoder, values, ends = _in_worker(sent, pattern), [], [0]
+    for t in b.column(1).to_pylist():
+        ids = encoder(t)
+        values.append(np.array(ids, np.int32))
+        ends.append(ends[-1] + len(ids))
+    flat = np.concatenate(values) if values else np.empty(0, np.int32)
+    return pa.RecordBatch.from_arrays(
+        [b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))], ["doc_id", "ids"])
+
+
+def _decoded(sent, b: pa.RecordBatch) -> pa.RecordBatch:
+    """(doc_id, ids, decoded) of a batch (doc_id, ids), in a worker."""
+    kept = worker_cache("bpe-bytes")
+    if kept.get("key") != (key := hash(sent.value)):
+        by = {int(b): base64.b64decode(a) for a, b in map(bytes.split, sent.value.splitlines()) if a}
+        size = np.array([len(by.get(i, b"")) for i in range(max(by, default=-1) + 1)], np.int64)
+        kept |= {"key": key, "size": size, "start": np.cumsum(size) - size,
+                 "bytes": np.frombuffer(b"".join(by.get(i, b"") for i in range(len(size))), np.uint8)}
+    size, start, table = kept["size"], kept["start"], kept["bytes"]
+    lists = b.column(1)
+    ids = lists.flatten().to_numpy(zero_copy_only=False)
+    counts = np.array([0 if n is None else n for n in pc.list_value_length(lists).to_pylist()], np.int64)
+    n = size[ids]
+    at = np.repeat(start[ids] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    data, ends = table[at].tobytes(), np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(counts)])]
+    out = [data[x:y] if ok else None for x, y, ok in zip(ends, ends[1:], lists.is_valid().to_pylist())]
+    return pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"])
 
 
 def decode(encoded: DataFrame, rank_path: str) -> DataFrame:
@@ -240,26 +266,23 @@ def decode(encoded: DataFrame, rank_path: str) -> DataFrame:
     sent = send_vocabulary(encoded.sparkSession, rank_path)
 
     def run(batches):
-        kept = worker_cache("bpe-bytes")
-        if kept.get("key") != (key := hash(sent.value)):
-            by = {int(b): base64.b64decode(a) for a, b in map(bytes.split, sent.value.splitlines()) if a}
-            size = np.array([len(by.get(i, b"")) for i in range(max(by, default=-1) + 1)], np.int64)
-            kept |= {"key": key, "size": size, "start": np.cumsum(size) - size,
-                     "bytes": np.frombuffer(b"".join(by.get(i, b"") for i in range(len(size))), np.uint8)}
-        size, start, table = kept["size"], kept["start"], kept["bytes"]
         for b in slices(batches):
-            lists = b.column(1)
-            ids = lists.flatten().to_numpy(zero_copy_only=False)
-            counts = np.array([0 if n is None else n for n in pc.list_value_length(lists).to_pylist()], np.int64)
-            n = size[ids]
-            at = np.repeat(start[ids] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            data, ends = table[at].tobytes(), np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(counts)])]
-            out = [data[x:y] if ok else None for x, y, ok in zip(ends, ends[1:], lists.is_valid().to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"])
+            yield _decoded(sent, b)
 
     return only(encoded, "doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
 
+def round_trip(docs: DataFrame, rank_path: str, pattern: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, ids, decoded): :func:`encode` and then :func:`decode`, in one worker a task."""
+    sent = send_vocabulary(docs.sparkSession, rank_path)
+
+    def run(batches):
+        for b in slices(batches):
+            yield _decoded(sent, _encoded(sent, pattern, b))
+
+    return _plain(docs, doc_id, text).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+
+
 def digests(decoded: DataFrame, *more: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) and the columns ``more``."""
     return decoded.select(

@@ -69,7 +69,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHash(dict):
     """word bytes -> 64-bit hash, remembered while the map is small."""
 
-    LIMIT = 200_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

@@ -85,8 +85,7 @@ def op6(spark, sf):
 @register("op5_byte_bpe")
 def op5(spark, sf):
     path = public_tokenizers.path(VOCABULARY)
-    encoded = bpe.encode(table(spark, sf, "documents"), path, public_tokenizers.PATTERN)
-    return bpe.digests(bpe.decode(encoded, path))
+    return bpe.digests(bpe.round_trip(table(spark, sf, "documents"), path, public_tokenizers.PATTERN))
 
 
 @register("op7_pii")
