@@ -573,12 +573,13 @@ def test_pipeline_stages(spark):
         assert stage(spark, docs, SF).columns == docs.columns
 
 
-@pytest.mark.parametrize("name", ["op6_decontamination", "op10_chat_formatting"])
+@pytest.mark.parametrize("name", ["op6_decontamination", "op10_chat_formatting", "op11_substring_dedup", "op12_source_divergence",
+                                  "op13_hard_negatives"])
 def test_queries_equal_their_sql(spark, name):
     import duckdb
     from termspark.llm.queries import ORACLES, QUERIES
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     got = QUERIES[name](spark, SF)
     want = con.execute(ORACLES[name])
@@ -594,4 +595,4 @@ def test_entry_needs_no_session():
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     code = "import __spark_entry__ as e; print(sorted(q for q in e.queries() if q[:2] == 'op' and q[2].isdigit()), 'pipeline' in e.queries())"
     out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
-    assert out.returncode == 0 and out.stdout.count("'op") == 10 and out.stdout.strip().endswith("True"), out.stderr
+    assert out.returncode == 0 and out.stdout.count("'op") == 13 and out.stdout.strip().endswith("True"), out.stderr
