@@ -8,7 +8,8 @@ import pytest
 SF = "/root/testdata/sf0.001"
 FAST = ["word_idf", "char_idf", "term_freq", "bigram_freq", "segments", "stop_segments", "gram_freq",
         "context_entropy", "cohesion", "pmi", "pmi_background", "diff_candidates", "keywords",
-        "label_conflicts", "text_functions", "kwic_pieces", "char_right_entropy", "tagged_extract"]
+        "label_conflicts", "text_functions", "kwic_pieces", "char_right_entropy", "tagged_extract",
+        "pmi_stored", "merged_entropy", "sorted_lookup", "gbk_extract", "phrase_mapping", "affix_lists", "kwic_many"]
 
 
 def _norm(v):
