@@ -26,23 +26,33 @@ from termspark.llm.near_dup import keep_one
 from termspark.session import checkpoint_dir
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: Rows of an Arrow batch: whole texts pass the workers, so Spark's 10,000 would be large.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's rows of an Arrow batch, for this and later queries of it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.7 by a model fitted on the labelled ones among them.  A null or
     empty text has the score of a text without cues; repeated rows are judged alike."""
+    small_batches(spark)
     return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest doc_id (of
     repeated rows one, of rows without ids any).  Documents without words all stay."""
+    small_batches(spark)
     return keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item; those without text stay, and repeated rows stay
     or go together."""
+    small_batches(spark)
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -56,6 +66,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of each document row; a null or empty text
     has no tokens."""
+    small_batches(spark)
     path = public_tokenizers.path(VOCABULARY)
     return bpe.digests(bpe.round_trip(docs, path, public_tokenizers.PATTERN), "ids")
 
