@@ -41,7 +41,7 @@ BANDS, ROWS, FLOOR = 40, 5, 0.6
 #: Candidate documents up to this count travel to the scans as a broadcast list of ids; more are joined by shuffle.
 BROADCAST_IDS = 500_000
 #: Pairs whose texts meet in one task.
-PAIRS_A_TASK = 1_500
+PAIRS_A_TASK = 256
 #: Members of a bucket in a part of it, and their shingles; shingles that a task compares.
 CHUNK, CHUNK_SHINGLES, TASK_SHINGLES = 1024, 1_000_000, 3_000_000
 #: Shingles of a numpy batch (more if one document has more).
