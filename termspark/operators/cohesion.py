@@ -51,14 +51,17 @@ def _side_entropy(s0, s1, e, t, edge_distinct: bool):
 
 
 def context_entropy(occ: DataFrame | None, boundary: str = K.BOUNDARY, edge: str = "code",
-                    ctx_counts: DataFrame | None = None, corpora: dict[str, str] | None = None) -> DataFrame:
+                    ctx_counts: DataFrame | None = None, corpora: dict[str, str] | None = None,
+                    sums: DataFrame | None = None) -> DataFrame:
     """A7+A8: per gram its frequency and left / right neighbour entropy.
 
     ``edge='code'`` adds ``-log2(e/T)`` for the edge marker (an always-at-edge
     gram scores 0); ``edge='distinct'`` treats each edge occurrence as a
     distinct neighbour.  ``corpora`` maps a prefix of the output columns to a count
     column of ``ctx_counts``: several corpora come out of one aggregation (a gram
-    that a corpus does not hold has frequency 0 and null entropies there).
+    that a corpus does not hold has frequency 0 and null entropies there).  ``sums``:
+    grams that ``ctx_counts`` lacks, whose contexts are added up already
+    (``growth.sorted_sides``).
     """
     cc = ctx_counts if ctx_counts is not None else side_contexts(occ)
     corpora = corpora or {"": "c"}
@@ -76,7 +79,8 @@ def context_entropy(occ: DataFrame | None, boundary: str = K.BOUNDARY, edge: str
         out += [F.col(f"{p}freq")] + [
             _side_entropy(F.col(f"_{p}{side}0"), F.col(f"_{p}{side}1"), F.col(f"_{p}{side}e"), t, edge == "distinct").alias(f"{p}{name}_entropy")
             for side, name in (("l", "left"), ("r", "right"))]
-    return cc.groupBy("gram").agg(*aggs).select(*out)
+    added = cc.groupBy("gram").agg(*aggs)
+    return (added if sums is None else added.unionByName(sums)).select(*out)
 
 
 def cohesion_from(entropies: DataFrame, min_freq: int = K.COHESION_MIN_FREQ, min_entropy: float = K.COHESION_MIN_ENTROPY,

@@ -8,11 +8,18 @@ and neither they nor their neighbours are shuffled with their contexts.
 The state between levels is the table of kept grams.  Places find their grams in it by
 semi joins, which AQE turns into broadcasts while the table is small and otherwise into
 shuffles whose skewed keys it splits.  Equal segments are one row with a weight.
+
+Where contexts are wanted as well, :func:`sorted_sides` finds the grams and their contexts
+in one pass: a place is shuffled once, not once a level and once a gram.
 """
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,11 +28,20 @@ from termspark.functions.text import sql_str
 from termspark.session import materialize
 
 
-def weighted(segments: DataFrame, seg_col: str = "seg", counts: Mapping[str, object] | None = None) -> DataFrame:
+#: Rows of sorted windows that a task takes at a time.
+CHUNK = 200_000
+
+
+def weighted(segments: DataFrame, seg_col: str = "seg", counts: Mapping[str, object] | None = None, joiner: str | None = None) -> DataFrame:
     """Equal segments as one row with how often they occur: ``n``, or the aggregates
-    ``counts`` (name -> column)."""
+    ``counts`` (name -> column).  With a ``joiner`` that no token holds, segments are
+    shuffled as one string, which is shorter."""
     counts = counts or {"n": F.count(F.lit(1))}
-    return segments.groupBy(seg_col).agg(*[c.alias(name) for name, c in counts.items()])
+    aggs = [c.alias(name) for name, c in counts.items()]
+    if joiner is None:
+        return segments.groupBy(seg_col).agg(*aggs)
+    whole = segments.withColumn(seg_col, F.array_join(seg_col, joiner)).groupBy(seg_col).agg(*aggs)
+    return whole.withColumn(seg_col, F.split(seg_col, re.escape(joiner), -1))
 
 
 def places(segments: DataFrame, seg_col: str = "seg", max_len: int = K.MAX_GRAM_LEN, boundary: str = K.BOUNDARY,
@@ -84,3 +100,107 @@ def context_counts(occ: DataFrame, weights: Mapping[str, str]) -> DataFrame:
         F.struct(F.lit(0).alias("side"), F.col("prev").alias("ctx")),
         F.struct(F.lit(1).alias("side"), F.col("next").alias("ctx")))).alias("_x"))
     return sides.groupBy("gram", "_x.side", "_x.ctx").agg(*[F.sum(w).alias(c) for c, w in weights.items()])
+
+
+def windows(at: DataFrame, joiner: str = K.GRAM_JOINER, weights: Sequence[str] = ("n",)) -> DataFrame:
+    """(s, p, weights): the :func:`places` as strings, ``p`` the token before, ``s`` the tokens from
+    there on and the one after them, joined.  Every gram that starts there is a beginning of ``s``
+    with a joiner behind it; tokens hold no joiner."""
+    return at.select(F.array_join(F.expr("slice(_w, 2, size(_w) - 1)"), joiner).alias("s"), F.col("_w").getItem(0).alias("p"), *weights)
+
+
+def _sums(prefixes: Sequence[str]) -> list[str]:
+    return [f"{c} {'double' if c[-1] == '1' else 'long'}" for p in prefixes for c in (f"{p}freq", *(f"_{p}{s}{x}" for s in "lr" for x in "01e"))]
+
+
+def _side_runs(s: pa.Array, p: pa.Array, weights: list[np.ndarray], min_freq: int, max_len: int, joiner: str, boundary: str) -> tuple[list[tuple], list[tuple]]:
+    """Of sorted windows: (gram, sums) of each complete run whose first weight reaches the floor, and
+    (gram, side, ctx, counts) of the runs at the ends, a few of each length, which may go on beyond."""
+    lists = pc.split_pattern(s, joiner)
+    starts = lists.offsets.to_numpy().astype(np.int64)
+    codes = pa.concat_arrays([lists.values.slice(starts[0], starts[-1] - starts[0]), p.cast(pa.string())]).dictionary_encode()
+    names, codes = codes.dictionary.to_pylist(), codes.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    edge = names.index(boundary) if boundary in names else -1
+    starts, size, before = starts[:-1] - starts[0], np.diff(starts), codes[len(codes) - len(s):]
+    sums, ends, rows = [], [], np.arange(len(s))
+    changed = np.zeros(len(s), bool)  # whether a row begins a run, before runs of this length are looked at
+    for k in range(1, max_len + 1):
+        stay = size[rows] >= k + 1  # a gram of k tokens has a token after it
+        new = np.zeros(stay.sum(), bool)
+        if not len(new):
+            break
+        # a change at a row that goes counts for the next row that stays
+        steps = np.cumsum(changed)[stay]
+        rows, new[1:] = rows[stay], steps[1:] != steps[:-1]
+        token = codes[starts[rows] + k - 1]
+        new[1:] |= token[1:] != token[:-1]
+        changed = new
+        run = np.cumsum(new)
+        last, first = int(run[-1]), np.flatnonzero(np.r_[True, new[1:]])
+        freq = [np.bincount(run, weights=w[rows]).astype(np.int64) for w in weights]
+        kept = freq[0] >= min_freq
+        kept[[0, last]] = False
+        wanted = kept.copy()
+        wanted[[0, last]] = True
+        mine = np.flatnonzero(wanted[run])
+        stats = []
+        for side, ctx in enumerate((before[rows[mine]], codes[starts[rows[mine]] + k])):
+            pair, inverse = np.unique(run[mine] * len(names) + ctx, return_inverse=True)
+            of, ctx = pair // len(names), pair % len(names)
+            counts = [np.bincount(inverse, weights=w[rows[mine]]).astype(np.int64) for w in weights]
+            for c in counts:
+                inner, log = np.where(ctx == edge, 0, c), np.log(np.maximum(c, 1)) / np.log(2.0)
+                at_edge = np.bincount(of, weights=np.where(ctx == edge, c, 0), minlength=last + 1).astype(np.int64)
+                stats.append((np.bincount(of, weights=inner, minlength=last + 1).astype(np.int64), np.bincount(of, weights=inner * log, minlength=last + 1), at_edge))
+            for j in np.flatnonzero((of == 0) | (of == last)).tolist():
+                row = rows[first[of[j]]]
+                ends.append((joiner.join(names[c] for c in codes[starts[row]:starts[row] + k]), side, names[ctx[j]], *[int(c[j]) for c in counts]))
+        for r in np.flatnonzero(kept).tolist():
+            row, out = rows[first[r]], []
+            for i, f in enumerate(freq):
+                out.append(int(f[r]))
+                for side in (0, 1):
+                    s0, s1, e = stats[side * len(weights) + i]
+                    out += [int(s0[r]), float(s1[r]), int(e[r]) or None]
+            sums.append((joiner.join(names[c] for c in codes[starts[row]:starts[row] + k]), *out))
+    return sums, ends
+
+
+def sorted_sides(seen: DataFrame, corpora: Mapping[str, str], min_freq: int = K.COHESION_MIN_FREQ, max_len: int = K.MAX_GRAM_LEN,
+                 joiner: str = K.GRAM_JOINER, boundary: str = K.BOUNDARY) -> tuple[DataFrame, DataFrame]:
+    """A6 and A7 of :func:`windows` in one pass, for ``cohesion.context_entropy``: the sums of grams
+    whose first weight reaches ``min_freq``, and the counts of the contexts of the others that may
+    reach it.  ``corpora`` maps a prefix to a weight, as there.
+
+    A range partitioning and a sort put equal beginnings side by side, so a gram is a run of
+    rows.  A run inside a chunk of rows is complete: below the floor it goes, else it leaves one
+    row.  The runs at a chunk's ends leave their contexts, which are added up."""
+    weights = list(dict.fromkeys(corpora.values()))
+    kinds = ["gram string", "side int", "ctx string", *[f"{w} long" for w in weights], *_sums(corpora)]
+    lined = seen.select("s", "p", *weights).repartitionByRange("s", "p").sortWithinPartitions("s", "p")
+    types = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
+    fields = [(x.split()[0], types[x.split()[1]]) for x in kinds]
+    pick = [weights.index(w) for w in corpora.values()]
+    none, empty = (None,) * (2 + len(weights)), (None,) * len(_sums(corpora))
+
+    def run(batches):
+        def chunks():
+            held, n = [], 0
+            for b in batches:
+                held, n = [*held, b], n + b.num_rows
+                if n >= CHUNK:
+                    yield pa.Table.from_batches(held).combine_chunks()
+                    held, n = [], 0
+            if n:
+                yield pa.Table.from_batches(held).combine_chunks()
+
+        for t in chunks():
+            counts = [t.column(2 + i).to_numpy() for i in range(len(weights))]
+            sums, ends = _side_runs(t.column(0).chunk(0), t.column(1).chunk(0), counts, min_freq, max_len, joiner, boundary)
+            # sums come by weight; a prefix takes those of its weight
+            rows = [(r[0], *none, *[x for i in pick for x in r[1 + 7 * i:8 + 7 * i]]) for r in sums] + [(*e, *empty) for e in ends]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(fields)], [name for name, _ in fields])
+
+    found = materialize(lined.mapInArrow(run, ", ".join(kinds)))
+    ends = found.where("side is not null").groupBy("gram", "side", "ctx").agg(*[F.sum(w).alias(w) for w in weights])
+    return found.where("side is null").drop("side", "ctx", *weights), ends

@@ -92,12 +92,17 @@ WEIGHTS = {"B": "n", "A": "na"}
 CORPORA = {"B": "", "A": "a_"}
 
 
-def places(spark: SparkSession, sf: str, corpora: tuple[str, ...] = ("B", "A")) -> DataFrame:
-    """The token places of the distinct segments with their number in each corpus; A is part of B."""
+def whole_segments(spark: SparkSession, sf: str, corpora: tuple[str, ...] = ("B", "A")) -> DataFrame:
+    """The distinct segments with their number in each corpus; A is part of B.  Their tokens
+    are of the script class, so none holds a joiner."""
     counts = {"B": F.count(F.lit(1)), "A": F.count_if("in_a")}
     segments = C.segments(spark, sf, "B" if "B" in corpora else "A")
-    whole = gr.weighted(segments, counts={WEIGHTS[c]: counts[c] for c in corpora})
-    return gr.places(materialize(whole), weights=[WEIGHTS[c] for c in corpora])
+    return gr.weighted(segments, counts={WEIGHTS[c]: counts[c] for c in corpora}, joiner=K.GRAM_JOINER)
+
+
+def places(spark: SparkSession, sf: str, corpora: tuple[str, ...] = ("B", "A")) -> DataFrame:
+    """The token places of the distinct segments with their number in each corpus."""
+    return gr.places(materialize(whole_segments(spark, sf, corpora)), weights=[WEIGHTS[c] for c in corpora])
 
 
 def gram_freq(spark: SparkSession, sf: str, corpus: str = "B") -> DataFrame:
@@ -113,12 +118,16 @@ def gram_table(spark: SparkSession, sf: str, corpora: tuple[str, ...] = ("B", "A
     """(gram, freq, left_entropy, right_entropy, a_freq, a_left_entropy,
     a_right_entropy) of the grams that reach the frequency floor in the first corpus;
     the columns of a corpus that is not asked for are absent.  Contexts of rarer
-    grams are never counted.  With B and A, which is part of it, one pass counts both."""
-    at = places(spark, sf, corpora)
-    kept = gr.frequent_grams(at, K.COHESION_MIN_FREQ, weight=WEIGHTS[corpora[0]])
+    grams are never shuffled.  With B and A, which is part of it, one pass counts both."""
     weights = [WEIGHTS[c] for c in corpora]
-    contexts = gr.context_counts(gr.kept_occurrences(at, kept, weights=weights), {w: w for w in weights})
-    return coh.context_entropy(None, ctx_counts=contexts, corpora={CORPORA[c]: WEIGHTS[c] for c in corpora})
+    at = gr.places(whole_segments(spark, sf, corpora), weights=weights)
+    return side_entropies(gr.windows(at, weights=weights), {CORPORA[c]: WEIGHTS[c] for c in corpora})
+
+
+def side_entropies(seen: DataFrame, corpora: dict[str, str], min_freq: int = K.COHESION_MIN_FREQ) -> DataFrame:
+    """A6-A8 of :func:`gr.windows` for grams that reach the floor in the first corpus."""
+    sums, contexts = gr.sorted_sides(seen, corpora, min_freq)
+    return coh.context_entropy(None, ctx_counts=contexts, corpora=corpora, sums=sums).where(F.col(f"{next(iter(corpora))}freq") >= min_freq)
 
 
 def cohesion(spark: SparkSession, sf: str, corpus: str = "B") -> DataFrame:
@@ -189,18 +198,20 @@ def sorted_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def context_state(lines: DataFrame) -> DataFrame:
-    """(gram, side, ctx, c) over all grams of distinct lines (column ``line``)."""
-    at = gr.places(gr.weighted(C.segments_of(lines)))
-    return gr.context_counts(gr.occurrences(at), {"c": "n"})
+    """(s, p, c): the windows of distinct lines (column ``line``), which hold all grams with
+    their contexts, one row for a place instead of one for each gram and side."""
+    at = gr.places(gr.weighted(C.segments_of(lines), joiner=K.GRAM_JOINER))
+    return gr.windows(at).withColumnRenamed("n", "c")
 
 
 def merged_entropy(spark: SparkSession, sf: str) -> DataFrame:
     """A7 partial and merged: the state of A is saved; the lines of B that it does not have
-    are counted and merged into it, and entropy comes from the merged counts."""
+    are counted and merged into it, and entropy comes from the merged counts, for grams that
+    reach the floor in them."""
     seen = store(C.distinct_lines(spark, sf, "A"), "lines", "line")
-    state = store(context_state(seen), "contexts", "gram")
+    state = store(context_state(seen), "contexts", "s")
     more = context_state(sv.new_lines(C.distinct_lines(spark, sf, "B"), seen))
-    return coh.context_entropy(None, ctx_counts=sv.merge_counts(state, more))
+    return side_entropies(sv.merge_counts(state, more), {"": "c"})
 
 
 # -- X6 corpus diff ----------------------------------------------------------------

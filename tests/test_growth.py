@@ -80,6 +80,41 @@ def test_candidates_need_both_parts(spark):
     assert got == {"a": 7, "b": 7, "c": 7, "a,b": 7}
 
 
+@pytest.mark.parametrize("chunk", [3, 1000])
+@pytest.mark.parametrize("floor", [1, 5])
+def test_one_pass_over_sorted_windows_equals_the_levels(spark, monkeypatch, chunk, floor):
+    """Chunks of a few rows: most runs reach over a chunk's end."""
+    monkeypatch.setattr(gr, "CHUNK", chunk)
+    segs = segments(150) + [["a"]] * 9
+    table = spark.createDataFrame([(s, i % 3 == 0) for i, s in enumerate(segs)], "seg array<string>, in_a boolean")
+    counts = {"n": F.count(F.lit(1)), "na": F.count_if("in_a")}
+    at = gr.places(gr.weighted(table, counts=counts), weights=["n", "na"])
+    contexts = gr.context_counts(gr.kept_occurrences(at, gr.frequent_grams(at, floor), weights=["n", "na"]), {"n": "n", "na": "na"})
+    want = coh.context_entropy(None, ctx_counts=contexts, corpora={"": "n", "a_": "na"})
+    short = gr.places(gr.weighted(table, counts=counts, joiner=","), weights=["n", "na"])
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(chunk, 10000)))
+        sums, ends = gr.sorted_sides(gr.windows(short, weights=["n", "na"]), {"": "n", "a_": "na"}, floor)
+        got = coh.context_entropy(None, ctx_counts=ends, corpora={"": "n", "a_": "na"}, sums=sums).where(F.col("freq") >= floor).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    norm = lambda rows: sorted(tuple(None if x is None else round(x, 9) + 0.0 if isinstance(x, float) else x for x in r) for r in rows)
+    assert norm(got) == norm(want.collect()) and len(got) > 20
+
+
+def test_a_place_is_shuffled_once(spark, monkeypatch, tmp_path):
+    """No join and no exchange for each level of grams."""
+    from termspark.plans import jobs
+    spark.createDataFrame([(i, "the cat sat on\nmat hat cat", "en") for i in range(9)], "doc_id long, text string, lang string") \
+        .write.parquet(str(tmp_path / "documents.parquet"))
+    plans, real = [], gr.materialize
+    monkeypatch.setattr(gr, "materialize", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df))
+    jobs.gram_table(spark, str(tmp_path)).collect()
+    jobs.merged_entropy(spark, str(tmp_path)).collect()
+    assert [p.count("RepartitionByExpression") for p in plans] == [1, 1] and not any("LeftSemi" in p for p in plans)
+
+
 # ---- stored tables, merged state ------------------------------------------------------------
 
 def test_pmi_reads_stored_frequencies_where_they_lie(spark, tmp_path):
