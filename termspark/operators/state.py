@@ -1,9 +1,11 @@
 """Context counts as saved state that new text is merged into (A7 partial and merged).
 
-The state of a corpus is two tables: its distinct lines, and (gram, side, ctx, c) over all
-grams, rare ones too, since later text may lift them over a floor.  Counts are
-sums, so states of disjoint sets of lines merge by adding up; entropy follows from
-the merged counts without a second pass over old text.
+The state of a corpus is two tables: its distinct lines, and counts ``c`` that the contexts
+of all grams follow from, rare ones too, since later text may lift them over a floor:
+(gram, side, ctx, c), or a row for each window (s, p, c) of ``growth.windows``, which
+has all grams that start at a place.  Counts are sums, so states of disjoint sets of
+lines merge by adding up; entropy follows from the merged counts without a second
+pass over old text.
 """
 from __future__ import annotations
 
@@ -17,7 +19,8 @@ def new_lines(lines: DataFrame, seen: DataFrame, line_col: str = "line") -> Data
 
 
 def merge_counts(state: DataFrame, *more: DataFrame) -> DataFrame:
-    """The context counts of disjoint sets of lines, added up."""
+    """The counts ``c`` of disjoint sets of lines, added up."""
+    keys = [k for k in state.columns if k != "c"]
     for m in more:
         state = state.unionByName(m)
-    return state.groupBy("gram", "side", "ctx").agg(F.sum("c").alias("c"))
+    return state.groupBy(*keys).agg(F.sum("c").alias("c"))
