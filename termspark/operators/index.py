@@ -43,6 +43,7 @@ def find_keys(index: DataFrame, lines: DataFrame, keys: DataFrame, id_col: str =
         each = each.select("token", F.explode(F.expr(f"case when _n = 0 then array('') else {pieces} end")).alias("part"))
         met = mine.join(each, "part").select("key", "token")
         held = met if held is None else held.union(met)
-    near = held.join(index, "token").select("key", "id").distinct()
+    # dealt out by line once: neither the distinct pairs nor the join with the text shuffle them again
+    near = held.join(index, "token").select("key", "id").repartition("id").distinct()
     text = lines.select(F.col(id_col).alias("id"), F.col(line_col).alias("line"))
     return near.join(text, "id").where(F.col("line").contains(F.col("key"))).select("key", "id", "line")

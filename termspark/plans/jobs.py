@@ -382,9 +382,10 @@ def search_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def kwic_many(spark: SparkSession, sf: str) -> DataFrame:
-    """P21 for all search keys: lines are numbered and indexed once."""
+    """P21 for all search keys: lines are numbered once; the index is cut from them where it is
+    read, since its rows, each token of each line, are many times what the lines are."""
     lines = materialize(C.distinct_lines(spark, sf, "B").withColumn("id", F.monotonically_increasing_id()))
-    index = materialize(ix.token_index(lines))
+    index = ix.token_index(lines)
     return kw.kwic_many(index, lines, search_keys(spark, sf), C.SCRIPT_CLASS + " ", stop_chars=TEST_STOP_CHARS, variants=VARIANTS)
 
 

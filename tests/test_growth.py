@@ -322,3 +322,20 @@ def test_many_keys_give_what_each_key_gives(spark):
     got = kw.kwic_many(ix.token_index(lines), lines, spark.createDataFrame([(k,) for k in keys], "key string"), "a-z", stop_chars="q").collect()
     want = [(k, r.piece) for k in keys for r in kw.kwic_pieces(lines, "line", k, "a-z", "q").collect()]
     assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_pairs_of_key_and_line_are_shuffled_once(spark):
+    lines = spark.createDataFrame([(i, f"the nation of nations {i}") for i in range(20)], "id long, line string")
+    keys = spark.createDataFrame([("nation",), ("of nations",)], "key string")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for k, v in zip(kept, ("-1", "false")):
+            spark.conf.set(k, v)
+        found = ix.find_keys(ix.token_index(lines), lines, keys)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r["key"], r["id"]) for r in found.collect())
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert got == sorted((k, i) for k in ("nation", "of nations") for i in range(20))
+    assert "REPARTITION_BY_COL" in plan and "hashpartitioning(key" not in plan.split("REPARTITION_BY_COL")[0]
