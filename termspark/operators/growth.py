@@ -109,6 +109,16 @@ def windows(at: DataFrame, joiner: str = K.GRAM_JOINER, weights: Sequence[str] =
     return at.select(F.array_join(F.expr("slice(_w, 2, size(_w) - 1)"), joiner).alias("s"), F.col("_w").getItem(0).alias("p"), *weights)
 
 
+def string_windows(segments: DataFrame, seg_col: str = "seg", max_len: int = K.MAX_GRAM_LEN, joiner: str = K.GRAM_JOINER,
+                   boundary: str = K.BOUNDARY, weights: Sequence[str] = ("n",)) -> DataFrame:
+    """:func:`windows` of segments that are strings (tokens joined by ``joiner``, none empty).
+    A place takes a slice of the segment's tokens, which are split once."""
+    b = sql_str(boundary + joiner), sql_str(joiner + boundary)
+    padded = segments.select(F.inline(F.array(F.struct(*weights, F.split(F.expr(f"concat({b[0]}, {seg_col}, {b[1]})"), re.escape(joiner), -1).alias("_p")))))
+    at = padded.select(*weights, "_p", F.explode(F.sequence(F.lit(1), F.size("_p") - 2)).alias("_i"))
+    return at.select(F.array_join(F.slice("_p", F.col("_i") + 1, max_len + 1), joiner).alias("s"), F.get("_p", F.col("_i") - 1).alias("p"), *weights)
+
+
 def _sums(prefixes: Sequence[str]) -> list[str]:
     return [f"{c} {'double' if c[-1] == '1' else 'long'}" for p in prefixes for c in (f"{p}freq", *(f"_{p}{s}{x}" for s in "lr" for x in "01e"))]
 
@@ -124,8 +134,9 @@ def _side_runs(s: pa.Array, p: pa.Array, weights: list[np.ndarray], min_freq: in
     starts, size, before = starts[:-1] - starts[0], np.diff(starts), codes[len(codes) - len(s):]
     sums, ends, rows = [], [], np.arange(len(s))
     changed = np.zeros(len(s), bool)  # whether a row begins a run, before runs of this length are looked at
+    alive = np.ones(len(s), bool)  # rows of a complete run below the floor go: a longer gram is no more frequent
     for k in range(1, max_len + 1):
-        stay = size[rows] >= k + 1  # a gram of k tokens has a token after it
+        stay = alive & (size[rows] >= k + 1)  # a gram of k tokens has a token after it
         new = np.zeros(stay.sum(), bool)
         if not len(new):
             break
@@ -142,7 +153,8 @@ def _side_runs(s: pa.Array, p: pa.Array, weights: list[np.ndarray], min_freq: in
         kept[[0, last]] = False
         wanted = kept.copy()
         wanted[[0, last]] = True
-        mine = np.flatnonzero(wanted[run])
+        alive = wanted[run]
+        mine = np.flatnonzero(alive)
         stats = []
         for side, ctx in enumerate((before[rows[mine]], codes[starts[rows[mine]] + k])):
             pair, inverse = np.unique(run[mine] * len(names) + ctx, return_inverse=True)
@@ -177,7 +189,7 @@ def sorted_sides(seen: DataFrame, corpora: Mapping[str, str], min_freq: int = K.
     row.  The runs at a chunk's ends leave their contexts, which are added up."""
     weights = list(dict.fromkeys(corpora.values()))
     kinds = ["gram string", "side int", "ctx string", *[f"{w} long" for w in weights], *_sums(corpora)]
-    lined = seen.select("s", "p", *weights).repartitionByRange("s", "p").sortWithinPartitions("s", "p")
+    lined = seen.select("s", "p", *weights).repartitionByRange("s", "p").sortWithinPartitions("s")
     types = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
     fields = [(x.split()[0], types[x.split()[1]]) for x in kinds]
     pick = [weights.index(w) for w in corpora.values()]

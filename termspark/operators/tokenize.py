@@ -9,6 +9,7 @@ hash-set lookup; a list of any size is given as a DataFrame and joined
 """
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -271,3 +272,38 @@ def segment_lines(df: DataFrame, line: Column, script_class: str, words_that_cut
         f"filter(transform(split(array_join(transform(_w, t -> CASE WHEN {inl} THEN '{_CUT}' ELSE t END), "
         f"'{_SEP}'), '{_CUT}'), p -> filter(split(p, '{_SEP}'), x -> x != '')), s -> size(s) > 0)")
     return words.select(*keep, segments.alias(out))
+
+
+def _any_of(words: Iterable[str]) -> str:
+    """A pattern of the words, which may hold any character; words that begin alike share
+    their beginning, so that a place in a text is compared once and not once a word."""
+    tree: dict = {}
+    for w in words:
+        node = tree
+        for ch in w:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        parts = [("" if ch.isalnum() else "\\") + ch + pattern(below) for ch, below in node.items() if ch]
+        if not parts:
+            return ""
+        rest = parts[0] if len(parts) == 1 and "" not in node else "(?:" + "|".join(parts) + ")"
+        return rest + ("?" if "" in node else "")
+
+    return pattern(tree)
+
+
+def segment_rows(df: DataFrame, line: Column, script_class: str, words_that_cut: Sequence[str],
+                 out: str = "seg", joiner: str = " ", keep: Sequence[str] = ()) -> DataFrame:
+    """P3+P4 as :func:`segment_lines`, one row per segment, its tokens joined by ``joiner``.
+
+    One expression matches whole segments: words of the script that are no cut words, with
+    spaces between them.  Each character is looked at once, no array of words is built
+    for a line, and the possessive repeats need no stack however long a segment is."""
+    words = [w for w in dict.fromkeys(words_that_cut) if re.fullmatch(f"[{script_class}]+", w)]  # others are no word
+    word = (f"(?!(?:{_any_of(words)})(?![{script_class}]))" if words else "") + f"[{script_class}]++"
+    found = F.regexp_extract_all(line, F.lit(f"(?<![{script_class}]){word}(?: ++{word})*+"), F.lit(0))
+    rows = _once(df, *[F.col(c) for c in keep], found.alias("_s")).select(*keep, F.explode("_s").alias("_s"))
+    one_space = F.when(F.contains("_s", F.lit("  ")), F.regexp_replace("_s", " +", joiner)).otherwise(F.replace("_s", F.lit(" "), F.lit(joiner)))
+    return rows.select(*keep, one_space.alias(out))

@@ -96,15 +96,25 @@ def lexicon(spark: SparkSession) -> DataFrame:
 def segments(spark: SparkSession, sf_dir: str, corpus: str = "B") -> DataFrame:
     """P2+P3+P4: one row per sentence segment of the distinct lines (``seg``
     array<string>) with ``in_a``: the line belongs to A as well."""
+    return segments_of(flagged_lines(spark, sf_dir, corpus), ["in_a"])
+
+
+def flagged_lines(spark: SparkSession, sf_dir: str, corpus: str = "B") -> DataFrame:
+    """The distinct lines of a corpus with ``in_a``: the line belongs to A as well."""
     lines = line_counts(spark, sf_dir).select("line", (F.col("na") > 0).alias("in_a"))
-    return segments_of(lines.where("in_a") if corpus == "A" else lines, ["in_a"])
+    return lines.where("in_a") if corpus == "A" else lines
+
+
+def segment_strings(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """P3+P4 of distinct lines: one row per segment, its tokens joined to one string (``seg``),
+    with the columns ``keep``.  Tokens are of the script class, so none holds a joiner."""
+    cut = tk.cut_words(POS_LEXICON, STOP_WORDS, K.CUT_POS_PREFIXES)
+    return tk.segment_rows(lines, F.lower(F.col("line")), SCRIPT_CLASS, cut, "seg", K.GRAM_JOINER, keep)
 
 
 def segments_of(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """P3+P4 of distinct lines: one row per segment (``seg``), with the columns ``keep``."""
-    cut = tk.cut_words(POS_LEXICON, STOP_WORDS, K.CUT_POS_PREFIXES)
-    s = tk.segment_lines(lines, F.lower(F.col("line")), SCRIPT_CLASS, cut, keep=keep)
-    return tk.explode_segments(s, "segments", "seg", keep=keep)
+    return segment_strings(lines, keep).withColumn("seg", F.split("seg", K.GRAM_JOINER, -1))
 
 
 def stop_segments(spark: SparkSession, sf_dir: str, corpus: str = "B") -> DataFrame:

@@ -93,16 +93,16 @@ CORPORA = {"B": "", "A": "a_"}
 
 
 def whole_segments(spark: SparkSession, sf: str, corpora: tuple[str, ...] = ("B", "A")) -> DataFrame:
-    """The distinct segments with their number in each corpus; A is part of B.  Their tokens
-    are of the script class, so none holds a joiner."""
+    """The distinct segments, as strings, with their number in each corpus; A is part of B."""
     counts = {"B": F.count(F.lit(1)), "A": F.count_if("in_a")}
-    segments = C.segments(spark, sf, "B" if "B" in corpora else "A")
-    return gr.weighted(segments, counts={WEIGHTS[c]: counts[c] for c in corpora}, joiner=K.GRAM_JOINER)
+    lines = C.flagged_lines(spark, sf, "B" if "B" in corpora else "A")
+    return gr.weighted(C.segment_strings(lines, ["in_a"]), counts={WEIGHTS[c]: counts[c] for c in corpora})
 
 
 def places(spark: SparkSession, sf: str, corpora: tuple[str, ...] = ("B", "A")) -> DataFrame:
     """The token places of the distinct segments with their number in each corpus."""
-    return gr.places(materialize(whole_segments(spark, sf, corpora)), weights=[WEIGHTS[c] for c in corpora])
+    segments = whole_segments(spark, sf, corpora).withColumn("seg", F.split("seg", K.GRAM_JOINER, -1))
+    return gr.places(materialize(segments), weights=[WEIGHTS[c] for c in corpora])
 
 
 def gram_freq(spark: SparkSession, sf: str, corpus: str = "B") -> DataFrame:
@@ -120,8 +120,8 @@ def gram_table(spark: SparkSession, sf: str, corpora: tuple[str, ...] = ("B", "A
     the columns of a corpus that is not asked for are absent.  Contexts of rarer
     grams are never shuffled.  With B and A, which is part of it, one pass counts both."""
     weights = [WEIGHTS[c] for c in corpora]
-    at = gr.places(whole_segments(spark, sf, corpora), weights=weights)
-    return side_entropies(gr.windows(at, weights=weights), {CORPORA[c]: WEIGHTS[c] for c in corpora})
+    seen = gr.string_windows(whole_segments(spark, sf, corpora), weights=weights)
+    return side_entropies(seen, {CORPORA[c]: WEIGHTS[c] for c in corpora})
 
 
 def side_entropies(seen: DataFrame, corpora: dict[str, str], min_freq: int = K.COHESION_MIN_FREQ) -> DataFrame:
@@ -200,8 +200,7 @@ def sorted_lookup(spark: SparkSession, sf: str) -> DataFrame:
 def context_state(lines: DataFrame) -> DataFrame:
     """(s, p, c): the windows of distinct lines (column ``line``), which hold all grams with
     their contexts, one row for a place instead of one for each gram and side."""
-    at = gr.places(gr.weighted(C.segments_of(lines), joiner=K.GRAM_JOINER))
-    return gr.windows(at).withColumnRenamed("n", "c")
+    return gr.string_windows(gr.weighted(C.segment_strings(lines))).withColumnRenamed("n", "c")
 
 
 def merged_entropy(spark: SparkSession, sf: str) -> DataFrame:

@@ -18,6 +18,7 @@ from termspark.operators import pmi as pm
 from termspark.operators import rank as rk
 from termspark.operators import state as sv
 from termspark.operators import suffixes as sx
+from termspark.operators import tokenize as tk
 from termspark.sources import readers, sinks
 
 
@@ -166,6 +167,39 @@ def test_lines_that_the_state_has_are_not_counted_again(spark):
     assert sorted(r.line for r in sv.new_lines(lines("a", "b", "b", "c"), lines("a", "d")).collect()) == ["b", "c"]
 
 
+# ---- segments and windows as strings --------------------------------------------------------
+
+def test_segments_matched_in_one_expression_equal_those_cut_from_words(spark):
+    rng = random.Random(8)
+    words = ["the", "a", "an", "ana", "tha", "the.", "y+", "été", "of", "often", "x9", "--", "", " ", "A", "The"]
+    lines = ["".join(rng.choice(words) + rng.choice([" ", " ", "  ", "-", "\t", ""]) for _ in range(rng.randint(0, 12))) for _ in range(300)] + ["", " ", None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "id long, line string")
+    for cut in (["the", "a", "an", "of", "été", "y+"], []):
+        old = tk.segment_lines(df, F.lower("line"), tk.LATIN_SCRIPT_CLASS, cut, keep=["id"])
+        want = old.select("id", F.explode("segments").alias("s")).select("id", F.array_join("s", ",").alias("seg"))
+        got = tk.segment_rows(df, F.lower("line"), tk.LATIN_SCRIPT_CLASS, cut, joiner=",", keep=["id"])
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    # no stack for each word of a long segment
+    long = spark.createDataFrame([("word " * 50_000,)], "line string")
+    assert [len(r.seg) for r in tk.segment_rows(long, F.col("line"), tk.LATIN_SCRIPT_CLASS, ["the"]).collect()] == [5 * 50_000 - 1]
+
+
+def test_windows_of_strings_equal_the_windows_of_places(spark):
+    segs = [list(s) for s in dict.fromkeys(map(tuple, segments()))] + [["w"] * 5000]
+    df = spark.createDataFrame([(s, i % 3) for i, s in enumerate(segs)], "seg array<string>, n long")
+    want = gr.windows(gr.places(df))
+    got = gr.string_windows(df.withColumn("seg", F.array_join("seg", ",")))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_the_gram_table_runs_no_lambda_over_text(spark):
+    from termspark.plans import corpus, jobs
+    lines = spark.createDataFrame([("the red fox", 1)], "line string, n long")
+    plan = gr.string_windows(gr.weighted(corpus.segment_strings(lines)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and plan.count("regexp_extract_all") == 1
+    assert jobs.context_state(lines).columns == ["s", "p", "c"]
+
+
 # ---- GBK files, manifest --------------------------------------------------------------------
 
 def test_gbk_round_trip_over_several_splits(spark, tmp_path):
