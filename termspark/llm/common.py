@@ -33,15 +33,18 @@ def crc_of_id(col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary"))
 
 
-def lay_out(df: DataFrame, key: str, buckets: int) -> DataFrame:
+def lay_out(df: DataFrame, key: str, buckets: int, name: str | None = None, rows: DataFrame | None = None) -> DataFrame:
     """``df`` written once to the folder that the session names, in hash buckets of ``key``:
     whatever groups it by the key afterwards reads it where it lies, without an exchange.
-    Without such a folder it is materialised."""
+    Without such a folder it is materialised.  With ``rows``, the table ``name`` as it is so far,
+    it is added to that table (a union of tables would be dealt out anew)."""
     shared = checkpoint_dir(df.sparkSession)
     if not shared:
-        return materialize(df)
-    name = f"laid_out_{uuid.uuid4().hex}"
-    df.repartition(buckets, key).write.option("path", f"{shared.rstrip('/')}/{name}").bucketBy(buckets, key).saveAsTable(name)
+        done = materialize(df)
+        return done if rows is None else rows.unionByName(done)
+    name = name or f"laid_out_{uuid.uuid4().hex}"
+    write = df.repartition(buckets, key).write.mode("error" if rows is None else "append")
+    write.option("path", f"{shared.rstrip('/')}/{name}").bucketBy(buckets, key).saveAsTable(name)
     # Spark deletes the shuffle files of a finished step when the driver's garbage is collected; a
     # driver with room to spare would keep those of all steps on the executors' disks
     gc.collect()

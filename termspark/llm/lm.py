@@ -25,6 +25,8 @@ level reads them without moving them.
 """
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -233,10 +235,11 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", mu: fl
     total, train_docs = size["train_tokens"], size["train_docs"]
     word_shards, pair_shards = max(16, -(-size["words"] // shard_words)), max(16, -(-size["tokens"] // shard_pairs))
     hot_above = max(1, size["tokens"] // (8 * pair_shards))
-    words = lay_out(vocabulary(packed, word_shards), "batch", buckets)
-    known = words.agg(F.coalesce(F.sum("v"), F.lit(0))).first()[0]
-    none = F.lit(None).cast("binary")
-    replies = words.select("batch", "shard", F.lit(1).alias("level"), "ids", "counts", none.alias("codes"))
+    # the answers of all levels are one table, so that no level deals out those before it
+    cols, place = ["batch", "shard", "level", "ids", "counts", "codes"], f"laid_out_{uuid.uuid4().hex}"
+    words = vocabulary(packed, word_shards).withColumns({"level": F.lit(1), "codes": F.lit(None).cast("binary")})
+    replies = lay_out(words.select(*cols, "v"), "batch", buckets, place)
+    known = replies.agg(F.coalesce(F.sum("v"), F.lit(0))).first()[0]
 
     def asker(level):
         def ask(key, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -300,10 +303,10 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", mu: fl
         return answer
 
     for level in range(2, order + 1):
-        asked = packed.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(
+        asked = packed.groupBy("batch").cogroup(replies.select(*cols).groupBy("batch")).applyInArrow(
             asker(level), "shard int, batch long, u binary, w binary, c binary, often binary")
         said = asked.groupBy("shard").applyInArrow(answerer(level), "batch long, shard int, level int, ids binary, counts binary, codes binary")
-        replies = replies.unionByName(lay_out(said, "batch", buckets) if level < order else said)
+        replies = lay_out(said.select(*cols, F.lit(0).cast("long").alias("v")), "batch", buckets, place, replies)
 
     def finish(key, left: pa.Table, right: pa.Table) -> pa.Table:
         rows = right.to_pylist()
@@ -328,5 +331,5 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", mu: fl
                 "score": pa.array(np.add.reduceat(np.log10(p), starts), pa.float64())}))
         return pa.concat_tables(out)
 
-    return packed.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(
+    return packed.groupBy("batch").cogroup(replies.select(*cols).groupBy("batch")).applyInArrow(
         finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -244,6 +244,12 @@ def test_lm_longer_contexts(spark, docs, texts, order):
     assert lm.score(odd(spark).where("false"), order=order).count() == 0
 
 
+def test_lm_answers_stay_where_they_lie(spark):
+    from termspark.llm import lm
+    plan = lm.score(odd(spark), order=3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2 and "Exchange" not in plan
+
+
 def test_lm_query_sees_two_words_of_context(spark, texts):
     from termspark.llm import lm
     from termspark.llm.queries import op3
