@@ -203,13 +203,23 @@ class _Batch:
                     setattr(g, name, value)
 
 
+def _by_pair(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Order of pairs of non-negative numbers by (u, w); as one number a pair, where it fits."""
+    width = int(w.max(initial=0)) + 1
+    if (int(u.max(initial=0)) + 1) * width >= 1 << 63:
+        return np.lexsort((w, u))
+    return np.argsort(u * width + w)
+
+
 def _pair_order(u: np.ndarray, w: np.ndarray, often: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of the pairs by (shard, u, w), and the shards' cuts in it; a pair whose context is
     there ``often`` goes by context and word."""
     mixed = u.astype(np.uint64)
     mixed[often] = mix64(mixed[often]) ^ w[often].astype(np.uint64)
     s = _hash_shard(mixed, shards)
-    order = np.lexsort((w, u, s))
+    order = _by_pair(u, w)
+    # a stable sort of 16-bit numbers takes one pass
+    order = order[np.argsort(s[order].astype(np.uint16 if shards <= 1 << 16 else np.int64), kind="stable")]
     return order, _cuts(s[order], shards)
 
 
@@ -273,7 +283,7 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", mu: fl
             c = np.concatenate([unpack_ints(x, np.uint32) for x in t.column("c").to_pylist()])
             del us
             # one sort of all pairs by (context, word): the batches' pairs come as sorted runs
-            by = np.lexsort((w, u))
+            by = _by_pair(u, w)
             su, sw = u[by], w[by]
             new_u = np.append(True, su[1:] != su[:-1])[:len(su)]
             new = new_u.copy()

@@ -49,7 +49,9 @@ class EliasFano:
         if not self.bits:
             return np.zeros(len(i), np.int64)
         at = i * self.bits
-        window = self.low[(at >> 3)[:, None] + np.arange(8)].view("<u8").ravel() >> (at & 7).astype(np.uint64)
+        # the 8 bytes from each place on as one number; build() leaves 8 bytes behind the last
+        each = np.ndarray(len(self.low) - 7, "<u8", buffer=self.low, strides=(1,))
+        window = each[at >> 3] >> (at & 7).astype(np.uint64)
         return (window & np.uint64((1 << self.bits) - 1)).astype(np.int64)
 
     def _select(self, cum: np.ndarray, flip: int, k: np.ndarray) -> np.ndarray:

@@ -244,6 +244,20 @@ def test_lm_longer_contexts(spark, docs, texts, order):
     assert lm.score(odd(spark).where("false"), order=order).count() == 0
 
 
+@pytest.mark.parametrize("high", [50, 1 << 40])  # the second does not fit one number a pair
+def test_lm_pairs_are_ordered_by_shard_context_and_word(high):
+    from termspark.llm import lm
+    rng = np.random.default_rng(3)
+    u, w = rng.integers(0, high, 4000), rng.integers(0, high, 4000)
+    often = u % 3 == 0
+    for n in (4000, 0):
+        order, cut = lm._pair_order(u[:n], w[:n], often[:n], 7)
+        assert sorted(order.tolist()) == list(range(n)) and cut[0] == 0 and cut[-1] == n
+        for x, y in zip(cut, cut[1:]):
+            pairs = list(zip(u[order[x:y]].tolist(), w[order[x:y]].tolist()))
+            assert pairs == sorted(pairs)
+
+
 def test_lm_answers_stay_where_they_lie(spark):
     from termspark.llm import lm
     plan = lm.score(odd(spark), order=3)._jdf.queryExecution().executedPlan().toString()
