@@ -223,8 +223,11 @@ PROTECTED = "th"
 
 
 def diff_from(grams: DataFrame, surface_joiner: str = SURFACE_JOINER, **how) -> dict[str, DataFrame]:
+    """X6 of a gram table.  The scores of both corpora are read by several joins and counts, so
+    they are worked out once."""
     how = {"divisor": HEAD_DIVISOR, "protected": PROTECTED} | how
-    return cmp.diff_candidates(scored_from(grams, "B"), scored_from(grams, "A"), surface_joiner=surface_joiner, **how)
+    b, a = (materialize(scored_from(grams, corpus)) for corpus in ("B", "A"))
+    return cmp.diff_candidates(b, a, surface_joiner=surface_joiner, **how)
 
 
 def diff(spark: SparkSession, sf: str, **how) -> dict[str, DataFrame]:

@@ -373,3 +373,19 @@ def test_pairs_of_key_and_line_are_shuffled_once(spark):
             spark.conf.set(k, v)
     assert got == sorted((k, i) for k in ("nation", "of nations") for i in range(20))
     assert "REPARTITION_BY_COL" in plan and "hashpartitioning(key" not in plan.split("REPARTITION_BY_COL")[0]
+
+
+# ---- corpus diff -----------------------------------------------------------------------------
+
+def test_scores_of_the_diff_are_worked_out_once(spark):
+    from termspark.plans import jobs as J
+    words = [f"{c}{d}" for c in "pqrst" for d in "uvwxy"]
+    rows = [(w, 20 + i, 3.0, 3.0, 6 + i % 3, 2.0, 2.0) for i, w in enumerate(words)]
+    rows += [(f"{x},{y}", 9, 3.0, 3.0, 0, None, None) for x, y in zip(words, words[1:])]
+    grams = spark.createDataFrame(rows, "gram string, freq long, left_entropy double, right_entropy double, "
+                                        "a_freq long, a_left_entropy double, a_right_entropy double")
+    out = J.diff_from(grams)["candidates"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LocalRelation" not in plan and "Generate" not in plan  # no split of a gram, no scan of the gram table
+    got = {r["term"] for r in out.collect()}
+    assert {f"{x} {y}" for x, y in zip(words, words[1:])} <= got
