@@ -222,16 +222,18 @@ HEAD_DIVISOR = 5
 PROTECTED = "th"
 
 
-def diff_from(grams: DataFrame, surface_joiner: str = SURFACE_JOINER, **how) -> dict[str, DataFrame]:
-    """X6 of a gram table.  The scores of both corpora are read by several joins and counts, so
-    they are worked out once."""
+def diff_from(grams: DataFrame, surface_joiner: str = SURFACE_JOINER, stored: bool = False, **how) -> dict[str, DataFrame]:
+    """X6 of a gram table.  ``stored``: the scores of both corpora, which several joins and
+    counts read, are worked out once, now."""
     how = {"divisor": HEAD_DIVISOR, "protected": PROTECTED} | how
-    b, a = (materialize(scored_from(grams, corpus)) for corpus in ("B", "A"))
+    b, a = (scored_from(grams, corpus) for corpus in ("B", "A"))
+    if stored:
+        b, a = materialize(b), materialize(a)
     return cmp.diff_candidates(b, a, surface_joiner=surface_joiner, **how)
 
 
 def diff(spark: SparkSession, sf: str, **how) -> dict[str, DataFrame]:
-    return diff_from(materialize(gram_table(spark, sf)), **how)
+    return diff_from(materialize(gram_table(spark, sf)), stored=True, **how)
 
 
 # -- word lists for the test tables (S3 semantics: non-blank, distinct) ------------
@@ -457,7 +459,7 @@ def external_features(grams: DataFrame) -> DataFrame:
 def rank_tables(spark: SparkSession, sf: str, mode: str = "rank") -> tuple[DataFrame, DataFrame]:
     """M3 on the test tables: the (train, predict) rows of a mode."""
     grams = materialize(gram_table(spark, sf))
-    cands = materialize(diff_from(grams)["candidates"])
+    cands = materialize(diff_from(grams, stored=True)["candidates"])
     return fe.choose(mode, positives(spark, sf), negatives(spark, sf), cands, lambda t, m: features(spark, sf, t, m), external_features(grams))
 
 

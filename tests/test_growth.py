@@ -384,8 +384,9 @@ def test_scores_of_the_diff_are_worked_out_once(spark):
     rows += [(f"{x},{y}", 9, 3.0, 3.0, 0, None, None) for x, y in zip(words, words[1:])]
     grams = spark.createDataFrame(rows, "gram string, freq long, left_entropy double, right_entropy double, "
                                         "a_freq long, a_left_entropy double, a_right_entropy double")
-    out = J.diff_from(grams)["candidates"]
+    out = J.diff_from(grams, stored=True)["candidates"]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "LocalRelation" not in plan and "Generate" not in plan  # no split of a gram, no scan of the gram table
     got = {r["term"] for r in out.collect()}
     assert {f"{x} {y}" for x, y in zip(words, words[1:])} <= got
+    assert got == {r["term"] for r in J.diff_from(grams)["candidates"].collect()}
