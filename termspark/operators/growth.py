@@ -10,7 +10,8 @@ semi joins, which AQE turns into broadcasts while the table is small and otherwi
 shuffles whose skewed keys it splits.  Equal segments are one row with a weight.
 
 Where contexts are wanted as well, :func:`sorted_sides` finds the grams and their contexts
-in one pass: a place is shuffled once, not once a level and once a gram.
+in one pass: a place is shuffled once, not once a level and once a gram.  :func:`dealt_sides`
+does so from lines: places are dealt out by their first token, many to a row.
 """
 from __future__ import annotations
 
@@ -18,6 +19,7 @@ import re
 from collections.abc import Mapping, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 
 from termspark.functions import constants as K
 from termspark.functions.text import sql_str
+from termspark.operators import tokenize as tk
 from termspark.session import materialize
 
 
@@ -216,3 +219,160 @@ def sorted_sides(seen: DataFrame, corpora: Mapping[str, str], min_freq: int = K.
     found = materialize(lined.mapInArrow(run, ", ".join(kinds)))
     ends = found.where("side is not null").groupBy("gram", "side", "ctx").agg(*[F.sum(w).alias(w) for w in weights])
     return found.where("side is null").drop("side", "ctx", *weights), ends
+
+
+#: Buckets of places for each partition, and the parts that places of a very common token go to.
+BUCKETS, PARTS = 16, 16
+
+
+def _dealt(t: pa.Table, kinds: np.ndarray, cut: pa.Array, hot: pa.Array, buckets: int, max_len: int, joiner: str, boundary: str) -> pa.RecordBatch | None:
+    """(bucket, w, weights) of a chunk of lines with weights: the places of its distinct segments as
+    strings "token before, up to ``max_len`` tokens, token after", each ended by a newline, those of a
+    bucket in one row."""
+    data, at = tk.line_bytes(t.column(0).combine_chunks())
+    start, end, kind, line = tk.token_places(data, at, kinds)
+    word = np.flatnonzero(kind == tk.SCRIPT)
+    words = tk.pieces(data, start[word], end[word]).dictionary_encode()
+    names, code = words.dictionary.cast(pa.string()), words.indices.to_numpy()
+    mine = ~pc.is_in(names, value_set=cut).to_numpy(zero_copy_only=False)[code]
+    word, code = word[mine], code[mine]  # tokens of segments
+    if not len(word):
+        return None
+    # a segment goes on where the token before it is in it, too
+    new = np.r_[True, (np.diff(word) != 1) | (np.diff(line[word]) != 0)]
+    # each token with a joiner behind it; equal segments of the chunk become one
+    text, at = tk.gathered(data, start[word], end[word] - start[word] + 1)
+    text[at[1:] - 1] = ord(joiner)
+    first = np.flatnonzero(new)
+    whole = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(np.r_[at[first], at[-1]].astype(np.int64)), pa.py_buffer(text)).dictionary_encode()
+    same, n = whole.indices.to_numpy(), len(whole.dictionary)
+    weights = [np.bincount(same, weights=c.to_numpy()[line[word[first]]], minlength=n).astype(np.int64) for c in t.columns[1:]]
+    one = np.zeros(n, np.int64)
+    one[same[::-1]] = np.arange(len(same))[::-1]
+    size = np.diff(np.r_[first, len(word)])[one]
+    token = np.arange(size.sum()) + np.repeat(first[one] - np.r_[0, np.cumsum(size)[:-1]], size)
+    # the tokens between two boundaries
+    end = np.cumsum(size + 2)
+    here = np.arange(len(token)) + 2 * np.repeat(np.arange(n), size) + 1
+    start, length = np.full(end[-1], len(text)), np.full(end[-1], len(boundary.encode()) + 1)
+    start[here], length[here] = at[token], (at[1:] - at[:-1])[token]
+    padded, at = tk.gathered(np.r_[text, np.frombuffer((boundary + joiner).encode(), np.uint8)], start, length)
+    last = np.minimum(here + max_len, np.repeat(end - 1, size))
+    # a bucket by the first token, of a very common one by the second, too
+    number = pd.util.hash_array(names.to_numpy(zero_copy_only=False).astype(object))
+    after = np.zeros(end[-1], np.uint64)
+    after[here] = number[code[token]]
+    part = np.where(pc.is_in(names, value_set=hot).to_numpy(zero_copy_only=False)[code[token]], after[here + 1] % PARTS, 0).astype(np.uint64)
+    bucket = ((after[here] + part * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    bucket, of = bucket[order], np.repeat(np.arange(n), size)[order]
+    w, ends = tk.gathered(padded, at[here - 1][order], (at[last + 1] - at[here - 1])[order])
+    w[ends[1:] - 1] = ord("\n")
+    rows = np.flatnonzero(np.r_[True, np.diff(bucket) != 0])
+    cuts = np.r_[rows, len(bucket)].astype(np.int32)
+    blobs = pa.LargeStringArray.from_buffers(len(rows), pa.py_buffer(ends[cuts].astype(np.int64)), pa.py_buffer(w)).cast(pa.string())
+    lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x[of])) for x in weights]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[rows]), blobs, *lists], ["bucket", "w", *t.column_names[1:]])
+
+
+def _bucket_runs(w: pa.Array, weights: list[np.ndarray], hot: pa.Array, min_freq: int, max_len: int, joiner: str, boundary: str):
+    """Of the places of a bucket: for each gram length (grams, sums by weight) of the grams whose first
+    weight reaches the floor, all of whose places are here, and (grams, side, ctx, counts) of very common tokens,
+    which have places elsewhere."""
+    data = tk.line_bytes(w)[0][:-4].copy()
+    ends = np.flatnonzero((data == ord(joiner)) | (data == ord("\n")))
+    stop = np.flatnonzero(data[ends] == ord("\n"))
+    data[ends] = ord(joiner)
+    words = pa.LargeStringArray.from_buffers(len(ends), pa.py_buffer(np.r_[0, ends + 1].astype(np.int64)), pa.py_buffer(data)).dictionary_encode()
+    names, code = pc.utf8_slice_codeunits(words.dictionary, 0, -1).cast(pa.string()), words.indices.to_numpy().astype(np.int64)
+    first = np.r_[0, stop[:-1] + 1]
+    size = stop + 1 - first
+    edge = pc.index(names, boundary).as_py()
+    common = pc.is_in(names, value_set=hot).to_numpy(zero_copy_only=False)
+    tokens = [np.where(size > k, code[np.minimum(first + k, len(code) - 1)], -1) for k in range(1, max_len + 1)]
+    rows = np.lexsort(tokens[::-1])
+    for k in range(1, max_len + 1):
+        rows = rows[size[rows] >= k + 2]  # a gram of k tokens has a token before and one after it
+        if not len(rows):
+            return
+        new = np.r_[True, np.logical_or.reduce([np.diff(t[rows]) != 0 for t in tokens[:k]])]
+        run, head = np.cumsum(new) - 1, rows[new]
+        freq = [np.bincount(run, weights=x[rows]).astype(np.int64) for x in weights]
+        open_ = common[tokens[0][head]] if k == 1 else np.zeros(len(head), bool)
+        wanted = open_ | (freq[0] >= min_freq)  # a longer gram is no more frequent
+        mine = wanted[run]
+        rows, run, head, open_, freq = rows[mine], (np.cumsum(wanted) - 1)[run[mine]], head[wanted], open_[wanted], [f[wanted] for f in freq]
+        grams = pc.binary_join_element_wise(*[names.take(pa.array(t[head])) for t in tokens[:k]], joiner) if k > 1 else names.take(pa.array(tokens[0][head]))
+        sums, closed = [[f] for f in freq], pa.array(~open_)
+        for side, ctx in enumerate((code[first[rows]], code[first[rows] + k + 1])):
+            pair, inverse = np.unique(run * len(names) + ctx, return_inverse=True)
+            of, ctx = pair // len(names), pair % len(names)
+            counts = [np.bincount(inverse, weights=x[rows]).astype(np.int64) for x in weights]
+            for c, out in zip(counts, sums):
+                inner = np.where(ctx == edge, 0, c)
+                at_edge = np.bincount(of, weights=np.where(ctx == edge, c, 0), minlength=len(head)).astype(np.int64)
+                out += [np.bincount(of, weights=inner, minlength=len(head)).astype(np.int64),
+                        np.bincount(of, weights=inner * (np.log(np.maximum(c, 1)) / np.log(2.0)), minlength=len(head)), at_edge]
+            some = np.flatnonzero(open_[of])
+            if len(some):
+                yield grams.take(pa.array(of[some])), None, np.full(len(some), side, np.int32), names.take(pa.array(ctx[some])), [c[some] for c in counts]
+        yield grams.filter(closed), [[x[~open_] for x in out] for out in sums], None, None, None
+
+
+def dealt_sides(lines: DataFrame, corpora: Mapping[str, str], script_class: str, words_that_cut: Sequence[str], hot: Sequence[str] = (),
+                min_freq: int = K.COHESION_MIN_FREQ, max_len: int = K.MAX_GRAM_LEN, joiner: str = K.GRAM_JOINER,
+                boundary: str = K.BOUNDARY) -> tuple[DataFrame, DataFrame]:
+    """P3+P4, A6 and A7 of lines (``line`` with the weights of ``corpora``), as :func:`sorted_sides`
+    of the windows of their segments.
+
+    Segments and places are cut from chunks of lines as arrays.  A place goes to a bucket by its first
+    token, so all places of a gram meet in one; a row holds a chunk's places of a bucket, and buckets
+    are sorted one at a time.  Places of the tokens ``hot``, very common ones, are dealt out by the next
+    token as well: longer grams still meet, and the contexts of these tokens alone are added up."""
+    spark, weights = lines.sparkSession, list(dict.fromkeys(corpora.values()))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cut, hot = pa.array(list(words_that_cut), pa.string()), pa.array(list(hot), pa.string())
+    kinds = ["gram string", "side int", "ctx string", *[f"{w} long" for w in weights], *_sums(corpora)]
+    types = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
+    schema = pa.schema([(x.split()[0], types[x.split()[1]]) for x in kinds])
+    pick = [weights.index(w) for w in corpora.values()]
+
+    def deal(batches):
+        for t in tk.chunks(batches):
+            out = _dealt(t, tk.char_kinds(script_class), cut, hot, BUCKETS * parts, max_len, joiner, boundary)
+            if out is not None:
+                yield out
+
+    def rows(held):
+        t = pa.Table.from_batches(held).combine_chunks()
+        found = [t.column(2 + i).combine_chunks().flatten().to_numpy() for i in range(len(weights))]
+        for grams, sums, side, ctx, counts in _bucket_runs(t.column(1).combine_chunks(), found, hot, min_freq, max_len, joiner, boundary):
+            def none(kind):
+                return pa.nulls(len(grams), kind)
+            if sums is None:
+                cols = [side, ctx, *counts, *[none(f.type) for f in schema][3 + len(weights):]]
+            else:  # no place at the edge is null
+                cols = [none(pa.int32()), none(pa.string()), *[none(pa.int64()) for _ in weights]]
+                cols += [pa.array(x, mask=(x == 0) if i in (3, 6) else None) for j in pick for i, x in enumerate(sums[j])]
+            yield pa.RecordBatch.from_arrays([(c if isinstance(c, pa.Array) else pa.array(c)).cast(f.type) for c, f in zip([grams, *cols], schema)], schema=schema)
+
+    def run(batches):
+        held, now = [], None
+        for b in batches:
+            bucket = b.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+            for x, y in zip(cuts[:-1], cuts[1:]):
+                if x < y and bucket[x] != now:
+                    if held:
+                        yield from rows(held)
+                    held, now = [], bucket[x]
+                if x < y:
+                    held.append(b.slice(x, y - x))
+        if held:
+            yield from rows(held)
+
+    dealt = lines.select("line", *[F.col(w).cast("long").alias(w) for w in weights]) \
+        .mapInArrow(deal, ", ".join(["bucket int", "w string", *[f"{w} array<long>" for w in weights]]))
+    found = materialize(dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, ", ".join(kinds)))
+    ends = found.where("side is not null").groupBy("gram", "side", "ctx").agg(*[F.sum(w).alias(w) for w in weights])
+    return found.where("side is null").drop("side", "ctx", *weights), ends

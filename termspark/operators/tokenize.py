@@ -9,9 +9,12 @@ hash-set lookup; a list of any size is given as a DataFrame and joined
 """
 from __future__ import annotations
 
+import functools
 import re
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -307,3 +310,84 @@ def segment_rows(df: DataFrame, line: Column, script_class: str, words_that_cut:
     rows = _once(df, *[F.col(c) for c in keep], found.alias("_s")).select(*keep, F.explode("_s").alias("_s"))
     one_space = F.when(F.contains("_s", F.lit("  ")), F.regexp_replace("_s", " +", joiner)).otherwise(F.replace("_s", F.lit(" "), F.lit(joiner)))
     return rows.select(*keep, one_space.alias(out))
+
+
+# -- tokens of Arrow batches --------------------------------------------------------------
+
+#: Bytes of lines that a task takes at a time, and pieces of them that are copied at a time.
+CHUNK_BYTES, PIECES = 8_000_000, 100_000
+SPACE, SCRIPT, OTHER = 0, 1, 2
+
+
+@functools.lru_cache(maxsize=4)
+def char_kinds(script_class: str) -> np.ndarray:
+    """``SPACE``, ``SCRIPT`` or ``OTHER`` of each code point."""
+    kinds = np.full(0x110000, OTHER, np.uint8)
+    for m in re.finditer(f"[{script_class}]+", "".join(map(chr, range(0x110000)))):
+        kinds[m.start():m.end()] = SCRIPT
+    kinds[ord(" ")] = SPACE
+    return kinds
+
+
+def chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The batches of a task put together to about ``CHUNK_BYTES`` each."""
+    held, n = [], 0
+    for b in batches:
+        held, n = [*held, b], n + b.nbytes
+        if n >= CHUNK_BYTES:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def line_bytes(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of a string column, with four zeros behind them, and the places where its lines begin and end."""
+    lines = lines.cast(pa.large_string())
+    _, at, data = lines.buffers()
+    at = np.frombuffer(at, np.int64)[lines.offset:lines.offset + len(lines) + 1]
+    data = np.frombuffer(data, np.uint8)[at[0]:at[-1]] if data is not None else np.zeros(0, np.uint8)
+    return np.r_[data, np.zeros(4, np.uint8)], at - at[0]
+
+
+def wide_chars(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the characters of two and more bytes, and their code points."""
+    at = np.flatnonzero(data >= 0xC0)
+    b, n1, n2, n3 = (data[at + i].astype(np.int32) for i in range(4))
+    n1, n2, n3 = n1 & 63, n2 & 63, n3 & 63
+    return at, np.where(b < 0xE0, (b & 31) << 6 | n1, np.where(b < 0xF0, (b & 15) << 12 | n1 << 6 | n2, (b & 7) << 18 | n1 << 12 | n2 << 6 | n3))
+
+
+def token_places(data: np.ndarray, at: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """P3 of :func:`line_bytes`: (first byte, byte behind, kind, line) of each token in order, the
+    matches of ``[script]+|[^script ]+``."""
+    total = int(at[-1])
+    kind = kinds[:256][data]
+    wide, code = wide_chars(data)
+    of, width = kinds[code], 2 + (code >= 0x800) + (code >= 0x10000)
+    for i in range(4):
+        kind[wide[width > i] + i] = of[width > i]
+    new = np.ones(total, bool)
+    new[1:] = kind[1:total] != kind[:total - 1] if total else []
+    new[at[:-1][at[:-1] < total]] = True
+    start = np.flatnonzero(new)
+    end, kind = np.r_[start[1:], total][:len(start)], kind[start]
+    mine = kind != SPACE
+    start, end, kind = start[mine], end[mine], kind[mine]
+    return start, end, kind, np.repeat(np.arange(len(at) - 1), np.diff(np.searchsorted(start, at)))
+
+
+def gathered(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of pieces, one behind the other, and the places where pieces begin and end."""
+    at = np.r_[0, np.cumsum(size)]
+    out = np.empty(at[-1], np.uint8)
+    for i in range(0, len(size), PIECES):
+        j = min(i + PIECES, len(size))
+        out[at[i]:at[j]] = data[np.arange(at[i], at[j]) + np.repeat(start[i:j] - at[i:j], size[i:j])]
+    return out, at
+
+
+def pieces(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """Pieces of the bytes as strings."""
+    got, at = gathered(data, start, end - start)
+    return pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(at.astype(np.int64)), pa.py_buffer(got))

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from termspark.functions import constants as K
@@ -108,8 +108,25 @@ def flagged_lines(spark: SparkSession, sf_dir: str, corpus: str = "B") -> DataFr
 def segment_strings(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """P3+P4 of distinct lines: one row per segment, its tokens joined to one string (``seg``),
     with the columns ``keep``.  Tokens are of the script class, so none holds a joiner."""
-    cut = tk.cut_words(POS_LEXICON, STOP_WORDS, K.CUT_POS_PREFIXES)
-    return tk.segment_rows(lines, F.lower(F.col("line")), SCRIPT_CLASS, cut, "seg", K.GRAM_JOINER, keep)
+    return tk.segment_rows(lines, F.lower(F.col("line")), SCRIPT_CLASS, cut_words(), "seg", K.GRAM_JOINER, keep)
+
+
+def cut_words() -> list[str]:
+    return tk.cut_words(POS_LEXICON, STOP_WORDS, K.CUT_POS_PREFIXES)
+
+
+#: Share of the documents that common tokens are looked for in.
+TOKEN_SAMPLE = 0.01
+
+
+def common_tokens(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Tokens with more places than a partition would have on average, as a sample of documents says;
+    there are fewer of them than partitions.  They only say how rows are dealt out: no result depends on them."""
+    words = table(spark, sf_dir, "documents").select("text").sample(TOKEN_SAMPLE, seed=1).where("text is not null") \
+        .select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"[{SCRIPT_CLASS}]+"), F.lit(0))).alias("t"))
+    counts = words.groupBy("t").agg(F.count(F.lit(1)).alias("n")).where(~F.col("t").isin(cut_words()))
+    share = F.col("n") * int(spark.conf.get("spark.sql.shuffle.partitions")) / F.sum("n").over(Window.partitionBy())
+    return [r["t"] for r in counts.withColumn("_share", share).where("_share > 1").select("t").collect()]
 
 
 def segments_of(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:

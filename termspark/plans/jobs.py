@@ -119,14 +119,20 @@ def gram_table(spark: SparkSession, sf: str, corpora: tuple[str, ...] = ("B", "A
     a_right_entropy) of the grams that reach the frequency floor in the first corpus;
     the columns of a corpus that is not asked for are absent.  Contexts of rarer
     grams are never shuffled.  With B and A, which is part of it, one pass counts both."""
-    weights = [WEIGHTS[c] for c in corpora]
-    seen = gr.string_windows(whole_segments(spark, sf, corpora), weights=weights)
-    return side_entropies(seen, {CORPORA[c]: WEIGHTS[c] for c in corpora})
+    counts = {"B": F.lit(1), "A": F.col("in_a").cast("long")}
+    lines = C.flagged_lines(spark, sf, "B" if "B" in corpora else "A").select(
+        F.lower("line").alias("line"), *[counts[c].alias(WEIGHTS[c]) for c in corpora])
+    names = {CORPORA[c]: WEIGHTS[c] for c in corpora}
+    sums, contexts = gr.dealt_sides(lines, names, C.SCRIPT_CLASS, C.cut_words(), C.common_tokens(spark, sf))
+    return entropies_of(sums, contexts, names)
 
 
 def side_entropies(seen: DataFrame, corpora: dict[str, str], min_freq: int = K.COHESION_MIN_FREQ) -> DataFrame:
     """A6-A8 of :func:`gr.windows` for grams that reach the floor in the first corpus."""
-    sums, contexts = gr.sorted_sides(seen, corpora, min_freq)
+    return entropies_of(*gr.sorted_sides(seen, corpora, min_freq), corpora, min_freq)
+
+
+def entropies_of(sums: DataFrame, contexts: DataFrame, corpora: dict[str, str], min_freq: int = K.COHESION_MIN_FREQ) -> DataFrame:
     return coh.context_entropy(None, ctx_counts=contexts, corpora=corpora, sums=sums).where(F.col(f"{next(iter(corpora))}freq") >= min_freq)
 
 
@@ -264,7 +270,8 @@ def hot_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 def features(spark: SparkSession, sf: str, terms: DataFrame, mode: str = "filter") -> DataFrame:
     """Lexical features; the corpus is read once, for N and both document frequencies."""
     hc, hw = hot_tables(spark, sf)
-    df = materialize(st.document_freq(C.segmented_lines(spark, sf, "B"), "tokens", "n"))
+    lines = C.corpus_lines(spark, sf, "B").select(F.lower("line").alias("line"), "n")
+    df = materialize(st.line_document_freq(lines, "line", "n", C.SCRIPT_CLASS))
     return fe.term_features(terms, st.idf_from(df, st.CHAR), st.idf_from(df, st.WORD), hc, hw, word_units, mode)
 
 

@@ -17,6 +17,7 @@ from termspark.operators import ngrams as ng
 from termspark.operators import pmi as pm
 from termspark.operators import rank as rk
 from termspark.operators import state as sv
+from termspark.operators import stats as st
 from termspark.operators import suffixes as sx
 from termspark.operators import tokenize as tk
 from termspark.sources import readers, sinks
@@ -200,6 +201,57 @@ def test_the_gram_table_runs_no_lambda_over_text(spark):
     assert jobs.context_state(lines).columns == ["s", "p", "c"]
 
 
+# ---- chunks of lines as arrays --------------------------------------------------------------
+
+ODD = ["the", "été", "İx", "a-b", "x×y", "÷ß", "中文 字", "\U0001F600", "ÿø", "A", "  ", " ", "\t", ".", "ΑΣ", "é", "-", "w1", "w2", "cat", "hat", "mat"]
+
+
+def odd_lines(n=400, seed=4):
+    rng = random.Random(seed)
+    return sorted({"".join(rng.choice(ODD) + rng.choice(["", " ", " "]) for _ in range(rng.randint(0, 14))) for _ in range(n)})
+
+
+def test_document_frequencies_of_chunks_equal_those_of_token_arrays(spark, monkeypatch):
+    """Terms of a line are counted without a row for each token: no explode above the lines."""
+    monkeypatch.setattr(st, "CHAR_LINES", 7)
+    df = spark.createDataFrame([(x, i % 3 + 1) for i, x in enumerate(odd_lines())], "line string, n long").select(F.lower("line").alias("line"), "n")
+    tokens = df.select("n", tk.tokenize(F.col("line"), "regex", tk.LATIN_TOKEN_PATTERN).alias("tokens"))
+    got = st.line_document_freq(df, "line", "n", tk.LATIN_SCRIPT_CLASS)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, st.document_freq(tokens, "tokens", "n").collect()))
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert st.line_document_freq(df.where("false"), "line", "n", tk.LATIN_SCRIPT_CLASS).collect() == []
+
+
+@pytest.mark.parametrize("chunk", [200, 8_000_000])
+@pytest.mark.parametrize("hot", [[], ["cat", "hat", "w"]])
+def test_places_dealt_out_by_their_first_token_equal_sorted_windows(spark, monkeypatch, chunk, hot):
+    monkeypatch.setattr(tk, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(tk, "PIECES", 5)
+    lines = [(x, 1, i % 2) for i, x in enumerate(odd_lines() + ["cat", "cat hat mat"] * 7 + ["the", ""])]
+    df = spark.createDataFrame(lines, "line string, n long, na long").select(F.lower("line").alias("line"), "n", "na")
+    both = {"": "n", "a_": "na"}
+    segs = tk.segment_rows(df, F.col("line"), tk.LATIN_SCRIPT_CLASS, ["the"], "seg", ",", ["n", "na"])
+    windows = gr.string_windows(gr.weighted(segs, counts={"n": F.sum("n"), "na": F.sum("na")}), weights=["n", "na"])
+    rows = []
+    for sums, ends in (gr.sorted_sides(windows, both), gr.dealt_sides(df, both, tk.LATIN_SCRIPT_CLASS, ["the"], hot)):
+        found = coh.context_entropy(None, ctx_counts=ends, corpora=both, sums=sums).where("freq >= 5").collect()
+        rows.append(sorted(tuple(None if x is None else round(x, 9) + 0.0 if isinstance(x, float) else x for x in r) for r in found))
+    assert rows[0] == rows[1] and len(rows[0]) > 20
+    assert ends.count() == 0 if not hot else {r.gram for r in ends.select("gram").distinct().collect()} == set(hot) & {r[0] for r in rows[0]}
+
+
+def test_the_gram_table_has_no_row_for_each_place(spark, monkeypatch, tmp_path):
+    """A row that is shuffled holds a chunk's places of a bucket."""
+    from termspark.plans import jobs
+    spark.createDataFrame([(i, "\n".join(odd_lines(60, i)), "en") for i in range(9)], "doc_id long, text string, lang string") \
+        .write.parquet(str(tmp_path / "documents.parquet"))
+    plans, real = [], gr.materialize
+    monkeypatch.setattr(gr, "materialize", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df))
+    assert jobs.gram_table(spark, str(tmp_path)).count() > 20
+    above = plans[0].split("RepartitionByExpression")
+    assert len(above) == 2 and "w#" in above[1].split("Aggregate")[0] and "regexp_extract_all" not in plans[0] and "Generate" not in above[1].split("Aggregate")[0]
+
+
 # ---- GBK files, manifest --------------------------------------------------------------------
 
 def test_gbk_round_trip_over_several_splits(spark, tmp_path):
