@@ -6,10 +6,13 @@ term costs one row per map task, not one row per occurrence.
 """
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termspark.functions.text import col, java_trim
+from termspark.operators import tokenize as tk
 from termspark.operators.ngrams import adjacent_bigrams
 
 
@@ -74,6 +77,49 @@ def document_freq(df: DataFrame, tokens_col: str = "tokens", weight: str | None
     return _line_counts(df, marked, weight).select(unit.alias("unit"), F.coalesce(F.expr("substring(term, 2)"), F.lit("")).alias("term"), "df")
 
 
+#: Lines whose characters are looked at together.
+CHAR_LINES = 4096
+
+
+def _char_lines(data: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points other than the space, and in how many lines (weighted by ``n``) each is."""
+    found = np.zeros(256, np.int64)
+    for i in range(0, len(at) - 1, CHAR_LINES):
+        here = at[i:i + CHAR_LINES + 1]
+        met = np.zeros((len(here) - 1, 256), bool)  # bytes of a line; those of wide characters are not read
+        met.reshape(-1)[np.repeat(np.arange(0, 256 * len(met), 256), np.diff(here)) + data[here[0]:here[-1]]] = True
+        found += np.where(met, n[i:i + CHAR_LINES, None], 0).sum(0)
+    found[ord(" ")] = 0
+    points = np.flatnonzero(found[:128])
+    wide, code = tk.wide_chars(data)
+    pair = np.unique((np.searchsorted(at, wide, "right") - 1) * 0x110000 + code)
+    more, place = np.unique(pair % 0x110000, return_inverse=True)
+    return np.r_[points, more], np.r_[found[points], np.bincount(place, weights=n[pair // 0x110000], minlength=len(more)).astype(np.int64)]
+
+
+def line_document_freq(lines: DataFrame, line_col: str, weight: str, script_class: str) -> DataFrame:
+    """:func:`document_freq` of the tokens ``[script]+|[^script ]+`` of lines that are strings: a task
+    adds up the lines of a chunk, so that a row is shuffled for each term and chunk and not for
+    each token."""
+    def run(batches):
+        for t in tk.chunks(batches):
+            n = t.column(1).to_numpy()
+            data, at = tk.line_bytes(t.column(0).combine_chunks())
+            start, end, _, line = tk.token_places(data, at, tk.char_kinds(script_class))
+            words = tk.pieces(data, start, end).dictionary_encode()
+            names, code = words.dictionary, words.indices.to_numpy().astype(np.int64)
+            pair = np.sort(line * max(len(names), 1) + code)
+            pair = pair[np.r_[True, np.diff(pair) != 0]] if len(pair) else pair
+            df = np.bincount(pair % max(len(names), 1), weights=n[pair // max(len(names), 1)], minlength=len(names)).astype(np.int64)
+            points, char_df = _char_lines(data, at, n)
+            terms = [*names.to_pylist(), *map(chr, points.tolist()), ""]
+            unit = pa.array([WORD, CHAR, LINES]).take(pa.array(np.repeat([0, 1, 2], [len(names), len(points), 1])))
+            yield pa.RecordBatch.from_arrays([unit, pa.array(terms, pa.string()), pa.array(np.r_[df, char_df, n.sum()], pa.int64())], ["unit", "term", "df"])
+
+    part = lines.select(line_col, F.col(weight).cast("long").alias(weight)).mapInArrow(run, "unit string, term string, df long")
+    return part.groupBy("unit", "term").agg(F.sum("df").alias("df"))
+
+
 def idf_from(freq: DataFrame, unit: str) -> DataFrame:
     """A3 / A4 from :func:`document_freq`: ``ln(N / df)``."""
     n = freq.where(F.col("unit") == LINES).select(F.col("df").alias("_n"))
