@@ -840,8 +840,8 @@ SELECT key, count(*) AS n, count(DISTINCT piece) AS n_distinct FROM (SELECT key,
 
 @register("kwic_many", _keys_sql())
 def q_kwic_many(spark, sf):
-    found = J.kwic_many(spark, sf)
-    return found.groupBy("key").agg(F.count("*").alias("n"), F.count_distinct("piece").alias("n_distinct"))
+    found = J.kwic_many(spark, sf, counted=True)
+    return found.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("n_distinct"))
 
 
 # ---------------------------------------------------------------------------

@@ -392,12 +392,15 @@ def search_keys(spark: SparkSession, sf: str) -> DataFrame:
     return t.select(F.explode(runs).alias("key")).where(F.length("key") >= 4).distinct()
 
 
-def kwic_many(spark: SparkSession, sf: str) -> DataFrame:
-    """P21 for all search keys: lines are numbered once; the index is cut from them where it is
-    read, since its rows, each token of each line, are many times what the lines are."""
-    lines = materialize(C.distinct_lines(spark, sf, "B").withColumn("id", F.monotonically_increasing_id()))
-    index = ix.token_index(lines)
-    return kw.kwic_many(index, lines, search_keys(spark, sf), C.SCRIPT_CLASS + " ", stop_chars=TEST_STOP_CHARS, variants=VARIANTS)
+def kwic_many(spark: SparkSession, sf: str, counted: bool = False) -> DataFrame:
+    """P21 for all search keys, one row for each key and piece where they are ``counted``.  More keys
+    than travel to the tasks are looked up in an index: lines are numbered once, and it is cut from them
+    where it is read, since its rows, each token of each line, are many times what the lines are."""
+    keys = materialize(search_keys(spark, sf))
+    lines = C.distinct_lines(spark, sf, "B").withColumn("id", F.monotonically_increasing_id())
+    if keys.count() > kw.BROADCAST_KEYS:
+        lines = materialize(lines)
+    return kw.kwic_many(ix.token_index(lines), lines, keys, C.SCRIPT_CLASS + " ", stop_chars=TEST_STOP_CHARS, variants=VARIANTS, counted=counted)
 
 
 # -- X13 char-mode miner --------------------------------------------------------------

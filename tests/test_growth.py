@@ -410,6 +410,33 @@ def test_many_keys_give_what_each_key_gives(spark):
     assert sorted(tuple(r) for r in got) == sorted(want)
 
 
+def test_keys_as_one_automaton_give_what_the_index_gives(spark, monkeypatch):
+    rng = random.Random(8)
+    words = ["été", "ete", "tion", "s tion", "Motion", "ra,ra", "ｅｔｅ", "qtion", "\U0001F600", "a", ""]
+    lines = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 9))) for _ in range(150)] + ["ete", "été", "ete, été", ""]
+    df = spark.createDataFrame(list(enumerate(dict.fromkeys(lines))), "id long, line string")
+    keys = ["ete", "été", "tion", "s tion", "on a", " ", "ra", "ra,ra", "ti", "e", "zz", "ete tion ra"]
+    kd = spark.createDataFrame([(k,) for k in keys + ["ra", "", None]], "key string")
+    how = {"script_class": "a-zà-ÿ ", "stop_chars": "q", "variants": ("é", "e")}
+    monkeypatch.setattr(kw, "HELD_PIECES", 7)
+    monkeypatch.setattr(tk, "CHUNK_BYTES", 500)
+    rows = lambda **more: kw.kwic_many(ix.token_index(df), df, kd, **how, **more)
+    want = Counter((k, r.piece) for k in keys for r in kw.kwic_pieces(df, "line", k, **how).collect())
+    assert len({k for k, _ in want}) > 6
+    for most in (len(keys), len(keys) - 1):
+        assert Counter(tuple(r) for r in rows(broadcast_keys=most).collect()) == want
+        assert sorted(tuple(r) for r in rows(broadcast_keys=most, counted=True).collect()) == sorted((*k, n) for k, n in want.items())
+    none = kw.kwic_many(ix.token_index(df), df, kd.limit(0), **how, counted=True)
+    assert none.columns == ["key", "piece", "n"] and none.count() == 0
+
+
+def test_a_line_is_not_joined_with_its_keys(spark):
+    lines = spark.createDataFrame([(i, f"the nation of nations {i}") for i in range(20)], "id long, line string")
+    keys = spark.createDataFrame([("nation",), ("of nations",)], "key string")
+    plan = kw.kwic_many(ix.token_index(lines), lines, keys, "a-z ")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+
+
 def test_pairs_of_key_and_line_are_shuffled_once(spark):
     lines = spark.createDataFrame([(i, f"the nation of nations {i}") for i in range(20)], "id long, line string")
     keys = spark.createDataFrame([("nation",), ("of nations",)], "key string")
