@@ -11,12 +11,13 @@ shuffles whose skewed keys it splits.  Equal segments are one row with a weight.
 
 Where contexts are wanted as well, :func:`sorted_sides` finds the grams and their contexts
 in one pass: a place is shuffled once, not once a level and once a gram.  :func:`dealt_sides`
-does so from lines: places are dealt out by their first token, many to a row.
+does so from lines: places are dealt out by their first token, many to a row; :func:`dealt_grams`
+and :func:`dealt_contexts` do the same for counts alone.
 """
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -225,10 +226,14 @@ def sorted_sides(seen: DataFrame, corpora: Mapping[str, str], min_freq: int = K.
 BUCKETS, PARTS = 16, 16
 
 
-def _dealt(t: pa.Table, kinds: np.ndarray, cut: pa.Array, hot: pa.Array, buckets: int, max_len: int, joiner: str, boundary: str) -> pa.RecordBatch | None:
-    """(bucket, w, weights) of a chunk of lines with weights: the places of its distinct segments as
-    strings "token before, up to ``max_len`` tokens, token after", each ended by a newline, those of a
-    bucket in one row."""
+#: Spreads the hashes of a place's tokens.
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _chunk_segments(t: pa.Table, kinds: np.ndarray, cut: pa.Array, joiner: str):
+    """The distinct segments of a chunk of lines with weights: the names of its tokens, the name's number of
+    each token, the bytes of tokens with a joiner behind each and the places where they begin and end, the first
+    token and the number of tokens of each segment, their weights.  None where there is no segment."""
     data, at = tk.line_bytes(t.column(0).combine_chunks())
     start, end, kind, line = tk.token_places(data, at, kinds)
     word = np.flatnonzero(kind == tk.SCRIPT)
@@ -249,8 +254,34 @@ def _dealt(t: pa.Table, kinds: np.ndarray, cut: pa.Array, hot: pa.Array, buckets
     weights = [np.bincount(same, weights=c.to_numpy()[line[word[first]]], minlength=n).astype(np.int64) for c in t.columns[1:]]
     one = np.zeros(n, np.int64)
     one[same[::-1]] = np.arange(len(same))[::-1]
-    size = np.diff(np.r_[first, len(word)])[one]
-    token = np.arange(size.sum()) + np.repeat(first[one] - np.r_[0, np.cumsum(size)[:-1]], size)
+    return names, code, text, at, first[one], np.diff(np.r_[first, len(word)])[one], weights
+
+
+def _bucket_rows(bucket: np.ndarray, text: np.ndarray, start: np.ndarray, length: np.ndarray, weights: list[np.ndarray], names: Sequence[str]) -> pa.RecordBatch:
+    """(bucket, w, weights) of pieces of a text that end with a joiner: those of a bucket in one row, each ended by
+    a newline instead."""
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    w, ends = tk.gathered(text, start[order], length[order])
+    w[ends[1:] - 1] = ord("\n")
+    rows = np.flatnonzero(np.r_[True, np.diff(bucket) != 0])
+    cuts = np.r_[rows, len(bucket)].astype(np.int32)
+    blobs = pa.LargeStringArray.from_buffers(len(rows), pa.py_buffer(ends[cuts].astype(np.int64)), pa.py_buffer(w)).cast(pa.string())
+    lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x[order])) for x in weights]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[rows]), blobs, *lists], ["bucket", "w", *names])
+
+
+def _dealt(t: pa.Table, kinds: np.ndarray, cut: pa.Array, hot: pa.Array | None, buckets: int, max_len: int, joiner: str, boundary: str) -> pa.RecordBatch | None:
+    """(bucket, w, weights) of a chunk of lines with weights: the places of its distinct segments as
+    strings "token before, up to ``max_len`` tokens, token after", each ended by a newline, those of a
+    bucket in one row.  A bucket goes by the first token, of a very common one by the second, too; where ``hot``
+    is None by the token before and the first two."""
+    found = _chunk_segments(t, kinds, cut, joiner)
+    if found is None:
+        return None
+    names, code, text, at, first, size, weights = found
+    n = len(first)
+    token = np.arange(size.sum()) + np.repeat(first - np.r_[0, np.cumsum(size)[:-1]], size)
     # the tokens between two boundaries
     end = np.cumsum(size + 2)
     here = np.arange(len(token)) + 2 * np.repeat(np.arange(n), size) + 1
@@ -258,27 +289,43 @@ def _dealt(t: pa.Table, kinds: np.ndarray, cut: pa.Array, hot: pa.Array, buckets
     start[here], length[here] = at[token], (at[1:] - at[:-1])[token]
     padded, at = tk.gathered(np.r_[text, np.frombuffer((boundary + joiner).encode(), np.uint8)], start, length)
     last = np.minimum(here + max_len, np.repeat(end - 1, size))
-    # a bucket by the first token, of a very common one by the second, too
     number = pd.util.hash_array(names.to_numpy(zero_copy_only=False).astype(object))
     after = np.zeros(end[-1], np.uint64)
     after[here] = number[code[token]]
-    part = np.where(pc.is_in(names, value_set=hot).to_numpy(zero_copy_only=False)[code[token]], after[here + 1] % PARTS, 0).astype(np.uint64)
-    bucket = ((after[here] + part * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    bucket, of = bucket[order], np.repeat(np.arange(n), size)[order]
-    w, ends = tk.gathered(padded, at[here - 1][order], (at[last + 1] - at[here - 1])[order])
-    w[ends[1:] - 1] = ord("\n")
-    rows = np.flatnonzero(np.r_[True, np.diff(bucket) != 0])
-    cuts = np.r_[rows, len(bucket)].astype(np.int32)
-    blobs = pa.LargeStringArray.from_buffers(len(rows), pa.py_buffer(ends[cuts].astype(np.int64)), pa.py_buffer(w)).cast(pa.string())
-    lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x[of])) for x in weights]
-    return pa.RecordBatch.from_arrays([pa.array(bucket[rows]), blobs, *lists], ["bucket", "w", *t.column_names[1:]])
-
-
-def _bucket_runs(w: pa.Array, weights: list[np.ndarray], hot: pa.Array, min_freq: int, max_len: int, joiner: str, boundary: str):
-    """Of the places of a bucket: for each gram length (grams, sums by weight) of the grams whose first
-    weight reaches the floor, all of whose places are here, and (grams, side, ctx, counts) of very common tokens,
-    which have places elsewhere."""
+    if hot is None:
+        bucket = (after[here - 1] * _MIX + after[here]) * _MIX + after[here + 1]
+    else:
+        part = np.where(pc.is_in(names, value_set=hot).to_numpy(zero_copy_only=False)[code[token]], after[here + 1] % PARTS, 0).astype(np.uint64)
+        bucket = after[here] + part * _MIX
+    of = np.repeat(np.arange(n), size)
+    return _bucket_rows((bucket % np.uint64(buckets)).astype(np.int32), padded, at[here - 1], at[last + 1] - at[here - 1], [x[of] for x in weights], t.column_names[1:])
+
+
+def _dealt_grams(t: pa.Table, kinds: np.ndarray, cut: pa.Array, buckets: int, max_len: int, joiner: str) -> pa.RecordBatch | None:
+    """(bucket, w, weight) of a chunk of lines with a weight, as :func:`_dealt`: each token by itself, once, and the
+    up to ``max_len`` tokens from each place on, two at least, in a bucket by the first two."""
+    found = _chunk_segments(t, kinds, cut, joiner)
+    if found is None:
+        return None
+    names, code, text, at, first, size, (weight,) = found
+    token = np.arange(size.sum()) + np.repeat(first - np.r_[0, np.cumsum(size)[:-1]], size)
+    number = pd.util.hash_array(names.to_numpy(zero_copy_only=False).astype(object))
+    weight = np.repeat(weight, size)
+    each = np.bincount(code[token], weights=weight, minlength=len(names)).astype(np.int64)
+    any_ = np.full(len(names), -1)
+    any_[code[token]] = token
+    used = np.flatnonzero(any_ >= 0)
+    last = np.minimum(token + max_len, np.repeat(first + size, size))
+    more = np.flatnonzero(last - token > 1)
+    one, two, last = any_[used], token[more], last[more]
+    bucket = np.r_[number[used], number[code[two]] * _MIX + number[code[two + 1]]] % np.uint64(buckets)
+    return _bucket_rows(bucket.astype(np.int32), text, np.r_[at[one], at[two]], np.r_[at[one + 1] - at[one], at[last] - at[two]],
+                        [np.r_[each[used], weight[more]]], t.column_names[1:])
+
+
+def _bucket_places(w: pa.Array, joiner: str) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The names of a bucket's tokens, the name's number of each token, the first token and the number of tokens of
+    each place."""
     data = tk.line_bytes(w)[0][:-4].copy()
     ends = np.flatnonzero((data == ord(joiner)) | (data == ord("\n")))
     stop = np.flatnonzero(data[ends] == ord("\n"))
@@ -286,7 +333,53 @@ def _bucket_runs(w: pa.Array, weights: list[np.ndarray], hot: pa.Array, min_freq
     words = pa.LargeStringArray.from_buffers(len(ends), pa.py_buffer(np.r_[0, ends + 1].astype(np.int64)), pa.py_buffer(data)).dictionary_encode()
     names, code = pc.utf8_slice_codeunits(words.dictionary, 0, -1).cast(pa.string()), words.indices.to_numpy().astype(np.int64)
     first = np.r_[0, stop[:-1] + 1]
-    size = stop + 1 - first
+    return names, code, first, stop + 1 - first
+
+
+def _joined(names: pa.Array, codes: list[np.ndarray], joiner: str) -> pa.Array:
+    tokens = [names.take(pa.array(c)) for c in codes]
+    return pc.binary_join_element_wise(*tokens, joiner) if len(tokens) > 1 else tokens[0]
+
+
+def _bucket_grams(w: pa.Array, weight: np.ndarray, min_freq: int, max_len: int, joiner: str) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """(grams, counts) of each length in a bucket of :func:`_dealt_grams`, of those that reach the floor."""
+    names, code, first, size = _bucket_places(w, joiner)
+    tokens = [np.where(size >= k, code[np.minimum(first + k - 1, len(code) - 1)], -1) for k in range(1, max_len + 1)]
+    order = np.lexsort(tokens[::-1])
+    rows, longer = order[size[order] == 1], order[size[order] > 1]
+    for k in range(1, max_len + 1):
+        if k > 1:
+            rows = longer = longer[size[longer] >= k]
+        if not len(rows):
+            continue
+        new = np.r_[True, np.logical_or.reduce([np.diff(t[rows]) != 0 for t in tokens[:k]])]
+        head, n = rows[new], np.add.reduceat(weight[rows], np.flatnonzero(new))
+        wanted = n >= min_freq
+        yield _joined(names, [t[head[wanted]] for t in tokens[:k]], joiner), n[wanted]
+        if k > 1:  # a longer gram is no more frequent
+            longer = rows[wanted[np.cumsum(new) - 1]]
+
+
+def _bucket_contexts(w: pa.Array, weight: np.ndarray, max_len: int, joiner: str) -> Iterator[list]:
+    """[grams, k, tokens before, tokens after, counts] of each length in a bucket of :func:`_dealt`."""
+    names, code, first, size = _bucket_places(w, joiner)
+    tokens = [np.where(size > k, code[np.minimum(first + k, len(code) - 1)], -1) for k in range(max_len + 2)]
+    rows = np.lexsort(tokens[::-1])
+    for k in range(1, max_len + 1):
+        rows = rows[size[rows] >= k + 2]
+        if not len(rows):
+            return
+        new = np.r_[True, np.logical_or.reduce([np.diff(t[rows]) != 0 for t in tokens[:k + 2]])]
+        before, *gram, after = [t[rows[new]] for t in tokens[:k + 2]]
+        yield [_joined(names, gram, joiner), pa.array(np.full(len(before), k)), names.take(pa.array(before)), names.take(pa.array(after)),
+               pa.array(np.add.reduceat(weight[rows], np.flatnonzero(new)))]
+
+
+def _bucket_runs(w: pa.Array, weights: list[np.ndarray], hot: pa.Array, min_freq: int, max_len: int, joiner: str, boundary: str):
+    """Of the places of a bucket: for each gram length (grams, sums by weight) of the grams whose first
+    weight reaches the floor, all of whose places are here, and (grams, side, ctx, counts) of very common tokens,
+    which have places elsewhere."""
+    names, code, first, size = _bucket_places(w, joiner)
     edge = pc.index(names, boundary).as_py()
     common = pc.is_in(names, value_set=hot).to_numpy(zero_copy_only=False)
     tokens = [np.where(size > k, code[np.minimum(first + k, len(code) - 1)], -1) for k in range(1, max_len + 1)]
@@ -302,7 +395,7 @@ def _bucket_runs(w: pa.Array, weights: list[np.ndarray], hot: pa.Array, min_freq
         wanted = open_ | (freq[0] >= min_freq)  # a longer gram is no more frequent
         mine = wanted[run]
         rows, run, head, open_, freq = rows[mine], (np.cumsum(wanted) - 1)[run[mine]], head[wanted], open_[wanted], [f[wanted] for f in freq]
-        grams = pc.binary_join_element_wise(*[names.take(pa.array(t[head])) for t in tokens[:k]], joiner) if k > 1 else names.take(pa.array(tokens[0][head]))
+        grams = _joined(names, [t[head] for t in tokens[:k]], joiner)
         sums, closed = [[f] for f in freq], pa.array(~open_)
         for side, ctx in enumerate((code[first[rows]], code[first[rows] + k + 1])):
             pair, inverse = np.unique(run * len(names) + ctx, return_inverse=True)
@@ -319,6 +412,80 @@ def _bucket_runs(w: pa.Array, weights: list[np.ndarray], hot: pa.Array, min_freq
         yield grams.filter(closed), [[x[~open_] for x in out] for out in sums], None, None, None
 
 
+def _by_bucket(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each bucket, of batches sorted by it."""
+    held, now = [], None
+    for b in batches:
+        bucket = b.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+        for x, y in zip(cuts[:-1], cuts[1:]):
+            if x < y and bucket[x] != now:
+                if held:
+                    yield pa.Table.from_batches(held).combine_chunks()
+                held, now = [], bucket[x]
+            if x < y:
+                held.append(b.slice(x, y - x))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _through_buckets(lines: DataFrame, weights: Sequence[str], deal, run, schema: str) -> DataFrame:
+    """Lines dealt out by ``deal(chunk, buckets)``, a row for each chunk and bucket, and read by ``run(batches)``,
+    whose batches are sorted by bucket."""
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def chunks(batches):
+        for t in tk.chunks(batches):
+            out = deal(t, BUCKETS * parts)
+            if out is not None:
+                yield out
+
+    dealt = lines.select("line", *[F.col(w).cast("long").alias(w) for w in weights]) \
+        .mapInArrow(chunks, ", ".join(["bucket int", "w string", *[f"{w} array<long>" for w in weights]]))
+    return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+
+
+def dealt_grams(lines: DataFrame, script_class: str, words_that_cut: Sequence[str], min_freq: int = K.COHESION_MIN_FREQ,
+                max_len: int = K.MAX_GRAM_LEN, joiner: str = K.GRAM_JOINER, weight: str = "n") -> DataFrame:
+    """P3+P4 and A6 of lines (``line`` with a weight): (gram, freq) of the grams that reach the floor, as
+    :func:`frequent_grams` of the places of their segments; with a floor of 1 every gram.
+
+    Segments are cut from chunks of lines as arrays.  A place is shuffled once, without the tokens beside it, in a
+    row for each chunk and bucket of its first two tokens, a token by itself once a chunk; so all places of a gram
+    meet, and its count in a bucket is whole."""
+    cut = pa.array(list(words_that_cut), pa.string())
+
+    def deal(t, buckets):
+        return _dealt_grams(t, tk.char_kinds(script_class), cut, buckets, max_len, joiner)
+
+    def run(batches):
+        for t in _by_bucket(batches):
+            for grams, n in _bucket_grams(t.column(1).combine_chunks(), t.column(2).combine_chunks().flatten().to_numpy(), min_freq, max_len, joiner):
+                yield pa.RecordBatch.from_arrays([grams, pa.array(n)], ["gram", "freq"])
+
+    return _through_buckets(lines, [weight], deal, run, "gram string, freq long")
+
+
+def dealt_contexts(lines: DataFrame, script_class: str, words_that_cut: Sequence[str], max_len: int = K.MAX_GRAM_LEN,
+                   joiner: str = K.GRAM_JOINER, boundary: str = K.BOUNDARY, weight: str = "n") -> DataFrame:
+    """P3+P4 and N1 of lines (``line`` with a weight): (gram, k, prev, next, n), each gram with the tokens beside it,
+    as ``ngrams.ngrams_with_context`` of their segments gives them, and how often they occur.
+
+    A place is shuffled once, not once for each gram that starts there: those that are equal have the token
+    before, the first and the next token in common, and meet in the bucket of these."""
+    cut = pa.array(list(words_that_cut), pa.string())
+
+    def deal(t, buckets):
+        return _dealt(t, tk.char_kinds(script_class), cut, None, buckets, max_len, joiner, boundary)
+
+    def run(batches):
+        for t in _by_bucket(batches):
+            for cols in _bucket_contexts(t.column(1).combine_chunks(), t.column(2).combine_chunks().flatten().to_numpy(), max_len, joiner):
+                yield pa.RecordBatch.from_arrays(cols, ["gram", "k", "prev", "next", "n"])
+
+    return _through_buckets(lines, [weight], deal, run, "gram string, k long, prev string, next string, n long")
+
+
 def dealt_sides(lines: DataFrame, corpora: Mapping[str, str], script_class: str, words_that_cut: Sequence[str], hot: Sequence[str] = (),
                 min_freq: int = K.COHESION_MIN_FREQ, max_len: int = K.MAX_GRAM_LEN, joiner: str = K.GRAM_JOINER,
                 boundary: str = K.BOUNDARY) -> tuple[DataFrame, DataFrame]:
@@ -329,50 +496,29 @@ def dealt_sides(lines: DataFrame, corpora: Mapping[str, str], script_class: str,
     token, so all places of a gram meet in one; a row holds a chunk's places of a bucket, and buckets
     are sorted one at a time.  Places of the tokens ``hot``, very common ones, are dealt out by the next
     token as well: longer grams still meet, and the contexts of these tokens alone are added up."""
-    spark, weights = lines.sparkSession, list(dict.fromkeys(corpora.values()))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    weights = list(dict.fromkeys(corpora.values()))
     cut, hot = pa.array(list(words_that_cut), pa.string()), pa.array(list(hot), pa.string())
     kinds = ["gram string", "side int", "ctx string", *[f"{w} long" for w in weights], *_sums(corpora)]
     types = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
     schema = pa.schema([(x.split()[0], types[x.split()[1]]) for x in kinds])
     pick = [weights.index(w) for w in corpora.values()]
 
-    def deal(batches):
-        for t in tk.chunks(batches):
-            out = _dealt(t, tk.char_kinds(script_class), cut, hot, BUCKETS * parts, max_len, joiner, boundary)
-            if out is not None:
-                yield out
-
-    def rows(held):
-        t = pa.Table.from_batches(held).combine_chunks()
-        found = [t.column(2 + i).combine_chunks().flatten().to_numpy() for i in range(len(weights))]
-        for grams, sums, side, ctx, counts in _bucket_runs(t.column(1).combine_chunks(), found, hot, min_freq, max_len, joiner, boundary):
-            def none(kind):
-                return pa.nulls(len(grams), kind)
-            if sums is None:
-                cols = [side, ctx, *counts, *[none(f.type) for f in schema][3 + len(weights):]]
-            else:  # no place at the edge is null
-                cols = [none(pa.int32()), none(pa.string()), *[none(pa.int64()) for _ in weights]]
-                cols += [pa.array(x, mask=(x == 0) if i in (3, 6) else None) for j in pick for i, x in enumerate(sums[j])]
-            yield pa.RecordBatch.from_arrays([(c if isinstance(c, pa.Array) else pa.array(c)).cast(f.type) for c, f in zip([grams, *cols], schema)], schema=schema)
+    def deal(t, buckets):
+        return _dealt(t, tk.char_kinds(script_class), cut, hot, buckets, max_len, joiner, boundary)
 
     def run(batches):
-        held, now = [], None
-        for b in batches:
-            bucket = b.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
-            for x, y in zip(cuts[:-1], cuts[1:]):
-                if x < y and bucket[x] != now:
-                    if held:
-                        yield from rows(held)
-                    held, now = [], bucket[x]
-                if x < y:
-                    held.append(b.slice(x, y - x))
-        if held:
-            yield from rows(held)
-
-    dealt = lines.select("line", *[F.col(w).cast("long").alias(w) for w in weights]) \
-        .mapInArrow(deal, ", ".join(["bucket int", "w string", *[f"{w} array<long>" for w in weights]]))
-    found = materialize(dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, ", ".join(kinds)))
+        for t in _by_bucket(batches):
+            counted = [t.column(2 + i).combine_chunks().flatten().to_numpy() for i in range(len(weights))]
+            for grams, sums, side, ctx, counts in _bucket_runs(t.column(1).combine_chunks(), counted, hot, min_freq, max_len, joiner, boundary):
+                def none(kind):
+                    return pa.nulls(len(grams), kind)
+                if sums is None:
+                    cols = [side, ctx, *counts, *[none(f.type) for f in schema][3 + len(weights):]]
+                else:  # no place at the edge is null
+                    cols = [none(pa.int32()), none(pa.string()), *[none(pa.int64()) for _ in weights]]
+                    cols += [pa.array(x, mask=(x == 0) if i in (3, 6) else None) for j in pick for i, x in enumerate(sums[j])]
+                yield pa.RecordBatch.from_arrays([(c if isinstance(c, pa.Array) else pa.array(c)).cast(f.type) for c, f in zip([grams, *cols], schema)], schema=schema)
+
+    found = materialize(_through_buckets(lines, weights, deal, run, ", ".join(kinds)))
     ends = found.where("side is not null").groupBy("gram", "side", "ctx").agg(*[F.sum(w).alias(w) for w in weights])
     return found.where("side is null").drop("side", "ctx", *weights), ends

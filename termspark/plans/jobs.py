@@ -87,27 +87,19 @@ def occurrences(spark: SparkSession, sf: str, corpus: str = "B") -> DataFrame:
     return ng.ngrams_with_context(C.segments(spark, sf, corpus), "seg", keep=["in_a"])
 
 
+def weighted_lines(spark: SparkSession, sf: str, corpus: str = "B") -> DataFrame:
+    """The distinct lines of a corpus in lower case, each with the weight 1 (``n``)."""
+    return C.flagged_lines(spark, sf, corpus).select(F.lower("line").alias("line"), F.lit(1).alias("n"))
+
+
 #: How often a segment occurs in each corpus, and the prefix of the corpus's columns.
 WEIGHTS = {"B": "n", "A": "na"}
 CORPORA = {"B": "", "A": "a_"}
 
 
-def whole_segments(spark: SparkSession, sf: str, corpora: tuple[str, ...] = ("B", "A")) -> DataFrame:
-    """The distinct segments, as strings, with their number in each corpus; A is part of B."""
-    counts = {"B": F.count(F.lit(1)), "A": F.count_if("in_a")}
-    lines = C.flagged_lines(spark, sf, "B" if "B" in corpora else "A")
-    return gr.weighted(C.segment_strings(lines, ["in_a"]), counts={WEIGHTS[c]: counts[c] for c in corpora})
-
-
-def places(spark: SparkSession, sf: str, corpora: tuple[str, ...] = ("B", "A")) -> DataFrame:
-    """The token places of the distinct segments with their number in each corpus."""
-    segments = whole_segments(spark, sf, corpora).withColumn("seg", F.split("seg", K.GRAM_JOINER, -1))
-    return gr.places(materialize(segments), weights=[WEIGHTS[c] for c in corpora])
-
-
 def gram_freq(spark: SparkSession, sf: str, corpus: str = "B") -> DataFrame:
-    """A6 level by level."""
-    return gr.frequent_grams(places(spark, sf, (corpus,)), K.COHESION_MIN_FREQ, weight=WEIGHTS[corpus]).select("gram", "freq")
+    """A6 of the segments."""
+    return gr.dealt_grams(weighted_lines(spark, sf, corpus), C.SCRIPT_CLASS, C.cut_words(), K.COHESION_MIN_FREQ)
 
 
 def gram_total(spark: SparkSession, sf: str) -> DataFrame:

@@ -252,6 +252,38 @@ def test_the_gram_table_has_no_row_for_each_place(spark, monkeypatch, tmp_path):
     assert len(above) == 2 and "w#" in above[1].split("Aggregate")[0] and "regexp_extract_all" not in plans[0] and "Generate" not in above[1].split("Aggregate")[0]
 
 
+def weighted_odd_lines(spark):
+    rows = [(x, i % 3 + 1) for i, x in enumerate(odd_lines() + ["cat", "cat hat mat", "the cat cat cat cat cat the"] * 7 + ["the", "", None])]
+    return spark.createDataFrame(rows, "line string, n long").select(F.lower("line").alias("line"), "n")
+
+
+@pytest.mark.parametrize("chunk", [200, 8_000_000])
+@pytest.mark.parametrize("floor", [1, 5])
+def test_grams_dealt_out_in_chunks_equal_the_levels(spark, monkeypatch, chunk, floor):
+    monkeypatch.setattr(tk, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(tk, "PIECES", 5)
+    df = weighted_odd_lines(spark)
+    segs = tk.segment_rows(df, F.col("line"), tk.LATIN_SCRIPT_CLASS, ["the"], "seg", ",", ["n"]).withColumn("seg", F.split("seg", ","))
+    want = gr.frequent_grams(gr.places(gr.weighted(segs, counts={"n": F.sum("n")})), floor).collect()
+    got = gr.dealt_grams(df, tk.LATIN_SCRIPT_CLASS, ["the"], floor).collect()
+    assert sorted(map(tuple, got)) == sorted((r["gram"], r["freq"]) for r in want) and len(got) > 20
+    assert {r["gram"].count(",") for r in got} == {0, 1, 2, 3}
+    two = gr.dealt_grams(df, tk.LATIN_SCRIPT_CLASS, ["the"], floor, max_len=2, joiner=" ").collect()
+    assert sorted(map(tuple, two)) == sorted((r["gram"].replace(",", " "), r["freq"]) for r in want if r["k"] < 3)
+
+
+@pytest.mark.parametrize("name", ["gram_freq"])
+def test_gram_counts_have_no_row_for_each_place(spark, tmp_path, name):
+    """One exchange of lines and one of rows that hold a chunk's places of a bucket; no level by level, no aggregation of grams."""
+    from termspark.plans import jobs
+    spark.createDataFrame([(i, "\n".join(odd_lines(60, i)), "en") for i in range(9)], "doc_id long, text string, lang string") \
+        .write.parquet(str(tmp_path / "documents.parquet"))
+    out = getattr(jobs, name)(spark, str(tmp_path))
+    above = out._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")
+    assert len(above) == 2 and "w#" in above[1].split("Aggregate")[0] and "Aggregate" not in above[0]
+    assert "Join" not in above[1] and "Generate" not in above[1].split("Aggregate")[0] and out.count() > 20
+
+
 # ---- GBK files, manifest --------------------------------------------------------------------
 
 def test_gbk_round_trip_over_several_splits(spark, tmp_path):
