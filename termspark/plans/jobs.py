@@ -191,7 +191,8 @@ def sorted_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """D7 written as sorted tab-separated part files with a manifest; the grams of
     a range are read from the files that may hold them."""
     path = shared_folder(spark, "freq")
-    sinks.write_sorted(gram_freq(spark, sf), path, [F.col("gram")], "tsv", manifest="gram")
+    grams = materialize(gram_freq(spark, sf))  # the sort reads them twice
+    sinks.write_sorted(grams, path, [F.col("gram")], "tsv", manifest="gram")
     return readers.lookup(spark, path, "gram string, freq bigint", between=LOOKUP)
 
 

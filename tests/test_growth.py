@@ -284,6 +284,19 @@ def test_gram_counts_have_no_row_for_each_place(spark, tmp_path, name):
     assert "Join" not in above[1] and "Generate" not in above[1].split("Aggregate")[0] and out.count() > 20
 
 
+def test_the_sorted_table_rests_on_grams_counted_once(spark, monkeypatch, tmp_path):
+    """What is checkpointed on the way are the kept grams alone, not the segments and not the levels."""
+    from termspark.plans import jobs
+    spark.createDataFrame([(i, "\n".join(odd_lines(60, i) + ["mat mat"] * 2), "en") for i in range(9)], "doc_id long, text string, lang string") \
+        .write.parquet(str(tmp_path / "documents.parquet"))
+    kept = []
+    for m in (gr, jobs):
+        monkeypatch.setattr(m, "materialize", lambda df, real=m.materialize: kept.append(df.columns) or real(df))
+    got = jobs.sorted_lookup(spark, str(tmp_path)).collect()
+    assert kept == [["gram", "freq"]]
+    assert sorted(map(tuple, got)) == sorted(map(tuple, jobs.gram_freq(spark, str(tmp_path)).where(F.col("gram").between(*jobs.LOOKUP)).collect())) and got
+
+
 # ---- GBK files, manifest --------------------------------------------------------------------
 
 def test_gbk_round_trip_over_several_splits(spark, tmp_path):
