@@ -125,8 +125,7 @@ def q_stop_segments(spark, sf):
 WITH {O.occurrences_ctes('B').lstrip()}
 SELECT gram, CAST(k AS BIGINT) AS k, prev, next, count(*) AS n FROM occ GROUP BY ALL""")
 def q_ngram_context(spark, sf):
-    occ = J.occurrences(spark, sf, "B")
-    return occ.groupBy("gram", "k", "prev", "next").agg(F.count(F.lit(1)).alias("n"))
+    return J.occurrences(spark, sf, "B")
 
 
 @register("gram_freq", f"""

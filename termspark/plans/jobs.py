@@ -84,7 +84,8 @@ def bigram_freq(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def occurrences(spark: SparkSession, sf: str, corpus: str = "B") -> DataFrame:
-    return ng.ngrams_with_context(C.segments(spark, sf, corpus), "seg", keep=["in_a"])
+    """N1 of the segments, counted: (gram, k, prev, next, n)."""
+    return gr.dealt_contexts(weighted_lines(spark, sf, corpus), C.SCRIPT_CLASS, C.cut_words())
 
 
 def weighted_lines(spark: SparkSession, sf: str, corpus: str = "B") -> DataFrame:

@@ -272,7 +272,20 @@ def test_grams_dealt_out_in_chunks_equal_the_levels(spark, monkeypatch, chunk, f
     assert sorted(map(tuple, two)) == sorted((r["gram"].replace(",", " "), r["freq"]) for r in want if r["k"] < 3)
 
 
-@pytest.mark.parametrize("name", ["gram_freq"])
+@pytest.mark.parametrize("chunk", [200, 8_000_000])
+def test_contexts_dealt_out_in_chunks_equal_those_of_each_segment(spark, monkeypatch, chunk):
+    monkeypatch.setattr(tk, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(tk, "PIECES", 5)
+    df = weighted_odd_lines(spark)
+    segs = tk.segment_rows(df, F.col("line"), tk.LATIN_SCRIPT_CLASS, ["the"], "seg", ",", ["n"]).withColumn("seg", F.split("seg", ","))
+    want = ng.ngrams_with_context(segs, keep=["n"]).groupBy("gram", "k", "prev", "next").agg(F.sum("n").alias("n")).collect()
+    got = gr.dealt_contexts(df, tk.LATIN_SCRIPT_CLASS, ["the"])
+    assert got.columns == ["gram", "k", "prev", "next", "n"] and len(want) > 200
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want))
+    assert gr.dealt_contexts(df.where("false"), tk.LATIN_SCRIPT_CLASS, ["the"]).count() == 0
+
+
+@pytest.mark.parametrize("name", ["gram_freq", "occurrences"])
 def test_gram_counts_have_no_row_for_each_place(spark, tmp_path, name):
     """One exchange of lines and one of rows that hold a chunk's places of a bucket; no level by level, no aggregation of grams."""
     from termspark.plans import jobs
