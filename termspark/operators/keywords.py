@@ -178,7 +178,9 @@ def _kwic_counts(lines: DataFrame, keys: list[str], script_class: str, line_col:
             pieces, keys = zip(*held) if held else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(pieces, pa.string()), pa.array(keys, pa.list_(pa.int32())), pa.array(held.values(), pa.int64())], ["piece", "keys", "n"])
 
-        for b in (b.slice(i, HELD_LINES) for b in batches if sent.value for i in range(0, b.num_rows, HELD_LINES)):
+        for b in (b.slice(i, HELD_LINES) for b in batches for i in range(0, b.num_rows, HELD_LINES)):
+            if not sent.value:
+                continue
             for pieces, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 there = None if line is None else {i for _, i in words.iter(line)}
                 for p in pieces or ():

@@ -320,10 +320,10 @@ def final_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 def stop_bigrams(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct one- and two-token terms of the stop-word segments (P5): unlike the
-    candidates they still hold words of every tag, and repeated characters."""
-    s = C.stop_segments(spark, sf, "B")
-    grams = ng.ngrams_with_context(s, "seg", 2, " ").where(F.col("gram").rlike(rf"^[{C.SCRIPT_CLASS} ]+\z"))
-    return term_pos(grams.select(F.col("gram").alias("term")).distinct())
+    candidates they still hold words of every tag, and repeated characters.  Terms of the script
+    alone; other tokens, which P5 leaves in its segments, part them here."""
+    grams = gr.dealt_grams(weighted_lines(spark, sf), C.SCRIPT_CLASS, C.STOP_WORDS, 1, 2, " ")
+    return term_pos(grams.select(F.col("gram").alias("term")))
 
 
 def rule_filters(spark: SparkSession, sf: str) -> DataFrame:

@@ -297,6 +297,20 @@ def test_gram_counts_have_no_row_for_each_place(spark, tmp_path, name):
     assert "Join" not in above[1] and "Generate" not in above[1].split("Aggregate")[0] and out.count() > 20
 
 
+def test_stop_bigrams_of_chunks_equal_those_of_stop_segments(spark, tmp_path):
+    """No row for each token of a line on the way."""
+    from termspark.plans import corpus as C
+    from termspark.plans import jobs
+    rows = [(i, "\n".join(odd_lines(60, i) + ["die Katze", "la 1 cat the hat", "été . mat"]), "en") for i in range(5)] + [(9, None, "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    grams = ng.ngrams_with_context(C.stop_segments(spark, str(tmp_path)), "seg", 2, " ")
+    want = {r.gram for r in grams.where(F.col("gram").rlike(rf"^[{C.SCRIPT_CLASS} ]+\z")).collect()}
+    got = jobs.stop_bigrams(spark, str(tmp_path))
+    assert sorted(r.term for r in got.collect()) == sorted(want) and len(want) > 50
+    plan = got.select("term")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "lambda" not in plan and "Generate" not in plan.split("Aggregate")[0]
+
+
 def test_the_sorted_table_rests_on_grams_counted_once(spark, monkeypatch, tmp_path):
     """What is checkpointed on the way are the kept grams alone, not the segments and not the levels."""
     from termspark.plans import jobs
@@ -434,6 +448,26 @@ def test_affix_join_equals_the_filter(spark):
     assert len(plan(5000)) < len(plan(5)) + 50
 
 
+def test_affix_lists_that_travel_and_lists_that_are_joined_give_the_same(spark):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("aé中\U0001F600 ") for _ in range(n))
+    terms = [word(rng.randint(0, 7)) for _ in range(300)] * 2 + ["", None]
+    lists = [[word(rng.randint(1, 3)) for _ in range(9)] for _ in range(3)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(terms)], "i long, term string")
+    table = lambda words: spark.createDataFrame([(w,) for w in words + words[:2] + [None]], "word string")
+    number = sum(len(set(x)) for x in lists)
+    for args, kept in ((lists, None), ([lists[0], None, lists[2]], None), ([[], [""], []], 0), ([None, None, [""]], 0), ([[], [], []], 601)):
+        given = [None if x is None else table(x) for x in args]
+        want = sorted((r.i, r.term) for r in rk.affix_filter(df, "term", *[x or [] for x in args]).where("term is not null").collect())
+        for most in (number, 0):
+            got = rk.affix_filter_join(df, "term", *given, broadcast_words=most)
+            assert got.columns == ["i", "term"] and sorted(map(tuple, got.collect())) == want
+        assert kept is None or len(want) == kept
+    assert 0 < len(rk.affix_filter_join(df, "term", *map(table, lists)).collect()) < 600
+    assert "Join" not in rk.affix_filter_join(df, "term", *map(table, lists))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in rk.affix_filter_join(df, "term", *map(table, lists), broadcast_words=number - 1)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_edge_stop_words_as_lists(spark):
     df = spark.createDataFrame([("the end",), ("ends the",), ("a theory b",), ("none",)], "term string")
     stop = spark.createDataFrame([("the",)], "word string")
