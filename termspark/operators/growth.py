@@ -439,10 +439,16 @@ def _through_buckets(lines: DataFrame, weights: Sequence[str], deal, run, schema
             out = deal(t, BUCKETS * parts)
             if out is not None:
                 yield out
+            del t, out  # before the next chunk is read
+            tk.give_back()
+
+    def counted(batches):
+        yield from run(batches)
+        tk.give_back()
 
     dealt = lines.select("line", *[F.col(w).cast("long").alias(w) for w in weights]) \
         .mapInArrow(chunks, ", ".join(["bucket int", "w string", *[f"{w} array<long>" for w in weights]]))
-    return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+    return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(counted, schema)
 
 
 def dealt_grams(lines: DataFrame, script_class: str, words_that_cut: Sequence[str], min_freq: int = K.COHESION_MIN_FREQ,

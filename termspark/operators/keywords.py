@@ -193,6 +193,8 @@ def _kwic_counts(lines: DataFrame, keys: list[str], script_class: str, line_col:
                 yield out()
                 held.clear()
         yield out()
+        held.clear()
+        tk.give_back()
 
     def merge(batches):
         names = pa.array(sent.value, pa.string())

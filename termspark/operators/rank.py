@@ -93,6 +93,7 @@ def _affix_lookup(df: DataFrame, term_col: str, lists: Sequence[list[str]]) -> D
             if len(words):
                 b = b.filter(pa.array([next(words.iter(t), None) is None for t in b.column(at).to_pylist()], pa.bool_()))
             yield b
+        tk.give_back()
 
     return df.mapInArrow(run, df.schema)
 

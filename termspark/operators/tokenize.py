@@ -9,6 +9,7 @@ hash-set lookup; a list of any size is given as a DataFrame and joined
 """
 from __future__ import annotations
 
+import ctypes
 import functools
 import re
 from collections.abc import Iterable, Iterator, Mapping, Sequence
@@ -329,6 +330,15 @@ def char_kinds(script_class: str) -> np.ndarray:
     return kinds
 
 
+def give_back() -> None:
+    """Memory that a worker has freed goes back to the system: workers stay, and wait, beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
     """The batches of a task put together to about ``CHUNK_BYTES`` each."""
     held, n = [], 0
